@@ -7,16 +7,94 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from auklet.llm.common import table
+from auklet.llm.decontaminate import contamination
 from auklet.llm.near_dedup import near_duplicates
+from auklet.llm.sharding import shards
+from auklet.llm.url_filter import url_verdicts
+
+#: Bytes of text in a shard of op6's query.
+SHARD_BYTES = 1 << 20
+URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80)
 
 
+def op6_extendible_hash_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards(table(spark, sf_dir, "documents").select("doc_id", "text"), limit=SHARD_BYTES).select("doc_id", "row_bytes", "bucket", "page", "shard")
+
+
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return judged.select("row_.doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "rule string, verdict string")
+    return url_verdicts(table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_minhash_near_dedup": op1_minhash_near_dedup}
+    return {
+        "op1_minhash_near_dedup": op1_minhash_near_dedup,
+        "op6_extendible_hash_shards": op6_extendible_hash_shards,
+        "op8_benchmark_decontamination": op8_benchmark_decontamination,
+        "op10_url_rules": op10_url_rules,
+    }
+
+
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_OP6 = f"""
+with sized as (
+    select doc_id, coalesce(strlen(text), 0)::bigint as row_bytes,
+        ('0x' || substr(md5(coalesce(doc_id::varchar, '')), 1, 13))::bigint as h
+    from documents),
+under as (select doc_id, row_bytes, h, d, h >> (52 - d) as prefix from sized, generate_series(0, 52) as g(d)),
+sums as (select d, prefix, sum(row_bytes) as bytes from under group by d, prefix),
+depths as (select doc_id, any_value(row_bytes) as row_bytes, any_value(h) as h, min(d) as d
+    from under join sums using (d, prefix) where bytes <= {SHARD_BYTES} group by doc_id)
+select doc_id, row_bytes, substr(lpad(format('{{:b}}', h), 52, '0'), 1, d::int) as bucket, 0::bigint as page,
+    substr(lpad(format('{{:b}}', h), 52, '0'), 1, d::int) || '/0' as shard
+from depths"""
+
+_WORDS = r"regexp_extract_all(coalesce(" + _LOWER + r", ''), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_OP8 = f"""
+with items as (select coalesce(item_id::varchar, '') as item, {_WORDS} as w from benchmark),
+windows as (
+    select distinct item, least(len(w), 13) as n, array_to_string(list_slice(w, p, p + least(len(w), 13) - 1), ' ') as k
+    from items, unnest(generate_series(1, greatest(len(w) - 12, 1))) as g(p) where len(w) > 0),
+lengths as (select distinct n from windows),
+docs as (select doc_id, {_WORDS} as w from documents),
+found as (
+    select doc_id, p, item, windows.n from (
+        select doc_id, n, p, array_to_string(list_slice(w, p, p + n - 1), ' ') as k
+        from docs, lengths, unnest(generate_series(1, len(w) - n + 1)) as g(p) where len(w) >= n) as places
+    join windows on places.k = windows.k and places.n = windows.n),
+hits as (select doc_id, count(distinct spot) as n_hit from found, unnest(generate_series(p, p + n - 1)) as g(spot) group by doc_id),
+met as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as names from (select distinct doc_id, item from found) group by doc_id)
+select docs.doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+    sha256(coalesce(names, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
+from docs left join hits using (doc_id) left join met using (doc_id)"""
+
+_OP10 = (
+    """
+with urls as (
+    select page_id,
+        coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') as host,
+        coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') as path
+    from pages),
+rules as (select r as rule, v as verdict, split_part(r, '/', 1) as rule_host, substr(r, strpos(r, '/')) as rule_path from (values """
+    + ", ".join(f"('{r}', '{v}')" for r, v in URL_RULES)
+    + """) as t(r, v)),
+fit as (
+    select page_id, max_by(rule, length(rule)) as rule, max_by(verdict, length(rule)) as verdict
+    from urls join rules on (host = rule_host or ends_with(host, '.' || rule_host)) and starts_with(path, rule_path)
+    group by page_id)
+select urls.page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from urls left join fit using (page_id)"""
+)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_extendible_hash_shards": _OP6, "op8_benchmark_decontamination": _OP8, "op10_url_rules": _OP10}
