@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from auklet.llm.common import table
 from auklet.llm.decontaminate import contamination
+from auklet.llm.mixing import mixture
 from auklet.llm.near_dedup import near_duplicates
 from auklet.llm.sharding import shards
 from auklet.llm.url_filter import url_verdicts
@@ -21,6 +22,11 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80)
 
 
+def op5_subset_sum_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixture(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
 def op6_extendible_hash_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards(table(spark, sf_dir, "documents").select("doc_id", "text"), limit=SHARD_BYTES).select("doc_id", "row_bytes", "bucket", "page", "shard")
 
@@ -38,6 +44,7 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash_near_dedup": op1_minhash_near_dedup,
+        "op5_subset_sum_mixture": op5_subset_sum_mixture,
         "op6_extendible_hash_shards": op6_extendible_hash_shards,
         "op8_benchmark_decontamination": op8_benchmark_decontamination,
         "op10_url_rules": op10_url_rules,
