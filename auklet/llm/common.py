@@ -41,13 +41,13 @@ class WordHashes(dict):
 
     LIMIT = 400_000
 
-    def __missing__(self, word: bytes) -> int:
+    def __missing__(self, word: bytes | str) -> int:
         if len(self) >= self.LIMIT:
             self.clear()
         got = self[word] = xxhash.xxh3_64_intdigest(word)
         return got
 
-    def of(self, words: list[bytes]) -> np.ndarray:
+    def of(self, words: list[bytes] | list[str]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 

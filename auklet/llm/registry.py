@@ -11,7 +11,9 @@ from auklet.llm.common import table
 from auklet.llm.decontaminate import contamination
 from auklet.llm.mixing import mixture
 from auklet.llm.near_dedup import near_duplicates
+from auklet.llm.quality import quality
 from auklet.llm.sharding import shards
+from auklet.llm.toxicity import toxicity
 from auklet.llm.url_filter import url_verdicts
 
 #: Bytes of text in a shard of op6's query.
@@ -23,6 +25,14 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80)
 
 
+def op3_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
+def op4_quality_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_subset_sum_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixture(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
@@ -51,6 +61,8 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash_near_dedup": op1_minhash_near_dedup,
+        "op3_toxicity_crf": op3_toxicity_crf,
+        "op4_quality_ftrl": op4_quality_ftrl,
         "op5_subset_sum_mixture": op5_subset_sum_mixture,
         "op6_extendible_hash_shards": op6_extendible_hash_shards,
         "op7_chat_format": op7_chat_format,
