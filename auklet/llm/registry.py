@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from auklet.llm.chat_format import END, START, formatted, read_back
 from auklet.llm.common import table
 from auklet.llm.decontaminate import contamination
+from auklet.llm.fingerprint import fingerprints
 from auklet.llm.mixing import mixture
 from auklet.llm.near_dedup import near_duplicates
 from auklet.llm.quality import quality
@@ -25,6 +26,10 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80)
 
 
+def op2_cws_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
@@ -61,6 +66,7 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash_near_dedup": op1_minhash_near_dedup,
+        "op2_cws_fingerprints": op2_cws_fingerprints,
         "op3_toxicity_crf": op3_toxicity_crf,
         "op4_quality_ftrl": op4_quality_ftrl,
         "op5_subset_sum_mixture": op5_subset_sum_mixture,
