@@ -7,8 +7,11 @@ ones go another DEPTH minima down first, so dense regions are cut more finely.
 
 1. Each class meets the head (smallest id) of its regions; of those whose sketch looks alike, the likest is confirmed on
    the full sets. Groups of near copies, however large, become components by one comparison for each member.
-2. Regions whose members are still in several components are compared across components, in blocks of bounded size over
-   many tasks; only pairs with like sketches are emitted. So no pair of a region is left out because its region is large.
+2. Regions whose members are still in several components are looked at by sketch, in blocks of bounded size over many
+   tasks. Each component's likest outside partner is confirmed, which joins nearly all that belong together.
+3. In regions that are in several components even then, every pair of different components with like sketches is
+   confirmed on full sets inside its block, once, in the first order in which both share a region; only links leave the
+   block. So no pair is left out because its region is large, and none of a group's many pairs is shuffled.
 
 A link at similarity s is missed with probability (1 - s^DEPTH)^TREES: 3e-6 at 0.8, less above.
 """
@@ -28,10 +31,12 @@ from auklet.llm.components import components
 
 TREES, DEPTH = 24, 4
 MINIMA = TREES * DEPTH
-#: Sketches (a byte of each minimum) that agree less than so far below the threshold aren't confirmed on full sets: six standard deviations of the estimate.
-SLACK = 0.25
+#: Sketches (a byte of each minimum) that agree less than so far below the threshold aren't confirmed on full sets: five standard deviations of the estimate.
+SLACK = 0.2
+#: Ids to confirm are broadcast up to so many (16 bytes each); beyond, the texts are joined by a shuffle.
+BROADCAST_IDS = 4_000_000
 #: Members of a region that one block holds.
-BLOCK = 256
+BLOCK = 512
 #: A region of more members than this also uses its deeper regions' heads.
 SHALLOW = 8
 
@@ -106,11 +111,13 @@ def _planted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A byte of each minimum, and the keys of the class's regions in all orders."""
     for batch in batches:
         if batch.num_rows:
             sig = np.frombuffer(b"".join(batch["signature"].to_pylist()), np.uint32).reshape(-1, MINIMA)
             byte = ((sig * np.uint32(0x85EBCA6B)) >> np.uint32(24)).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([batch["id"], batch["n"], pa.array([r.tobytes() for r in byte], pa.binary())], names=["id", "n", "sketch"])
+            heads = next(_planted(iter([batch])))["key"].to_numpy().reshape(-1, TREES)
+            yield pa.RecordBatch.from_arrays([batch["id"], batch["n"], *(pa.array([r.tobytes() for r in x], pa.binary()) for x in (byte, heads))], names=["id", "n", "sketch", "heads"])
 
 
 def _alike(floor: float):
@@ -127,50 +134,98 @@ def _alike(floor: float):
     return run
 
 
-def _across(floor: float, percent: int):
-    """Pairs (a, b) of different components in each block, sorted by block: members of side 0 against those of side 1, or all of side 0."""
-
-    def compare(rows: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        left, right = rows["side"] <= 0, rows["side"] != 0
-        ids, comp, n, sk = rows["id"], rows["comp"], rows["n"], rows["sketch"]
-        same = bool((rows["side"] < 0).all())
-        right = left if same else right
-        rid, rcomp, rn, rsk = ids[right], comp[right], n[right], sk[right]
-        for i in np.flatnonzero(left):
-            ok = (rcomp != comp[i]) & (100 * np.minimum(rn, n[i]) >= percent * np.maximum(rn, n[i]))
-            if same:
-                ok &= rid > ids[i]
-            at = np.flatnonzero(ok)
+class _Block:
+    """Members of a region, or of two parts of one: those of side 0 against those of side 1, or all of side -1."""
+
+    def __init__(self, rows: dict[str, np.ndarray], floor: float, percent: int):
+        self.rows, self.floor, self.percent = rows, floor, percent
+        self.same = bool((rows["side"] < 0).all())
+        self.left = np.flatnonzero(rows["side"] <= 0)
+        self.right = self.left if self.same else np.flatnonzero(rows["side"] > 0)
+        self.tree = int(np.argmax(rows["heads"][0] == rows["key"][0]))
+
+    def pairs(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(i, js, likes): members of other components with like sketches, if no earlier order has them in one region."""
+        ids, comp, n, sketch, heads = (self.rows[c] for c in ("id", "comp", "n", "sketch", "heads"))
+        for i in self.left:
+            at = self.right[(comp[self.right] != comp[i]) & (100 * np.minimum(n[self.right], n[i]) >= self.percent * np.maximum(n[self.right], n[i]))]
+            at = at[ids[at] > ids[i]] if self.same else at
+            if len(at) and self.tree:
+                at = at[~(heads[at, : self.tree] == heads[i, : self.tree]).any(axis=1)]
             if len(at):
-                at = at[(rsk[at] == sk[i]).mean(axis=1) >= floor]
-                if len(at):
-                    yield np.full(len(at), ids[i]), rid[at]
+                like = (sketch[at] == sketch[i]).mean(axis=1)
+                ok = like >= self.floor
+                if ok.any():
+                    yield i, at[ok], like[ok]
+
+    def likest(self) -> list[np.ndarray]:
+        """Each member's likest partner."""
+        best: dict[int, tuple[float, int]] = {}
+        for i, js, likes in self.pairs():
+            for x, y, like in [(i, js[np.argmax(likes)], likes.max()), *zip(js, [i] * len(js), likes, strict=True)]:
+                if like > best.get(x, (0.0, 0))[0]:
+                    best[x] = (like, y)
+        i, j = np.array(list(best), np.int64), np.array([y for _, y in best.values()], np.int64)
+        ids = self.rows["id"]
+        return [self.rows["comp"][i], ids[i], ids[j], np.array([x for x, _ in best.values()], float)]
+
+    def wanted(self) -> list[np.ndarray]:
+        """The members that have a pair."""
+        have = np.zeros(len(self.rows["id"]), bool)
+        for i, js, _ in self.pairs():
+            have[i] = True
+            have[js] = True
+        return [v[have] for v in self.rows.values()]
+
+    def linked(self) -> list[np.ndarray]:
+        """Pairs that are linked by their full sets; one is enough for two components."""
+        found, comp, ids, sets = [], self.rows["comp"], self.rows["id"], self.rows["members"]
+        met: set[tuple[int, int]] = set()
+        for i, js, likes in self.pairs():
+            for j in js[np.argsort(-likes, kind="stable")]:
+                ends = (min(comp[i], comp[j]), max(comp[i], comp[j]))
+                if ends not in met and _is_link(sets[i], sets[j], self.percent):
+                    met.add(ends)
+                    found.append((ids[i], ids[j]))
+        return [np.array(x, np.int64) for x in zip(*found, strict=True)] if found else [np.empty(0, np.int64)] * 2
+
+
+_ROW = ("key", "pair", "side", "id", "comp", "n")
+
+
+def _blocks(floor: float, percent: int, what: str):
+    """What every block has to say; rows come sorted by block, and a block may go on in the next batch."""
+    names = {"likest": ["comp", "a", "b", "like"], "wanted": [*_ROW, "sketch", "heads"], "linked": ["a", "b"]}[what]
+
+    def read(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
+        rows = {c: batch[c].to_numpy(zero_copy_only=False) for c in _ROW}
+        for c, kind, width in (("sketch", np.uint8, MINIMA), ("heads", np.int64, TREES)):
+            rows[c] = np.frombuffer(b"".join(batch[c].to_pylist()), kind).reshape(-1, width)
+        if what == "linked":
+            rows["members"] = np.empty(batch.num_rows, object)
+            rows["members"][:] = [np.frombuffer(x, np.uint64) for x in batch["members"].to_pylist()]
+        return rows
+
+    def said(rows: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        cuts = np.flatnonzero((rows["key"][1:] != rows["key"][:-1]) | (rows["pair"][1:] != rows["pair"][:-1])) + 1
+        found = [getattr(_Block({k: v[lo:hi] for k, v in rows.items()}, floor, percent), what)() for lo, hi in zip([0, *cuts], [*cuts, len(rows["key"])], strict=True)]
+        columns = [np.concatenate(x) for x in zip(*found, strict=True)]
+        if len(columns[0]):
+            yield pa.RecordBatch.from_arrays([pa.array(x) if x.ndim == 1 else pa.array([r.tobytes() for r in x], pa.binary()) for x in columns], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict[str, np.ndarray]] = []
-
-        def flush(rows: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-            cuts = np.flatnonzero((rows["key"][1:] != rows["key"][:-1]) | (rows["pair"][1:] != rows["pair"][:-1])) + 1
-            a, b = [], []
-            for lo, hi in zip([0, *cuts], [*cuts, len(rows["key"])], strict=True):
-                for x, y in compare({k: v[lo:hi] for k, v in rows.items()}):
-                    a.append(np.minimum(x, y))
-                    b.append(np.maximum(x, y))
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
-
+        held: dict[str, np.ndarray] = {}
         for batch in batches:
             if not batch.num_rows:
                 continue
-            new = {c: batch[c].to_numpy(zero_copy_only=False) for c in ("key", "pair", "side", "id", "comp", "n")}
-            new["sketch"] = np.frombuffer(b"".join(batch["sketch"].to_pylist()), np.uint8).reshape(-1, MINIMA)
-            rows = {k: np.concatenate([held[0][k], v]) for k, v in new.items()} if held else new
-            last = np.flatnonzero((rows["key"] == rows["key"][-1]) & (rows["pair"] == rows["pair"][-1]))[0]  # the last block may go on in the next batch
-            held = [{k: v[last:] for k, v in rows.items()}]
+            new = read(batch)
+            rows = {k: np.concatenate([held[k], v]) for k, v in new.items()} if held else new
+            last = np.flatnonzero((rows["key"] == rows["key"][-1]) & (rows["pair"] == rows["pair"][-1]))[0]
+            held = {k: v[last:] for k, v in rows.items()}
             if last:
-                yield from flush({k: v[:last] for k, v in rows.items()})
+                yield from said({k: v[:last] for k, v in rows.items()})
         if held:
-            yield from flush(held[0])
+            yield from said(held)
 
     return run
 
@@ -184,30 +239,56 @@ def _sets(size: int):
     return run
 
 
+def _is_link(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
 def _linked(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch["set_a"].to_pylist(), batch["set_b"].to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            keep = pa.array(keep, pa.bool_())
+            sets = ((np.frombuffer(v, np.uint64) for v in batch[c].to_pylist()) for c in ("set_a", "set_b"))
+            keep = pa.array([_is_link(x, y, percent) for x, y in zip(*sets, strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch["a"].filter(keep), batch["b"].filter(keep)], names=["a", "b"])
 
     return run
 
 
+def _members_of(ids: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """(id, members): the full sets of these ids' texts."""
+    ids = stored(ids.distinct(), "ids")
+    texts = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi").distinct()
+    return stored(texts.withColumnRenamed("doc_id", "id").mapInArrow(_sets(size), "id long, members binary"), "sets")
+
+
 def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) that are linked by their full sets."""
     pairs = stored(pairs.distinct(), "pairs")
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = docs.join(ids, "doc_id", "left_semi").distinct().withColumnRenamed("doc_id", "id")
-    sets = stored(texts.mapInArrow(_sets(size), "id long, members binary"), "sets")
+    sets = _members_of(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")), docs, size)
     a, b = (sets.select(F.col("id").alias(c), F.col("members").alias(f"set_{c}")) for c in "ab")
     return stored(pairs.join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b").mapInArrow(_linked(percent), "a long, b long"), "links")
 
 
+def _apart(near: DataFrame, members: DataFrame, sketches: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs of near whose ends are in different components over links; and the blocks of regions in several components."""
+    reached = components(links)
+    of = lambda c: reached.select(F.col("node").alias(c), F.col("component").alias(f"comp_{c}"))
+    apart = near.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    apart = apart.select("a", "b", F.coalesce("comp_a", "a").alias("comp_a"), F.coalesce("comp_b", "b").alias("comp_b"), "like").where("comp_a <> comp_b")
+
+    placed = members.where("size > 2").join(of("id"), "id", "left").select("key", "id", "size", F.coalesce("comp_id", "id").alias("comp"))
+    placed = stored(placed, "placed")
+    several = stored(placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key"), "several")
+    placed = placed.join(several, "key").join(sketches, "id")
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    placed = placed.withColumns({"blocks": blocks, "own": F.pmod(F.xxhash64("id"), blocks).cast("int")})
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    lo, hi = F.least("own", "other"), F.greatest("own", "other")
+    side = F.when(lo == hi, F.lit(-1)).when(F.col("own") == lo, F.lit(0)).otherwise(F.lit(1))
+    placed = placed.select("key", (lo.cast("long") * (1 << 32) + hi).alias("pair"), side.alias("side"), "id", "comp", "n", "sketch", "heads")
+    return apart, placed.repartition("key", "pair").sortWithinPartitions("key", "pair")
+
+
 def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of documents (doc_id, text; more columns are ignored).
 
@@ -221,7 +302,7 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80) -
     signed = stored(docs.mapInArrow(_signed(shingle), "doc_id long, n_shingles long, digest binary, signature binary"), "signed")
     full = signed.where("doc_id is not null and digest is not null")
     classes = stored(full.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature")), "classes")
-    sketches = classes.select("id", "n", "signature").mapInArrow(_sketched, "id long, n long, sketch binary")
+    sketches = classes.select("id", "n", "signature").mapInArrow(_sketched, "id long, n long, sketch binary, heads binary")
     places = classes.select("id", "signature").mapInArrow(_planted, "key long, tail long, id long")
 
     regions = stored(places.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("head")).where("size > 1"), "regions")
@@ -237,24 +318,18 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80) -
     best = near.groupBy("b").agg(F.max_by("a", F.struct("like", -F.col("a"))).alias("a")).select("a", "b")
     links = _confirmed(best, docs, shingle, percent)
 
-    first = components(links)
-    of = lambda c: first.select(F.col("node").alias(c), F.col("component").alias(f"comp_{c}"))
-    apart = near.join(of("a"), "a", "left").join(of("b"), "b", "left").where("coalesce(comp_a, a) <> coalesce(comp_b, b)").select("a", "b")
-    apart = apart.join(best, ["a", "b"], "left_anti")
+    apart, blocks = _apart(near, members, sketches, links)
+    likest = blocks.mapInArrow(_blocks(floor, percent, "likest"), "comp long, a long, b long, like double")
+    likest = likest.union(apart.select("comp_a", "a", "b", "like")).union(apart.select("comp_b", "a", "b", "like"))
+    likest = likest.groupBy("comp").agg(F.max_by(F.struct(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), F.struct("like", -F.least("a", "b"), -F.greatest("a", "b"))).alias("p"))
+    links = links.union(_confirmed(likest.select("p.a", "p.b"), docs, shingle, percent))
 
-    placed = members.where("size > 2").join(of("id"), "id", "left").select("key", "id", "size", F.coalesce("comp_id", "id").alias("comp"))
-    placed = stored(placed, "placed")
-    mixed = stored(placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key"), "mixed")
-    placed = placed.join(mixed, "key").join(sketches, "id")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("id"), blocks).cast("int")
-    placed = placed.withColumns({"blocks": blocks, "own": own}).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    lo, hi = F.least("own", "other"), F.greatest("own", "other")
-    side = F.when(F.col("own") == F.col("other"), F.lit(-1)).when(F.col("own") == lo, F.lit(0)).otherwise(F.lit(1))
-    placed = placed.select("key", (lo.cast("long") * (1 << 32) + hi).alias("pair"), side.alias("side"), "id", "comp", "n", "sketch")
-    placed = placed.repartition("key", "pair").sortWithinPartitions("key", "pair")
-    apart = apart.union(placed.mapInArrow(_across(floor, percent), "a long, b long"))
-    links = links.union(_confirmed(apart, docs, shingle, percent))
+    apart, blocks = _apart(near, members, sketches, links)
+    links = links.union(_confirmed(apart.select("a", "b"), docs, shingle, percent))
+    row = "key long, pair long, side int, id long, comp long, n long, sketch binary, heads binary"
+    wanted = stored(blocks.mapInArrow(_blocks(floor, percent, "wanted"), row), "wanted")
+    whole = wanted.join(_members_of(wanted.select(F.col("id").alias("doc_id")), docs, shingle), "id").repartition("key", "pair").sortWithinPartitions("key", "pair")
+    links = links.union(stored(whole.mapInArrow(_blocks(floor, percent, "linked"), "a long, b long"), "links"))
 
     last = components(links).select(F.col("node").alias("id"), "component")
     owners = classes.select("digest", "id").join(last, "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
@@ -262,3 +337,20 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80) -
     rows = rows.join(owners, "digest", "left")
     component = F.coalesce("component", "doc_id")
     return rows.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+
+
+def one_of_each_group(documents: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+    """documents without near duplicates: of each component the rows of the smallest doc_id stay, with documents' columns.
+
+    Rows that share a doc_id stay or go together, and of such that also share the text one stays. Texts without words and
+    null doc_ids stay. What goes is a small part of most corpora, so its ids are broadcast where they are few enough.
+    """
+    judged = near_duplicates(documents, shingle, percent).where("doc_id is not null")
+    ids = stored(judged.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n")), "judged")
+    some = lambda df: F.broadcast(df) if df.count() <= BROADCAST_IDS else df
+    gone, many = ids.where("not kept").select("doc_id"), ids.where("kept and n > 1").select("doc_id")
+    left = documents.join(some(gone), "doc_id", "left_anti")
+    if not many.isEmpty():
+        once = left.join(some(many), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+        left = left.join(some(many), "doc_id", "left_anti").unionByName(once)
+    return left.select(*[F.col(f"`{c}`") for c in documents.columns])

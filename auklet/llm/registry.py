@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from auklet.llm.chat_format import END, START, formatted, read_back
 from auklet.llm.common import table
 from auklet.llm.decontaminate import contamination
 from auklet.llm.fingerprint import fingerprints
+from auklet.llm.line_dedup import line_report
 from auklet.llm.mixing import mixture
 from auklet.llm.near_dedup import near_duplicates
 from auklet.llm.quality import quality
@@ -58,6 +60,10 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return judged.select("row_.doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_report(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "rule string, verdict string")
     return url_verdicts(table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
@@ -73,7 +79,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_extendible_hash_shards": op6_extendible_hash_shards,
         "op7_chat_format": op7_chat_format,
         "op8_benchmark_decontamination": op8_benchmark_decontamination,
+        "op9_line_dedup": op9_line_dedup,
         "op10_url_rules": op10_url_rules,
+        "pipeline": corpus_pipeline.run,
     }
 
 
@@ -143,4 +151,4 @@ select urls.page_id, host, path, rule, coalesce(verdict, 'allow') as verdict fro
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_chat_format": _OP7, "op6_extendible_hash_shards": _OP6, "op8_benchmark_decontamination": _OP8, "op10_url_rules": _OP10}
+    return {"op7_chat_format": _OP7, "op6_extendible_hash_shards": _OP6, "op8_benchmark_decontamination": _OP8, "op10_url_rules": _OP10} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
