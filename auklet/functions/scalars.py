@@ -43,7 +43,7 @@ def time_score(delta: Column, std: Column) -> Column:
 
 
 def grade(score: Column) -> Column:
-    return F.when(score >= 90, "excellent").when(score >= 75, "good").when(score >= 60, "warning").otherwise("critical")
+    return F.when(score >= 90, "Excellent").when(score >= 75, "Good").when(score >= 60, "Warning").otherwise("Critical")
 
 
 def natural_key(text: Column) -> Column:

@@ -70,3 +70,77 @@ def rank_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
 RANKS_SQL = """
 ranks as (select s_suppkey as rank, cast((s_suppkey - 1) // 8 as int) as group_id, s_nationkey as host, value from supplier
     join (select l_suppkey, round(avg(l_quantity), 6) as value from lineitem group by 1) on l_suppkey = s_suppkey)"""
+
+#: Counters of a core: which event type runs up which.
+FIELDS = {"user_": "view", "system_": "click", "idle_": "purchase", "iowait_": "signup", "irq_": "error"}
+
+
+def counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(core, seq, ts_s, FIELDS): each user is a core, each event a sample of running sums by type."""
+    e = table(spark, sf_dir, "events")
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    step = F.floor(F.col("value") * 100).cast("bigint")
+    run = {f: F.sum(F.when(F.col("event_type") == t, step).otherwise(0)).over(w) for f, t in FIELDS.items()}
+    return e.select(F.col("user_id").alias("core"), F.row_number().over(w).alias("seq"), seconds("ts").alias("ts_s"), *[c.alias(f) for f, c in run.items()])
+
+
+COUNTERS_SQL = (
+    "counters as (select user_id as core, cast(row_number() over w as int) as seq, cast(floor(epoch(ts)) as bigint) as ts_s, "
+    + ", ".join(f"cast(sum(case when event_type = '{t}' then cast(floor(value * 100) as bigint) else 0 end) over w as bigint) as {f}" for f, t in FIELDS.items())
+    + " from events window w as (partition by user_id order by ts, event_id rows unbounded preceding))"
+)
+
+#: Points of a node: component, name, label, its value, and what the event's value is taken modulo of.
+POINTS = [
+    ("cpu", "usage", "core", "total", 110), ("cpu", "usage", "core", "0", 110), ("cpu", "temperature", "sensor", "a", 100), ("cpu", "load_average", "interval", "1m", 20),
+    ("cpu", "core_num", "", "", 9), ("cpu", "cpu_ce_errors", "socket", "0", 2), ("cpu", "cpu_uce_errors", "socket", "0", 2), ("memory", "usage", "", "", 110),
+    ("memory", "swap_usage", "", "", 100), ("memory", "ecc_ce_errors", "mc", "0", 3), ("memory", "ecc_uce_errors", "mc", "0", 2), ("memory", "saturation", "interval", "avg10", 110),
+    ("memory", "saturation", "interval", "avg60", 110), ("memory", "fragmentation", "zone", "n", 110), ("disk", "space_usage", "mount", "/", 105), ("disk", "io_wait", "", "", 40),
+    ("disk", "smart_status", "device", "sda", 2), ("gpu", "temperature", "gpu", "0", 105), ("gpu", "memory_usage", "gpu", "0", 101), ("gpu", "utilization", "gpu", "0", 101),
+    ("gpu", "ecc_errors", "gpu", "0", 2), ("npu", "temperature", "npu_id", "0", 95), ("npu", "hbm_temp", "npu_id", "1", 95), ("npu", "memory_usage", "npu_id", "0", 101),
+    ("npu", "health_status", "npu_id", "0", 5), ("npu", "utilization", "npu_id", "0", 101), ("npu", "npu_util", "npu_id", "0", 101), ("npu", "hbm_double_ecc", "npu_id", "0", 2),
+    ("npu", "ddr_double_ecc", "npu_id", "0", 2), ("npu", "hbm_single_ecc", "npu_id", "0", 2), ("npu", "ddr_single_ecc", "npu_id", "0", 2), ("npu", "error_code", "npu_id", "0", 2),
+]
+
+
+def points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(node, component, name, value, labels, ord): metric points of nodes, some of which have no accelerators."""
+    e = table(spark, sf_dir, "events")
+    kinds = spark.createDataFrame([(k, *p) for k, p in enumerate(POINTS)], "k long, component string, name string, label string, label_value string, m int")
+    rows = e.withColumn("k", F.col("event_id") % len(POINTS)).join(F.broadcast(kinds), "k")
+    rows = rows.where("not (user_id % 3 = 0 and component in ('gpu', 'npu')) and not (user_id % 3 = 1 and component = 'gpu')")
+    labels = F.when(F.col("label") != "", F.create_map("label", "label_value")).otherwise(F.create_map().cast("map<string,string>"))
+    return rows.select(F.col("user_id").alias("node"), "component", "name", (F.floor("value") % F.col("m")).cast("double").alias("value"), labels.alias("labels"), F.col("event_id").alias("ord"), seconds("ts").alias("ts_s"))
+
+
+POINTS_SQL = (
+    "kinds as (select * from (values "
+    + ", ".join(f"({k}, '{c}', '{n}', '{a}', '{v}', {m})" for k, (c, n, a, v, m) in enumerate(POINTS))
+    + f""") as t(k, component, name, label, label_value, m)),
+points as (select user_id as node, component, name, cast(cast(floor(value) as bigint) % m as double) as value, label, label_value, event_id as ord, cast(floor(epoch(ts)) as bigint) as ts_s
+    from events join kinds on k = event_id % {len(POINTS)} where not (user_id % 3 = 0 and component in ('gpu', 'npu')) and not (user_id % 3 = 1 and component = 'gpu'))"""
+)
+
+#: Probes of a device: name, label and the texts that it takes in turn.
+PROBES = [("card_drop", "", ["-"]), ("health_status", "status", ["OK", "Warning", "Alarm", "Critical"]), ("error_code", "error_codes", ["", "0x1, 0x40F84E00", "0x2"]), ("hbm_double_ecc", "", ["-"]),
+          ("ddr_double_ecc", "", ["-"]), ("roce_link_status", "status", ["up", "down", "up"]), ("roce_link_health", "roce_link", ["Up", "Down", "up", "up"]), ("driver_health", "", ["-"])]
+
+
+def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(host, npu, batch, name, value, labels, ord): device probes by day."""
+    e = table(spark, sf_dir, "events")
+    kinds = spark.createDataFrame([(k, *p) for k, p in enumerate(PROBES)], "k long, name string, label string, texts array<string>")
+    rows = e.withColumn("k", F.col("event_id") % len(PROBES)).join(F.broadcast(kinds), "k")
+    text = F.get("texts", (F.floor("value") % F.size("texts")).cast("int"))
+    labels = F.when(F.col("label") != "", F.create_map("label", text)).otherwise(F.create_map().cast("map<string,string>"))
+    value = F.when(F.col("name") == "card_drop", (F.floor("value") % 10 == 0).cast("double")).otherwise((F.floor("value") % 2).cast("double"))
+    return rows.select((F.col("user_id") % 4).cast("int").alias("host"), (F.col("user_id") % 16).cast("int").alias("npu"), F.floor(seconds("ts") / 86400).cast("bigint").alias("batch"), "name", value.alias("value"), labels.alias("labels"), F.col("event_id").alias("ord"))
+
+
+_TEXTS = "case k " + " ".join(f"when {k} then ({list(texts)!r})[1 + cast(floor(value) as bigint) % {len(texts)}]" for k, (_, _, texts) in enumerate(PROBES)) + " end"
+PROBES_SQL = (
+    "probe_kinds as (select * from (values " + ", ".join(f"({k}, '{n}', '{lab}')" for k, (n, lab, _) in enumerate(PROBES)) + f""") as t(k, name, label)),
+probes as (select cast(user_id % 4 as int) as host, cast(user_id % 16 as int) as npu, cast(floor(epoch(ts)) as bigint) // 86400 as batch, name, label, {_TEXTS} as text,
+    case when name = 'card_drop' then (cast(floor(value) as bigint) % 10 = 0)::int::double else (cast(floor(value) as bigint) % 2)::double end as value, event_id as ord
+    from events join probe_kinds on k = event_id % {len(PROBES)})"""
+)
