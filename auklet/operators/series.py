@@ -117,7 +117,8 @@ def plain_number(v: Column) -> Column:
     mantissa, power = F.regexp_extract(digits, r"^-?([\d.]+)E?", 1), F.regexp_extract(digits, r"E(-?\d+)$", 1).try_cast("int")
     figures = F.regexp_replace(F.regexp_replace(mantissa, r"\.0$", ""), r"\.", "")
     small = F.concat(F.when(v < 0, "-").otherwise(""), F.lit("0."), F.repeat(F.lit("0"), -power - 1), figures)
-    large = F.concat(F.when(v < 0, "-").otherwise(""), F.rpad(figures, power + 1, "0"))
+    rest = figures.substr(power + 2, F.length(figures))
+    large = F.concat(F.when(v < 0, "-").otherwise(""), F.rpad(figures, power + 1, "0"), F.when(F.length(rest) > 0, F.concat(F.lit("."), rest)).otherwise(""))
     return F.coalesce(text, whole, F.when(power.isNull(), digits).when(power < 0, small).otherwise(large))
 
 
