@@ -43,7 +43,7 @@ QUERIES = {
     "a3_counter_delta": lambda s, d: A.counter_delta(kpi(s, d).where("metric = 'roce_tx_err_pkt'"), ["card"], ["ts_s", "ord"]),
     "a4_a5_a6_a7_baselines": lambda s, d: rounded(A.baselines(split(s, d).where("not detect"), ["card", "metric"])),
     "a8_trend": lambda s, d: rounded(A.trend(split(s, d), ["card", "metric"], "bucket", "value").withColumn("slope", F.col("slope") * DAY), 4),
-    "a9_against_peers": lambda s, d: rounded(A.against_peers(split(s, d).where("detect"), "metric", "card")),
+    "a9_against_peers": lambda s, d: rounded(A.against_peers(split(s, d).where("detect"), "metric", "card"), 9),
     "a10_mean_of_valid": lambda s, d: kpi(s, d).groupBy("card").agg(A.mean_of_valid(F.col("value") - 20).alias("mean")),
     "a11_trimmed_pair": lambda s, d: A.trimmed_pair(table(s, d, "lineitem").withColumns({"duration": F.col("l_extendedprice"), "cnt": F.col("l_quantity"), "ord": F.col("l_orderkey") * 10 + F.col("l_linenumber")}), ["l_suppkey"], "duration", "cnt", "ord"),
     "a12_interval_union": lambda s, d: A.union_length(spans(s, d), ["rank"]),
@@ -143,7 +143,7 @@ SQL = {
     "a9_against_peers": _with(
         *_BASE,
         "o as (select metric, card, sum(value) as s, count(value) as n from split where detect group by 1, 2)",
-        tail="select metric, card, round(s / n, 6) as own_mean, round((sum(s) over w - s) / nullif(sum(n) over w - n, 0), 6) as peer_mean from o window w as (partition by metric)",
+        tail="select metric, card, round(s / n, 9) as own_mean, round((sum(s) over w - s) / nullif(sum(n) over w - n, 0), 9) as peer_mean from o window w as (partition by metric)",
     ),
     "a10_mean_of_valid": _with(KPI_SQL, tail="select card, cast(round(avg(value - 20) filter (value - 20 >= 0)) as bigint) as mean from kpi group by 1"),
     "a11_trimmed_pair": """with r as (select l_suppkey, l_extendedprice as duration, l_quantity as cnt, count(*) over (partition by l_suppkey) as n,
