@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from auklet.functions import scalars as X
+from auklet.operators import gauges as G
 from auklet.operators import windows as W
 from auklet.plans import views as V
 from auklet.plans.kpi_queries import rounded
@@ -34,7 +35,35 @@ def figures(s, d):
     return rows.select("rank", F.lit("took").alias("metric"), "value")
 
 
+MEMORY = ["MemTotal", "MemAvailable", "MemFree", "Cached", "SwapTotal", "SwapFree", "Buffers"]
+COMMANDS = {"scale_down": {"ranks": ("int", True), "timeout": ("double", False)}, "retry": {"timeout": ("double", True)}}
+
+
+def memory_info(s, d):
+    """Memory keys of orders; some lack one that usage needs."""
+    key = F.element_at(F.array(*[F.lit(k) for k in MEMORY]), F.col("l_linenumber"))
+    return V.table(s, d, "lineitem").select(F.col("l_orderkey").alias("batch"), key.alias("key"), (F.floor("l_extendedprice").cast("bigint") * F.when(F.col("l_linenumber").isin(1, 5), 10).otherwise(1)).alias("kb"))
+
+
+def labelled(df, *keys):
+    return df.select(*keys, "name", F.round("value", 6).alias("value"), F.array_join(F.array_sort(F.map_values("labels")), ",").alias("label"))
+
+
+def commands(s, d):
+    e = V.table(s, d, "events")
+    params = F.when(F.col("event_id") % 3 == 0, F.create_map(F.lit("ranks"), F.lit("4"))).when(F.col("event_id") % 3 == 1, F.create_map(F.lit("ranks"), F.lit("x"), F.lit("timeout"), F.lit("1.5"))).otherwise(F.create_map(F.lit("timeout"), F.lit("2")))
+    return e.select(F.col("event_id").alias("id"), F.when(F.col("event_id") % 2 == 0, "scale_down").otherwise(F.when(F.col("event_id") % 5 == 0, "jump").otherwise("retry")).alias("instruction"), params.alias("params"))
+
+
 QUERIES = {
+    "x15_memory_points": lambda s, d: labelled(G.memory(memory_info(s, d), ["batch"]), "batch"),
+    "m4_disk_space": lambda s, d: labelled(G.disk_space(V.table(s, d, "orders").select(F.col("o_orderkey").alias("batch"), F.lit("sda").alias("device"), F.lit("/").alias("mount"), F.lit("ext4").alias("fstype"), F.floor("o_totalprice").cast("bigint").alias("total"), (F.floor("o_totalprice") * (F.col("o_custkey") % 10) / 10).cast("bigint").alias("used"), F.col("o_custkey").alias("avail")), ["batch"]), "batch"),
+    "m6_gpu_points": lambda s, d: labelled(G.gpus(V.table(s, d, "part").select(F.col("p_partkey").alias("batch"), (F.col("p_partkey") % 8).cast("string").alias("gpu"), (F.col("p_retailprice") / 7).alias("mem_used"), F.col("p_retailprice").alias("mem_total"), *[F.col("p_size").cast("double").alias(c) for c in ("utilization", "temperature", "power", "fan_speed", "ecc_errors", "clock")]), ["batch"]), "batch"),
+    "a22_frequencies": lambda s, d: labelled(G.frequencies(V.table(s, d, "lineitem").select(F.col("l_orderkey").alias("batch"), F.col("l_linenumber").alias("core"), F.floor("l_extendedprice").cast("bigint").alias("khz")), ["batch"]), "batch"),
+    "x16_topology": lambda s, d: labelled(G.topology(V.table(s, d, "part").select(F.col("p_partkey").alias("batch"), (F.col("p_size") * 4).alias("cores"), F.lit(2).alias("sockets"), (F.col("p_size") * 2).alias("cores_per_socket"), (F.col("p_partkey") % 3).cast("int").alias("dies"), (F.col("p_partkey") % 4).cast("int").alias("nodes")), ["batch"]), "batch"),
+    "x6_trend_text": lambda s, d: V.table(s, d, "events").select("event_id", G.trend_text(F.col("event_type"), (F.col("value") - 50) / F.pow(F.lit(10.0), F.col("event_id") % 8)).alias("text")),
+    "e12_parameter_faults": lambda s, d: G.parameter_faults(commands(s, d), COMMANDS).select("id", F.array_join("faults", ";").alias("faults")),
+    "w21_rolling_view": lambda s, d: G.rolling_view(W.history(V.states(s, d), ["npu"], ["batch"]), V.states(s, d).where("batch % 5 = 0 and event_type = 'error'"), "npu").select("npu", F.size("history").alias("n")),
     "a23_log_counts": lambda s, d: probes.log_counts(lines(s, d), WORDS, ["batch"]),
     "s6_cpu_times": lambda s, d: probes.cpu_times(stat_lines(s, d)).drop("source"),
     "s1_json_values": lambda s, d: V.table(s, d, "events").select("event_id", F.from_json("props", "map<string,string>")["k"].try_cast("double").alias("k")),
@@ -49,7 +78,40 @@ QUERIES = {
 
 _LOW = "lower(value)"
 _TEXT = "case when v >= 1000000000 then printf('%.2fs', v / 1e9) when v >= 1000000 then printf('%.2fms', v / 1e6) when v >= 1000 then printf('%.2fus', v / 1e3) else printf('%.2fns', v::double) end"
+_USED = "(total - available)"
+_KB = "(cast(floor(l_extendedprice) as bigint) * case when l_linenumber in (1, 5) then 10 else 1 end)"
+_MEM = (
+    "with m as (select l_orderkey as batch, "
+    + ", ".join(f"max({_KB}) filter (l_linenumber = {k + 1}) as {c}" for k, c in enumerate(("total", "available", "free", "cached", "stotal", "sfree", "buffers")))
+    + " from lineitem group by 1), u as (select *, total - available as used, stotal - sfree as sused from m) "
+)
+_PCT = "cast(trunc(case when {1} > 0 then 100.0 * {0} / {1} else 0.0 end * 100 + 0.5) as bigint) / 100.0"
+
+
+def _union(base: str, rows: list[tuple[str, str, str]], where: str = "true") -> str:
+    return " union all ".join(f"select batch, '{n}' as name, round(({v})::double, 6) as value, {lab} as label from {base} where {where} and ({v}) is not null" for n, v, lab in rows)
+
+
+_GPU = [("memory_usage", _PCT.format("(p_retailprice / 7)", "p_retailprice"), "g"), ("memory_detail", "cast(trunc(p_retailprice / 7 * 100 + 0.5) as bigint) / 100.0", "g || ',used'"), ("memory_detail", "cast(trunc(p_retailprice * 100 + 0.5) as bigint) / 100.0", "g || ',total'")]
+_GPU += [(n, "p_size", "g") for n in ("utilization", "temperature", "power_draw", "fan_speed", "ecc_errors", "clock_frequency")]
 SQL = {
+    "x15_memory_points": _MEM
+    + _union("u", [("usage", _PCT.format("used", "total"), "''"), *[("usage_detail", f"{c} / 1024", f"'{c}'") for c in ("total", "used", "available", "free", "buffers", "cached")]], "total is not null and available is not null")
+    + " union all "
+    + _union("u", [("swap_usage", _PCT.format("sused", "stotal"), "''"), *[("swap_detail", f"{c} / 1024", f"'{n}'") for n, c in (("total", "stotal"), ("used", "sused"), ("free", "sfree"))]], "stotal is not null and sfree is not null"),
+    "m4_disk_space": "with u as (select o_orderkey as batch, cast(floor(o_totalprice) as bigint) as total, cast(trunc(floor(o_totalprice) * (o_custkey % 10) / 10) as bigint) as used, o_custkey as avail from orders) "
+    + _union("u", [("space_usage", _PCT.format("used", "total"), "'/,ext4,sda'"), *[("space_detail", f"{c} / 1048576", f"'/,{'available,' if c == 'avail' else ''}ext4,sda{'' if c == 'avail' else ',' + c}'") for c in ("total", "used", "avail")]]),
+    "m6_gpu_points": "with u as (select p_partkey as batch, (p_partkey % 8)::varchar as g, p_retailprice, p_size from part) " + _union("u", _GPU),
+    "a22_frequencies": "select l_orderkey as batch, 'frequency' as name, trunc(cast(floor(l_extendedprice) as bigint) / 1000.0 + 0.5)::double as value, l_linenumber::varchar as label from lineitem union all select l_orderkey, 'avg_freq', trunc(avg(cast(floor(l_extendedprice) as bigint)) / 1000.0 + 0.5)::double, '' from lineitem group by 1",
+    "x16_topology": "with u as (select p_partkey as batch, p_size * 4 as cores, p_size * 2 as per, greatest(1, p_partkey % 3) as d, p_partkey % 4 as n from part) "
+    + _union("u", [("numa_node_num", "n", "''"), ("core_num", "cores", "''"), ("cpu_num", "2", "''")])
+    + " union all select batch, 'die_core_num', (per // d)::double, k::varchar from u, range(3) as t(k) where k < d union all select batch, 'numa_core_num', (cores // n)::double, k::varchar from u, range(4) as t(k) where k < n",
+    "x6_trend_text": """with s as (select event_id, event_type, (value - 50) / pow(10, event_id % 8) as slope from events),
+v as (select *, case when abs(slope * 86400) >= 0.1 then slope * 86400 when abs(slope * 3600) >= 0.1 then slope * 3600 else slope * 60 end as v, case when abs(slope * 86400) >= 0.1 then 'day' when abs(slope * 3600) >= 0.1 then 'hour' else 'minute' end as unit from s)
+select event_id, event_type || case when v < 0 then ' falls by ' else ' rises by ' end || case when abs(v) < 0.01 then '~0' when abs(v) < 1 then printf('%.3f', abs(v)) when abs(v) < 100 then printf('%.2f', abs(v)) else printf('%.1f', abs(v)) end || ' per ' || unit as text from v""",
+    "e12_parameter_faults": """select event_id as id, case when event_id % 2 = 0 then case event_id % 3 when 0 then '' else 'ranks' end when event_id % 5 = 0 then 'instruction'
+    else case event_id % 3 when 0 then 'ranks;timeout' when 1 then 'ranks' else '' end end as faults from events""",
+    "w21_rolling_view": f"with {V.STATES_SQL} select npu, cast(least(60, count(*)) as int) as n from states semi join (select npu from states where batch % 5 = 0 and event_type = 'error') as x using (npu) group by npu",
     "a23_log_counts": f"with l as (select source as batch, unnest(string_split(text, chr(10))) as value from documents where text is not null) select batch, count(*) filter (regexp_matches({_LOW}, 'error|fail')) as errors, count(*) filter (regexp_matches({_LOW}, 'warn')) as warnings from l group by 1",
     "s6_cpu_times": "select l_orderkey as batch, case when l_linenumber > 1 then l_linenumber::varchar else 'total' end as core, cast(floor(l_quantity) as bigint) as user, cast(floor(l_extendedprice) as bigint) as nice, l_partkey as system, l_suppkey as idle, 0::bigint as iowait, 0::bigint as irq, 0::bigint as softirq, 0::bigint as steal, 0::bigint as guest, 0::bigint as guest_nice from lineitem",
     "s1_json_values": "select event_id, try_cast(json_extract_string(props, '$.k') as double) as k from events",
