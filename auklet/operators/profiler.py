@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auklet.operators.aggregates import smoothed
+from auklet.session import settled
 
 # Names in the string tables; domains by priority and by exclusion
 KERNEL, DATALOADER = "KERNEL_AICORE", "dataloader"
@@ -228,7 +229,7 @@ def slow_communication(groups: DataFrame, metrics: DataFrame, threshold: float =
 
 def findings(groups: DataFrame, metrics: DataFrame, hosts: DataFrame) -> DataFrame:
     """(category, key, domain, score) of everything found; key is the rank, or a group's ranks joined by commas."""
-    metrics = metrics.persist()  # a few figures for each rank, read by every detector; a lost executor's part is computed again
+    metrics = settled(metrics)  # a few figures for each rank, read by every detector
     present = groups_present(groups, metrics)
     single = lambda df, c: df.select(F.lit(c).alias("category"), F.col("rank").cast("string").alias("key"), F.lit(None).cast("string").alias("domain"), "score")
     comm = slow_communication(present, metrics).select(F.lit("comm").alias("category"), F.concat_ws(",", F.col("ranks").cast("array<string>")).alias("key"), "domain", "score")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "auklet", master: str | None = None, **conf: str) -> SparkSession:
@@ -20,3 +20,11 @@ def session(app: str = "auklet", master: str | None = None, **conf: str) -> Spar
         "spark.ui.showConsoleProgress": "false",
     } | {k: str(v) for k, v in conf.items()}
     return builder.config(map=settings).getOrCreate()
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df, computed once for several readers: a checkpoint where a shared folder is set, which also ends the plan; otherwise kept in memory and on disk.
+
+    Either survives lost executors: a checkpoint is in the shared folder, kept partitions are computed again.
+    """
+    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df.persist()
