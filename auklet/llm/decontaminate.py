@@ -80,10 +80,20 @@ def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+#: Rows that are unpacked at a time.
+PIECE = 512
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, PIECE):
+            yield batch.slice(at, PIECE)
+
+
 def _scan(items, size: int, first: bool, fields: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(items.value, size)
-        for batch in batches:
+        for batch in _pieces(batches):
             texts = batch["text_"].to_pylist()
             before = [(0, [], [])] * len(texts) if first else list(zip(batch["n_words"].to_pylist(), batch["ranges"].to_pylist(), batch["items"].to_pylist(), strict=True))
             counts, ranges, found = [], [], []
@@ -132,12 +142,15 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = 13,
     kind = rows.schema["row_"].dataType.simpleString()
     state = f"row_ {kind}, text_ string, n_words long, ranges {_STATE}, items array<string>"
     fields = pa.schema([("ranges", pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))), ("items", pa.list_(pa.string()))])
+    out = f"row_ {kind}, n_words long, n_hit long, n_items long, items_sha256 string, items array<string>, spans {_STATE}" + ", text_ string" * keep_text
+    report = _reported(keep_text)
     for k in range(batches):
         own = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(batches)) == k)
         held = documents.sparkSession.sparkContext.broadcast([(r.item, r.text) for r in own.collect()])  # max_words words or so
-        rows = rows.mapInArrow(_scan(held, window, k == 0, fields), state)
-    out = f"row_ {kind}, n_words long, n_hit long, n_items long, items_sha256 string, items array<string>, spans {_STATE}" + ", text_ string" * keep_text
-    return rows.mapInArrow(_reported(keep_text), out).withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words")))
+        scan = _scan(held, window, k == 0, fields)
+        last = k == batches - 1  # the last scan reports in the same worker
+        rows = rows.mapInArrow((lambda found, scan=scan: report(scan(found))) if last else scan, out if last else state)
+    return rows.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words")))
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
