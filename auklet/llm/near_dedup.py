@@ -37,6 +37,8 @@ SLACK = 0.2
 BROADCAST_IDS = 4_000_000
 #: Members of a region that one block holds.
 BLOCK = 512
+#: Rows whose sets are held at a time while they are signed.
+PIECE = 1024
 #: A region of more members than this also uses its deeper regions' heads.
 SHALLOW = 8
 
@@ -72,7 +74,7 @@ def minima(sets: list[np.ndarray]) -> np.ndarray:
 def _signed(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in batches:
+        for batch in (b.slice(at, PIECE) for b in batches for at in range(0, b.num_rows, PIECE)):
             sets = [shingle_set(t, size, hashes) for t in batch["text"].to_pylist()]
             full = [k for k, s in enumerate(sets) if len(s)]
             rows = iter(minima([sets[k] for k in full])) if full else iter(())
