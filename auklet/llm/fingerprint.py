@@ -1,9 +1,13 @@
 """Document fingerprints by consistent weighted sampling: two agree in a share of places that estimates their generalised Jaccard similarity.
 
 A text's weighted terms are its five-word runs with their counts (a shorter text is one run). For each of SAMPLES places and
-each term, r and c are gamma(2, 1) draws and b a uniform one, fixed by the term; a term of weight w has t = floor(ln w / r +
-b) and ln a = ln c - r (t - b) - r, and the place keeps the term and t of the least a. The draws of a term are a row of a
-fixed table that its hash picks, so they cost a look-up; ln a of weight 1, the common case, is such a row by itself.
+each term, r and c are gamma(2, 1) draws and b a uniform one, fixed by the term and the place alone; a term of weight w has
+t = floor(ln w / r + b) and ln a = ln c - r (t - b) - r, and the place keeps the term and t of the least a.
+
+The draws come from three exponential ones, each a hash of term and place: x, y and z give c = x + y, r = z + ln(c / x) and
+b = z / r. This is the same distribution: r b and r (1 - b) are independent exponential draws, and so are the parts that
+exp(-r (1 - b)), a uniform draw, splits c into. Then ln a = ln x - r t, and of weight 1, the common case, t is 0 and the least
+a is the least hash: only repeated terms need logarithms.
 """
 
 from __future__ import annotations
@@ -20,46 +24,61 @@ from pyspark.sql import functions as F
 from auklet.llm.common import WordHashes, lower_words, mixed, shingles
 
 SAMPLES = 128
-#: log2 of the rows of the table of draws.
-ROWS = 14
+#: Terms of weight 1, and repeated ones, whose draws are in memory at once.
+ONES, MANY = 1024, 256
+
+
+def _exponential(hashes: np.ndarray) -> np.ndarray:
+    """Exponential draws, ascending with the hashes."""
+    return -np.log1p(-((hashes >> np.uint64(12)).astype(float) + 0.5) * 2.0**-52)
 
 
 class Sampler:
     def __init__(self, size: int = 5, seed: int = 23):
-        rng = np.random.default_rng(seed)
-        shape = (1 << ROWS, SAMPLES)
         self.size, self.hashes = size, WordHashes()
-        self.r, self.c = (-np.log(rng.random(shape, np.float32) * rng.random(shape, np.float32) + np.float32(1e-30)) for _ in range(2))
-        self.ln_c, self.b = np.log(self.c), rng.random(shape, np.float32)
-        self.one = self.ln_c + self.r * self.b - self.r  # t = 0
-        del self.c
         self.place = mixed(np.arange(1, SAMPLES + 1, dtype=np.uint64))
+        self.odd = (mixed(self.place + np.uint64(seed)) | np.uint64(1))[:, None]
+
+    def _hashes(self, terms: np.ndarray) -> np.ndarray:
+        """A hash of each place (rows) and term."""
+        x = terms * self.odd
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0xD6E8FEB86659FD93)
+        return x
+
+    def _repeated(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """ln a and t of each place (rows) and term."""
+        hashes = self._hashes(terms)
+        x, y, z = _exponential(hashes), _exponential(mixed(hashes + np.uint64(1))), _exponential(mixed(hashes + np.uint64(2)))
+        r = z + np.log1p(y / x)
+        t = np.floor(np.log(counts) / r + z / r)
+        return np.log(x) - r * t, t.astype(np.uint64)
 
     def sample(self, text: str | None) -> np.ndarray:
         """16 bits for each place; of a text without words, those of a term that no text has."""
         terms, counts = np.unique(shingles(self.hashes.of(lower_words(text)), self.size), return_counts=True)
         if not len(terms):
             terms, counts = np.zeros(1, np.uint64), np.ones(1, int)
-        best, at, kept = np.full(SAMPLES, np.inf, np.float32), np.zeros(SAMPLES, np.int64), np.zeros(SAMPLES, np.int64)
-        for lo in range(0, len(terms), 4096):  # long texts in bounded pieces
-            row = (terms[lo : lo + 4096] >> np.uint64(64 - ROWS)).astype(np.int64)
-            ln_a = self.one[row]
-            many = np.flatnonzero(counts[lo : lo + 4096] > 1)
-            t = np.zeros((len(many), SAMPLES), np.int64)
-            if len(many):
-                r, b = self.r[row[many]], self.b[row[many]]
-                t = np.floor(np.log(counts[lo + many])[:, None] / r + b).astype(np.int64)
-                ln_a[many] = self.ln_c[row[many]] - r * (t - b) - r
-            first = ln_a.argmin(axis=0)
-            value = ln_a[first, np.arange(SAMPLES)]
+        places = np.arange(SAMPLES)
+        best, kept, steps = np.full(SAMPLES, np.inf), np.zeros(SAMPLES, np.uint64), np.zeros(SAMPLES, np.uint64)
+        once = counts == 1
+        ones, many, counts = terms[once], terms[~once], counts[~once]
+        least = np.full(SAMPLES, np.iinfo(np.uint64).max)
+        for lo in range(0, len(ones), ONES):  # long texts in bounded pieces
+            hashes = self._hashes(ones[lo : lo + ONES])
+            first = hashes.argmin(axis=1)
+            value = hashes[places, first]
+            better = value < least
+            least[better], kept[better] = value[better], ones[first[better] + lo]
+        if len(ones):
+            best = np.log(_exponential(least))
+        for lo in range(0, len(many), MANY):
+            ln_a, t = self._repeated(many[lo : lo + MANY], counts[lo : lo + MANY])
+            first = ln_a.argmin(axis=1)
+            value = ln_a[places, first]
             better = value < best
-            best[better], at[better] = value[better], first[better] + lo
-            steps = np.zeros(SAMPLES, np.int64)
-            if len(many):
-                where = np.minimum(np.searchsorted(many, first), len(many) - 1)
-                steps = np.where(many[where] == first, t[where, np.arange(SAMPLES)], 0)
-            kept[better] = steps[better]
-        return (mixed(terms[at] ^ mixed(kept.astype(np.uint64) + self.place)) >> np.uint64(48)).astype(np.uint16)
+            best[better], kept[better], steps[better] = value[better], many[first[better] + lo], t[places, first][better]
+        return (mixed(kept ^ mixed(steps + self.place)) >> np.uint64(48)).astype(np.uint16)
 
 
 def likeness(x: np.ndarray, y: np.ndarray) -> float:

@@ -28,6 +28,17 @@ def test_collisions_estimate_generalised_jaccard():
     assert abs(np.mean(off)) < 0.015 and np.std(off) < 1.3 * 0.5 / SAMPLES**0.5
 
 
+def test_long_texts_with_repeats_are_unbiased():
+    """A tenth of the terms shared and repeated, the rest private and single: draws that terms share would favour the repeated ones."""
+    for n, seeds in ((20_000, 6), (60_000, 4), (200_000, 3)):
+        for count in (2, 5):
+            shared = [f"s{k}" for k in range(n // 10)] * count
+            a, b = (" ".join(shared + [f"{own}{k}" for k in range(n - n // 10)]) for own in "ab")
+            want = len(shared) / (len(shared) + 2 * (n - n // 10))
+            got = [likeness(s.sample(a), s.sample(b)) for s in (Sampler(size=1, seed=k) for k in range(seeds))]
+            assert abs(np.mean(got) - want) < 3.5 * (want * (1 - want) / SAMPLES / seeds) ** 0.5, (n, count, want, got)
+
+
 def test_rows_follow_each_other(spark):
     rng = random.Random(2)
     docs = [(k * 7 % 1013, "é" * rng.randrange(3) + " ".join(rng.choice("ab cd ef gh ij kl".split()) for _ in range(rng.randrange(40)))) for k in range(900)]
