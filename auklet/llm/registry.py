@@ -61,7 +61,7 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_report(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return line_report(table(spark, sf_dir, "documents").select("doc_id", "text"), lines=True)
 
 
 def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

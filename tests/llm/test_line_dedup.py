@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from auklet.llm.line_dedup import line_report, units, without_repeats
+from auklet.llm.line_dedup import line_report, placed_units, units, without_repeats
 
 SCHEMA = "doc_id long, text string"
 
@@ -70,3 +70,39 @@ def test_edges(spark):
     got = sorted((r.doc_id or 0, r.n_spans) for r in line_report(spark.createDataFrame(docs, SCHEMA)).collect())
     assert got == [(0, 0), (0, 1), (5, 0), (5, 0), (6, 0), (7, 0), (8, 1), (9, 0)]
     assert line_report(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_whole_lines_go_by_themselves(spark):
+    """Every character of a later whole line that was a unit before is in a span, and no character that no rule takes."""
+    docs = corpus(4)
+    got = {r.doc_id: r for r in line_report(spark.createDataFrame(docs, SCHEMA).repartition(6), lines=True).collect()}
+    runs, first, short = brute(docs, 25, 3), {}, 0
+    for d, t in docs:
+        for u in placed_units(t, 3, True):
+            first.setdefault(u[3], d)
+    for d, t in docs:
+        want, seen = set(), set()
+        for a, b, _ in runs[d]:
+            want |= set(range(a, b))
+        for u in placed_units(t, 3, True):
+            if u[4] and (u[3] in seen or first[u[3]] != d):
+                short += not want.issuperset(range(u[0], u[1]))
+                want |= set(range(u[0], u[1]))
+            seen.add(u[3])
+        spans = [tuple(s) for s in got[d].spans]
+        assert {k for a, b, _ in spans for k in range(a, b)} == want and sum(b - a for a, b, _ in spans) == len(want) == got[d].n_chars - got[d].kept_chars
+    assert short > 20
+
+
+def test_lines_of_several_short_sentences(spark):
+    line = "One two three. Hi. Four five six!"
+    docs = [(1, f"Fresh words here.\n{line}\nMore of them."), (2, f"Nothing else was.\n{line.upper()}\nThat is all."), (3, f"In a line {line} it stays.")]
+    got = {r.doc_id: [tuple(s) for s in r.spans] for r in line_report(spark.createDataFrame(docs, SCHEMA), lines=True).collect()}
+    assert got == {1: [], 2: [(18, 18 + len(line), 1)], 3: []}
+
+
+def test_scripts_without_spaces(spark):
+    passage = "\u8fd9\u662f\u4e00\u4e2a\u5e38\u89c1\u7684\u6bb5\u843d\u3002\u5b83\u5728\u5f88\u591a\u6587\u4ef6\u91cc\u91cd\u590d\u51fa\u73b0\uff01\u6ca1\u6709\u4eba\u77e5\u9053\u5b83\u4ece\u54ea\u91cc\u6765\u3002"
+    docs = [(1, "\u65b0\u7684\u5f00\u5934\u3002" + passage), (2, "\u53e6\u4e00\u4e2a\u5f00\u5934\u3002" + passage + "\u7ed3\u5c3e\u4e0d\u540c\u3002")]
+    got = {r.doc_id: [tuple(s) for s in r.spans] for r in line_report(spark.createDataFrame(docs, SCHEMA)).collect()}
+    assert got == {1: [], 2: [(6, 6 + len(passage), 1)]}
