@@ -31,7 +31,7 @@ from auklet.llm.sample import fold, labelled_sample
 BITS = 18
 #: Most rows of each class that a fit sees.
 PER_CLASS = 2000
-#: Most lines with, and without, a toxic token that the field is fitted to, and most words of such a line.
+#: Most lines with, and without, a toxic token that the field is fitted to, and most words of such a line; longer ones are cut.
 TOXIC_LINES, PLAIN_LINES, LINE_WORDS = 5000, 10_000, 300
 #: Parts of the lines that take turns in the gradient steps.
 BATCHES = 12
@@ -205,7 +205,13 @@ def _part(lines: list[list[bytes]], tags: list[list[bool]], cache: dict) -> tupl
     return token, index, inner, y, begin, Chains(lengths)
 
 
-def fit(texts: list[str], ys: list[int], rounds: int = 5, seed: int = 3) -> bytes:
+def pieces(line: list, size: int) -> list[list]:
+    """The line, cut into even pieces of `size` tokens at most."""
+    each = -(-len(line) // -(-len(line) // size))
+    return [line[k : k + each] for k in range(0, len(line), each)]
+
+
+def fit(texts: list[str], ys: list[int], rounds: int = 5, seed: int = 3, toxic_lines: int = TOXIC_LINES, plain_lines: int = PLAIN_LINES, line_words: int = LINE_WORDS) -> bytes:
     rng = np.random.default_rng(seed)
     model = {"w": np.zeros(1 << BITS, np.float32), "trans": np.zeros((2, 2)), "start": 0.0, "doc": np.array([-4.0 + 8.0 * (min(ys, default=0)), 0, 0, 0])}
     if len(set(ys)) < 2:
@@ -222,10 +228,10 @@ def fit(texts: list[str], ys: list[int], rounds: int = 5, seed: int = 3) -> byte
         own = [[bool(y and marked[w]) for w in line] for line in doc]
         if y and not any(map(any, own)):
             continue  # toxic, but by no form that is known: no token of it is labelled
-        for line, t in zip(doc, own, strict=True):
-            if len(line) <= LINE_WORDS:
-                (toxic if any(t) else plain).append((line, t))
-    chosen = [toxic[k] for k in rng.permutation(len(toxic))[:TOXIC_LINES]] + [plain[k] for k in rng.permutation(len(plain))[:PLAIN_LINES]]
+        for line, tag in zip(doc, own, strict=True):
+            for x, t in zip(pieces(line, line_words), pieces(tag, line_words), strict=True):
+                (toxic if any(t) else plain).append((x, t))
+    chosen = [toxic[k] for k in rng.permutation(len(toxic))[:toxic_lines]] + [plain[k] for k in rng.permutation(len(plain))[:plain_lines]]
     if not toxic:
         return pickle.dumps(model)
     lines, tags = [x[0] for x in chosen], [x[1] for x in chosen]
@@ -237,7 +243,7 @@ def fit(texts: list[str], ys: list[int], rounds: int = 5, seed: int = 3) -> byte
         model |= {"w": w.astype(np.float32), "trans": trans, "start": start}
         tagger = Tagger(pickle.dumps(model))
         tops = np.array([p.max() for k in range(0, len(plain), 2000) for p in tagger.each([[line] for line, _ in plain[k : k + 2000]])])
-        hard = [plain[k] for k in np.argsort(-tops, kind="stable")[:PLAIN_LINES] if tops[k] > 0.05] if again < 2 else []
+        hard = [plain[k] for k in np.argsort(-tops, kind="stable")[:plain_lines] if tops[k] > 0.05] if again < 2 else []
         lines, tags = lines + [x[0] for x in hard], tags + [x[1] for x in hard]  # lines that look toxic and aren't are shown again
     x = np.array([document_features(p) for k in range(0, len(aside), 256) for p in tagger.each(aside[k : k + 256])])
     model["doc"] = _logistic(x, np.array(aside_ys, float))
@@ -261,15 +267,21 @@ def _steps(lines: list, tags: list, w: np.ndarray, trans: np.ndarray, start: flo
     return w, trans, start
 
 
-def _fitted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    rows = pd.concat([*frames, pd.DataFrame({"text": [], "y": [], "h_": []})]).sort_values(["h_", "text"])
-    yield pd.DataFrame({"model": [fit(rows["text"].tolist(), [int(y) for y in rows["y"]])]})
+def _fitted(**bounds: int):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = pd.concat([*frames, pd.DataFrame({"text": [], "y": [], "h_": []})]).sort_values(["h_", "text"])
+        yield pd.DataFrame({"model": [fit(rows["text"].tolist(), [int(y) for y in rows["y"]], **bounds)]})
+
+    return run
+
 
+def train(documents: DataFrame, labels: DataFrame, label: str = "toxic", parts: int = 4, held: int = 2, per_class: int = PER_CLASS, **bounds: int) -> bytes:
+    """The model's bytes, fitted to a bounded sample of labelled rows whose fold isn't held out.
 
-def train(documents: DataFrame, labels: DataFrame, label: str = "toxic", parts: int = 4, held: int = 2, per_class: int = PER_CLASS) -> bytes:
-    """The model's bytes, fitted to a bounded sample of labelled rows whose fold isn't held out."""
+    bounds are fit()'s toxic_lines, plain_lines and line_words.
+    """
     sample = labelled_sample(documents, labels, label, parts, held, per_class).repartition(1)
-    rows = stored(sample.mapInPandas(_fitted, "model binary"), "toxicity-model").collect()
+    rows = stored(sample.mapInPandas(_fitted(**bounds), "model binary"), "toxicity-model").collect()
     return bytes(rows[0].model) if rows else fit([], [])
 
 
@@ -305,12 +317,12 @@ def tagged(documents: DataFrame, model: bytes, at_least: float = 0.3) -> DataFra
     return rows.mapInArrow(_tagged(shared), out).withColumn("predicted", (F.col("score") >= at_least).cast("int"))
 
 
-def toxicity(documents: DataFrame, labels: DataFrame, parts: int = 4, held: int = 2, per_class: int = PER_CLASS) -> DataFrame:
+def toxicity(documents: DataFrame, labels: DataFrame, parts: int = 4, held: int = 2, per_class: int = PER_CLASS, **bounds: int) -> DataFrame:
     """(doc_id, held_out, score, predicted, spans) of every row, by a model fitted on labels outside the held-out fold.
 
     Without usable labels of both classes the score is the same for all rows. An empty table gives an empty result.
     """
-    rows = tagged(documents.select("doc_id", "text"), train(documents, labels, parts=parts, held=held, per_class=per_class))
+    rows = tagged(documents.select("doc_id", "text"), train(documents, labels, parts=parts, held=held, per_class=per_class, **bounds))
     return rows.select("row_.doc_id", (fold(F.col("row_.doc_id"), parts) == held).alias("held_out"), "score", "predicted", "spans")
 
 

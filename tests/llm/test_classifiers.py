@@ -101,3 +101,17 @@ def test_clean_rows_keep_columns(spark):
     assert kept.columns == d.columns
     ids, toxic = {r.doc_id for r in kept.collect()}, {d for d, _, x in labels if x}
     assert len(ids & toxic) < 0.1 * len(toxic) and len(ids - toxic) > 0.9 * (400 - len(toxic))
+
+
+def test_texts_of_one_long_line():
+    rng = random.Random(6)
+    plain = ["".join(rng.choice("aeioulnrst") for _ in range(rng.randrange(2, 8))) for _ in range(400)]
+    ys = [int(rng.random() < 0.3) for _ in range(400)]
+    texts = [[rng.choice(plain) for _ in range(rng.randrange(301, 700))] for _ in ys]
+    for text, y in zip(texts, ys, strict=True):
+        for _ in range(3 * y):
+            text.insert(rng.randrange(len(text) + 1), rng.choice(RUDE))
+    texts = [" ".join(text) for text in texts]
+    scores, _ = t.Tagger(t.fit(texts[:300], ys[:300])).score(texts[300:])
+    assert np.mean((scores >= 0.3) == np.array(ys[300:])) > 0.95
+    assert t.pieces(list(range(301)), 300) == [list(range(151)), list(range(151, 301))] and t.pieces([1, 2], 2) == [[1, 2]]
