@@ -1,9 +1,9 @@
 """Near-duplicate documents: MinHash signatures in an LSH forest, links confirmed on full shingle sets.
 
 Every distinct shingle set is one class (exact copies meet there, by an aggregate that combines before the shuffle). A
-class's signature of TREES x DEPTH minima is read in TREES orders. In each order, classes that agree on the first DEPTH
-minima form a region; they are the neighbours of longest common prefix. Small regions are compared at that depth, larger
-ones go another DEPTH minima down first, so dense regions are cut more finely.
+class's signature of TREES x DEPTH minima is read in TREES orders, each from another band of DEPTH minima on. In each order,
+classes that agree on the first DEPTH minima form a region. This is banding, not an LSH forest: nothing is sorted and no depth
+adapts. In regions of more than SHALLOW members, classes also meet the heads of parts that agree on another DEPTH minima.
 
 1. Each class meets the head (smallest id) of its regions; of those whose sketch looks alike, the likest is confirmed on
    the full sets. Groups of near copies, however large, become components by one comparison for each member.
