@@ -8,6 +8,7 @@ import uuid
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Words are separated by these code points in the contracts that count words by white space.
 SPACE_WORDS = r"[^\x20\x09-\x0D]+"
@@ -36,6 +37,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def text_key(text) -> F.Column:
+    """128 bits that stand for a text, null apart from every text; cheap in the JVM, so rows can be told apart and joined by it."""
+    return F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b"))
+
+
 class WordHashes(dict):
     """64-bit hash of each word, remembered; forgotten when there are too many, so memory stays bounded."""
 

@@ -1,19 +1,26 @@
 """Near-duplicate documents: MinHash signatures in an LSH forest, links confirmed on full shingle sets.
 
-Every distinct shingle set is one class (exact copies meet there, by an aggregate that combines before the shuffle). A
-class's signature of TREES x DEPTH minima is read in TREES orders, each from another band of DEPTH minima on. In each order,
-classes that agree on the first DEPTH minima form a region. This is banding, not an LSH forest: nothing is sorted and no depth
-adapts. In regions of more than SHALLOW members, classes also meet the heads of parts that agree on another DEPTH minima.
-
-1. Each class meets the head (smallest id) of its regions; of those whose sketch looks alike, the likest is confirmed on
-   the full sets. Groups of near copies, however large, become components by one comparison for each member.
-2. Regions whose members are still in several components are looked at by sketch, in blocks of bounded size over many
-   tasks. Each component's likest outside partner is confirmed, which joins nearly all that belong together.
-3. In regions that are in several components even then, every pair of different components with like sketches is
-   confirmed on full sets inside its block, once, in the first order in which both share a region; only links leave the
-   block. So no pair is left out because its region is large, and none of a group's many pairs is shuffled.
-
-A link at similarity s is missed with probability (1 - s^DEPTH)^TREES: 3e-6 at 0.8, less above.
+Every distinct shingle set is one class with an id of its own (exact copies meet there, by an aggregate that combines before
+the shuffle). A class's signature is read in several orders of its minima. In each order all classes are sorted by their
+minima in that order: those that agree on the first few form a region, and in it the row before has the longest common
+prefix. LEVELS gives the least depth and the number of orders: regions that stay dense and undecided at one level are
+sorted again, deeper and in more orders, at the next.
+
+At each level
+1. a class meets its neighbour of longest common prefix and the head (smallest id) of each of its regions; of those whose
+   sketch looks alike, the likest is confirmed on the full sets. So a group of near copies, however large, becomes one
+   component by one comparison for each member, before any pair is made.
+2. Regions whose members are still in several components are looked at in blocks. A region of BLOCK members at most is one
+   block. In a larger one, the members outside its most common component meet each other in one block, and the members
+   of that component elsewhere: a component's members are dealt once, over all orders, to blocks of BLOCK, and each outsider
+   visits these blocks. If there are more outsiders than a block holds, they go one level deeper; at the last
+   level they are compared in pairs of blocks, so nothing is left out because a region is large.
+3. First each component's likest partner is confirmed, which joins nearly all that belong together; then, over what is
+   still apart, every pair of different components with like sketches is confirmed on full sets inside its block. Only
+   links leave a block.
+
+A link at similarity s shares no region of a level of D minima in T orders with probability (1 - s^D)^T: at 0.8 this is 3e-6
+at the first level and 2e-6 at the second, less above.
 """
 
 from __future__ import annotations
@@ -26,21 +33,23 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auklet.llm.common import WordHashes, lower_words, shingles, stored
+from auklet.llm.common import WordHashes, lower_words, shingles, stored, text_key
 from auklet.llm.components import components
 
-TREES, DEPTH = 24, 4
-MINIMA = TREES * DEPTH
+#: Minima of a signature.
+MINIMA = 96
+#: Least depth and number of orders of each level of the forest.
+LEVELS = ((4, 24), (8, 72))
+#: Minima after the least depth by which a region is sorted further, a byte of each.
+FURTHER = 8
 #: Sketches (a byte of each minimum) that agree less than so far below the threshold aren't confirmed on full sets: five standard deviations of the estimate.
 SLACK = 0.2
-#: Ids to confirm are broadcast up to so many (16 bytes each); beyond, the texts are joined by a shuffle.
-BROADCAST_IDS = 4_000_000
+#: Rows to confirm or to take out are broadcast up to so many (about 50 bytes each); beyond, they are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 #: Members of a region that one block holds.
 BLOCK = 512
 #: Rows whose sets are held at a time while they are signed.
 PIECE = 1024
-#: A region of more members than this also uses its deeper regions' heads.
-SHALLOW = 8
 
 _rng = np.random.default_rng(20240607)
 _XOR = _rng.integers(0, 1 << 32, MINIMA, dtype=np.uint32)
@@ -81,45 +90,90 @@ def _signed(size: int):
             yield pa.RecordBatch.from_arrays(
                 [
                     batch["doc_id"],
+                    batch["key_"],
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
                     pa.array([next(rows).tobytes() if len(s) else None for s in sets], pa.binary()),
                 ],
-                names=["doc_id", "n_shingles", "digest", "signature"],
+                names=["doc_id", "key_", "n_shingles", "digest", "signature"],
             )
 
     return run
 
 
-def _planted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each class's place in every order: key of its first DEPTH minima, and of the DEPTH after them."""
-    order = (np.arange(TREES)[:, None] * DEPTH + np.arange(2 * DEPTH)[None, :]) % MINIMA
+def orders(depth: int, trees: int) -> np.ndarray:
+    """The minima by which each order sorts: disjoint runs where the signature is long enough for that, else seeded draws."""
+    if depth * trees <= MINIMA:
+        return (np.arange(trees)[:, None] * depth + np.arange(depth + FURTHER)[None, :]) % MINIMA
+    rng = np.random.default_rng(depth)
+    return np.stack([rng.permutation(MINIMA)[: depth + FURTHER] for _ in range(trees)])
+
+
+def _signatures(batch: pa.RecordBatch) -> np.ndarray:
+    return np.frombuffer(b"".join(batch["signature"].to_pylist()), np.uint32).reshape(-1, MINIMA)
+
+
+def _keys(sig: np.ndarray, depth: int, trees: int) -> np.ndarray:
+    """The key of each signature's region in every order: a hash of the order and its first minima."""
+    order = orders(depth, trees)
+    key = np.broadcast_to(np.arange(trees, dtype=np.uint64) + np.uint64(1 + 1000 * depth), (len(sig), trees)).copy()
+    for d in range(depth):
+        key *= np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(32)
+        key += sig[:, order[:, d]].astype(np.uint64) + np.uint64(1)
+    return ((key * np.uint64(0xD6E8FEB86659FD93)) ^ (key >> np.uint64(29))).view(np.int64)
+
+
+def _bytes_of(sig: np.ndarray) -> np.ndarray:
+    return ((sig * np.uint32(0x85EBCA6B)) >> np.uint32(24)).astype(np.uint8)
+
+
+def _planted(depth: int, trees: int):
+    """Each class's place in every order: its region's key, and the next minima, by which the region is sorted."""
+    order = orders(depth, trees)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sig = _signatures(batch)
+            further = np.zeros((len(sig), trees), np.uint64)
+            for d in range(FURTHER):
+                further = (further << np.uint64(8)) | _bytes_of(sig[:, order[:, depth + d]])
+            arrays = [pa.array(_keys(sig, depth, trees).ravel()), pa.array(further.ravel().view(np.int64)), pa.array(np.repeat(batch["id"].to_numpy(zero_copy_only=False), trees))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["key", "further", "id"])
+
+    return run
+
+
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows in the order of the forest: each with the row before it in its region, and with the region's head."""
+    last = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        sig = np.frombuffer(b"".join(batch["signature"].to_pylist()), np.uint32).reshape(-1, MINIMA).astype(np.uint64)
-        head = np.broadcast_to(np.arange(TREES, dtype=np.uint64) + np.uint64(1), (len(sig), TREES)).copy()
-        tail = np.zeros_like(head)
-        for d in range(DEPTH):
-            for into, k in ((head, d), (tail, DEPTH + d)):
-                into *= np.uint64(0x9E3779B97F4A7C15)
-                into ^= into >> np.uint64(32)
-                into += sig[:, order[:, k]] + np.uint64(1)
-        head = (head * np.uint64(0xD6E8FEB86659FD93)) ^ (head >> np.uint64(29))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(head.ravel().view(np.int64)), pa.array(tail.ravel().view(np.int64)), pa.array(np.repeat(batch["id"].to_numpy(zero_copy_only=False), TREES))],
-            names=["key", "tail", "id"],
-        )
-
-
-def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, ids, head = (batch[c].to_numpy(zero_copy_only=False) for c in ("key", "id", "head"))
+        before = np.concatenate([ids[:1], ids[:-1]])
+        same = np.concatenate([[False], key[1:] == key[:-1]])
+        if last is not None and last[0] == key[0]:
+            before[0], same[0] = last[1], True
+        last = key[-1], ids[-1]
+        x, y = np.concatenate([before[same], head]), np.concatenate([ids[same], ids])
+        a, b = np.minimum(x, y), np.maximum(x, y)
+        yield pa.RecordBatch.from_arrays([pa.array(a[a < b]), pa.array(b[a < b])], names=["a", "b"])
+
+
+def _sketched(depth: int, trees: int):
     """A byte of each minimum, and the keys of the class's regions in all orders."""
-    for batch in batches:
-        if batch.num_rows:
-            sig = np.frombuffer(b"".join(batch["signature"].to_pylist()), np.uint32).reshape(-1, MINIMA)
-            byte = ((sig * np.uint32(0x85EBCA6B)) >> np.uint32(24)).astype(np.uint8)
-            heads = next(_planted(iter([batch])))["key"].to_numpy().reshape(-1, TREES)
-            yield pa.RecordBatch.from_arrays([batch["id"], batch["n"], *(pa.array([r.tobytes() for r in x], pa.binary()) for x in (byte, heads))], names=["id", "n", "sketch", "heads"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                sig = _signatures(batch)
+                columns = [pa.array([r.tobytes() for r in x], pa.binary()) for x in (_bytes_of(sig), _keys(sig, depth, trees))]
+                yield pa.RecordBatch.from_arrays([batch["id"], batch["n"], *columns], names=["id", "n", "sketch", "heads"])
+
+    return run
 
 
 def _alike(floor: float):
@@ -137,14 +191,14 @@ def _alike(floor: float):
 
 
 class _Block:
-    """Members of a region, or of two parts of one: those of side 0 against those of side 1, or all of side -1."""
+    """Members that are compared: those of side 0 with those of side 1, or all of side -1 with each other."""
 
     def __init__(self, rows: dict[str, np.ndarray], floor: float, percent: int):
         self.rows, self.floor, self.percent = rows, floor, percent
         self.same = bool((rows["side"] < 0).all())
         self.left = np.flatnonzero(rows["side"] <= 0)
         self.right = self.left if self.same else np.flatnonzero(rows["side"] > 0)
-        self.tree = int(np.argmax(rows["heads"][0] == rows["key"][0]))
+        self.tree = int(np.argmax(rows["heads"][0] == rows["key"][0]))  # 0 also where the block isn't a region's
 
     def pairs(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(i, js, likes): members of other components with like sketches, if no earlier order has them in one region."""
@@ -161,15 +215,16 @@ class _Block:
                     yield i, at[ok], like[ok]
 
     def likest(self) -> list[np.ndarray]:
-        """Each member's likest partner."""
-        best: dict[int, tuple[float, int]] = {}
+        """Each component's likest partner in this block."""
+        comp, ids = self.rows["comp"], self.rows["id"]
+        best: dict[int, tuple[float, int, int]] = {}
         for i, js, likes in self.pairs():
-            for x, y, like in [(i, js[np.argmax(likes)], likes.max()), *zip(js, [i] * len(js), likes, strict=True)]:
-                if like > best.get(x, (0.0, 0))[0]:
-                    best[x] = (like, y)
-        i, j = np.array(list(best), np.int64), np.array([y for _, y in best.values()], np.int64)
-        ids = self.rows["id"]
-        return [self.rows["comp"][i], ids[i], ids[j], np.array([x for x, _ in best.values()], float)]
+            top = np.argsort(-likes, kind="stable")
+            for c, k in [(comp[i], top[0]), *((comp[js[k]], k) for k in top)]:
+                if likes[k] > best.get(c, (0.0,))[0]:
+                    best[c] = (float(likes[k]), ids[i], ids[js[k]])
+        likes, a, b = (np.array([x[k] for x in best.values()], kind) for k, kind in enumerate((float, np.int64, np.int64)))
+        return [np.array(list(best), np.int64), a, b, likes]
 
     def wanted(self) -> list[np.ndarray]:
         """The members that have a pair."""
@@ -181,27 +236,45 @@ class _Block:
 
     def linked(self) -> list[np.ndarray]:
         """Pairs that are linked by their full sets; one is enough for two components."""
-        found, comp, ids, sets = [], self.rows["comp"], self.rows["id"], self.rows["members"]
+        found, comp, ids, n, sets = [], *(self.rows[c] for c in ("comp", "id", "n", "members"))
+        pairs = list(self.pairs())
         met: set[tuple[int, int]] = set()
-        for i, js, likes in self.pairs():
-            for j in js[np.argsort(-likes, kind="stable")]:
+        shared = _Shared(sets, np.unique(np.concatenate([js for _, js, _ in pairs]))) if pairs else None
+        for i, js, _ in pairs:
+            both = shared.with_each(sets[i])[js]
+            for j in js[100 * both >= self.percent * (n[i] + n[js] - both)]:
                 ends = (min(comp[i], comp[j]), max(comp[i], comp[j]))
-                if ends not in met and _is_link(sets[i], sets[j], self.percent):
+                if ends not in met:
                     met.add(ends)
                     found.append((ids[i], ids[j]))
         return [np.array(x, np.int64) for x in zip(*found, strict=True)] if found else [np.empty(0, np.int64)] * 2
 
 
+class _Shared:
+    """How many elements of a set each of some sets has: by an index from elements to sets."""
+
+    def __init__(self, sets: np.ndarray, of: np.ndarray):
+        values, owners = np.concatenate([sets[k] for k in of]), np.repeat(of, [len(sets[k]) for k in of])
+        order = np.argsort(values, kind="stable")
+        self.values, self.owners, self.many = values[order], owners[order], len(sets)
+
+    def with_each(self, members: np.ndarray) -> np.ndarray:
+        lo, hi = (np.searchsorted(self.values, members, side) for side in ("left", "right"))
+        n = hi - lo
+        at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        return np.bincount(self.owners[at], minlength=self.many)
+
+
 _ROW = ("key", "pair", "side", "id", "comp", "n")
 
 
-def _blocks(floor: float, percent: int, what: str):
+def _blocks(floor: float, percent: int, what: str, trees: int):
     """What every block has to say; rows come sorted by block, and a block may go on in the next batch."""
     names = {"likest": ["comp", "a", "b", "like"], "wanted": [*_ROW, "sketch", "heads"], "linked": ["a", "b"]}[what]
 
     def read(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
         rows = {c: batch[c].to_numpy(zero_copy_only=False) for c in _ROW}
-        for c, kind, width in (("sketch", np.uint8, MINIMA), ("heads", np.int64, TREES)):
+        for c, kind, width in (("sketch", np.uint8, MINIMA), ("heads", np.int64, trees)):
             rows[c] = np.frombuffer(b"".join(batch[c].to_pylist()), kind).reshape(-1, width)
         if what == "linked":
             rows["members"] = np.empty(batch.num_rows, object)
@@ -256,39 +329,124 @@ def _linked(percent: int):
     return run
 
 
-def _members_of(ids: DataFrame, docs: DataFrame, size: int) -> DataFrame:
-    """(id, members): the full sets of these ids' texts."""
-    ids = stored(ids.distinct(), "ids")
-    texts = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi").distinct()
-    return stored(texts.withColumnRenamed("doc_id", "id").mapInArrow(_sets(size), "id long, members binary"), "sets")
-
-
-def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that are linked by their full sets."""
-    pairs = stored(pairs.distinct(), "pairs")
-    sets = _members_of(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")), docs, size)
-    a, b = (sets.select(F.col("id").alias(c), F.col("members").alias(f"set_{c}")) for c in "ab")
-    return stored(pairs.join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b").mapInArrow(_linked(percent), "a long, b long"), "links")
-
+def _some(df: DataFrame) -> DataFrame:
+    """df, broadcast if it has few enough rows; it has been stored, so the count is cheap."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def _members_of(ids: DataFrame, classes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """(id, members): the full sets of these classes, from one text of each."""
+    rows = stored(ids.distinct().join(classes.select("id", "rep.*"), "id"), "ids")
+    texts = docs.join(_some(rows), ["doc_id", "key_"]).groupBy("id").agg(F.first("text").alias("text"))
+    return stored(texts.mapInArrow(_sets(size), "id long, members binary"), "sets")
+
+
+class _Forest:
+    """What the steps share: the corpus, its classes, and the links found so far."""
+
+    def __init__(self, docs: DataFrame, classes: DataFrame, size: int, percent: int):
+        self.docs, self.classes, self.size, self.percent = docs, classes, size, percent
+        self.floor = percent / 100 - SLACK
+        self.links = docs.sparkSession.createDataFrame([], "a long, b long")
+
+    def confirm(self, pairs: DataFrame) -> None:
+        """Takes those of the pairs (a, b) that are linked by their full sets."""
+        pairs = stored(pairs.distinct(), "pairs")
+        sets = _members_of(pairs.select(F.col("a").alias("id")).union(pairs.select("b")), self.classes, self.docs, self.size)
+        a, b = (sets.select(F.col("id").alias(c), F.col("members").alias(f"set_{c}")) for c in "ab")
+        met = pairs.join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b")
+        self.links = self.links.union(stored(met.mapInArrow(_linked(self.percent), "a long, b long"), "links"))
+
+    def level(self, active: DataFrame, depth: int, trees: int, last: bool) -> DataFrame | None:
+        """One level over the classes active; returns the ids to look at one level deeper, if there are any."""
+        places = active.select("id", "signature").mapInArrow(_planted(depth, trees), "key long, further long, id long")
+        sketches = active.select("id", "n", "signature").mapInArrow(_sketched(depth, trees), "id long, n long, sketch binary, heads binary")
+        regions = stored(places.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("head")).where("size > 1"), "regions")
+        members = stored(places.join(regions, "key"), "members")
+
+        sorted_ = members.repartitionByRange("key", "further", "id").sortWithinPartitions("key", "further", "id")
+        meets = sorted_.select("key", "id", "head").mapInArrow(_neighbours, "a long, b long").distinct()
+        sa, sb = (sketches.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}")) for c in "ab")
+        near = meets.join(sa, "a").join(sb, "b").where(f"100 * least(n_a, n_b) >= {self.percent} * greatest(n_a, n_b)")
+        near = stored(near.select("a", "b", "sketch_a", "sketch_b").mapInArrow(_alike(self.floor), "a long, b long, like double"), "near")
+        self.confirm(near.groupBy("b").agg(F.max_by("a", F.struct("like", -F.col("a"))).alias("a")).select("a", "b"))
+
+        row = "key long, pair long, side int, id long, comp long, n long, sketch binary, heads binary"
+        look = lambda blocks, what, kind: blocks.mapInArrow(_blocks(self.floor, self.percent, what, trees), kind)
+        apart, blocks, _ = self.apart(near, members, sketches, last)
+        likest = look(blocks, "likest", "comp long, a long, b long, like double").union(apart.select("comp_a", "a", "b", "like")).union(apart.select("comp_b", "a", "b", "like"))
+        a, b = F.least("a", "b"), F.greatest("a", "b")
+        likest = likest.groupBy("comp").agg(F.max_by(F.struct(a.alias("a"), b.alias("b")), F.struct("like", -a, -b)).alias("p"))
+        self.confirm(likest.select("p.a", "p.b"))
+
+        apart, blocks, deeper = self.apart(near, members, sketches, last)
+        self.confirm(apart.select("a", "b"))
+        wanted = stored(look(blocks, "wanted", row), "wanted")
+        sets = _members_of(wanted.select("id"), self.classes, self.docs, self.size)
+        whole = wanted.join(sets, "id").repartition("key", "pair").sortWithinPartitions("key", "pair")
+        self.links = self.links.union(stored(look(whole, "linked", "a long, b long"), "links"))
+        if last or (deeper := stored(deeper, "deeper")).isEmpty():
+            return None
+        return deeper
+
+    def apart(self, near: DataFrame, members: DataFrame, sketches: DataFrame, last: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Pairs of near in different components; the blocks of regions in several components; ids to be sorted deeper."""
+        reached = components(self.links)
+        of = lambda c: reached.select(F.col("node").alias(c), F.col("component").alias(f"comp_{c}"))
+        apart = near.join(of("a"), "a", "left").join(of("b"), "b", "left")
+        apart = apart.select("a", "b", F.coalesce("comp_a", "a").alias("comp_a"), F.coalesce("comp_b", "b").alias("comp_b"), "like").where("comp_a <> comp_b")
+
+        placed = members.where("size > 2").join(of("id"), "id", "left").select("key", "id", F.coalesce("comp_id", "id").alias("comp"))
+        placed = stored(placed, "placed")
+        parts = placed.groupBy("key", "comp").agg(F.count("*").alias("n"))
+        top = F.max(F.struct("n", (-F.col("comp")).alias("minus")))
+        several = parts.groupBy("key").agg(F.sum("n").alias("size"), F.count("*").alias("comps"), top.alias("top")).where("comps > 1")
+        several = stored(several.select("key", "size", (-F.col("top")["minus"]).alias("main"), (F.col("size") - F.col("top.n")).alias("outside")), "several")
+        mixed = placed.join(several, "key")
+        crowd = F.col("size") > BLOCK
+        outsider = F.col("comp") != F.col("main")
+
+        inside = mixed.where(~crowd | outsider).withColumn("size", F.when(crowd, F.col("outside")).otherwise(F.col("size")))
+        deeper = inside.where(F.col("size") > BLOCK).select("id").distinct()
+        inside = (inside if last else inside.where(F.col("size") <= BLOCK)).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("long"))
+        inside = inside.withColumn("own", F.pmod(F.xxhash64("id"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        lo, hi = F.least("own", "other"), F.greatest("own", "other")
+        side = F.when(lo == hi, F.lit(-1)).when(F.col("own") == lo, F.lit(0)).otherwise(F.lit(1))
+        inside = inside.select("key", (lo * (1 << 31) + hi).alias("pair"), side.alias("side"), "id", "comp")
+
+        hosts = mixed.where(crowd & ~outsider).select("main", "id").distinct()
+        counts = hosts.groupBy("main").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
+        key = F.xxhash64(F.lit("hosts"), "main")
+        hosts = hosts.join(counts, "main").select(key.alias("key"), (-1 - F.pmod(F.xxhash64("id"), "blocks")).alias("pair"), F.lit(0).alias("side"), "id", F.col("main").alias("comp"))
+        guests = mixed.where(crowd & outsider).select("main", "id", "comp").distinct().join(counts, "main").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        guests = guests.select(key.alias("key"), (-1 - F.col("block")).alias("pair"), F.lit(1).alias("side"), "id", "comp")
+
+        rows = inside.union(hosts).union(guests).join(sketches, "id").select("key", "pair", "side", "id", "comp", "n", "sketch", "heads")
+        return apart, rows.repartition("key", "pair").sortWithinPartitions("key", "pair"), deeper
+
+
+def _judged(documents: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """(doc_id, key_, n_shingles, group, component_id, kept) for every row; group is the component's own id, null without words."""
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("key_", text_key("text"))
+    signed = stored(docs.mapInArrow(_signed(shingle), "doc_id long, key_ struct<a:bigint,b:bigint>, n_shingles long, digest binary, signature binary"), "signed")
+    full = signed.where("doc_id is not null and digest is not null")
+    classes = full.groupBy("digest").agg(F.min(F.struct("doc_id", "key_")).alias("rep"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature"))
+    classes = stored(classes.withColumn("id", F.monotonically_increasing_id()), "classes")  # written, so the ids stay
 
-def _apart(near: DataFrame, members: DataFrame, sketches: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs of near whose ends are in different components over links; and the blocks of regions in several components."""
-    reached = components(links)
-    of = lambda c: reached.select(F.col("node").alias(c), F.col("component").alias(f"comp_{c}"))
-    apart = near.join(of("a"), "a", "left").join(of("b"), "b", "left")
-    apart = apart.select("a", "b", F.coalesce("comp_a", "a").alias("comp_a"), F.coalesce("comp_b", "b").alias("comp_b"), "like").where("comp_a <> comp_b")
+    forest, active = _Forest(docs, classes, shingle, percent), classes
+    for k, (depth, trees) in enumerate(LEVELS):
+        deeper = forest.level(active, depth, trees, k == len(LEVELS) - 1)
+        if deeper is None:
+            break
+        active = classes.join(_some(deeper), "id")
 
-    placed = members.where("size > 2").join(of("id"), "id", "left").select("key", "id", "size", F.coalesce("comp_id", "id").alias("comp"))
-    placed = stored(placed, "placed")
-    several = stored(placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key"), "several")
-    placed = placed.join(several, "key").join(sketches, "id")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    placed = placed.withColumns({"blocks": blocks, "own": F.pmod(F.xxhash64("id"), blocks).cast("int")})
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    lo, hi = F.least("own", "other"), F.greatest("own", "other")
-    side = F.when(lo == hi, F.lit(-1)).when(F.col("own") == lo, F.lit(0)).otherwise(F.lit(1))
-    placed = placed.select("key", (lo.cast("long") * (1 << 32) + hi).alias("pair"), side.alias("side"), "id", "comp", "n", "sketch", "heads")
-    return apart, placed.repartition("key", "pair").sortWithinPartitions("key", "pair")
+    last = components(forest.links).select(F.col("node").alias("id"), "component")
+    groups = stored(classes.select("digest", "id", "rep.doc_id").join(last, "id", "left").select("digest", "doc_id", F.coalesce("component", "id").alias("group")), "groups")
+    least = groups.groupBy("group").agg(F.min("doc_id").alias("component_id"))
+    owners = groups.select("digest", "group").join(least, "group")
+    rows = signed.select("doc_id", "key_", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest")).join(owners, "digest", "left")
+    component = F.coalesce("component_id", "doc_id")
+    return rows.select("doc_id", "key_", "n_shingles", "group", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
 def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -296,63 +454,31 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80) -
 
     Documents are linked if percent/100 of the union of their sets of `shingle`-word runs is common; component_id is the
     smallest doc_id reachable over links. Null and blank texts have an empty set and are linked with nothing. Rows that
-    repeat a doc_id are judged each by its own text; a null doc_id is linked with nothing and kept. An empty table gives
-    an empty result.
+    repeat a doc_id are judged each by its own text, and link nothing by sharing the doc_id; a null doc_id is linked with
+    nothing and kept. An empty table gives an empty result.
     """
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    floor = percent / 100 - SLACK
-    signed = stored(docs.mapInArrow(_signed(shingle), "doc_id long, n_shingles long, digest binary, signature binary"), "signed")
-    full = signed.where("doc_id is not null and digest is not null")
-    classes = stored(full.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature")), "classes")
-    sketches = classes.select("id", "n", "signature").mapInArrow(_sketched, "id long, n long, sketch binary, heads binary")
-    places = classes.select("id", "signature").mapInArrow(_planted, "key long, tail long, id long")
-
-    regions = stored(places.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("head")).where("size > 1"), "regions")
-    members = stored(places.join(regions, "key"), "members")
-    deep = members.where(F.col("size") > SHALLOW)
-    heads = deep.groupBy("key", "tail").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
-    meets = members.select(F.col("head").alias("a"), F.col("id").alias("b")).union(deep.join(heads, ["key", "tail"]).select("a", F.col("id").alias("b")))
-    meets = meets.where("a < b").distinct()
-
-    sa, sb = (sketches.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}")) for c in "ab")
-    near = meets.join(sa, "a").join(sb, "b").where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
-    near = stored(near.select("a", "b", "sketch_a", "sketch_b").mapInArrow(_alike(floor), "a long, b long, like double"), "near")
-    best = near.groupBy("b").agg(F.max_by("a", F.struct("like", -F.col("a"))).alias("a")).select("a", "b")
-    links = _confirmed(best, docs, shingle, percent)
-
-    apart, blocks = _apart(near, members, sketches, links)
-    likest = blocks.mapInArrow(_blocks(floor, percent, "likest"), "comp long, a long, b long, like double")
-    likest = likest.union(apart.select("comp_a", "a", "b", "like")).union(apart.select("comp_b", "a", "b", "like"))
-    likest = likest.groupBy("comp").agg(F.max_by(F.struct(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), F.struct("like", -F.least("a", "b"), -F.greatest("a", "b"))).alias("p"))
-    links = links.union(_confirmed(likest.select("p.a", "p.b"), docs, shingle, percent))
-
-    apart, blocks = _apart(near, members, sketches, links)
-    links = links.union(_confirmed(apart.select("a", "b"), docs, shingle, percent))
-    row = "key long, pair long, side int, id long, comp long, n long, sketch binary, heads binary"
-    wanted = stored(blocks.mapInArrow(_blocks(floor, percent, "wanted"), row), "wanted")
-    whole = wanted.join(_members_of(wanted.select(F.col("id").alias("doc_id")), docs, shingle), "id").repartition("key", "pair").sortWithinPartitions("key", "pair")
-    links = links.union(stored(whole.mapInArrow(_blocks(floor, percent, "linked"), "a long, b long"), "links"))
-
-    last = components(links).select(F.col("node").alias("id"), "component")
-    owners = classes.select("digest", "id").join(last, "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
-    rows = signed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest"))
-    rows = rows.join(owners, "digest", "left")
-    component = F.coalesce("component", "doc_id")
-    return rows.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+    return _judged(documents, shingle, percent).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def one_of_each_group(documents: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """documents without near duplicates: of each component the rows of the smallest doc_id stay, with documents' columns.
+    """documents without near duplicates: of each component one row of the smallest doc_id stays, with documents' columns.
 
-    Rows that share a doc_id stay or go together, and of such that also share the text one stays. Texts without words and
-    null doc_ids stay. What goes is a small part of most corpora, so its ids are broadcast where they are few enough.
+    Rows of one doc_id with different texts are judged apart: what has no duplicate stays. Of repeated rows (same doc_id and
+    text) one stays. Texts without words and null doc_ids stay. What goes is a small part of most corpora, so it is broadcast
+    where it is few enough rows.
     """
-    judged = near_duplicates(documents, shingle, percent).where("doc_id is not null")
-    ids = stored(judged.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n")), "judged")
-    some = lambda df: F.broadcast(df) if df.count() <= BROADCAST_IDS else df
-    gone, many = ids.where("not kept").select("doc_id"), ids.where("kept and n > 1").select("doc_id")
-    left = documents.join(some(gone), "doc_id", "left_anti")
+    judged = _judged(documents, shingle, percent).where("doc_id is not null")
+    rows = judged.groupBy("doc_id", "key_").agg(F.first("group").alias("group"), F.first("kept").alias("kept"), F.count("*").alias("n"))
+    rows = stored(rows, "judged")
+    stays = rows.where("kept and group is not null").groupBy("group").agg(F.min("key_").alias("least"))  # its doc_id is the group's smallest
+    gone = rows.where("group is not null").join(stays, "group").where("not kept or key_ <> least").select("doc_id", "key_")
+    gone = stored(gone, "gone")
+    many = rows.where("n > 1").join(_some(gone), ["doc_id", "key_"], "left_anti").select("doc_id", "key_")
+    many = stored(many, "many")
+    key = [F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text").cast("string")).alias("key_")]
+    own = F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("own")
+    left = documents.select(own, *key).join(_some(gone), ["doc_id", "key_"], "left_anti")
     if not many.isEmpty():
-        once = left.join(some(many), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-        left = left.join(some(many), "doc_id", "left_anti").unionByName(once)
-    return left.select(*[F.col(f"`{c}`") for c in documents.columns])
+        once = left.join(_some(many), ["doc_id", "key_"], "left_semi").groupBy("doc_id", "key_").agg(F.first("own").alias("own")).select("own")
+        left = left.join(_some(many), ["doc_id", "key_"], "left_anti").select("own").union(once)
+    return left.select(*[F.col(f"own.`{c}`").alias(c) for c in documents.columns])
