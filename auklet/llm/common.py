@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import xxhash
@@ -37,6 +38,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a few numbers that are broadcast at most (about 50 bytes each); more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def small(df: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """What to do with a join's side of as many rows as df has: broadcast it where they are few. df has been stored, so counting is cheap."""
+    return F.broadcast if df.count() <= BROADCAST_ROWS else lambda side: side
+
+
 def text_key(text) -> F.Column:
     """128 bits that stand for a text, null apart from every text; cheap in the JVM, so rows can be told apart and joined by it."""
     return F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b"))

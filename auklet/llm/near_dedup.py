@@ -33,8 +33,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auklet.llm.common import WordHashes, lower_words, shingles, stored, text_key
-from auklet.llm.components import components
+from auklet.llm.common import WordHashes, lower_words, shingles, small, stored, text_key
+from auklet.llm.components import regrouped
 
 #: Minima of a signature.
 MINIMA = 96
@@ -44,8 +44,6 @@ LEVELS = ((4, 24), (8, 72))
 FURTHER = 8
 #: Sketches (a byte of each minimum) that agree less than so far below the threshold aren't confirmed on full sets: five standard deviations of the estimate.
 SLACK = 0.2
-#: Rows to confirm or to take out are broadcast up to so many (about 50 bytes each); beyond, they are joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
 #: Members of a region that one block holds.
 BLOCK = 512
 #: Rows whose sets are held at a time while they are signed.
@@ -330,8 +328,8 @@ def _linked(percent: int):
 
 
 def _some(df: DataFrame) -> DataFrame:
-    """df, broadcast if it has few enough rows; it has been stored, so the count is cheap."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    """df, which has been stored, broadcast if it has few enough rows."""
+    return small(df)(df)
 
 
 def _members_of(ids: DataFrame, classes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
@@ -342,20 +340,26 @@ def _members_of(ids: DataFrame, classes: DataFrame, docs: DataFrame, size: int)
 
 
 class _Forest:
-    """What the steps share: the corpus, its classes, and the links found so far."""
+    """What the steps share: the corpus, its classes, and the components found so far."""
 
     def __init__(self, docs: DataFrame, classes: DataFrame, size: int, percent: int):
         self.docs, self.classes, self.size, self.percent = docs, classes, size, percent
         self.floor = percent / 100 - SLACK
-        self.links = docs.sparkSession.createDataFrame([], "a long, b long")
+        self.groups = docs.sparkSession.createDataFrame([], "node long, component long")
+
+    def link(self, links: DataFrame) -> None:
+        """Joins the components of stored links (a, b)."""
+        self.groups = regrouped(self.groups, links)
 
     def confirm(self, pairs: DataFrame) -> None:
         """Takes those of the pairs (a, b) that are linked by their full sets."""
         pairs = stored(pairs.distinct(), "pairs")
+        if pairs.isEmpty():
+            return
         sets = _members_of(pairs.select(F.col("a").alias("id")).union(pairs.select("b")), self.classes, self.docs, self.size)
         a, b = (sets.select(F.col("id").alias(c), F.col("members").alias(f"set_{c}")) for c in "ab")
         met = pairs.join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b")
-        self.links = self.links.union(stored(met.mapInArrow(_linked(self.percent), "a long, b long"), "links"))
+        self.link(stored(met.mapInArrow(_linked(self.percent), "a long, b long"), "links"))
 
     def level(self, active: DataFrame, depth: int, trees: int, last: bool) -> DataFrame | None:
         """One level over the classes active; returns the ids to look at one level deeper, if there are any."""
@@ -382,17 +386,17 @@ class _Forest:
         apart, blocks, deeper = self.apart(near, members, sketches, last)
         self.confirm(apart.select("a", "b"))
         wanted = stored(look(blocks, "wanted", row), "wanted")
-        sets = _members_of(wanted.select("id"), self.classes, self.docs, self.size)
-        whole = wanted.join(sets, "id").repartition("key", "pair").sortWithinPartitions("key", "pair")
-        self.links = self.links.union(stored(look(whole, "linked", "a long, b long"), "links"))
+        if not wanted.isEmpty():
+            sets = _members_of(wanted.select("id"), self.classes, self.docs, self.size)
+            whole = wanted.join(sets, "id").repartition("key", "pair").sortWithinPartitions("key", "pair")
+            self.link(stored(look(whole, "linked", "a long, b long"), "links"))
         if last or (deeper := stored(deeper, "deeper")).isEmpty():
             return None
         return deeper
 
     def apart(self, near: DataFrame, members: DataFrame, sketches: DataFrame, last: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
         """Pairs of near in different components; the blocks of regions in several components; ids to be sorted deeper."""
-        reached = components(self.links)
-        of = lambda c: reached.select(F.col("node").alias(c), F.col("component").alias(f"comp_{c}"))
+        of = lambda c: self.groups.select(F.col("node").alias(c), F.col("component").alias(f"comp_{c}"))
         apart = near.join(of("a"), "a", "left").join(of("b"), "b", "left")
         apart = apart.select("a", "b", F.coalesce("comp_a", "a").alias("comp_a"), F.coalesce("comp_b", "b").alias("comp_b"), "like").where("comp_a <> comp_b")
 
@@ -440,7 +444,7 @@ def _judged(documents: DataFrame, shingle: int, percent: int) -> DataFrame:
             break
         active = classes.join(_some(deeper), "id")
 
-    last = components(forest.links).select(F.col("node").alias("id"), "component")
+    last = forest.groups.select(F.col("node").alias("id"), "component")
     groups = stored(classes.select("digest", "id", "rep.doc_id").join(last, "id", "left").select("digest", "doc_id", F.coalesce("component", "id").alias("group")), "groups")
     least = groups.groupBy("group").agg(F.min("doc_id").alias("component_id"))
     owners = groups.select("digest", "group").join(least, "group")

@@ -27,7 +27,7 @@ def brute(rows, size, percent):
     for i, a in enumerate(ids):
         for b in ids[i + 1 :]:
             x, y = sets[a], sets[b]
-            if 5 * min(len(x), len(y)) >= 4 * max(len(x), len(y)) and x and y and 100 * len(x & y) >= percent * len(x | y):
+            if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)) and x and y and 100 * len(x & y) >= percent * len(x | y):
                 ra, rb = root(a), root(b)
                 up[max(ra, rb)] = min(ra, rb)
     return {d: (len(sets[d]), root(d), root(d) == d) for d in ids}
