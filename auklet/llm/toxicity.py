@@ -5,12 +5,14 @@ that stand in many contexts in toxic sample documents and practically never in c
 of clean documents aren't. The field has two states and log-linear features of the word, its ends, and its neighbours; it
 is fitted to lines of the sample by gradient steps on the exact likelihood. Forward-backward gives each token's marginal
 probability. A document's score is a logistic function of its largest marginal, the expected number of toxic tokens and its
-length, fitted to labels of sample documents that the field wasn't fitted to; tokens with a marginal of one half or more are its offending spans.
+length; tokens with a marginal of one half or more are its offending spans. That function is cross-fitted: for each third of
+the sample a field is fitted to the other two thirds, so every label counts and none is judged by a field that saw it. The field
+that is used is fitted to the whole sample.
 """
 
 from __future__ import annotations
 
-import pickle
+import io
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -35,6 +37,8 @@ PER_CLASS = 2000
 TOXIC_LINES, PLAIN_LINES, LINE_WORDS = 5000, 10_000, 300
 #: Parts of the lines that take turns in the gradient steps.
 BATCHES = 12
+#: Parts of the sample that are left out in turn.
+FOLDS = 3
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
 
@@ -116,8 +120,8 @@ class Tagger:
     LIMIT = 400_000
 
     def __init__(self, model: bytes):
-        m = pickle.loads(model)  # made by fit() in this job
-        self.w, self.trans, self.start, self.doc = m["w"], m["trans"], m["start"], m["doc"]
+        m = np.load(io.BytesIO(model), allow_pickle=False)
+        self.w, self.trans, self.start, self.doc = m["w"], m["trans"], float(m["start"]), m["doc"]
         self.known = _Known(self.w)
 
     def marginals(self, lines: list[list[bytes]]) -> np.ndarray:
@@ -144,11 +148,22 @@ class Tagger:
 
     def score(self, texts: list[str | None]) -> tuple[np.ndarray, list[np.ndarray]]:
         """Scores of texts, and the marginals of each text's tokens."""
-        each = self.each([[w for w in map(bench_words, t.split("\n")) if w] if t else [] for t in texts])
+        each = self.each([lines_of(t) for t in texts])
         x = np.array([document_features(q) for q in each]).reshape(-1, 4)
         return 1 / (1 + np.exp(-np.clip(x @ self.doc, -30, 30))), each
 
 
+def lines_of(text: str | None) -> list[list[bytes]]:
+    return [w for w in map(bench_words, text.split("\n")) if w] if text else []
+
+
+def packed(w: np.ndarray, trans: np.ndarray, start: float, doc: np.ndarray) -> bytes:
+    """A model's arrays as bytes."""
+    out = io.BytesIO()
+    np.savez_compressed(out, w=w.astype(np.float32), trans=trans, start=np.float64(start), doc=doc)
+    return out.getvalue()
+
+
 def document_features(p: np.ndarray) -> tuple[float, float, float, float]:
     if not len(p):
         return 1.0, 0.0, 0.0, 0.0
@@ -211,14 +226,14 @@ def pieces(line: list, size: int) -> list[list]:
     return [line[k : k + each] for k in range(0, len(line), each)]
 
 
-def fit(texts: list[str], ys: list[int], rounds: int = 5, seed: int = 3, toxic_lines: int = TOXIC_LINES, plain_lines: int = PLAIN_LINES, line_words: int = LINE_WORDS) -> bytes:
+def plain_model(ys: list[int]) -> bytes:
+    """A field that marks nothing, and one score for all documents: high only if all labels are 1."""
+    return packed(np.zeros(1 << BITS), np.zeros((2, 2)), 0.0, np.array([-4.0 + 8.0 * min(ys, default=0), 0, 0, 0]))
+
+
+def field(split: list[list[list[bytes]]], ys: list[int], rounds: int = 5, seed: int = 3, toxic_lines: int = TOXIC_LINES, plain_lines: int = PLAIN_LINES, line_words: int = LINE_WORDS) -> bytes:
+    """A field fitted to documents (lists of lines) and their labels."""
     rng = np.random.default_rng(seed)
-    model = {"w": np.zeros(1 << BITS, np.float32), "trans": np.zeros((2, 2)), "start": 0.0, "doc": np.array([-4.0 + 8.0 * (min(ys, default=0)), 0, 0, 0])}
-    if len(set(ys)) < 2:
-        return pickle.dumps(model)
-    split = [[w for w in map(bench_words, t.split("\n")) if w] for t in texts]
-    aside, aside_ys = split[::3], ys[::3]  # for the documents' scores
-    split, ys = [x for k, x in enumerate(split) if k % 3], [y for k, y in enumerate(ys) if k % 3]
     toxic_forms = seeds(split, ys)
     marked: dict[bytes, bool] = {}
     for w in {w for doc, y in zip(split, ys, strict=True) if y for line in doc for w in line}:
@@ -233,21 +248,53 @@ def fit(texts: list[str], ys: list[int], rounds: int = 5, seed: int = 3, toxic_l
                 (toxic if any(t) else plain).append((x, t))
     chosen = [toxic[k] for k in rng.permutation(len(toxic))[:toxic_lines]] + [plain[k] for k in rng.permutation(len(plain))[:plain_lines]]
     if not toxic:
-        return pickle.dumps(model)
+        return plain_model([0])
     lines, tags = [x[0] for x in chosen], [x[1] for x in chosen]
 
     w, trans, start = np.zeros(1 << BITS), np.zeros((2, 2)), 0.0
     w[_index(b"bias")] = -3.0
     for again in range(3):
         w, trans, start = _steps(lines, tags, w, trans, start, rounds)
-        model |= {"w": w.astype(np.float32), "trans": trans, "start": start}
-        tagger = Tagger(pickle.dumps(model))
-        tops = np.array([p.max() for k in range(0, len(plain), 2000) for p in tagger.each([[line] for line, _ in plain[k : k + 2000]])])
-        hard = [plain[k] for k in np.argsort(-tops, kind="stable")[:plain_lines] if tops[k] > 0.05] if again < 2 else []
-        lines, tags = lines + [x[0] for x in hard], tags + [x[1] for x in hard]  # lines that look toxic and aren't are shown again
-    x = np.array([document_features(p) for k in range(0, len(aside), 256) for p in tagger.each(aside[k : k + 256])])
-    model["doc"] = _logistic(x, np.array(aside_ys, float))
-    return pickle.dumps(model)
+        model = packed(w, trans, start, np.zeros(4))
+        if again < 2:
+            tagger = Tagger(model)
+            tops = np.array([p.max() for k in range(0, len(plain), 2000) for p in tagger.each([[line] for line, _ in plain[k : k + 2000]])])
+            hard = [plain[k] for k in np.argsort(-tops, kind="stable")[:plain_lines] if tops[k] > 0.05]
+            lines, tags = lines + [x[0] for x in hard], tags + [x[1] for x in hard]  # lines that look toxic and aren't are shown again
+    return model
+
+
+def judged_features(model: bytes, split: list[list[list[bytes]]]) -> list[tuple[float, float, float, float]]:
+    tagger = Tagger(model)
+    return [document_features(p) for k in range(0, len(split), 256) for p in tagger.each(split[k : k + 256])]
+
+
+def with_documents(model: bytes, x: np.ndarray, ys: np.ndarray) -> bytes:
+    """The field's model with a document score that is fitted to features x of documents."""
+    m = np.load(io.BytesIO(model), allow_pickle=False)
+    return packed(m["w"], m["trans"], float(m["start"]), _logistic(x, ys.astype(float)))
+
+
+def fit(texts: list[str], ys: list[int], **bounds: int) -> bytes:
+    """A whole model from texts and labels at one place."""
+    if len(set(ys)) < 2:
+        return plain_model(ys)
+    split, y = [lines_of(t) for t in texts], np.array(ys)
+    x, of = np.zeros((len(ys), 4)), _folds(y)
+    for k in range(FOLDS):
+        rest, out = np.flatnonzero(of != k), np.flatnonzero(of == k)
+        if len(out):
+            x[out] = judged_features(field([split[i] for i in rest], y[rest].tolist(), **bounds), [split[i] for i in out])
+    return with_documents(field(split, ys, **bounds), x, y)
+
+
+def _folds(y: np.ndarray) -> np.ndarray:
+    """The part that each row is in; classes are dealt out evenly."""
+    of = np.empty(len(y), int)
+    for c in np.unique(y):
+        at = np.flatnonzero(y == c)
+        of[at] = np.arange(len(at)) % FOLDS
+    return of
 
 
 def _steps(lines: list, tags: list, w: np.ndarray, trans: np.ndarray, start: float, rounds: int) -> tuple:
@@ -268,9 +315,20 @@ def _steps(lines: list, tags: list, w: np.ndarray, trans: np.ndarray, start: flo
 
 
 def _fitted(**bounds: int):
+    """A field for each left-out part, with the features of that part's documents; part FOLDS leaves out nothing and gives its model."""
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = pd.concat([*frames, pd.DataFrame({"text": [], "y": [], "h_": []})]).sort_values(["h_", "text"])
-        yield pd.DataFrame({"model": [fit(rows["text"].tolist(), [int(y) for y in rows["y"]], **bounds)]})
+        rows = pd.concat([pd.DataFrame({"leave": [], "text": [], "y": [], "h_": []}), *frames])
+        for leave, own in rows.groupby("leave"):
+            own = own.sort_values(["h_", "text"])
+            split, y = [lines_of(t) for t in own["text"]], own["y"].to_numpy(int)
+            of = _folds(y)
+            model = field([split[i] for i in np.flatnonzero(of != leave)], y[of != leave].tolist(), **bounds)
+            if leave == FOLDS:
+                yield pd.DataFrame({"model": [model], "y": [None], "x": [None]})
+            else:
+                out = np.flatnonzero(of == leave)
+                yield pd.DataFrame({"model": None, "y": y[out], "x": judged_features(model, [split[i] for i in out])})
 
     return run
 
@@ -278,11 +336,17 @@ def _fitted(**bounds: int):
 def train(documents: DataFrame, labels: DataFrame, label: str = "toxic", parts: int = 4, held: int = 2, per_class: int = PER_CLASS, **bounds: int) -> bytes:
     """The model's bytes, fitted to a bounded sample of labelled rows whose fold isn't held out.
 
-    bounds are fit()'s toxic_lines, plain_lines and line_words.
+    bounds are field()'s toxic_lines, plain_lines and line_words. The fields are fitted in a task each; four numbers for each
+    document of the sample come back for the fit of the document score.
     """
-    sample = labelled_sample(documents, labels, label, parts, held, per_class).repartition(1)
-    rows = stored(sample.mapInPandas(_fitted(**bounds), "model binary"), "toxicity-model").collect()
-    return bytes(rows[0].model) if rows else fit([], [])
+    sample = stored(labelled_sample(documents, labels, label, parts, held, per_class), "toxicity-sample")
+    classes = [r.y for r in sample.select("y").distinct().collect()]
+    if len(classes) < 2:
+        return plain_model(classes)
+    dealt = sample.select("text", "y", "h_", F.explode(F.array(*map(F.lit, range(FOLDS + 1)))).alias("leave")).repartitionByRange(FOLDS + 1, "leave")
+    rows = stored(dealt.mapInPandas(_fitted(**bounds), "model binary, y int, x array<double>"), "toxicity-model").collect()
+    judged = sorted((r.y, *r.x) for r in rows if r.model is None)
+    return with_documents(next(bytes(r.model) for r in rows if r.model is not None), np.array([r[1:] for r in judged]), np.array([r[0] for r in judged]))
 
 
 def _tagged(model):
