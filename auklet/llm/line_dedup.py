@@ -1,13 +1,15 @@
 """Passages that repeat across documents: lines, cut further at sentence ends, are normalised and hashed.
 
 Digests are grouped globally and the earliest document keeps its occurrence. A passage rarely comes alone on its line, so
-a line is cut after . ! or ? before white space, and after the full stops of scripts without spaces. What goes is a run of
-neighbouring repeated units of MIN_WORDS words or more together, so one common sentence in a fresh line stays; and, where
-`lines` is asked for, each whole line that was a unit before, whatever its neighbours. Units of fewer than FEW_WORDS words
-say nothing by themselves; inside a run or a line they go with it. A character of a script without spaces counts as a word.
+a line is cut after . ! or ? before white space, and after the full stops of scripts without spaces. By default every
+repeated line and sentence goes. With min_words, sentences go in runs of neighbouring repeated units of so many words
+together, so one common sentence in a fresh line stays; whole repeated lines still go by themselves while `lines` holds.
+Units of fewer than `few` words say nothing by themselves; inside a run or a line they go with it. A character of a script
+without spaces counts as a word.
 
 Rows of units are small, hot digests are combined before the shuffle, and the join of units with the repeated digests needs
-no rows of a key together, so adaptive execution can split a hot line.
+no rows of a key together, so adaptive execution can split a hot line. What a row repeats is gathered by 128 bits of its
+doc_id and text, so rows of one doc_id, or without one, are neither mixed up nor gathered in one task.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 from auklet.llm.common import stored
 from auklet.llm.decontaminate import bench_words
 
-MIN_WORDS, FEW_WORDS = 25, 3
+MIN_WORDS, FEW_WORDS = 1, 1
 _UNIT = re.compile(r"[^\n]*?(?:[.!?]+(?=[^\S\n])|[\u3002\uff01\uff0e\uff1f\uff61\u104b\u17d4]+[\u300d\u300f\u201d\uff09]*)|[^\n]+")
 _LINE = re.compile(r"[^\n]+")
 #: Letters of scripts without spaces: Thai, Lao, Burmese, Khmer, kana, Han and their extensions.
@@ -72,86 +74,88 @@ def placed_units(text: str | None, few: int = FEW_WORDS, lines: bool = False) ->
 
 
 def _units(few: int, lines: bool):
-    names = ["doc", "spot", "start", "size", "words", "again", "whole", "digest"]
+    names = ["doc", "ka", "kb", "place", "start", "size", "words", "again", "whole", "digest"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                docs, n, rows, seen_before = [], [], [], []
-                spots = []
-                for doc, text, row in zip(*(part[c].to_pylist() for c in ("doc", "text", "row")), strict=True):
+                n, rows, again = [], [], []
+                for text in part["text"].to_pylist():
                     found, seen = placed_units(text, few, lines), set()
                     for u in found:
-                        seen_before.append(u[3] in seen)
+                        again.append(u[3] in seen)
                         seen.add(u[3])
-                        spots.append((row << 40) | u[5])
-                    docs.append(doc)
                     n.append(len(found))
                     rows += found
                 columns = list(zip(*rows, strict=True)) or [[]] * 6
                 start, stop = np.array(columns[0], np.int32), np.array(columns[1], np.int32)
-                arrays = [np.repeat(np.array(docs, np.int64), n), np.array(spots, np.int64), start, stop - start, np.array(columns[2], np.int32), np.array(seen_before, bool), np.array(columns[4], bool)]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, arrays), pa.array(columns[3], pa.binary())], names=names)
+                of = pa.array(np.repeat(np.arange(part.num_rows), n))
+                arrays = [np.array(columns[5], np.int64), start, stop - start, np.array(columns[2], np.int32), np.array(again, bool), np.array(columns[4], bool)]
+                yield pa.RecordBatch.from_arrays([*(part[c].take(of) for c in ("doc", "ka", "kb")), *map(pa.array, arrays), pa.array(columns[3], pa.binary())], names=names)
 
     return run
 
 
-_LAST = (1 << 63) - 1
-#: Tells rows of one doc_id apart by their text.
-_ROW = "cast(pmod(xxhash64(text), 32768) as long)"
+def _row_key() -> dict[str, F.Column]:
+    """128 bits that stand for a row (doc, text) by both; rows that agree in them repeat each other."""
+    return {k: F.xxhash64(F.lit(seed), F.col("doc").isNull(), "doc", "text") for seed, k in enumerate(("ka", "kb"))}
 
 
 def _keyed(documents: DataFrame) -> DataFrame:
-    rows = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return rows.withColumn("row", F.expr(_ROW))
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return rows.withColumns(_row_key())
 
 
-def repeats(documents: DataFrame, min_words: int = MIN_WORDS, few: int = FEW_WORDS, lines: bool = False) -> DataFrame:
-    """(doc, row, spans): what to remove of each document that repeats something; spans are (start, stop, first_doc), in order."""
-    kind = "doc long, spot long, start int, size int, words int, again boolean, whole boolean, digest binary"
+def repeats(documents: DataFrame, min_words: int = MIN_WORDS, few: int = FEW_WORDS, lines: bool = True) -> DataFrame:
+    """(ka, kb, spans): what to remove of each row that repeats something; spans are (start, stop, first_doc), in order."""
+    kind = "doc long, ka long, kb long, place long, start int, size int, words int, again boolean, whole boolean, digest binary"
     found = _keyed(documents).mapInArrow(_units(few, lines), kind)
-    firsts = found.groupBy("digest").agg(F.min("doc").alias("first_doc"), F.max("doc").alias("last_doc")).where("first_doc < last_doc")
-    firsts = stored(firsts.select("digest", "first_doc"), "firsts")
-    repeated = found.join(firsts, "digest", "left").where("again or doc <> first_doc")
-    repeated = repeated.select("doc", F.shiftright("spot", 40).alias("row"), "spot", "start", "size", "words", "whole", F.coalesce("first_doc", "doc").alias("first_doc")).distinct()
-    w = Window.partitionBy("doc", "row").orderBy("spot")
-    repeated = repeated.withColumn("run", F.col("spot") - F.row_number().over(w))
+    firsts = found.groupBy("digest").agg(F.min("doc").alias("first_doc"), F.max("doc").alias("last_doc"), F.max(F.col("doc").isNull()).alias("loose"))
+    firsts = firsts.where("first_doc < last_doc or (loose and first_doc is not null)")  # of null ids alone, or of one id, nothing goes
+    firsts = stored(firsts.select("digest", "first_doc"), "firsts").withColumn("met", F.lit(True))
+    later = F.col("again") | (F.col("met") & ~F.col("doc").eqNullSafe(F.col("first_doc")))
+    first = F.when(F.col("met"), F.col("first_doc")).otherwise(F.col("doc")).alias("first_doc")
+    repeated = found.join(firsts, "digest", "left").where(later).select("ka", "kb", "place", "start", "size", "words", "whole", first).distinct()
+    w = Window.partitionBy("ka", "kb").orderBy("place")
+    repeated = repeated.withColumn("run", F.col("place") - F.row_number().over(w))
     stop = (F.col("start") + F.col("size")).alias("stop")
     span = F.struct("start", stop, "first_doc")
-    runs = repeated.groupBy("doc", "row", "run").agg(F.min("start").alias("start"), F.max(stop).alias("stop"), F.sum("words").alias("words"), F.min_by("first_doc", "spot").alias("first_doc"), F.collect_list(F.when(F.col("whole"), span)).alias("lines"))
-    runs = runs.select("doc", "row", F.explode(F.when(F.col("words") >= min_words, F.array(F.struct("start", "stop", "first_doc"))).otherwise(F.col("lines"))).alias("span")).select("doc", "row", "span.*")
+    runs = repeated.groupBy("ka", "kb", "run").agg(F.min("start").alias("start"), F.max(stop).alias("stop"), F.sum("words").alias("words"), F.min_by("first_doc", "place").alias("first_doc"), F.collect_list(F.when(F.col("whole"), span)).alias("lines"))
+    runs = runs.select("ka", "kb", F.explode(F.when(F.col("words") >= min_words, F.array(F.struct("start", "stop", "first_doc"))).otherwise(F.col("lines"))).alias("span")).select("ka", "kb", "span.*")
     if lines:  # a line and the run of its sentences are one span
-        w = Window.partitionBy("doc", "row").orderBy("start", F.desc("stop"))
+        w = Window.partitionBy("ka", "kb").orderBy("start", F.desc("stop"))
         fresh = F.coalesce(F.col("start") >= F.max("stop").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
         runs = runs.withColumn("fresh", fresh.cast("int")).withColumn("part", F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-        runs = runs.groupBy("doc", "row", "part").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.min_by("first_doc", F.struct("start", -F.col("stop"))).alias("first_doc"))
-    return runs.groupBy("doc", "row").agg(F.sort_array(F.collect_list(F.struct("start", "stop", "first_doc"))).alias("spans"))
+        runs = runs.groupBy("ka", "kb", "part").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.min_by("first_doc", F.struct("start", -F.col("stop"))).alias("first_doc"))
+    return runs.groupBy("ka", "kb").agg(F.sort_array(F.collect_list(F.struct("start", "stop", "first_doc"))).alias("spans"))
 
 
-def line_report(documents: DataFrame, min_words: int = MIN_WORDS, few: int = FEW_WORDS, lines: bool = False) -> DataFrame:
+def line_report(documents: DataFrame, min_words: int = MIN_WORDS, few: int = FEW_WORDS, lines: bool = True) -> DataFrame:
     """(doc_id, n_chars, kept_chars, n_spans, spans, repeats_of) of every row of documents.
 
     spans are what goes, as offsets (code points) in the original, each with the document that keeps it; repeats_of are
     those documents, sorted. The earliest doc_id keeps a passage, null ids come last; within a document the first
-    occurrence stays. Rows of one doc_id keep what they share. Null, empty and wordless texts have nothing to remove.
-    With `lines` each whole repeated line goes, without it runs only. Other columns are ignored. An empty table gives an
-    empty result.
+    occurrence stays. Rows of one doc_id, or without one, keep what they share, each with spans by its own text. Null, empty
+    and wordless texts have nothing to remove. Other columns are ignored. An empty table gives an empty result.
+
+    By default every repeated unit goes: min_words asks for runs of so many words, which whole lines needn't make while
+    `lines` holds, and few leaves out units of fewer words.
     """
-    rows = _keyed(documents).select("doc", "row", F.length("text").cast("long").alias("n_chars"))
-    out = rows.join(repeats(documents, min_words, few, lines), ["doc", "row"], "left")
+    rows = _keyed(documents).select("doc", "ka", "kb", F.length("text").cast("long").alias("n_chars"))
+    out = rows.join(repeats(documents, min_words, few, lines), ["ka", "kb"], "left")
     none = F.array().cast("array<struct<start:int,stop:int,first_doc:bigint>>")
     out = out.withColumn("spans", F.coalesce("spans", none))
     gone = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
-    of = F.array_sort(F.array_distinct(F.transform("spans", lambda s: s["first_doc"])))
-    doc_id = F.when(F.col("doc") != _LAST, F.col("doc")).alias("doc_id")
-    return out.select(doc_id, "n_chars", (F.col("n_chars") - gone).alias("kept_chars"), F.size("spans").alias("n_spans"), "spans", of.alias("repeats_of"))
+    of = F.array_sort(F.array_compact(F.array_distinct(F.transform("spans", lambda s: s["first_doc"]))))
+    return out.select(F.col("doc").alias("doc_id"), "n_chars", (F.col("n_chars") - gone).alias("kept_chars"), F.size("spans").alias("n_spans"), "spans", of.alias("repeats_of"))
 
 
-def without_repeats(documents: DataFrame, min_words: int = MIN_WORDS, few: int = FEW_WORDS, lines: bool = False) -> DataFrame:
+def without_repeats(documents: DataFrame, min_words: int = MIN_WORDS, few: int = FEW_WORDS, lines: bool = True) -> DataFrame:
     """documents with the repeated passages taken out of text; columns and rows stay."""
-    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("own"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    rows = rows.withColumn("row", F.expr(_ROW)).join(repeats(documents, min_words, few, lines), ["doc", "row"], "left")
+    own = F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("own")
+    rows = documents.select(own, F.col("doc_id").cast("long").alias("doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = rows.withColumns(_row_key()).join(repeats(documents, min_words, few, lines), ["ka", "kb"], "left")
     parts = F.transform(F.col("spans"), lambda s, k: F.substring("text", F.when(k == 0, 1).otherwise(F.col("spans")[k - 1]["stop"] + 1), s["start"] - F.when(k == 0, 0).otherwise(F.col("spans")[k - 1]["stop"])))
     rest = F.substring(F.col("text"), F.element_at("spans", -1)["stop"] + 1, F.length("text"))
     text = F.when(F.col("spans").isNull(), F.col("own.text")).otherwise(F.concat(F.array_join(parts, ""), rest))
