@@ -3,7 +3,10 @@
 Sizes are counted in words. What a source's whole passes leave of its target is filled by documents of that source: first
 the same share of every length, then documents of remaining lengths while more than the reach of the dynamic program is
 missing, then a bounded-knapsack program over the counts of each length hits the rest as nearly as it can be hit. Only
-counts by (source, length) go to that step; which documents of a length are taken follows from a seeded hash.
+counts by (source, length) go to that step; which documents of a length are taken follows from a seeded hash of the row.
+
+Words are counted in one pass over the texts, whose table of (source, size, hashes) serves all counts; a second pass over the
+rows gives the output.
 """
 
 from __future__ import annotations
@@ -113,18 +116,22 @@ def mixture(documents: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: f
 
     Sources weigh `weights` in turn by code point, null last, and share `share` times all words; no source's target passes
     `most` times its words, and no document is taken more than ceil(most) times. A null text has size 0 and takes no words;
-    such documents have the copies of their source's whole passes. Repeated rows count each. Reruns agree: ties in the
-    seeded hash are rows of one doc_id and size, of which any is the same choice. New columns replace documents' columns
-    of the same name. An empty table gives an empty result.
+    such documents have the copies of their source's whole passes. Repeated rows count each. Reruns agree, however rows are
+    dealt: the seeded hash is of the whole row, so rows of one doc_id, or without one, differ by their other columns, and
+    where all columns are equal any row is the same choice. New columns replace documents' columns of the same name. An
+    empty table gives an empty result.
     """
     new = ("size", "source_size", "target", "taken", "copies")
     names = [c for c in documents.columns if c not in new]
     size = F.coalesce(F.regexp_count("text", F.lit(SPACE_WORDS)), F.lit(0)).cast("long")
     named = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))
-    rows = documents.select(*[F.col(f"`{c}`") for c in names], size.alias("size"), named.alias("source_"))
-    slot = (F.xxhash64(F.lit(seed), "doc_id").bitwiseAND((1 << 52) - 1) / float(1 << 52)).alias("slot_")
+    row = [F.col(f"`{c}`") for c, kind in documents.dtypes if not any(x in kind for x in ("map<", "variant"))]  # kinds that have no hash
+    slot = (F.xxhash64(F.lit(seed), *row).bitwiseAND((1 << 52) - 1) / float(1 << 52)).alias("slot_")
+    keys = [size.alias("size"), named.alias("source_"), slot, F.xxhash64(F.lit(seed + 1), *row).alias("tie_")]
+    rows = documents.select(*[F.col(f"`{c}`") for c in names], *keys)
+    counted = stored(documents.select("source", *keys), "counted")
 
-    hist = stored(rows.groupBy("source_", "size").agg(F.first("source").alias("source"), F.count("*").alias("n")), "lengths")
+    hist = stored(counted.groupBy("source_", "size").agg(F.first("source").alias("source"), F.count("*").alias("n")), "lengths")
     words = hist.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("words"))
     wanted = targets([(r.source, r.words) for r in words.toLocalIterator()], weights, share, most)
     goal = rows.sparkSession.createDataFrame([(_named(s), float(t)) for s, t in wanted.items()], "source_ string, target double")
@@ -132,13 +139,14 @@ def mixture(documents: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: f
     plan = stored(hist.join(goal, "source_").select("source_", "size", "n", "target").groupBy("source_").applyInPandas(_planned, plan_schema), "plan")
 
     # documents of a length, in the order of their slots, are counted in parts of about RANKED rows; each part knows how many of its rows are still to take
-    met = rows.select("*", slot).join(plan, ["source_", "size"]).withColumn("part_", F.floor(F.col("slot_") * F.ceil(F.col("n") / RANKED)))
-    parts = met.groupBy("source_", "size", "part_").agg(F.count("*").alias("here_"), F.first("extra").alias("extra_"))
+    part = F.floor(F.col("slot_") * F.ceil(F.col("n") / RANKED)).alias("part_")
+    parts = counted.join(plan, ["source_", "size"]).groupBy("source_", "size", part).agg(F.count("*").alias("here_"), F.first("extra").alias("extra_"))
     before = Window.partitionBy("source_", "size").orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)
     quota = F.greatest(F.lit(0), F.col("extra_") - F.coalesce(F.sum("here_").over(before), F.lit(0)))
     parts = stored(parts.select("source_", "size", "part_", quota.alias("quota_")), "parts")
-    rank = F.row_number().over(Window.partitionBy("source_", "size", "part_").orderBy("slot_", "doc_id"))
-    out = met.join(parts, ["source_", "size", "part_"]).withColumn("copies", (F.col("passes") + (rank <= F.col("quota_")).cast("int")).cast("int"))
+    met = rows.join(plan, ["source_", "size"]).withColumn("part_", part).join(parts, ["source_", "size", "part_"])
+    rank = F.row_number().over(Window.partitionBy("source_", "size", "part_").orderBy("slot_", "tie_"))
+    out = met.withColumn("copies", (F.col("passes") + (rank <= F.col("quota_")).cast("int")).cast("int"))
     return out.select(*[F.col(f"`{c}`") for c in names], "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 

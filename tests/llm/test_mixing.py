@@ -67,3 +67,12 @@ def test_rows_repeat_and_keep_their_columns(spark):
     want = sum(r.copies for r in mixture(df.select("doc_id", "text", "source")).collect())
     assert out.count() == want
     assert mixture(df.limit(0).select("doc_id", "text", "source")).count() == 0 and mixed_rows(df.limit(0)).count() == 0
+
+
+def test_reruns_agree_for_one_doc_id_and_for_none(spark):
+    """900 rows of one doc_id and 900 without one, with different texts of few lengths: the same texts are taken however rows are dealt."""
+    rng = random.Random(6)
+    rows = [(d, " ".join(f"w{rng.randrange(99)}" for _ in range(rng.randrange(1, 5))), "ab"[k % 2], k) for k in range(900) for d in (7, None)]
+    df = spark.createDataFrame(rows, SCHEMA + ", extra int")
+    runs = [sorted(map(repr, mixed_rows(x).collect())) for x in (df, df.repartition(7), df.orderBy(F.desc("extra")).repartition(3, "text"))]
+    assert runs[0] == runs[1] == runs[2] and len(runs[0]) > 900
