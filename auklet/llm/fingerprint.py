@@ -119,35 +119,49 @@ def _compared(size: int):
     return run
 
 
-#: Most groups of consecutive documents.
-GROUPS = 10_000
+#: Most groups of consecutive documents; heads and cuts of that many are held by the driver.
+GROUPS = 100_000
 
 
 def fingerprints(documents: DataFrame, shingle: int = 5, rows_a_group: int = 250) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of every row of documents.
 
-    Documents follow each other by descending doc_id, rows of one doc_id by their text, null ids last; the first follows the
-    last. Null texts are empty; equal texts have equal fingerprints; texts without words are like each other only. A lone
-    document is its own next. Other columns are ignored. An empty table gives an empty result.
+    Documents follow each other by descending doc_id, rows of one doc_id by a hash of their text, null ids last; the first
+    follows the last. Null texts are empty; equal texts have equal fingerprints; texts without words are like each other only.
+    A lone document is its own next. Other columns are ignored. An empty table gives an empty result.
 
-    Rows are dealt to groups of consecutive ids, cut at quantiles; a task streams over sorted groups, holding two texts. The
-    first row of a group is also the guest at the end of the group before it, so whole texts move once.
+    Rows are dealt to groups of consecutive ids, cut at quantiles; a doc_id, or none, that has more rows than a few groups is
+    cut further at even steps of the hash. A task streams over sorted groups, holding two texts. The first row of a group is
+    also the guest at the end of the group before it, so whole texts move once.
     """
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), key.alias("key"))
-    groups = min(GROUPS, max(1, rows.count() // rows_a_group))
-    cuts = np.unique(rows.approxQuantile("key", [k / groups for k in range(1, groups)], 1 / (4 * groups))) if groups > 1 else np.empty(0)
-
-    @F.pandas_udf("int")
-    def group(keys: pd.Series) -> pd.Series:
-        return pd.Series(len(cuts) - np.searchsorted(cuts, keys.to_numpy().astype(float)), dtype="int32")
-
-    heads = rows.groupBy(group("key").alias("group")).agg(F.max("key").alias("key")).orderBy("group").collect()  # GROUPS rows at most
-    guests = [(heads[(k + 1) % len(heads)].key, h.group) for k, h in enumerate(heads)]
-    guests = documents.sparkSession.createDataFrame(guests, "key long, before int")
-    rows = rows.withColumn("group", group("key")).join(F.broadcast(guests), "key", "left")
+    rows = rows.withColumn("hash", F.xxhash64("text"))
+    total = rows.count()
+    each = max(rows_a_group, total // GROUPS, 1)
+    groups = max(1, total // each)
+    hot = rows.groupBy("key").count().where(F.col("count") > 4 * each).orderBy("key").collect() if groups > 1 else []  # a quarter of GROUPS at most
+    cuts = rows.approxQuantile("key", [k / groups for k in range(1, groups)], 1 / (4 * groups)) if groups > 1 else []
+    cuts = np.unique(np.array([*(min(int(c), (1 << 63) - 1) for c in cuts), *(k for h in hot for k in (h.key, max(h.key, 1 - (1 << 63)) - 1))], np.int64))  # a hot key is a group of its own
+    hot_keys, hot_parts = np.array([h.key for h in hot], np.int64), np.array([-(-h["count"] // each) for h in hot], np.uint64)
+
+    @F.pandas_udf("long")
+    def group(keys: pd.Series, hashes: pd.Series) -> pd.Series:
+        k = keys.to_numpy(np.int64)
+        place = (len(cuts) - np.searchsorted(cuts, k)).astype(np.int64) << 32
+        if len(hot_keys):
+            at = np.minimum(np.searchsorted(hot_keys, k), len(hot_keys) - 1)
+            high = (hashes.to_numpy(np.int64).view(np.uint64) ^ np.uint64(1 << 63)) >> np.uint64(32)
+            place += np.where(hot_keys[at] == k, (high * hot_parts[at]) >> np.uint64(32), 0).astype(np.int64)
+        return pd.Series(place)
+
+    first = F.max(F.struct("key", F.bitwise_not("hash").alias("low"))).alias("head")
+    heads = rows.groupBy(group("key", "hash").alias("group")).agg(first).orderBy("group").collect()  # about GROUPS rows
+    guests = [(heads[(k + 1) % len(heads)].head.key, ~heads[(k + 1) % len(heads)].head.low, h.group) for k, h in enumerate(heads)]
+    guests = documents.sparkSession.createDataFrame(guests, "key long, hash long, before long")
+    rows = rows.withColumn("group", group("key", "hash")).join(F.broadcast(guests), ["key", "hash"], "left")
     places = F.array(F.struct("group", F.lit(0).alias("guest")), F.when(F.col("before").isNotNull(), F.struct(F.col("before").alias("group"), F.lit(1).alias("guest"))))
-    rows = rows.withColumn("place", F.explode(F.array_compact(places))).select("doc_id", "text", "key", "place.group", "place.guest")
-    rows = rows.repartition("group").sortWithinPartitions("group", "guest", F.desc("key"), "text").select("doc_id", "text", "group", "guest")
+    rows = rows.withColumn("place", F.explode(F.array_compact(places))).select("doc_id", "text", "key", "hash", "place.group", "place.guest")
+    rows = rows.repartition("group").sortWithinPartitions("group", "guest", F.desc("key"), "hash", "text").select("doc_id", "text", "group", "guest")
     kinds = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     return rows.mapInArrow(_compared(shingle), kinds)

@@ -58,9 +58,20 @@ def test_rows_follow_each_other(spark):
 
 def test_lone_repeated_null_and_empty(spark):
     one = fingerprints(spark.createDataFrame([(1, "a b c d e f")], SCHEMA)).first()
-    assert one.near_next == 1.0 and one.edited_sha256 == hashlib.sha256(b"a b c da b ").hexdigest() or one.n_chars == 11
+    assert one.n_chars == 11 and one.near_next == 1.0 and one.edited_sha256 == hashlib.sha256(b"a b c d a b").hexdigest()
     rows = [(1, "x y z"), (1, "x y z"), (1, "other words"), (None, "none"), (None, None), (2, "x y z")]
     got = fingerprints(spark.createDataFrame(rows, SCHEMA), rows_a_group=1).collect()
     assert Counter((r.doc_id, r.n_chars) for r in got) == Counter((d, len(t or "")) for d, t in rows)
     assert len({r.fingerprint for r in got if r.n_chars == 5}) == 1
     assert fingerprints(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_hot_doc_ids_are_cut_by_text(spark):
+    """A doc_id and the null id with a third of all rows each: every row is followed by the next one of some order by doc_id."""
+    rows = [(7, f"seven {k} a b c d") for k in range(400)] + [(None, f"none {k} a b c d") for k in range(400)] + [(k, f"own {k} text") for k in range(8, 400)] + [(-5, "last")]
+    out = fingerprints(spark.createDataFrame(rows, SCHEMA).repartition(5), rows_a_group=10)
+    got = out.collect()
+    s = Sampler()
+    assert Counter((r.doc_id, r.fingerprint) for r in got) == Counter((d, s.sample(t).tobytes().hex()) for d, t in rows)
+    shas = {(d, hashlib.sha256(edited(t, u).encode()).hexdigest()) for d, t in rows for u in (t2 for d2, t2 in rows if d2 == d or d == 8 and d2 == 7 or d == 7 and d2 == -5 or d == -5 and d2 is None or d is None and d2 == 399 or d2 is not None and d is not None and d2 == d - 1)}
+    assert all((r.doc_id, r.edited_sha256) in shas for r in got) and len({r.edited_sha256 for r in got}) > 1100
