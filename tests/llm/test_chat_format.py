@@ -58,3 +58,13 @@ def test_parts_and_tokens(spark):
 
 def test_empty(spark):
     assert c.read_back(c.formatted(spark.createDataFrame([], SCHEMA))).count() == 0
+
+
+def test_hot_conversation_is_encoded_in_parts(spark):
+    """A third of all turns in one conversation, null turns and equal turns in it: many parts, over many tasks, and the same digests."""
+    rng = random.Random(4)
+    rows = [(5, k if k % 50 else None, rng.choice(["user", "assistant"]), f"hot {k} " + "words " * rng.randrange(9)) for k in range(9000)]
+    rows += [(5, 17, "assistant", "again"), *((100 + k, 0, "assistant", f"own {k}") for k in range(3000)), *((None, k, "user", "none") for k in range(2000))]
+    parts = c.formatted(spark.createDataFrame(rows, SCHEMA).repartition(5), part_chars=3000)
+    assert parts.where("conv_id = 5").count() > 50 and parts.where("conv_id <> 5 or conv_id is null").groupBy("conv_id").count().where("count > 1").count() <= 1
+    assert {r.conv_id: tuple(r)[1:] for r in c.read_back(parts).collect()} == brute(rows)
