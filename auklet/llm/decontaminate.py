@@ -1,9 +1,9 @@
 """Benchmark passages in documents, found by an Aho-Corasick automaton over the benchmark's word windows.
 
 Each distinct word of the benchmark becomes one character, each window of words one pattern; a document becomes one
-string, with a character of its own for words that no item has, and is scanned once. A batch of at most MAX_WORDS
-benchmark words goes into one automaton (about 100 MB in a task); a larger benchmark takes further scans of the same
-rows, one for each batch, so nothing depends on the benchmark being small.
+string, with a character of its own for words that no item has, and is scanned once. An automaton of MAX_WORDS benchmark words
+takes about 100 MB in a task. A larger benchmark is cut into overlapping pieces of items, which are dealt to several
+automata; each scans all rows in a pass of its own, and only one batch of pieces is held by the driver and the workers at a time.
 """
 
 from __future__ import annotations
@@ -17,8 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from auklet.llm.common import stored
+
 #: Benchmark words in one automaton.
 MAX_WORDS = 150_000
+#: Words of an item in one piece, besides the overlap.
+PIECE_WORDS = 10_000
 #: Bytes that belong to words, lower-cased; all other bytes separate. Bytes above 0x7F are parts of characters that count as word characters.
 _BYTES = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
 #: The same words in the original text, for their offsets.
@@ -127,6 +131,21 @@ def _reported(with_text: bool):
     return run
 
 
+def _cut(size: int, each: int):
+    """Items of more than `each` words in pieces that overlap by a window less one word, so every window is in one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, text in zip(batch["item"].to_pylist(), batch["text"].to_pylist(), strict=True):
+                words = bench_words(text)
+                cut = [words[k : k + each + size - 1] for k in range(0, max(1, len(words) - size + 1), each)] if words else []
+                for at in range(0, len(cut), 64):
+                    own = cut[at : at + 64]
+                    yield pa.RecordBatch.from_arrays([pa.array([item] * len(own)), pa.array([b" ".join(w).decode("utf-8", "surrogatepass") for w in own]), pa.array(map(len, own), pa.int64())], names=["item", "text", "words"])
+
+    return run
+
+
 def contamination(documents: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20, keep_text: bool = False, max_words: int = MAX_WORDS) -> DataFrame:
     """Per row of documents: row_ (a struct of its columns but text), n_words, n_hit, n_items, items_sha256, items, spans, contaminated.
 
@@ -135,7 +154,8 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = 13,
     benchmark contaminates nothing. Repeated rows are judged each. Other columns ride along in row_, whatever their names.
     """
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    total = items.agg(F.sum(F.regexp_count("text", F.lit(_WORD.pattern)))).first()[0] or 0
+    items = stored(items.mapInArrow(_cut(window, min(PIECE_WORDS, max_words)), "item string, text string, words long").distinct(), "items")
+    total = items.agg(F.sum("words")).first()[0] or 0
     batches = max(1, -(-total // max_words))
     others = [F.col(f"`{c}`") for c in documents.columns if c != "text"]
     rows = documents.select((F.struct(*others) if others else F.struct(F.lit(None).cast("int").alias("none"))).alias("row_"), F.col("text").cast("string").alias("text_"))
@@ -146,10 +166,13 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = 13,
     report = _reported(keep_text)
     for k in range(batches):
         own = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(batches)) == k)
-        held = documents.sparkSession.sparkContext.broadcast([(r.item, r.text) for r in own.collect()])  # max_words words or so
+        held = documents.sparkSession.sparkContext.broadcast([(r.item, r.text) for r in own.toLocalIterator()])  # max_words words or so
         scan = _scan(held, window, k == 0, fields)
         last = k == batches - 1  # the last scan reports in the same worker
         rows = rows.mapInArrow((lambda found, scan=scan: report(scan(found))) if last else scan, out if last else state)
+        if not last:
+            rows = stored(rows, "scanned")
+            held.unpersist()
     return rows.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words")))
 
 

@@ -56,3 +56,17 @@ def test_edges(spark):
     assert kept.columns == d.columns and sorted(r.doc_id for r in kept.collect()) == [2, 3]
     assert contamination(d.limit(0), items).count() == 0
     assert contamination(d, items.limit(0)).where("contaminated").count() == 0
+
+
+def test_one_huge_item(spark):
+    """An item of 30,000 words is cut into overlapping pieces for several automata; windows across a cut are found."""
+    rng = random.Random(9)
+    item = [f"i{rng.randrange(4000)}" for _ in range(30_000)]
+    at = [rng.randrange(29_000) for _ in range(60)] + [10_000 * k - 6 for k in (1, 2)] + [500 * k - 6 for k in range(1, 20)]
+    docs = [(k, " ".join(["fresh", *item[a : a + rng.choice((12, 13, 14, 40))], "words"])) for k, a in enumerate(at)]
+    runs = {tuple(item[k : k + 13]) for k in range(len(item) - 12)}
+    want = {d: any(tuple(w[k : k + 13]) in runs for k in range(len(w) - 12)) for d, t in docs for w in [t.split()]}
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, "other item")], ITEMS)
+    for how in ({}, {"max_words": 8000}, {"max_words": 500}):
+        got = {r.row_.doc_id: r for r in contamination(spark.createDataFrame(docs, DOCS), bench, **how).collect()}
+        assert {d: r.contaminated for d, r in got.items()} == want and all(r["items"] == ["1"] * want[d] for d, r in got.items())
