@@ -103,5 +103,5 @@ def subscription_defaults(subscriptions: DataFrame, debounce_s: int = 60, min_se
 
 def upserted(table: DataFrame, changes: DataFrame, key: str, gone: str = "removed") -> DataFrame:
     """The table after changes (its columns and `removed`): changed rows replace those of the same key, removed ones go."""
-    kept = table.join(F.broadcast(changes.select(key)), key, "left_anti")
+    kept = table.join(changes.select(key).distinct(), key, "left_anti")
     return kept.unionByName(changes.where(~F.col(gone)).select(*table.columns))

@@ -83,11 +83,17 @@ def not_repeated(events: DataFrame, key: str, seq: str) -> DataFrame:
 
 
 def matched(events: DataFrame, subscriptions: DataFrame) -> DataFrame:
-    """Event and subscription pairs: empty lists take any, the severity is at least the subscription's. Subscriptions are few and broadcast."""
-    e, s = events.alias("e"), F.broadcast(subscriptions.alias("s"))
+    """Event and subscription pairs: empty lists take any, the severity is at least the subscription's.
+
+    An event meets the subscriptions of its type and those of any type by an equi-join, so neither side need be small.
+    """
+    kinds = F.when(F.size("types") > 0, F.array_distinct(F.array_compact("types"))).otherwise(F.array(F.lit(None).cast("string")))
+    s = subscriptions.withColumn("kind_", F.explode(kinds)).alias("s")
+    e = events.withColumn("kind_", F.explode(F.array_distinct(F.array(F.col("type"), F.lit(None).cast("string"))))).alias("e")
     takes = lambda names, v: (F.size(f"s.{names}") == 0) | F.array_contains(f"s.{names}", F.col(f"e.{v}"))
     enough = (F.coalesce("s.min_severity", F.lit("")) == "") | (severity_rank(F.col("e.severity")) >= severity_rank(F.col("s.min_severity")))
-    return e.join(s, takes("types", "type") & takes("components", "component") & takes("npu_ids", "npu") & enough).select("e.*", F.col("s.id").alias("subscription"), "s.debounce_s")
+    met = e.join(s, F.col("e.kind_").eqNullSafe(F.col("s.kind_")) & takes("components", "component") & takes("npu_ids", "npu") & enough)
+    return met.select(*[F.col(f"e.{c}") for c in events.columns], F.col("s.id").alias("subscription"), "s.debounce_s")
 
 
 def debounced(pairs: DataFrame, keys: list[str], ts: str, gap: str, tie: str) -> DataFrame:
@@ -112,7 +118,7 @@ def actions(events: DataFrame, device_to_rank: DataFrame) -> DataFrame:
     """What a consumer does: recovered devices retry, lost cards and uncorrectable memory scale down, all else pauses; devices without a rank are left out."""
     lost = F.col("type").isin("card_drop", "npu_health", "hbm_uce", "ddr_uce")
     act = F.when(F.col("recovered"), "retry").when(lost, "scale_down").otherwise("pause")
-    return events.join(F.broadcast(device_to_rank), "npu").withColumn("action", act)
+    return events.join(device_to_rank, "npu").withColumn("action", act)
 
 
 def engine_table(status: DataFrame, key: str, seq: str) -> DataFrame:

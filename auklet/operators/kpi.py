@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from auklet.functions.scalars import quadrant, quadrant_order, severity, time_score
 from auklet.operators.aggregates import baselines, bucket, counter_delta, midmean, trend
+from auklet.session import settled
 
 # Fixed values: (metric, category, how cards are compared, counter)
 METRICS = [
@@ -23,6 +24,23 @@ METRICS = [
     ("roce_out_of_order", "communication", "absolute", True),
     ("roce_new_pkt_rty", "communication", "absolute", True),
 ]
+# Fixed values: (rule, cause, confidence, suggestion); {n} is the number of abnormal metrics
+CAUSES = [
+    ("hot and slow", "thermal_throttle", "high", "热降频。检查风扇转速/风道堵塞/机房环境温度"),
+    ("hot and drawing", "cooling_insufficient", "high", "散热能力不足。检查散热器接触/硅脂老化/风扇故障"),
+    ("slow", "forced_downclock", "medium", "强制降频（非热）。检查驱动/固件的频率策略配置"),
+    ("idle", "straggler", "high", "Straggler（卡空闲等待）。该卡可能在等通信/等数据，建议触发Profiling精查"),
+    ("less used", "load_imbalance", "medium", "计算负载不均。检查数据分发策略/模型并行切分是否均衡"),
+    ("memory", "mem_bottleneck", "low", "内存带宽瓶颈。检查HBM访问模式/是否有大量cache miss"),
+    ("hot alone", "temp_sensor_fault", "medium", "温度传感器漂移。交叉验证功率数据（真发热必伴随功率↑）"),
+    ("power alone", "unknown", "low", "单项功耗偏高。交叉验证：功率↑应伴随温度↑，否则可能是计量误差"),
+    ("compute", "unknown", "medium", "计算类异常（{n}个指标），但无法精确定界，建议人工分析"),
+    ("errors", "network_link_issue", "high", "网络物理链路故障。检查光模块/光纤/交换机端口CRC错误"),
+    ("pauses", "network_congestion", "high", "网络拥塞（PFC风暴）。检查交换机PFC配置/队列buffer/ECN标记"),
+    ("disorder", "network_packet_loss", "high", "RoCE网络丢包乱序。检查RoCE路径ECN配置/DCQCN参数"),
+    ("bandwidth", "bandwidth_limited", "medium", "通信带宽受限。检查网卡协商速率/PCIe带宽/光模块型号"),
+    ("communication", "unknown", "low", "通信类异常，但无法精确定界，建议人工分析"),
+]
 COUNTERS = [m for m, _, _, counter in METRICS if counter]
 
 
@@ -53,6 +71,7 @@ def minute_table(samples: DataFrame, s: Settings) -> DataFrame:
 
 def windows(minute: DataFrame, s: Settings) -> DataFrame:
     """Adds `detect`: whether the bucket is within the detection window that ends at the newest bucket; all before is baseline."""
+    minute = settled(minute)  # read for the newest bucket, and by what follows for the cards and both scores
     newest = minute.agg(F.max("bucket").alias("newest_"))  # one row
     return minute.join(F.broadcast(newest)).withColumn("detect", F.col("bucket") >= F.col("newest_") - s.detect_s).drop("newest_")
 
@@ -61,7 +80,8 @@ def space_points(detected: DataFrame, spark: SparkSession, s: Settings) -> DataF
     """A score for each card, metric and time against the other cards at that time; 999 stands for plainly abnormal."""
     rows = detected
     if s.absent_is_zero:
-        grid = detected.select("bucket", "metric").distinct().join(F.broadcast(detected.select("card").distinct()))
+        every = detected.select("card").distinct().withColumn("metric", F.explode(F.array(*[F.lit(m) for m, *_ in METRICS])))
+        grid = detected.select("bucket", "metric").distinct().join(every, "metric")
         rows = grid.join(detected, ["bucket", "metric", "card"], "left").withColumn("value", F.coalesce("value", F.lit(0.0)))
     rows = rows.join(registry(spark), "metric")
     w = Window.partitionBy("bucket", "metric")
@@ -128,11 +148,14 @@ def summaries(detail: DataFrame) -> DataFrame:
     flags = detail.withColumn("bad_", bad).withColumn("compute_", F.bool_or(bad & (F.col("category") == "compute")).over(Window.partitionBy("card")))
     main = F.col("bad_") & ((F.col("category") == "compute") | ~F.col("compute_"))
     has = {m: F.bool_or(F.col("bad_") & (F.col("metric") == m)).alias(f"b_{m}") for m, *_ in METRICS}
-    names = lambda cond: F.transform(F.sort_array(F.collect_list(F.when(cond, F.struct("ord", "metric")))), lambda x: x["metric"])
+    listed = lambda cond, *c: F.sort_array(F.collect_list(F.when(cond, F.struct("ord", "metric", *c))))
+    names = lambda cond: F.transform(listed(cond), lambda x: x["metric"])
+    evidence = F.transform(listed(main, F.col("quadrant").alias("of")), lambda x: F.concat(x["metric"], F.lit(":"), x["of"]))
     got = flags.groupBy("card").agg(
         F.bool_or("compute_").alias("compute"),
         F.bool_or(bad).alias("any_"),
         names(main).alias("abnormal"),
+        evidence.alias("evidence"),
         names(F.col("bad_") & F.col("compute_") & (F.col("category") == "communication")).alias("secondary"),
         F.coalesce(F.min(F.when(main, quadrant_order(F.col("quadrant")))), F.lit(3)).alias("order_"),
         F.coalesce(F.avg(F.when(main, F.col("fusion_score"))), F.lit(0.0)).alias("composite"),
@@ -140,19 +163,22 @@ def summaries(detail: DataFrame) -> DataFrame:
     )
     got = got.withColumn("quadrant", F.when(F.col("order_") == 0, "confirmed_anomaly").when(F.col("order_") == 1, "early_degradation").when(F.col("order_") == 2, "individual_variance").otherwise("normal"))
     got = got.withColumn("category", F.when(F.col("compute"), "compute").when(F.col("any_"), "communication").otherwise("none"))
-    return got.withColumns({"severity": severity(F.col("quadrant"), F.col("composite")), "cause": root_cause()}).select(
-        "card", "category", "quadrant", "composite", "severity", F.array_join("abnormal", ",").alias("abnormal"), F.array_join("secondary", ",").alias("secondary"), "cause"
-    )
+    cause = root_cause()
+    text = lambda c: F.array_join(c, ",").alias(c)
+    got = got.withColumns({"severity": severity(F.col("quadrant"), F.col("composite")), "cause_": F.when(F.col("quadrant") != "normal", cause)})
+    suggestion = F.replace(F.col("cause_.suggestion"), F.lit("{n}"), F.size("abnormal").cast("string"))
+    return got.select("card", "category", "quadrant", "composite", "severity", text("abnormal"), text("secondary"), "cause_.cause", "cause_.confidence", suggestion.alias("suggestion"), F.when(F.col("quadrant") != "normal", text("evidence")).alias("evidence"))
 
 
 def root_cause():
-    """The first rule that fits the card's abnormal metrics."""
+    """(cause, confidence, suggestion) of the first rule that fits the card's abnormal metrics."""
     t, p, f, u, h = (F.col(f"b_{m}") for m in ("temp", "power", "aicore_freq", "aicore_util", "hbm_util"))
     e, pfc, ooo, rty, tx = (F.col(f"b_{m}") for m in ("roce_tx_err_pkt", "rx_pfc_pkt", "roce_out_of_order", "roce_new_pkt_rty", "tx_bandwidth"))
-    compute = F.when(t & f, "thermal_throttle").when(t & p, "cooling_insufficient").when(f, "forced_downclock").when(p & u & h, "straggler")
-    compute = compute.when(u & ~h, "load_imbalance").when(h & ~u, "mem_bottleneck").when(t & ~p, "temp_sensor_fault").otherwise("unknown")
-    link = F.when(e, "network_link_issue").when(pfc, "network_congestion").when(ooo & rty, "network_packet_loss").when(tx & ~u, "bandwidth_limited").otherwise("unknown")
-    return F.when(F.col("quadrant") == "normal", F.lit(None).cast("string")).when(F.col("compute"), compute).otherwise(link)
+    of = {rule: F.struct(F.lit(cause).alias("cause"), F.lit(sure).alias("confidence"), F.lit(advice).alias("suggestion")) for rule, cause, sure, advice in CAUSES}
+    compute = F.when(t & f, of["hot and slow"]).when(t & p, of["hot and drawing"]).when(f, of["slow"]).when(p & u & h, of["idle"]).when(u & ~h, of["less used"]).when(h & ~u, of["memory"])
+    compute = compute.when(t & ~p, of["hot alone"]).when(p & ~u, of["power alone"]).otherwise(of["compute"])  # u and h go together from here on
+    link = F.when(e, of["errors"]).when(pfc, of["pauses"]).when(ooo & rty, of["disorder"]).when(tx & ~u, of["bandwidth"]).otherwise(of["communication"])
+    return F.when(F.col("compute"), compute).otherwise(link)
 
 
 def ranked(summary: DataFrame) -> DataFrame:

@@ -19,15 +19,34 @@ def renumbered(ranks: DataFrame, gone: DataFrame) -> DataFrame:
 
     Numbers are counted within ranges of ranks and those ranges' offsets added, so no task orders all of them.
     """
-    rows = ranks.select("rank").distinct().join(F.broadcast(gone.select("rank").distinct().withColumn("gone_", F.lit(True))), "rank", "left")
+    rows = ranks.select("rank").distinct().join(gone.select("rank").distinct().withColumn("gone_", F.lit(True)), "rank", "left")
     rows = rows.withColumns({"part_": F.floor(F.col("rank") / 4096), "on_": F.col("gone_").isNull().cast("long")})
     sizes = rows.groupBy("part_").agg(F.sum("on_").alias("n_"))
     offsets = sizes.withColumn("off_", F.coalesce(F.sum("n_").over(Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n_")
     place = F.sum("on_").over(Window.partitionBy("part_").orderBy("rank")) - 1
-    rows = rows.withColumn("k_", place).join(F.broadcast(offsets), "part_")
+    rows = rows.withColumn("k_", place).join(offsets, "part_")
     return rows.select("rank", F.when(F.col("on_") == 1, F.col("k_") + F.col("off_")).otherwise(F.lit(-1)).alias("new_rank"))
 
 
+def domains(ranks: DataFrame, excluded: DataFrame) -> DataFrame:
+    """(rank, old_dp, dp): the data-parallel group of each rank after groups are excluded: renumbered, -1 for the excluded and for ranks without one."""
+    known = ranks.where("dp >= 0").select(F.col("dp").alias("rank"))
+    moved = renumbered(known, excluded.select(F.col("dp").alias("rank"))).select(F.col("rank").alias("dp"), F.col("new_rank").alias("new_"))
+    return ranks.join(moved, "dp", "left").select("rank", F.col("dp").alias("old_dp"), F.coalesce("new_", F.lit(-1)).alias("dp"))
+
+
+def elastic_tables(ranks: DataFrame) -> DataFrame:
+    """(place, rank, local, back): the two tables that turn ranks (rank, dp; -1 is lost) into numbers among the survivors and back.
+
+    local is the rank's number among the survivors, -1 for the lost; back is the survivor that has the number `place`, -1 beyond them.
+    """
+    place = renumbered(ranks, ranks.limit(0)).withColumnRenamed("new_rank", "place")
+    local = renumbered(ranks, ranks.where("dp = -1")).withColumnRenamed("new_rank", "local")
+    back = local.where("local >= 0").select(F.col("local").alias("place"), F.col("rank").alias("back_"))
+    rows = place.join(local, "rank").join(back, "place", "left")
+    return rows.select("place", "rank", "local", F.coalesce("back_", F.lit(-1)).alias("back"))
+
+
 def even_experts(cards: DataFrame, experts: int, n_cards: int) -> DataFrame:
     """(card, expert): experts in order over cards, the first ones taking one more where they don't divide."""
     base, more = divmod(experts, n_cards)
@@ -37,16 +56,42 @@ def even_experts(cards: DataFrame, experts: int, n_cards: int) -> DataFrame:
 
 
 def redundant_experts(cards: DataFrame, experts: int, n_cards: int, redundant: int) -> DataFrame:
-    """(card, expert): the experts of which each card holds one more replica: the first of its own share."""
+    """(card, expert): the experts of which there is one replica more, each with the card whose own share it begins; the replica stands elsewhere."""
     each = redundant // n_cards
     start = F.col("card") * (experts // n_cards)
     return cards.where(F.lit(each > 0)).select("card", F.explode(F.sequence(start, start + max(each - 1, 0))).alias("expert"))
 
 
+def placed_replicas(experts: int, n_cards: int, redundant: int) -> list[tuple[int, int, int]]:
+    """(expert, physical place, card) of one layer: a card's own share first, then the next further replicas that it doesn't hold yet."""
+    if (experts + redundant) % n_cards or redundant % n_cards:
+        raise ValueError(f"{experts} experts and {redundant} replicas don't divide over {n_cards} cards")
+    slots, (base, more), each = (experts + redundant) // n_cards, divmod(experts, n_cards), redundant // n_cards
+    waiting = [card * base + k for card in range(n_cards) for k in range(each)]
+    out, first = [], 0
+    for card in range(n_cards):
+        held = list(range(first, first + base + (card < more)))
+        first += len(held)
+        while len(held) < slots:
+            if (taken := next((e for e in waiting if e not in held), None)) is None:
+                raise ValueError(f"card {card} has no replica left that it doesn't hold")
+            waiting.remove(taken)
+            held.append(taken)
+        out += [(e, card * slots + k, card) for k, e in enumerate(held)]
+    return out
+
+
+def physical_places(layers: DataFrame, experts: int, n_cards: int, redundant: int) -> DataFrame:
+    """(layer, expert, phys, card): where the replicas of each expert stand in every layer; the table of a layer is as large as the machine."""
+    table = placed_replicas(experts, n_cards, redundant)
+    spots = F.array(*[F.struct(F.lit(e).alias("expert"), F.lit(p).alias("phys"), F.lit(c).alias("card")) for e, p, c in table])
+    return layers.select("layer", F.explode(spots).alias("at")).select("layer", "at.*")
+
+
 def replicas(placed: DataFrame) -> DataFrame:
     """(layer, expert, places): the physical places (card * slots + slot) of each expert, in order; empty slots (-1) count for none."""
     slots = placed.groupBy("layer").agg((F.max("slot") + 1).alias("slots"))
-    rows = placed.where("expert >= 0").join(F.broadcast(slots), "layer")
+    rows = placed.where("expert >= 0").join(slots, "layer")
     return rows.groupBy("layer", "expert").agg(F.array_sort(F.collect_list(F.col("card") * F.col("slots") + F.col("slot"))).alias("places"))
 
 

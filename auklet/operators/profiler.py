@@ -25,6 +25,8 @@ DOMAIN_PRIORITY = ("tp", "exp", "ep", "tp_exp", "cp", "cp2", "cp_ulysses", "cp_r
 NO_COMM = ("pp", "embd")
 #: Bubbles above this many nanoseconds aren't reported.
 BUBBLE_LIMIT = 5000
+#: Operators of a rank whose times are ordered together.
+SLICE = 100_000
 _GROUP = "map<string,struct<group_name:string,global_ranks:array<int>>>"
 
 
@@ -92,8 +94,9 @@ def rank_metrics(ranks: DataFrame, groups: DataFrame, strings: DataFrame, ranges
     has no host mean either.
     """
     ids = groups.select("domain", F.col("name").alias("value"), F.explode("ranks").alias("rank")).join(strings, ["rank", "value"]).select("rank", F.col("id").alias("group_id"), "domain").distinct()
+    ranges = settled(ranges)  # a row for each rank, read for operators, kernels and markers
     ops = host_ops(host, marks)
-    device = with_hosts(within(comm, ranges).join(F.broadcast(ids), ["rank", "group_id"]), ops)
+    device = settled(with_hosts(within(comm, ranges).join(ids, ["rank", "group_id"]), ops))
     kernels = named(within(tasks, ranges), "type_id", strings, KERNEL)
     by_domain = _device_figures(device)
     under = ops.join(kernels.where("conn > 0").select("rank", "conn").distinct(), ["rank", "conn"], "left_semi").where("h_start > 0 and h_stop >= h_start")
@@ -122,26 +125,45 @@ def rank_metrics(ranks: DataFrame, groups: DataFrame, strings: DataFrame, ranges
 
 
 def _device_figures(device: DataFrame) -> DataFrame:
-    """By rank and domain, in one shuffle by rank: sums and counts of host times and bubbles, the time that this domain's operators
-    add to the union of all, and means of duration and count without the shortest and longest where there are over two."""
+    """By rank and domain: sums and counts of host times and bubbles, the time that this domain's operators add to the union of
+    all, and means of duration and count without the shortest and longest where there are over two.
+
+    All but the union are aggregates that combine before the shuffle. The union needs the latest end among a rank's earlier
+    operators; a rank's time is cut into slices of about SLICE operators, whose ends are handed on, so a rank's log isn't one task.
+    """
     took, valid = F.col("stop") - F.col("start"), (F.col("start") > 0) & (F.col("stop") >= F.col("start"))
-    before = Window.partitionBy("rank").orderBy("start", "stop", "rowid").rowsBetween(Window.unboundedPreceding, -1)
-    same = Window.partitionBy("rank", "domain", "long_")
-    rows = device.repartition("rank").withColumns({"reach_": F.max(F.when(valid, F.col("stop"))).over(before), "long_": took > 0})
-    rows = rows.withColumns({"n_": F.count("*").over(same), "k_": F.row_number().over(same.orderBy(took, "rowid"))})
-    inner = F.col("long_") & ((F.col("n_") <= 2) | F.col("k_").between(2, F.col("n_") - 1))
     hosted = (F.col("h_start") > 0) & (F.col("h_stop") >= F.col("h_start"))
     waited = (F.col("h_stop") > 0) & (F.col("start") > F.col("h_stop"))
-    fresh = F.greatest(F.lit(0), F.col("stop") - F.greatest(F.col("start"), F.coalesce("reach_", F.col("start"))))
-    return rows.groupBy("rank", "domain").agg(
+    one = F.when(took > 0, F.struct(took.alias("took"), "rowid", "cnt"))
+    sums = device.groupBy("rank", "domain").agg(
         F.sum(F.when(hosted, F.col("h_stop") - F.col("h_start"))).alias("host_s"),
         F.count_if(hosted).alias("host_n"),
         F.sum(F.when(waited, F.col("start") - F.col("h_stop"))).alias("bubble_s"),
         F.count_if(waited).alias("bubble_n"),
-        F.sum(F.when(valid, fresh)).alias("duration"),
-        F.round(F.avg(F.when(inner, took))).cast("bigint").alias("mid"),
-        F.round(F.avg(F.when(inner, F.col("cnt")))).cast("bigint").alias("mid_cnt"),
+        F.count(one).alias("n_"),
+        F.sum(one["took"]).alias("took_"),
+        F.sum(one["cnt"]).alias("cnt_"),
+        F.count(one["cnt"]).alias("cnt_n_"),
+        F.min(one).alias("short_"),
+        F.max(one).alias("long_"),
     )
+    many = F.col("n_") > 2
+    less = lambda total, f: F.col(total) - F.when(many, f("short_") + f("long_")).otherwise(0)
+    mid = F.try_divide(less("took_", lambda c: F.col(c)["took"]), less("n_", lambda c: F.lit(1)))
+    mid_cnt = F.try_divide(less("cnt_", lambda c: F.coalesce(F.col(c)["cnt"], F.lit(0))), less("cnt_n_", lambda c: F.col(c)["cnt"].isNotNull().cast("int")))
+
+    rows = device.where(valid)
+    spans = rows.groupBy("rank").agg(F.min("start").alias("lo_"), (F.ceil((F.max("start") - F.min("start") + 1) / F.ceil(F.count("*") / SLICE))).alias("width_"))
+    rows = rows.join(spans, "rank").withColumn("slice_", F.floor((F.col("start") - F.col("lo_")) / F.col("width_")))
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    ends = rows.groupBy("rank", "slice_").agg(F.max("stop").alias("end_"))
+    ends = ends.select("rank", "slice_", F.max("end_").over(before(Window.partitionBy("rank").orderBy("slice_"))).alias("earlier_"))
+    inside = F.max("stop").over(before(Window.partitionBy("rank", "slice_").orderBy("start", "stop", "rowid")))
+    rows = rows.withColumn("inside_", inside).join(ends, ["rank", "slice_"])
+    reach = F.coalesce(F.greatest("inside_", "earlier_"), F.col("start"))
+    busy = rows.groupBy("rank", "domain").agg(F.sum(F.greatest(F.lit(0), F.col("stop") - F.greatest(F.col("start"), reach))).alias("duration"))
+    whole = lambda v: F.round(v).cast("bigint")
+    return sums.join(busy, ["rank", "domain"], "left").select("rank", "domain", "host_s", "host_n", "bubble_s", "bubble_n", "duration", whole(mid).alias("mid"), whole(mid_cnt).alias("mid_cnt"))
 
 
 def _outlying(values: np.ndarray, high: bool, threshold: float) -> np.ndarray:

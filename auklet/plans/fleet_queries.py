@@ -66,7 +66,7 @@ QUERIES = {
     "df1_fault_events": lambda s, d: fault_events(s, d).drop("component"),
     "fsub_j9_subscriptions": lambda s, d: X.matched(fault_events(s, d), subscriptions(s)).select("npu", "type", "severity", "batch", "recovered", "subscription"),
     "fevt_event_query": lambda s, d: fault_events(s, d).where((F.col("batch") > 19730) & (F.col("type") == "npu_health") & F.col("npu").isin("1", "2")).select("npu", "severity", "batch", "recovered"),
-    "e1_j10_actions": lambda s, d: X.actions(state_events(s, d).where("npu % 2 = 0"), V.table(s, d, "supplier").select(F.col("s_suppkey").alias("npu"), F.col("s_nationkey").alias("dp_rank"))).select("npu", "batch", "dp_rank", "action"),
+    "e1_j10_actions": lambda s, d: X.actions(state_events(s, d), V.table(s, d, "supplier").select(F.col("s_suppkey").alias("npu"), F.col("s_nationkey").alias("dp_rank"))).select("npu", "batch", "dp_rank", "action"),
     "e9_engine_table": engines,
     "e2_e10_verdicts": lambda s, d: X.verdicts(engines(s, d), excluded(s, d), "engine"),
     "e3_not_yet_scaled": lambda s, d: engines(s, d).where("status = 'dead'").join(V.table(s, d, "supplier").where("s_nationkey < 12").select(F.col("s_suppkey").alias("engine")), "engine", "left_anti").select("engine"),
@@ -209,7 +209,7 @@ select l_suppkey, l_orderkey, l_linenumber, cast(place as int) as place from r w
     ),
     "fevt_event_query": _with(*_FAULTS, tail="select npu, severity, batch, recovered from fault_events where batch > 19730 and type = 'npu_health' and npu in ('1', '2')"),
     "e1_j10_actions": _with(
-        V.STATES_SQL, _EDGES, tail="select npu, batch, s_nationkey as dp_rank, case when recovered then 'retry' when type in ('card_drop', 'npu_health', 'hbm_uce', 'ddr_uce') then 'scale_down' else 'pause' end as action from state_events join supplier on s_suppkey = npu where npu % 2 = 0"
+        V.STATES_SQL, _EDGES, tail="select npu, batch, s_nationkey as dp_rank, case when recovered then 'retry' when type in ('card_drop', 'npu_health', 'hbm_uce', 'ddr_uce') then 'scale_down' else 'pause' end as action from state_events join supplier on s_suppkey = npu"
     ),
     "e9_engine_table": _with(_ENGINES, tail="select engine, status from engines"),
     "e2_e10_verdicts": _with(

@@ -97,25 +97,34 @@ detail0 as (select card, metric, category, o, coalesce(space_score, 0.0) as spac
 detail as (select *, 0.6 * time_score + 0.4 * space_score as fusion_score,
     case when space_abnormal and time_abnormal then 'confirmed_anomaly' when space_abnormal then 'individual_variance' when time_abnormal then 'early_degradation' else 'normal' end as quadrant from detail0)"""
 )
-_SUMMARY = """
+_CAUSES = "causes as (select * from (values " + ", ".join(f"('{r}', '{c}', '{k}', '{t}')" for r, c, k, t in K.CAUSES) + ") as t(rule, cause, confidence, suggestion))"
+_SUMMARY = (
+    _CAUSES
+    + """,
 flagged as (select *, space_abnormal or time_abnormal as bad, bool_or((space_abnormal or time_abnormal) and category = 'compute') over (partition by card) as comp from detail),
 summed as (
     select card, bool_or(comp) as comp, bool_or(bad) as anybad,
         coalesce(string_agg(metric, ',' order by o) filter (bad and (category = 'compute' or not comp)), '') as abnormal,
+        coalesce(string_agg(metric || ':' || quadrant, ',' order by o) filter (bad and (category = 'compute' or not comp)), '') as evidence,
+        count(*) filter (bad and (category = 'compute' or not comp)) as n_abnormal,
         coalesce(string_agg(metric, ',' order by o) filter (bad and comp and category = 'communication'), '') as secondary,
         coalesce(min(case quadrant when 'confirmed_anomaly' then 0 when 'early_degradation' then 1 when 'individual_variance' then 2 else 3 end) filter (bad and (category = 'compute' or not comp)), 3) as qo,
         coalesce(avg(fusion_score) filter (bad and (category = 'compute' or not comp)), 0.0) as composite,
         bool_or(bad and metric = 'temp') as t, bool_or(bad and metric = 'power') as p, bool_or(bad and metric = 'aicore_freq') as f,
         bool_or(bad and metric = 'aicore_util') as u, bool_or(bad and metric = 'hbm_util') as h, bool_or(bad and metric = 'roce_tx_err_pkt') as e
     from flagged group by card),
+ruled as (
+    select *, case when qo = 3 then null when comp then case when t and f then 'hot and slow' when t and p then 'hot and drawing' when f then 'slow'
+            when p and u and h then 'idle' when u and not h then 'less used' when h and not u then 'memory' when t and not p then 'hot alone'
+            when p and not t and not f and not u and not h then 'power alone' else 'compute' end
+        else case when e then 'errors' else 'communication' end end as rule from summed),
 summary as (
     select card, case when comp then 'compute' when anybad then 'communication' else 'none' end as category,
         case qo when 0 then 'confirmed_anomaly' when 1 then 'early_degradation' when 2 then 'individual_variance' else 'normal' end as quadrant, composite,
         case when qo = 0 and composite >= 5 then 'critical' when qo = 0 then 'warning' else 'info' end as severity, abnormal, secondary,
-        case when qo = 3 then null when comp then case when t and f then 'thermal_throttle' when t and p then 'cooling_insufficient' when f then 'forced_downclock'
-            when p and u and h then 'straggler' when u and not h then 'load_imbalance' when h and not u then 'mem_bottleneck' when t and not p then 'temp_sensor_fault' else 'unknown' end
-        else case when e then 'network_link_issue' else 'unknown' end end as cause
-    from summed)"""
+        cause, confidence, replace(suggestion, '{n}', n_abnormal::varchar) as suggestion, case when qo < 3 then evidence end as evidence
+    from ruled left join causes using (rule))"""
+)
 
 
 def _with(*parts: str, tail: str) -> str:
@@ -170,7 +179,7 @@ select l_suppkey, cast(round(avg(duration)) as bigint) as duration, cast(round(a
     "x5_time_scores": _with(*_BASE, _TIME, tail="select card, metric, round(current, 6) as current, round(time_score, 6) as time_score, time_abnormal from time_"),
     "dk2_details": _with(*_BASE, _SPACE, _TIME, _DETAIL, tail="select card, metric, category, round(space_score, 6) as space_score, round(time_score, 6) as time_score, space_abnormal, time_abnormal, round(fusion_score, 6) as fusion_score, quadrant from detail"),
     "dk3_trend_findings": _with(*_BASE, tail=f"select * from ({_TREND}) where n >= 10 and r2 >= 0.05 and slope <> 0"),
-    "dk1_card_summaries": _with(*_ALL, tail="select card, category, quadrant, round(composite, 6) as composite, severity, abnormal, secondary, cause from summary"),
+    "dk1_card_summaries": _with(*_ALL, tail="select card, category, quadrant, round(composite, 6) as composite, severity, abnormal, secondary, cause, confidence, suggestion, evidence from summary"),
     "a19_summary_counts": _with(*_ALL, tail="select count(*) as cards, " + ", ".join(f"count(*) filter (quadrant = '{q}') as {q}" for q in ("confirmed_anomaly", "early_degradation", "individual_variance", "normal")) + " from summary"),
     "dk7_correlation": _with(
         *_ALL,

@@ -40,8 +40,14 @@ def chart_points(s, d):
 
 
 def placed(s, d):
-    rows = V.table(s, d, "events").where("event_id < 1024").select(F.floor(F.col("event_id") / 256).alias("layer"), (F.col("event_id") % 256).alias("k"), "value")
-    return rows.select("layer", F.floor(F.col("k") / 8).alias("card"), (F.col("k") % 8).alias("slot"), (F.col("k") * 5 % 128).alias("expert"), F.col("value").alias("workload"))
+    """Events as loads of the slots of four layers of 32 cards."""
+    rows = V.table(s, d, "events").select(F.pmod(F.floor(F.col("event_id") / 256), F.lit(4)).alias("layer"), (F.col("event_id") % 256).alias("k"), "value")
+    rows = rows.groupBy("layer", "k").agg(F.sum("value").alias("workload"))
+    return rows.select("layer", F.floor(F.col("k") / 8).alias("card"), (F.col("k") % 8).alias("slot"), (F.col("k") * 5 % 128).alias("expert"), "workload")
+
+
+#: Experts, cards and further replicas of the placement queries.
+EXPERTS, CARDS, REDUNDANT = 128, 16, 32
 
 
 QUERIES = {
@@ -66,6 +72,9 @@ QUERIES = {
     "e5_e6_w20_renumbered": lambda s, d: E.renumbered(V.table(s, d, "customer").select(F.col("c_custkey").alias("rank")), V.table(s, d, "customer").where("c_nationkey % 5 = 0").select(F.col("c_custkey").alias("rank"))),
     "e7_even_experts": lambda s, d: E.even_experts(V.table(s, d, "nation").select(F.col("n_nationkey").alias("card")), 130, 25),
     "e7_redundant_experts": lambda s, d: E.redundant_experts(V.table(s, d, "nation").select(F.col("n_nationkey").alias("card")), 130, 25, 50),
+    "e7_log_to_phys": lambda s, d: E.physical_places(placed(s, d).select("layer").distinct(), EXPERTS, CARDS, REDUNDANT).select("layer", "expert", "phys", "card"),
+    "e6_elastic_tables": lambda s, d: E.elastic_tables(V.table(s, d, "customer").select(F.col("c_custkey").alias("rank"), F.when(F.col("c_nationkey") % 5 == 0, -1).otherwise(F.col("c_nationkey")).alias("dp"))),
+    "e6_domains": lambda s, d: E.domains(V.table(s, d, "customer").select(F.col("c_custkey").alias("rank"), F.col("c_nationkey").alias("dp")), V.table(s, d, "nation").where("n_regionkey = 2").select(F.col("n_nationkey").alias("dp"))),
     "e7_replicas": lambda s, d: E.replicas(placed(s, d)).select("layer", "expert", F.array_join(F.col("places").cast("array<string>"), ",").alias("places")),
     "e8_repaired": lambda s, d: E.repaired(placed(s, d), [0, 9]).groupBy("layer").agg(F.countDistinct("expert").alias("experts"), F.count("*").alias("slots")),
 }
@@ -97,7 +106,7 @@ _CHARTS = (
     union all select batch, chart, chart || '_avg', 'average', avg(value), arg_max(unit, ord) from drawn where mode = 'avg' group by batch, chart)""",
 )
 _PRIO = "case lower({}) when 'high' then 2 when 'medium' then 1 else 0 end"
-_PLACED = """placed as (select event_id // 256 as layer, (event_id % 256) // 8 as card, event_id % 8 as slot, (event_id % 256) * 5 % 128 as expert from events where event_id < 1024)"""
+_PLACED = """placed as (select event_id // 256 % 4 as layer, (event_id % 256) // 8 as card, event_id % 8 as slot, (event_id % 256) * 5 % 128 as expert, sum(value) as workload from events group by all)"""
 
 
 def _with(*parts: str, tail: str) -> str:
@@ -142,6 +151,14 @@ union all select series, first, 2, ord, series || labels || ' ' || regexp_replac
     "e5_e6_w20_renumbered": "select c_custkey as rank, case when c_nationkey % 5 = 0 then -1 else cast(sum(case when c_nationkey % 5 = 0 then 0 else 1 end) over (order by c_custkey rows unbounded preceding) as bigint) - 1 end as new_rank from customer",
     "e7_even_experts": "select n_nationkey as card, cast(n_nationkey * 5 + least(n_nationkey, 5) + k as int) as expert from nation, range(6) as t(k) where k < 5 + case when n_nationkey < 5 then 1 else 0 end",
     "e7_redundant_experts": "select n_nationkey as card, cast(n_nationkey * 5 + k as int) as expert from nation, range(2) as t(k)",
+    # with two further replicas of each card's first experts and an even number of cards, neighbours take each other's
+    "e7_log_to_phys": _with(_PLACED, tail="""select layer, cast(expert as int) as expert, cast(phys as int) as phys, cast(card as int) as card from (select distinct layer from placed),
+    (select 8 * c + k as expert, 10 * c + k as phys, c as card from range(16) as t(c), range(8) as u(k) union all select 8 * xor(c, 1) + k, 10 * c + 8 + k, c from range(16) as t(c), range(2) as u(k))"""),
+    "e6_elastic_tables": """with ranks as (select c_custkey as rank, c_nationkey % 5 = 0 as gone from customer),
+numbered as (select rank, row_number() over (order by rank) - 1 as place, case when gone then -1 else row_number() over (partition by gone order by rank) - 1 end as local from ranks)
+select a.place, a.rank, a.local, coalesce(b.rank, -1) as back from numbered as a left join numbered as b on b.local = a.place""",
+    "e6_domains": """with stay as (select n_nationkey as dp, row_number() over (order by n_nationkey) - 1 as k from nation where n_regionkey <> 2 and n_nationkey in (select c_nationkey from customer))
+select c_custkey as rank, c_nationkey as old_dp, coalesce(k, -1) as dp from customer left join stay on dp = c_nationkey""",
     "e7_replicas": _with(_PLACED, tail="select layer, expert, string_agg((card * 8 + slot)::varchar, ',' order by card * 8 + slot) as places from placed group by 1, 2"),
     "e8_repaired": _with(_PLACED, tail="select layer, count(distinct expert) as experts, count(*) filter (card not in (0, 9)) as slots from placed group by 1"),
 }

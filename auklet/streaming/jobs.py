@@ -91,6 +91,6 @@ def latest_batch(points: DataFrame, key: str, order: str, write: Callable[[DataF
 
     def each(df: DataFrame, number: int) -> None:
         newest = df.groupBy(key).agg(F.max(order).alias("newest_"))
-        write(df.join(F.broadcast(newest), key).where(F.col(order) == F.col("newest_")).drop("newest_"), number)
+        write(df.join(newest, key).where(F.col(order) == F.col("newest_")).drop("newest_"), number)
 
     return points.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
