@@ -5,7 +5,7 @@ Every function gives (keys, component, name, value, unit, labels); values that c
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auklet.functions.scalars import percent, trunc_round
@@ -124,3 +124,136 @@ def parameter_faults(commands: DataFrame, rules: dict[str, dict[str, tuple[str,
         found.append(F.when(own, F.array_join(F.array_except(F.map_keys("params"), F.array(*[F.lit(p) for p in params])), ",")))
     found.append(F.when(~F.col("instruction").isin(list(rules)), F.lit("instruction")))
     return commands.select("id", F.array_sort(F.filter(F.array_compact(F.array(*found)), lambda x: x != "")).alias("faults"))
+
+
+def memory_pressure(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Averages of the `some` line of pressure rows (keys, kind, field, value) in percent, by interval."""
+    some = rows.where((F.col("kind") == "some") & F.col("field").isin("avg10", "avg60", "avg300"))
+    return points(some, keys, "memory", ("saturation", trunc_round(F.col("value"), 4), "%", _labels(interval=F.col("field"))))
+
+
+def page_counters(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Isolated and free pages from counters (keys, key, n); a counter that is missing counts as 0."""
+    n = lambda k: F.coalesce(F.max(F.when(F.col("key") == k, F.col("n"))), F.lit(0)).alias(k)
+    wide = rows.groupBy(*keys).agg(*[n(k) for k in ("nr_isolated_anon", "nr_isolated_file", "nr_free_pages")])
+    anon, file = F.col("nr_isolated_anon"), F.col("nr_isolated_file")
+    each = {"isolated_pages": anon + file, "isolated_anon_pages": anon, "isolated_file_pages": file, "free_pages": F.col("nr_free_pages")}
+    return points(wide, keys, "memory", *[(name, v, "", _labels()) for name, v in each.items()])
+
+
+def memory_errors(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Counts so far of corrected and uncorrected errors of each controller (keys, mc, ce_count, ue_count)."""
+    return points(rows, keys, "memory", *[(n, F.coalesce(F.col(c), F.lit(0)), "", _labels(mc=F.col("mc"))) for n, c in (("ecc_ce_errors", "ce_count"), ("ecc_uce_errors", "ue_count"))])
+
+
+def memory_modules(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Size and identity of each populated slot (keys, locator, size_mb, type, speed, manufacturer), and how many there are."""
+    full = rows.where("size_mb > 0")
+    identity = _labels(**{c: F.coalesce(F.col(c), F.lit("")) for c in ("locator", "type", "speed", "manufacturer")})
+    each = points(full, keys, "memory", ("module_size", F.col("size_mb"), "MB", _labels(locator=F.col("locator"))), ("module_info", F.col("size_mb"), "MB", identity))
+    return each.unionByName(points(rows.groupBy(*keys).agg(F.count_if(F.col("size_mb") > 0).alias("n")), keys, "memory", ("module_num", F.col("n"), "", _labels())))
+
+
+def network(counters: DataFrame, keys: list[str], series: list[str], order: str, seconds: float = 3.0) -> DataFrame:
+    """Errors, drops and byte totals of each interface at each sample, and from its second sample on rates over the interval.
+
+    A counter that falls gives no negative rate.
+    """
+    w = Window.partitionBy(*series, "interface").orderBy(order)
+    rate = lambda c: F.when(F.lag(c).over(w).isNotNull(), trunc_round(F.greatest(F.lit(0), F.col(c) - F.lag(c).over(w)) / seconds, 0))
+    rows = counters.withColumns({f"{c}_rate": rate(c) for c in ("rx_bytes", "tx_bytes", "rx_packets", "tx_packets")})
+    of, each = F.col("interface"), []
+    for name, unit, column in (("throughput", "bytes/s", "bytes"), ("packet_count", "/s", "packets")):
+        each += [(name, F.col(f"{d}_{column}_rate"), unit, _labels(interface=of, direction=d)) for d in ("rx", "tx")]
+    each += [("error_count", F.col(f"{d}_{c}s" if c == "err" else f"{d}_{c}"), "", _labels(interface=of, type=f"{d}_{c}")) for d in ("rx", "tx") for c in ("err", "drop")]
+    each += [(f"{d}_bytes_total", F.col(f"{d}_bytes"), "bytes", _labels(interface=of)) for d in ("rx", "tx")]
+    return points(rows, keys, "network", *each)
+
+
+def connections(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Sockets by state (keys, state, n)."""
+    return points(rows, keys, "network", ("connection_count", F.col("n"), "", _labels(state=F.col("state"))))
+
+
+def interface_status(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """1 for interfaces (keys, interface, state) that are up, 0 for others; loopback is left out."""
+    return points(rows.where("interface <> 'lo'"), keys, "network", ("interface_status", (F.col("state") == "up").cast("int"), "", _labels(interface=F.col("interface"), status=F.col("state"))))
+
+
+def chassis(sensors: DataFrame, keys: list[str]) -> DataFrame:
+    """Temperatures, power and fans of a chassis from sensor rows (keys, name, value, kind); a fan without a number is 0, without a side F."""
+    fan = F.coalesce(F.nullif(F.regexp_extract(F.lower("name"), r"(?:^|\s)fan(\S+)", 1), F.lit("")), F.lit("0"))
+    side = F.coalesce(F.nullif(F.regexp_extract("name", r"(?:^|.*\s)([FR])(?=\s|$)", 1), F.lit("")), F.lit("F"))
+    one = lambda kind, places: F.when(F.col("kind") == kind, trunc_round(F.col("value"), places))
+    return points(
+        sensors, keys, "chassis",
+        ("inlet_temp", one("inlet_temp", 1), "C", _labels()),
+        ("outlet_temp", one("outlet_temp", 1), "C", _labels()),
+        ("fan_power", one("fan_power", 2), "W", _labels(fan=fan)),
+        ("power", one("power", 2), "W", _labels()),
+        ("fan_speed", one("fan_speed", 0), "RPM", _labels(fan=fan, direction=side)),
+    )
+
+
+def disk_health(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """1 for disks (keys, device, passed, temperature) that pass their own test, 0 for such that fail, and their temperature."""
+    of = F.col("device")
+    status = F.when(F.col("passed"), "PASSED").otherwise("FAILED")
+    return points(rows, keys, "disk", ("smart_status", F.col("passed").cast("int"), "", _labels(device=of, status=status)), ("smart_temperature", F.col("temperature"), "C", _labels(device=of)))
+
+
+#: What a device's health code says; any other is OK.
+HEALTH = {1: "Warning", 2: "Alarm", 3: "Critical"}
+
+
+def device_states(rows: DataFrame, keys: list[str], id_: str) -> DataFrame:
+    """Health of accelerators (keys, id, health, link): the code plus 1 with its text, and whether the network link is up."""
+    of = F.col(id_)
+    text = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in HEALTH.items() for x in kv]), F.col("health")), F.lit("OK"))
+    link = F.when(F.col("link") > 0, "up").otherwise("down")
+    return points(rows, keys, "npu", ("health_status", F.col("health") + 1, "", _labels(npu_id=of, status=text)), ("roce_link_status", F.col("link"), "", _labels(npu_id=of, status=link)))
+
+
+def derived_shares(shares: DataFrame, keys: list[str]) -> DataFrame:
+    """Seven utilization points from the shares (user_pct, nice_pct, ...) of all cores together."""
+    c = lambda *names: sum((F.col(f"{n}_pct") for n in names[1:]), F.col(f"{names[0]}_pct"))
+    each = {
+        "idle_util": c("idle"),
+        "non_idle_util": c("user", "nice", "system", "iowait", "irq", "softirq", "steal"),
+        "user_util": c("user", "nice"),
+        "system_util": c("system"),
+        "iowait_util": c("iowait"),
+        "irq_util": c("irq", "softirq"),
+        "steal_util": c("steal"),
+    }
+    return points(shares, keys, "cpu", *[(n, v, "%", _labels(core="total")) for n, v in each.items()])
+
+
+def preferred(metrics: DataFrame, keys: list[str], prefer: dict[str, dict[str, str]]) -> DataFrame:
+    """(keys, name, value, labels): of each name's points the first that has the preferred labels, or else the first; `ord` is their order."""
+    want = F.lit(False)
+    for name, labels in prefer.items():
+        has = F.lit(True)
+        for k, v in labels.items():
+            has = has & (F.element_at("labels", F.lit(k)) == v)
+        want = want | ((F.col("name") == name) & F.coalesce(has, F.lit(False)))
+    return metrics.groupBy(*keys, "name").agg(F.min_by(F.struct("value", "labels"), F.struct((~want).alias("other"), "ord")).alias("p")).select(*keys, "name", "p.*")
+
+
+def capacity(disks: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n, gb, text): how many disks (keys, gb) there are and what they hold together."""
+    got = disks.groupBy(*keys).agg(F.count("*").alias("n"), F.sum("gb").alias("gb"))
+    gb = F.col("gb")
+    text = F.when(gb >= 1024, F.concat(F.format_string("%.1f", gb / 1024), F.lit(" TB"))).when(gb >= 10, F.concat(F.format_string("%.0f", gb), F.lit(" GB"))).otherwise(F.concat(F.format_string("%.1f", gb), F.lit(" GB")))
+    return got.withColumn("text", text)
+
+
+#: Components in the order in which they are shown; others follow by name.
+NAVIGATION = ("cpu", "memory", "disk", "gpu", "npu", "network")
+
+
+def navigation(components: DataFrame) -> DataFrame:
+    """(component, place): where each component stands; `system` has no page of its own."""
+    known = F.array_position(F.array(*[F.lit(c) for c in NAVIGATION]), F.col("component"))
+    rows = components.select("component").where("component <> 'system'").distinct()  # as many as there are kinds of probes
+    return rows.withColumn("place", F.row_number().over(Window.orderBy(F.when(known > 0, known).otherwise(F.lit(999)), "component")))

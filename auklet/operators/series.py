@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auklet.functions.scalars import natural_key
@@ -37,8 +37,26 @@ CHARTS = [
     ("chassis_temp", "chassis", ["inlet_temp", "outlet_temp"], "", "", ""),
     ("chassis_fan", "chassis", ["fan_speed"], "", "", "avg"),
 ]
-# Limits of efficiency metrics by label; all other names are taken whatever their labels
-EFFICIENCY_LABELS = [("memory", "usage_detail", "field", ["total", "free", "buffers", "cached", "sreclaimable"]), ("memory", "swap_detail", "field", ["total", "free"])]
+# Efficiency metrics by component, whatever their labels
+EFFICIENCY_NAMES = {
+    "npu": [
+        "aicpu_freq", "aicore_rated_freq", "aicore_freq", "ctrlcpu_freq", "vector_core_freq", "hbm_freq", "ddr_freq",
+        "utilization", "memory_usage", "npu_util", "aicpu_util", "ctrlcpu_util", "vector_core_util", "hbm_bandwidth_util", "ddr_util", "ddr_bandwidth_util", "vdec_util", "vpc_util", "venc_util", "jpege_util", "jpegd_util",
+        "temperature", "hbm_temp", "cluster_temp", "peri_temp", "aicore0_temp", "aicore1_temp", "ntc1_temp", "ntc2_temp", "ntc3_temp", "ntc4_temp", "soc_max_temp", "fp_max_temp", "ndie_temp", "hbm_max_temp",
+        "power_draw", "voltage", "aicore_voltage", "hybrid_voltage", "cpu_voltage", "ddr_voltage", "acg_count", "fan_speed", "llc_write_hit_rate", "llc_read_hit_rate", "llc_throughput",
+    ],
+    "cpu": ["load_average", "power"],
+    "disk": ["throughput", "read_latency", "write_latency", "iops"],
+    "network": ["rx_bytes_total", "tx_bytes_total"],
+    "chassis": ["power", "inlet_temp", "outlet_temp", "fan_speed", "fan_power"],
+}
+# Efficiency metrics as (component, name, label, values that the label must have)
+EFFICIENCY = [
+    *[(c, n, "", []) for c, names in EFFICIENCY_NAMES.items() for n in names],
+    *[("cpu", f"{n}_time", "core", ["total"]) for n in ("user", "nice", "system", "idle", "iowait", "irq", "softirq", "steal")],
+    ("memory", "usage_detail", "field", ["total", "free", "buffers", "cached", "sreclaimable"]),
+    ("memory", "swap_detail", "field", ["total", "free"]),
+]
 
 
 def _instance() -> Column:
@@ -73,6 +91,11 @@ def series_label(display: Column, short: Column) -> Column:
     return F.when(short & alone.isNotNull(), alone).otherwise(tagged)
 
 
+def efficiency_specs(spark: SparkSession) -> DataFrame:
+    """EFFICIENCY as specs."""
+    return spark.createDataFrame(EFFICIENCY, "component string, name string, label string, allowed array<string>")
+
+
 def efficiency(points: DataFrame, specs: DataFrame) -> DataFrame:
     """Points of the specs (component, name, label, allowed): an empty label takes any, otherwise the label's value must be allowed."""
     rows = points.join(F.broadcast(specs), ["component", "name"])

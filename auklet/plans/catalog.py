@@ -6,7 +6,7 @@ import importlib
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = [importlib.import_module(f"auklet.plans.{m}") for m in ("kpi_queries", "fleet_queries", "profiler_queries", "metric_queries", "report_queries")]
+MODULES = [importlib.import_module(f"auklet.plans.{m}") for m in ("kpi_queries", "fleet_queries", "profiler_queries", "metric_queries", "report_queries", "probe_queries")]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
