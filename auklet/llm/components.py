@@ -11,8 +11,8 @@ from auklet.llm.common import small, stored
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of edges (a, b); component is the smallest node reachable.
 
-    Each round takes the smallest label among a node's neighbours and then that label's own label, so long chains
-    halve. The smallest is taken by an aggregate that combines before the shuffle, so a node with a third of all edges
+    Each round takes the smallest label among a node's neighbours, and then twice that label's own label, so chains
+    shrink to a fourth. The smallest is taken by an aggregate that combines before the shuffle, so a node with a third of all edges
     does no harm; in the joins labels have one row a node, so adaptive execution can split the edges of a hub. Labels are
     broadcast where they are few. Rounds end when no label changes. Null ends are ignored; self-edges keep their node.
     """
@@ -20,11 +20,13 @@ def components(edges: DataFrame) -> DataFrame:
     both = stored(edges.union(edges.select("b", "a")).distinct(), "edges")
     labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("component")), "labels")
     hint = small(labels)
+    if both.isEmpty():
+        return labels
     while True:
         near = both.join(hint(labels.withColumnRenamed("node", "b")), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
         best = near.join(hint(labels), "node").select("node", F.least("component", "near").alias("best"), F.col("component").alias("old"))
-        up = labels.select(F.col("node").alias("best"), F.col("component").alias("upper"))
-        moved = stored(best.join(hint(up), "best").select("node", F.least("best", "upper").alias("component"), "old"), "labels")
+        up, top = (labels.select(F.col("node").alias(x), F.col("component").alias(y)) for x, y in (("best", "upper"), ("upper", "top")))
+        moved = stored(best.join(hint(up), "best").join(hint(top), "upper").select("node", F.col("top").alias("component"), "old"), "labels")
         if moved.where("component <> old").isEmpty():
             return moved.select("node", "component")
         labels = moved.select("node", "component")
@@ -40,8 +42,6 @@ def regrouped(groups: DataFrame, edges: DataFrame) -> DataFrame:
     nodes = groups.select("node", "component").union(ends.select("node", F.col("node").alias("component"))).where("node is not null")
     nodes = stored(nodes.groupBy("node").agg(F.min("component").alias("component")), "nodes")  # a component is its smallest node
     of = lambda c: nodes.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
-    between = stored(edges.join(of("a"), "a").join(of("b"), "b").where("of_a <> of_b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b")).distinct(), "between")
-    if between.isEmpty():
-        return nodes
+    between = edges.join(of("a"), "a").join(of("b"), "b").where("of_a <> of_b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
     joined = components(between).select(F.col("node").alias("component"), F.col("component").alias("new_"))
-    return stored(nodes.join(small(joined)(joined), "component", "left").select("node", F.coalesce("new_", "component").alias("component")), "groups")
+    return stored(nodes.join(joined, "component", "left").select("node", F.coalesce("new_", "component").alias("component")), "groups")

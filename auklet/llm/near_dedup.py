@@ -13,11 +13,11 @@ At each level
 2. Regions whose members are still in several components are looked at in blocks. A region of BLOCK members at most is one
    block. In a larger one, the members outside its most common component meet each other in one block, and the members
    of that component elsewhere: a component's members are dealt once, over all orders, to blocks of BLOCK, and each outsider
-   visits these blocks. If there are more outsiders than a block holds, they go one level deeper; at the last
-   level they are compared in pairs of blocks, so nothing is left out because a region is large.
-3. First each component's likest partner is confirmed, which joins nearly all that belong together; then, over what is
-   still apart, every pair of different components with like sketches is confirmed on full sets inside its block. Only
-   links leave a block.
+   visits these blocks. If there are more outsiders than a block holds, even after that, they go one level deeper; at the
+   last level they are compared in pairs of blocks, so nothing is left out because a region is large.
+3. In these blocks each component's likest partner is looked up and confirmed first, which joins nearly all that belong
+   together; then, over what is still apart, every pair of different components with like sketches is confirmed on full
+   sets inside its block. Only links leave a block.
 
 A link at similarity s shares no region of a level of D minima in T orders with probability (1 - s^D)^T: at 0.8 this is 3e-6
 at the first level and 2e-6 at the second, less above.
@@ -33,8 +33,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auklet.llm.common import WordHashes, lower_words, shingles, small, stored, text_key
-from auklet.llm.components import regrouped
+from auklet.llm.common import BROADCAST_ROWS, WordHashes, lower_words, shingles, small, stored, text_key
+from auklet.llm.components import components, regrouped
 
 #: Minima of a signature.
 MINIMA = 96
@@ -263,17 +263,18 @@ class _Shared:
         return np.bincount(self.owners[at], minlength=self.many)
 
 
-_ROW = ("key", "pair", "side", "id", "comp", "n")
+_ROW = ("key", "pair", "side", "id", "n")
 
 
-def _blocks(floor: float, percent: int, what: str, trees: int):
+def _looked(floor: float, percent: int, what: str, trees: int):
     """What every block has to say; rows come sorted by block, and a block may go on in the next batch."""
-    names = {"likest": ["comp", "a", "b", "like"], "wanted": [*_ROW, "sketch", "heads"], "linked": ["a", "b"]}[what]
+    names = {"likest": ["comp", "a", "b", "like"], "wanted": [*_ROW, "sketch", "heads", "comp"], "linked": ["a", "b"]}[what]
 
     def read(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
         rows = {c: batch[c].to_numpy(zero_copy_only=False) for c in _ROW}
         for c, kind, width in (("sketch", np.uint8, MINIMA), ("heads", np.int64, trees)):
             rows[c] = np.frombuffer(b"".join(batch[c].to_pylist()), kind).reshape(-1, width)
+        rows["comp"] = batch["comp"].to_numpy(zero_copy_only=False)
         if what == "linked":
             rows["members"] = np.empty(batch.num_rows, object)
             rows["members"][:] = [np.frombuffer(x, np.uint64) for x in batch["members"].to_pylist()]
@@ -327,36 +328,35 @@ def _linked(percent: int):
     return run
 
 
-def _some(df: DataFrame) -> DataFrame:
-    """df, which has been stored, broadcast if it has few enough rows."""
-    return small(df)(df)
-
-
-def _members_of(ids: DataFrame, classes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
-    """(id, members): the full sets of these classes, from one text of each."""
-    rows = stored(ids.distinct().join(classes.select("id", "rep.*"), "id"), "ids")
-    texts = docs.join(_some(rows), ["doc_id", "key_"]).groupBy("id").agg(F.first("text").alias("text"))
-    return stored(texts.mapInArrow(_sets(size), "id long, members binary"), "sets")
-
-
 class _Forest:
     """What the steps share: the corpus, its classes, and the components found so far."""
 
     def __init__(self, docs: DataFrame, classes: DataFrame, size: int, percent: int):
         self.docs, self.classes, self.size, self.percent = docs, classes, size, percent
         self.floor = percent / 100 - SLACK
-        self.groups = docs.sparkSession.createDataFrame([], "node long, component long")
+        self.groups = None
 
     def link(self, links: DataFrame) -> None:
         """Joins the components of stored links (a, b)."""
-        self.groups = regrouped(self.groups, links)
+        self.groups = components(links) if self.groups is None else regrouped(self.groups, links)
+
+    def grouped(self, rows: DataFrame) -> DataFrame:
+        """rows with the component of their id; ids without a link are their own."""
+        known = self.groups.select(F.col("node").alias("id"), F.col("component").alias("comp"))
+        return rows.join(known, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+
+    def members_of(self, ids: DataFrame, most: int) -> DataFrame:
+        """(id, members): the full sets of these classes, `most` at most, from one text of each; texts don't move where ids are few."""
+        rows = ids.distinct().join(self.classes.select("id", "rep.*"), "id")
+        texts = self.docs.join(F.broadcast(rows) if most <= BROADCAST_ROWS else rows, ["doc_id", "key_"]).groupBy("id").agg(F.first("text").alias("text"))
+        return stored(texts.mapInArrow(_sets(self.size), "id long, members binary"), "sets")
 
     def confirm(self, pairs: DataFrame) -> None:
         """Takes those of the pairs (a, b) that are linked by their full sets."""
-        pairs = stored(pairs.distinct(), "pairs")
-        if pairs.isEmpty():
+        pairs = stored(pairs, "pairs")
+        if not (n := pairs.count()) and self.groups is not None:
             return
-        sets = _members_of(pairs.select(F.col("a").alias("id")).union(pairs.select("b")), self.classes, self.docs, self.size)
+        sets = self.members_of(pairs.select(F.col("a").alias("id")).union(pairs.select("b")), 2 * n)
         a, b = (sets.select(F.col("id").alias(c), F.col("members").alias(f"set_{c}")) for c in "ab")
         met = pairs.join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b")
         self.link(stored(met.mapInArrow(_linked(self.percent), "a long, b long"), "links"))
@@ -372,61 +372,60 @@ class _Forest:
         meets = sorted_.select("key", "id", "head").mapInArrow(_neighbours, "a long, b long").distinct()
         sa, sb = (sketches.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}")) for c in "ab")
         near = meets.join(sa, "a").join(sb, "b").where(f"100 * least(n_a, n_b) >= {self.percent} * greatest(n_a, n_b)")
-        near = stored(near.select("a", "b", "sketch_a", "sketch_b").mapInArrow(_alike(self.floor), "a long, b long, like double"), "near")
+        near = near.select("a", "b", "sketch_a", "sketch_b").mapInArrow(_alike(self.floor), "a long, b long, like double")
         self.confirm(near.groupBy("b").agg(F.max_by("a", F.struct("like", -F.col("a"))).alias("a")).select("a", "b"))
 
-        row = "key long, pair long, side int, id long, comp long, n long, sketch binary, heads binary"
-        look = lambda blocks, what, kind: blocks.mapInArrow(_blocks(self.floor, self.percent, what, trees), kind)
-        apart, blocks, _ = self.apart(near, members, sketches, last)
-        likest = look(blocks, "likest", "comp long, a long, b long, like double").union(apart.select("comp_a", "a", "b", "like")).union(apart.select("comp_b", "a", "b", "like"))
+        members = members.select("key", "id")
+        for _ in range(2):  # crowds are looked at again after what they have to do with their common component is settled
+            placed = stored(self.grouped(members), "placed")
+            several = self._several(placed)
+            mixed = placed.join(several, "key")
+            self.compare(stored(self._blocks(mixed, last).join(sketches, "id").select("key", "pair", "side", "id", "n", "sketch", "heads"), "blocks"), trees)
+            crowds = several.where((F.col("size") > BLOCK) & (F.col("outside") > BLOCK)).select("key")
+            if last or crowds.isEmpty():
+                return None
+            members = placed.join(crowds, "key", "left_semi").select("key", "id")
+        return stored(mixed.join(crowds, "key", "left_semi").where("comp <> main").select("id").distinct(), "deeper")
+
+    def compare(self, rows: DataFrame, trees: int) -> None:
+        """Finds the links between components in stored blocks: the likest of each component first, then all."""
+        if rows.isEmpty():
+            return
+        row = "key long, pair long, side int, id long, n long, sketch binary, heads binary, comp long"
+        in_blocks = lambda df: df.repartition("key", "pair").sortWithinPartitions("key", "pair")
+        look = lambda df, what, kind: in_blocks(df).mapInArrow(_looked(self.floor, self.percent, what, trees), kind)
+        likest = look(self.grouped(rows), "likest", "comp long, a long, b long, like double")
         a, b = F.least("a", "b"), F.greatest("a", "b")
         likest = likest.groupBy("comp").agg(F.max_by(F.struct(a.alias("a"), b.alias("b")), F.struct("like", -a, -b)).alias("p"))
-        self.confirm(likest.select("p.a", "p.b"))
-
-        apart, blocks, deeper = self.apart(near, members, sketches, last)
-        self.confirm(apart.select("a", "b"))
-        wanted = stored(look(blocks, "wanted", row), "wanted")
-        if not wanted.isEmpty():
-            sets = _members_of(wanted.select("id"), self.classes, self.docs, self.size)
-            whole = wanted.join(sets, "id").repartition("key", "pair").sortWithinPartitions("key", "pair")
-            self.link(stored(look(whole, "linked", "a long, b long"), "links"))
-        if last or (deeper := stored(deeper, "deeper")).isEmpty():
-            return None
-        return deeper
-
-    def apart(self, near: DataFrame, members: DataFrame, sketches: DataFrame, last: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """Pairs of near in different components; the blocks of regions in several components; ids to be sorted deeper."""
-        of = lambda c: self.groups.select(F.col("node").alias(c), F.col("component").alias(f"comp_{c}"))
-        apart = near.join(of("a"), "a", "left").join(of("b"), "b", "left")
-        apart = apart.select("a", "b", F.coalesce("comp_a", "a").alias("comp_a"), F.coalesce("comp_b", "b").alias("comp_b"), "like").where("comp_a <> comp_b")
-
-        placed = members.where("size > 2").join(of("id"), "id", "left").select("key", "id", F.coalesce("comp_id", "id").alias("comp"))
-        placed = stored(placed, "placed")
+        self.confirm(likest.select("p.a", "p.b").distinct())
+        wanted = stored(look(self.grouped(rows), "wanted", row), "wanted")
+        if n := wanted.count():
+            self.link(stored(look(wanted.join(self.members_of(wanted.select("id"), n), "id"), "linked", "a long, b long"), "links"))
+
+    def _several(self, placed: DataFrame) -> DataFrame:
+        """(key, size, main, outside) of regions in several components: the most common one, and how many members are outside it."""
         parts = placed.groupBy("key", "comp").agg(F.count("*").alias("n"))
         top = F.max(F.struct("n", (-F.col("comp")).alias("minus")))
         several = parts.groupBy("key").agg(F.sum("n").alias("size"), F.count("*").alias("comps"), top.alias("top")).where("comps > 1")
-        several = stored(several.select("key", "size", (-F.col("top")["minus"]).alias("main"), (F.col("size") - F.col("top.n")).alias("outside")), "several")
-        mixed = placed.join(several, "key")
-        crowd = F.col("size") > BLOCK
-        outsider = F.col("comp") != F.col("main")
+        return stored(several.select("key", "size", (-F.col("top.minus")).alias("main"), (F.col("size") - F.col("top.n")).alias("outside")), "several")
 
+    def _blocks(self, mixed: DataFrame, last: bool) -> DataFrame:
+        """(key, pair, side, id): who is compared with whom, over members (key, id, comp, size, main, outside) of undecided regions."""
+        crowd, outsider = F.col("size") > BLOCK, F.col("comp") != F.col("main")
+        zero = F.lit(0).cast("long")
         inside = mixed.where(~crowd | outsider).withColumn("size", F.when(crowd, F.col("outside")).otherwise(F.col("size")))
-        deeper = inside.where(F.col("size") > BLOCK).select("id").distinct()
         inside = (inside if last else inside.where(F.col("size") <= BLOCK)).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("long"))
-        inside = inside.withColumn("own", F.pmod(F.xxhash64("id"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        inside = inside.withColumn("own", F.pmod(F.xxhash64("id"), "blocks")).withColumn("other", F.explode(F.sequence(zero, F.col("blocks") - 1)))
         lo, hi = F.least("own", "other"), F.greatest("own", "other")
         side = F.when(lo == hi, F.lit(-1)).when(F.col("own") == lo, F.lit(0)).otherwise(F.lit(1))
-        inside = inside.select("key", (lo * (1 << 31) + hi).alias("pair"), side.alias("side"), "id", "comp")
-
-        hosts = mixed.where(crowd & ~outsider).select("main", "id").distinct()
-        counts = hosts.groupBy("main").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
-        key = F.xxhash64(F.lit("hosts"), "main")
-        hosts = hosts.join(counts, "main").select(key.alias("key"), (-1 - F.pmod(F.xxhash64("id"), "blocks")).alias("pair"), F.lit(0).alias("side"), "id", F.col("main").alias("comp"))
-        guests = mixed.where(crowd & outsider).select("main", "id", "comp").distinct().join(counts, "main").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        guests = guests.select(key.alias("key"), (-1 - F.col("block")).alias("pair"), F.lit(1).alias("side"), "id", "comp")
+        inside = inside.select("key", (lo * (1 << 31) + hi).alias("pair"), side.alias("side"), "id")
 
-        rows = inside.union(hosts).union(guests).join(sketches, "id").select("key", "pair", "side", "id", "comp", "n", "sketch", "heads")
-        return apart, rows.repartition("key", "pair").sortWithinPartitions("key", "pair"), deeper
+        # a crowd's most common component is dealt to blocks once, over all orders; every outsider visits each of its blocks
+        both = mixed.where(crowd).groupBy("main", "id").agg(F.bool_and(~outsider).alias("host"))
+        counts = both.where("host").groupBy("main").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
+        both = both.join(counts, "main").withColumn("block", F.explode(F.when(F.col("host"), F.array(F.pmod(F.xxhash64("id"), "blocks"))).otherwise(F.sequence(zero, F.col("blocks") - 1))))
+        both = both.select(F.xxhash64(F.lit("hosts"), "main").alias("key"), (-1 - F.col("block")).alias("pair"), F.when(F.col("host"), 0).otherwise(1).alias("side"), "id")
+        return inside.union(both)
 
 
 def _judged(documents: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -442,7 +441,7 @@ def _judged(documents: DataFrame, shingle: int, percent: int) -> DataFrame:
         deeper = forest.level(active, depth, trees, k == len(LEVELS) - 1)
         if deeper is None:
             break
-        active = classes.join(_some(deeper), "id")
+        active = classes.join(small(deeper)(deeper), "id")
 
     last = forest.groups.select(F.col("node").alias("id"), "component")
     groups = stored(classes.select("digest", "id", "rep.doc_id").join(last, "id", "left").select("digest", "doc_id", F.coalesce("component", "id").alias("group")), "groups")
@@ -477,12 +476,12 @@ def one_of_each_group(documents: DataFrame, shingle: int = 5, percent: int = 80)
     stays = rows.where("kept and group is not null").groupBy("group").agg(F.min("key_").alias("least"))  # its doc_id is the group's smallest
     gone = rows.where("group is not null").join(stays, "group").where("not kept or key_ <> least").select("doc_id", "key_")
     gone = stored(gone, "gone")
-    many = rows.where("n > 1").join(_some(gone), ["doc_id", "key_"], "left_anti").select("doc_id", "key_")
+    many = rows.where("n > 1").join(small(gone)(gone), ["doc_id", "key_"], "left_anti").select("doc_id", "key_")
     many = stored(many, "many")
     key = [F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text").cast("string")).alias("key_")]
     own = F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("own")
-    left = documents.select(own, *key).join(_some(gone), ["doc_id", "key_"], "left_anti")
+    left = documents.select(own, *key).join(small(gone)(gone), ["doc_id", "key_"], "left_anti")
     if not many.isEmpty():
-        once = left.join(_some(many), ["doc_id", "key_"], "left_semi").groupBy("doc_id", "key_").agg(F.first("own").alias("own")).select("own")
-        left = left.join(_some(many), ["doc_id", "key_"], "left_anti").select("own").union(once)
+        once = left.join(small(many)(many), ["doc_id", "key_"], "left_semi").groupBy("doc_id", "key_").agg(F.first("own").alias("own")).select("own")
+        left = left.join(small(many)(many), ["doc_id", "key_"], "left_anti").select("own").union(once)
     return left.select(*[F.col(f"own.`{c}`").alias(c) for c in documents.columns])
