@@ -21,6 +21,8 @@ from auklet.llm.url_filter import url_verdicts
 
 #: Bytes of text in a shard of op6's query.
 SHARD_BYTES = 1 << 20
+#: op9's query: whole repeated lines from 3 words on, and runs of repeated sentences of 25 words; shorter common sentences are in most clean documents.
+LINES = {"min_words": 25, "few": 3}
 URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
 
 
@@ -33,7 +35,7 @@ def op2_cws_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted", "spans")
 
 
 def op4_quality_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +63,7 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_report(table(spark, sf_dir, "documents").select("doc_id", "text"), lines=True)
+    return line_report(table(spark, sf_dir, "documents").select("doc_id", "text"), **LINES)
 
 
 def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
