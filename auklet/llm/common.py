@@ -28,16 +28,30 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+#: Tables that stored() wrote and cleared() hasn't deleted yet.
+_WRITTEN: list[str] = []
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df, written to the shared folder and read back: lineage ends there, and a lost executor costs nothing.
 
-    The table outlives the call, because the returned frame is lazy; whoever clears the checkpoint folder clears it.
+    The table outlives the call, because the returned frame is lazy; cleared() deletes it once results are written.
     """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def cleared(spark: SparkSession) -> int:
+    """Deletes all tables that this driver's operators have stored; returns how many. Frames that weren't written yet can't be computed any more."""
+    n = 0
+    while _WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        n += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 #: Rows of a few numbers that are broadcast at most (about 50 bytes each); more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 

@@ -1,7 +1,7 @@
 from collections import Counter, defaultdict
 
 import corpus_pipeline
-from auklet.llm.common import table
+from auklet.llm.common import cleared, stored, table
 from auklet.llm.mixing import mixture
 from auklet.llm.near_dedup import one_of_each_group
 from tests.llm.test_decontaminate import brute as contaminated
@@ -57,3 +57,9 @@ def test_repeated_rows_and_clashing_columns(spark):
     got = one_of_each_group(df)
     assert got.columns == df.columns and sorted(map(tuple, got.collect()), key=repr) == sorted([rows[0], *rows[3:]], key=repr)
     assert one_of_each_group(df.limit(0)).count() == 0
+
+
+def test_stored_tables_go(spark):
+    before = cleared(spark)
+    kept = stored(spark.range(5), "five")
+    assert kept.count() == 5 and before >= 0 and cleared(spark) == 1 and cleared(spark) == 0
