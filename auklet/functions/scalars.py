@@ -71,6 +71,11 @@ def rank_key(ranks: Column) -> Column:
     return F.array_join(F.array_sort(ranks).cast("array<string>"), ",")
 
 
+def ranks_of_key(key: Column) -> Column:
+    """The ranks of a rank_key(); what isn't a number is left out."""
+    return F.array_compact(F.transform(F.split(key, ","), lambda p: F.trim(p).try_cast("int")))
+
+
 def expand_ranges(text: Column) -> Column:
     """'0-3,5' as [0, 1, 2, 3, 5]; pieces that are no numbers are left out."""
     bounds = F.transform(F.split(text, ","), lambda p: F.split(F.trim(p), "-"))

@@ -257,3 +257,28 @@ def navigation(components: DataFrame) -> DataFrame:
     known = F.array_position(F.array(*[F.lit(c) for c in NAVIGATION]), F.col("component"))
     rows = components.select("component").where("component <> 'system'").distinct()  # as many as there are kinds of probes
     return rows.withColumn("place", F.row_number().over(Window.orderBy(F.when(known > 0, known).otherwise(F.lit(999)), "component")))
+
+
+def disk_specs(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Disks (keys, device, bytes, model) as identity points, in GB of 10^9 bytes."""
+    return points(rows, keys, "disk", ("disk_info", trunc_round(F.col("bytes") / 1e9, 1), "GB", _labels(device=F.col("device"), model=F.coalesce("model", F.lit("")))))
+
+
+def network_specs(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Interfaces (keys, interface, mac, mtu, speed, driver) as identity points; the value counts them by name, loopback left out."""
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("interface")) - 1
+    labels = _labels(**{c: F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("interface", "mac", "mtu", "speed", "driver")})
+    return points(rows.where("interface <> 'lo'").withColumn("place_", place), keys, "network", ("net_info", F.col("place_"), "", labels))
+
+
+def device_specs(rows: DataFrame, keys: list[str], component: str) -> DataFrame:
+    """Accelerators (keys, id, name, bus) as identity points of gpu or npu."""
+    labels = _labels(**{f"{component}_id": F.col("id"), "name": F.coalesce("name", F.lit("")), "bus_id": F.coalesce("bus", F.lit(""))})
+    return points(rows, keys, component, (f"{component}_info", F.lit(0), "", labels))
+
+
+def system_specs(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Maker and product of the machine and the system's name (keys, manufacturer, product_name, pretty_name) as identity points."""
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    model = F.when(F.col("manufacturer").isNotNull() | F.col("product_name").isNotNull(), 0)
+    return points(rows, keys, "system", ("device_model", model, "", _labels(manufacturer=text("manufacturer"), product_name=text("product_name"))), ("os_info", F.when(F.col("pretty_name").isNotNull(), 0), "", _labels(pretty_name=text("pretty_name"))))

@@ -199,6 +199,11 @@ def correlation(summary: DataFrame) -> DataFrame:
     return got.where("n > 0").select(kind.alias("type"), sure.alias("confidence"), "n", "total", "cards")
 
 
+def gate(summary: DataFrame) -> DataFrame:
+    """(confirmed): whether any card is confirmed abnormal, so that ranks are worth looking into."""
+    return summary.agg(F.coalesce(F.bool_or(F.col("quadrant") == "confirmed_anomaly"), F.lit(False)).alias("confirmed"))
+
+
 def events(summary: DataFrame) -> DataFrame:
     """The event that each card which isn't normal gives rise to."""
     level = F.when(F.col("quadrant") == "confirmed_anomaly", "critical").when(F.col("quadrant") == "individual_variance", "info").otherwise("warning")

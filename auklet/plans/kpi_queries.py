@@ -59,6 +59,7 @@ QUERIES = {
     "dk1_card_summaries": flagship,
     "a19_summary_counts": lambda s, d: K.counts(summary(s, d)),
     "dk7_correlation": lambda s, d: K.correlation(summary(s, d)),
+    "dk8_gate": lambda s, d: K.gate(summary(s, d)),
     "k12_straggler_events": lambda s, d: K.events(summary(s, d)),
 }
 
@@ -186,6 +187,7 @@ select l_suppkey, cast(round(avg(duration)) as bigint) as duration, cast(round(a
         "c as (select count(*) filter (quadrant = 'confirmed_anomaly') as n, count(*) as total, coalesce(string_agg(card::varchar, ',' order by card) filter (quadrant = 'confirmed_anomaly'), '') as cards from summary)",
         tail="select case when n = total and total > 1 then 'job_level' else 'card_level' end as type, case when (n = total and total > 1) or n > 1 then 'medium' else 'high' end as confidence, n, total, cards from c where n > 0",
     ),
+    "dk8_gate": _with(*_ALL, tail="select coalesce(bool_or(quadrant = 'confirmed_anomaly'), false) as confirmed from summary"),
     "k12_straggler_events": _with(
         *_ALL,
         tail="""select substr(sha256('straggler_detected/' || card || '/' || quadrant), 1, 16) as event_id, 'straggler_detected' as type, card::varchar as npu_id,

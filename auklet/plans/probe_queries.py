@@ -7,12 +7,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from auklet.functions import scalars as X
 from auklet.operators import gauges as G
+from auklet.operators import health as H
 from auklet.operators import series as S
 from auklet.operators import windows as W
-from auklet.plans import metric_queries
+from auklet.plans import fleet_queries, metric_queries, profiler_queries
 from auklet.plans import views as V
+from auklet.sinks import files, reports
 from auklet.sources import probes as P
+from auklet.sources import rank_files as R
 
 KEYS = ["Total", "Free", "Cached", "Dirty", "Mapped", "Slab", "None"]
 DEVICES = ["sda", "sda1", "nvme0n1", "loop0", "vdb", "nvme0n1p2", "xvdc"]
@@ -91,6 +95,14 @@ def layout(s, d):
     return P.processor_layout(inventory(s, d, *texts)).drop("source")
 
 
+def group_texts(s, d):
+    """Each supplier's groups as the JSON of a rank: the suppliers of its nation."""
+    mates = V.table(s, d, "supplier").groupBy("s_nationkey").agg(F.collect_list(F.col("s_suppkey").cast("int")).alias("mates"))
+    rows = V.table(s, d, "supplier").join(mates, "s_nationkey")
+    group = F.struct(F.lit("tp").alias("group_name"), F.col("mates").alias("global_ranks"))
+    return rows.select(F.col("s_suppkey").cast("int").alias("rank"), F.to_json(F.create_map(F.concat(F.lit("g"), F.col("s_nationkey").cast("string")), group)).alias("value"))
+
+
 def device_rows(s, d):
     return rows(s, d).select("batch", F.col("pos").alias("card"), (F.col("q") % 5).alias("health"), (F.col("u") % 3).alias("link"))
 
@@ -107,6 +119,20 @@ QUERIES = {
     "s15_mounts": lambda s, d: P.mounts(lines(s, d, F.concat(text("/dev/sd{q} /m{pos} "), of_pos(*FILESYSTEMS), F.lit(" rw 0 0")))).drop("source"),
     "s16_a23_tcp_states": lambda s, d: P.tcp_states(lines(s, d, F.concat(text("{pos}: 0100007F:{q} 0:0 "), of_pos(*CODES), F.lit(" 0")))),
     "s17_cpu_lists": lambda s, d: P.cpu_list(rows(s, d).withColumns({"a": F.col("q") % 5, "b": F.col("q") % 5 + 7}).select("batch", F.lit("list").alias("source"), "pos", text("0-{a},{b}").alias("value"))).select("batch", F.array_join(F.col("cpus").cast("array<string>"), ",").alias("cpus"), "n"),
+    "s17_system_values": lambda s, d: P.system_values(rows(s, d).select("batch", F.explode(F.array(of_pos("/sys/devices/system/cpu/cpu{q}/cpufreq/scaling_cur_freq", "/sys/devices/system/cpu/cpu0/cache/index{q}/size", "/sys/class/net/eth{q}/operstate", "/sys/block/sd{q}/size", "/sys/block/loop{q}/size", "/sys/class/thermal/thermal_zone{q}/temp", "/sys/other"))).alias("source"), F.lit(0).alias("pos"), of_pos("{p}", "{p}K", "up", "{p}", "{p}", "{p} ", "{p}").alias("value"))).drop("source"),
+    "s28_disk_specs": lambda s, d: labelled(G.disk_specs(rows(s, d).select("batch", text("sd{pos}").alias("device"), (F.col("p") * 1_000_000).alias("bytes"), F.when(F.col("q") % 2 == 0, text("M{q}")).alias("model")), ["batch"]), "batch"),
+    "s28_network_specs": lambda s, d: labelled(G.network_specs(rows(s, d).select("batch", of_pos("lo", *[f"eth{k}" for k in range(6)]).alias("interface"), text("m{q}").alias("mac"), F.col("k").alias("mtu"), F.lit(-1).alias("speed"), F.lit(None).cast("string").alias("driver")), ["batch"]), "batch"),
+    "s28_device_specs": lambda s, d: labelled(G.device_specs(rows(s, d).select("batch", F.col("pos").alias("id"), text("N{q}").alias("name"), F.lit("0:1").alias("bus")), ["batch"], "npu"), "batch"),
+    "s28_system_specs": lambda s, d: labelled(G.system_specs(V.table(s, d, "orders").select(F.col("o_orderkey").alias("batch"), F.when(F.col("o_custkey") % 2 == 0, F.lit("Maker")).alias("manufacturer"), F.when(F.col("o_custkey") % 3 == 0, F.lit("Box")).alias("product_name"), F.when(F.col("o_custkey") % 5 == 0, F.lit("Linux 1")).alias("pretty_name")), ["batch"]), "batch"),
+    "s5_rank_figures": lambda s, d: R.settled_steps(R.figures_of(inventory(s, d, "stepindex,took, wait", "1,{q},x", "2,{u},{p}", "3,{p},-").withColumn("source", F.col("batch").cast("string")), F.col("source").try_cast("int"))),
+    "s5_rank_groups": lambda s, d: R.groups_of(group_texts(s, d)).select("domain", "name", F.array_join(F.col("ranks").cast("array<string>"), ",").alias("ranks")),
+    "s5_rank_hosts": lambda s, d: R.hosts_of(V.table(s, d, "supplier").select(F.col("s_suppkey").alias("rank"), F.when(F.col("s_nationkey") % 3 == 0, "{}").otherwise(F.to_json(F.struct(F.concat(F.lit("h"), F.col("s_nationkey").cast("string")).alias("hostUid")))).alias("value"))),
+    "k10_result_entries": lambda s, d: reports.result_entries(profiler_queries.QUERIES["dp8_findings"](s, d)),
+    "x12_ranks_of_keys": lambda s, d: V.table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", X.ranks_of_key(F.concat_ws(", ", "l_suppkey", F.lit("x"), "l_linenumber")).alias("r")).select("l_orderkey", "l_linenumber", "l_suppkey", F.array_join(F.col("r").cast("array<string>"), ";").alias("ranks")),
+    "s28_release": lambda s, d: P.release(inventory(s, d, "NAME=\"Linux {q}\"", "# comment=1", "ID=x{u}", "no pair")).drop("source"),
+    "k6_global_snapshots": lambda s, d: files.global_snapshot(H.component_scores(V.points(s, d)), H.health(V.points(s, d)), "node", {"cpu": 3.0}).select("node", "health.score", "health.grade", F.array_join(F.transform("collectors", lambda c: F.concat(c["component"], F.lit(":"), c["max"].cast("int").cast("string"))), ",").alias("parts"), F.col("intervals_ms")["cpu"].alias("cpu_ms")),
+    "k5_component_snapshots": lambda s, d: files.snapshots(metric_queries.chart_points(s, d), None, metric_queries.chart_points(s, d).where("name = 'power'")).select("component", "batch", F.size("metrics").alias("n"), F.round(F.aggregate("metrics", F.lit(0.0), lambda a, m: a + m["value"]), 3).alias("total"), F.size(F.coalesce("specs", F.array())).alias("specs")),
+    "m11_kpi_samples": lambda s, d: files.samples_of(V.kpi(s, d).groupBy("ts_s", "card", "metric").agg(F.max("value").alias("value"))).select("ts", F.size("vals").alias("cards"), F.aggregate(F.map_values("vals"), F.lit(0), lambda a, m: a + F.size(m)).alias("fields")),
     "s18_pressure": lambda s, d: pressure(s, d).drop("source"),
     "s19_fsensor_sensors": sensors,
     "s20_gpu_rows": lambda s, d: P.gpu_rows(lines(s, d, F.when(F.col("pos") == 5, "too, short").otherwise(text("{pos}, {q}, {p}, {k}, {u}, 75.5, [N/A], 3, 1500")))).drop("source"),
@@ -196,6 +222,20 @@ SQL = {
     "s15_mounts": _with(f"select batch, '/dev/sd' || q as device, '/m' || pos as mount, {_list(FILESYSTEMS)}[pos] as fstype from l where pos in (1, 3, 6, 7)"),
     "s16_a23_tcp_states": _with("select batch, state, count(*) as n from tcp where state is not null group by 1, 2", _STATES),
     "s17_cpu_lists": _with("select batch, array_to_string(list_concat(range(q % 5 + 1), [q % 5 + 7]), ',') as cpus, cast(q % 5 + 2 as int) as n from l"),
+    "s17_system_values": _with("select batch, ['cur_khz', 'cache_kb', 'operstate', 'bytes', '', 'celsius'][pos] as kind, case pos when 1 then 'cpu' || q when 2 then 'cpu0/cache/index' || q when 3 then 'eth' || q when 4 then 'sd' || q else 'thermal_zone' || q end as device, case pos when 2 then p || 'K' when 3 then 'up' else p::varchar end as text, case pos when 3 then null when 4 then p * 512.0 when 6 then p / 1000.0 else p end::double as number from l where pos in (1, 2, 3, 4, 6)"),
+    "s28_disk_specs": _with(_points("disk", "l", ("disk_info", "cast(trunc(p / 1000.0 * 10 + 0.5) as bigint) / 10.0", "'device=sd' || pos || ',model=' || case when q % 2 = 0 then 'M' || q else '' end"))),
+    "s28_network_specs": _with(_points("network", "(select *, row_number() over (partition by batch order by pos) - 1 as place from l where pos > 1) as t", ("net_info", "place", "'driver=,interface=eth' || (pos - 2) || ',mac=m' || q || ',mtu=' || k || ',speed=-1'"))),
+    "s28_device_specs": _with(_points("npu", "l", ("npu_info", "0", "'bus_id=0:1,name=N' || q || ',npu_id=' || pos"))),
+    "s28_system_specs": _O + " " + _points("system", "o", ("device_model", "case when u % 2 = 0 or u % 3 = 0 then 0 end", "'manufacturer=' || case when u % 2 = 0 then 'Maker' else '' end || ',product_name=' || case when u % 3 = 0 then 'Box' else '' end"), ("os_info", "case when u % 5 = 0 then 0 end", "'pretty_name=Linux 1'")),
+    "s5_rank_figures": _O + " select cast(batch as int) as rank, 'took' as metric, u::double as value from o union all select cast(batch as int), 'wait', p::double from o",
+    "s5_rank_groups": "select 'tp' as domain, 'g' || s_nationkey as name, string_agg(s_suppkey::varchar, ',' order by s_suppkey) as ranks from supplier group by s_nationkey having count(*) > 1",
+    "s5_rank_hosts": "select s_suppkey as rank, 'h' || s_nationkey as host from supplier where s_nationkey % 3 <> 0",
+    "k10_result_entries": "select category, cast(row_number() over (partition by category order by case when category = 'bubble' then score else -score end, key) as int) as place, case when category = 'comm' then domain || '[' || replace(key, ',', ', ') || ']' else key end as display, score as value from (" + profiler_queries.SQL["dp8_findings"] + ")",
+    "x12_ranks_of_keys": "select l_orderkey, l_linenumber, l_suppkey, l_suppkey || ';' || l_linenumber as ranks from lineitem",
+    "s28_release": _O + " select batch, 'NAME' as key, 'Linux ' || q as text from o union all select batch, 'ID', 'x' || u from o",
+    "k6_global_snapshots": fleet_queries._with(*fleet_queries._health_sql(), tail="select node, cast(sum(score) as int) as score, case when sum(score) >= 90 then 'Excellent' when sum(score) >= 75 then 'Good' when sum(score) >= 60 then 'Warning' else 'Critical' end as grade, string_agg(component || ':' || max::int, ',' order by component) as parts, 3000 as cpu_ms from scores group by node"),
+    "k5_component_snapshots": "with " + metric_queries._POINTS + " select component, max(batch) as batch, cast(count(*) as int) as n, round(sum(value), 3) as total, cast(count(*) filter (name = 'power') as int) as specs from cpoints group by component",
+    "m11_kpi_samples": f"with {V.KPI_SQL} select ts_s as ts, cast(count(distinct card) as int) as cards, cast(count(distinct (card, metric)) as int) as fields from kpi group by 1",
     "s18_pressure": _with("select batch, 'some' as kind, unnest(['avg10', 'avg60', 'avg300', 'total']) as field, unnest([q + 0.5, 0.25, u + 0.123456, p]::double[]) as value from l where pos = 1 union all select batch, 'full', unnest(['avg10', 'avg60', 'avg300', 'total']), unnest([0, q, 1, 0]::double[]) from l where pos = 2"),
     "s19_fsensor_sensors": _with("select batch, name, value, unit, status, kind from sensed", _SENSORS),
     "s20_gpu_rows": _with("select batch, pos::varchar as gpu, q::double as utilization, p::double as mem_used, k::double as mem_total, u::double as temperature, 75.5::double as power, 0.0::double as fan_speed, 3.0::double as ecc_errors, 1500.0::double as clock from l where pos <> 5"),

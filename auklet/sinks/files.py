@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import date
 
 from pyspark.sql import DataFrame
@@ -21,6 +22,13 @@ def write_kpi_days(samples: DataFrame, folder: str) -> None:
     samples.withColumn("day", F.to_date(F.timestamp_seconds("ts"))).write.mode("append").partitionBy("day").json(folder)
 
 
+def samples_of(kpi: DataFrame) -> DataFrame:
+    """KPI rows (ts_s, card, metric, value) as samples: one row for each time, with the fields of every card, and no processor averages."""
+    cards = kpi.groupBy("ts_s", "card").agg(F.map_from_entries(F.collect_list(F.struct("metric", "value"))).alias("fields"))  # as many as there are metrics
+    got = cards.groupBy(F.col("ts_s").alias("ts")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("card").cast("string").alias("card"), "fields"))).alias("vals"))
+    return got.withColumn("cpu_avg", F.lit(None).cast("map<string,double>"))
+
+
 def expired_days(spark, folder: str, before: date) -> list[str]:
     """Day folders that are older than a date; the caller deletes them. Listed through Spark's file system, so any store works."""
     jvm = spark._jvm
@@ -39,21 +47,59 @@ def prune_days(spark, folder: str, before: date) -> int:
     return len(gone)
 
 
-def snapshots(points: DataFrame, history: DataFrame | None = None) -> DataFrame:
-    """(component, batch, metrics, history): a document for each component's points of one batch; history is (component, series, history)."""
+def _listed(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """(keys, name): points as an array in the order of `ord`."""
     point = F.struct("component", "name", "value", "unit", "labels").alias("m")
-    rows = points.groupBy("component").agg(F.max("batch").alias("batch"), F.collect_list(F.struct("ord", point)).alias("all"))
-    ordered = F.array_sort("all", lambda a, b: F.when(a["ord"] < b["ord"], -1).when(a["ord"] > b["ord"], 1).otherwise(0))  # maps can't be compared
-    docs = rows.select("component", "batch", F.transform(ordered, lambda x: x["m"]).alias("metrics"))
+    got = rows.groupBy(*keys).agg(F.collect_list(F.struct("ord", point)).alias("all_"))
+    ordered = F.array_sort("all_", lambda a, b: F.when(a["ord"] < b["ord"], -1).when(a["ord"] > b["ord"], 1).otherwise(0))  # maps can't be compared
+    return got.select(*keys, F.transform(ordered, lambda x: x["m"]).alias(name))
+
+
+def snapshots(points: DataFrame, history: DataFrame | None = None, specs: DataFrame | None = None) -> DataFrame:
+    """(component, batch, metrics, history): a document for each component's points of one batch; history is (component, series, history).
+
+    With specs (points that are sent once, kept from earlier batches, and hardware identity) documents also have those of their component.
+    """
+    if specs is not None:
+        return snapshots(points, history).join(_listed(specs, ["component"], "specs"), "component", "left")
+    docs = points.groupBy("component").agg(F.max("batch").alias("batch")).join(_listed(points, ["component"], "metrics"), "component")
     if history is None:
         return docs.withColumn("history", F.lit(None).cast("map<string,array<double>>"))
     h = history.groupBy("component").agg(F.map_from_entries(F.collect_list(F.struct("series", "history"))).alias("history"))
     return docs.join(h, "component", "left")
 
 
-def write_snapshots(points: DataFrame, folder: str, history: DataFrame | None = None) -> None:
-    """Replaces the documents; one batch of a component is a bounded group."""
-    snapshots(points, history).write.mode("overwrite").json(folder)
+def global_snapshot(scores: DataFrame, health: DataFrame, key: str, intervals: dict[str, float] | None = None, specs: DataFrame | None = None) -> DataFrame:
+    """(key, health, collectors, intervals_ms, system_specs): a document for each node over all of its components.
+
+    scores are (key, component, score, max), health (key, score, grade, server_type); specs are points of the whole system (key,
+    component, name, value, unit, labels, ord). A node without points has no document.
+    """
+    parts = scores.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("component", "score", "max"))).alias("collectors"))  # as many as there are kinds of probes
+    docs = health.select(key, F.struct("score", "grade", "server_type").alias("health")).join(parts, key)
+    pairs = [x for c, s in sorted((intervals or {}).items()) for x in (F.lit(c), F.lit(int(s * 1000)))]
+    docs = docs.withColumn("intervals_ms", F.create_map(*pairs).cast("map<string,int>"))
+    if specs is None:
+        return docs.withColumn("system_specs", F.lit(None).cast("array<struct<component:string,name:string,value:double,unit:string,labels:map<string,string>>>"))
+    return docs.join(_listed(specs, [key], "system_specs"), key, "left")
+
+
+def replace(df: DataFrame, folder: str) -> None:
+    """Writes JSON lines beside the folder and then puts them in its place by two renames, so readers never see a part."""
+    spark = df.sparkSession
+    new, old = (f"{folder.rstrip('/')}.{x}-{uuid.uuid4().hex}" for x in ("new", "old"))
+    df.write.json(new)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(path(folder)):
+        fs.rename(path(folder), path(old))
+    fs.rename(path(new), path(folder))
+    fs.delete(path(old), True)
+
+
+def write_snapshots(points: DataFrame, folder: str, history: DataFrame | None = None, specs: DataFrame | None = None) -> None:
+    """Replaces the documents at once; one batch of a component is a bounded group."""
+    replace(snapshots(points, history, specs), folder)
 
 
 def write_exposition(points: DataFrame, folder: str, prefix: str = "node") -> None:
@@ -70,3 +116,9 @@ def write_rank_table(wide: DataFrame, folder: str) -> None:
 def write_documents(df: DataFrame, folder: str) -> None:
     """Results with nested columns as JSON lines."""
     df.write.mode("overwrite").json(folder)
+
+
+def write_rank_files(groups: DataFrame, hosts: DataFrame, folder: str) -> None:
+    """Groups (domain, name, ranks) and hosts (rank, host) of a job as JSON lines, a row once however often it comes."""
+    groups.select("name", F.struct(F.col("domain").alias("group_name"), F.col("ranks").alias("global_ranks")).alias("group")).distinct().write.mode("overwrite").json(f"{folder}/groups")
+    hosts.select(F.col("rank").cast("string").alias("rank"), F.col("host").alias("hostUid")).dropDuplicates(["rank"]).write.mode("overwrite").json(f"{folder}/hosts")

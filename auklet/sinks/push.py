@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from auklet.session import settled
+
 
 def with_event_ids(events: DataFrame, keys: list[str]) -> DataFrame:
     """Adds event_id, a hash of the event's own keys: a repeated delivery carries the same id."""
@@ -28,7 +30,7 @@ def post(endpoint: str, body: str, timeout_s: float) -> bool:
 def pushed(pairs: DataFrame, retries: int = 3, backoff_s: float = 0.5, timeout_s: float = 30.0, send: Callable[[str, str, float], bool] = post) -> DataFrame:
     """(event_id, endpoint, attempts, delivered) of event rows with an endpoint; all other columns but it are the body.
 
-    The k-th retry waits k * backoff_s. Delivery is at least once: a lost task sends its rows again, under the same event_id.
+    Rows are sent when the result is computed, so compute it once: `delivered` does that. The k-th retry waits k * backoff_s. Delivery is at least once: a lost task sends its rows again, under the same event_id.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -44,3 +46,10 @@ def pushed(pairs: DataFrame, retries: int = 3, backoff_s: float = 0.5, timeout_s
 
     body = F.to_json(F.struct(*[F.col(c) for c in pairs.columns if c != "endpoint"]))
     return pairs.select("event_id", "endpoint", body.alias("body")).mapInPandas(run, "event_id string, endpoint string, attempts int, delivered boolean")
+
+
+def delivered(pairs: DataFrame, **how) -> DataFrame:
+    """Sends now, and gives pushed()'s rows, which can be read any number of times without sending again."""
+    out = settled(pushed(pairs, **how))
+    out.count()  # where it is kept and not written, this is what sends
+    return out

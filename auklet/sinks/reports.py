@@ -30,3 +30,14 @@ def metric_report(metrics: DataFrame, metric: str, top: int = 30, bottom: int =
 def spread(metrics: DataFrame) -> DataFrame:
     """(metric, n, least, mean, median, most) over ranks."""
     return metrics.where("value is not null").groupBy("metric").agg(F.count("*").alias("n"), F.min("value").alias("least"), F.avg("value").alias("mean"), F.percentile("value", F.lit(0.5)).alias("median"), F.max("value").alias("most"))
+
+
+def result_entries(findings: DataFrame) -> DataFrame:
+    """(category, place, display, value) of findings (category, key, domain, score): bubbles from the least, all else from the greatest.
+
+    Groups are shown as their domain with the ranks in brackets, ranks as they are.
+    """
+    value = F.when(F.col("category") == "bubble", F.col("score")).otherwise(-F.col("score"))
+    shown = F.when(F.col("category") == "comm", F.concat(F.coalesce("domain", F.lit("")), F.lit("["), F.replace("key", F.lit(","), F.lit(", ")), F.lit("]"))).otherwise(F.col("key"))
+    place = F.row_number().over(Window.partitionBy("category").orderBy(value, "key"))  # findings of one job
+    return findings.select("category", place.alias("place"), shown.alias("display"), F.col("score").alias("value"))

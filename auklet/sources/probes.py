@@ -21,10 +21,57 @@ VIRTUAL_FS = ["proc", "sysfs", "devtmpfs", "tmpfs", "devpts", "overlay", "squash
 
 
 def read_lines(spark: SparkSession, path: str, batch: Column | None = None) -> DataFrame:
-    """(batch, source, pos, value) of text files; source is the file's path, pos the line's place in it."""
-    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("source"), F.col("_metadata.file_modification_time").alias("at"), "value")
-    lines = text.select((F.col("at") if batch is None else batch).alias("batch"), "source", F.posexplode(F.split("value", "\n")).alias("pos", "value"))
-    return lines.where("value <> ''")
+    """(batch, source, pos, value) of text files; source is the file's path, pos the line's place in it.
+
+    Files of any length are read in blocks: lines are numbered within a block, and each block starts where those before it end.
+    """
+    meta = {c: F.col(f"_metadata.{m}").alias(c) for c, m in (("source", "file_path"), ("at", "file_modification_time"), ("block_", "file_block_start"))}
+    text = spark.read.text(path).select(*meta.values(), "value").withColumn("id_", F.monotonically_increasing_id())
+    sizes = text.groupBy("source", "block_").agg(F.count("*").alias("n_"))
+    base = F.coalesce(F.sum("n_").over(Window.partitionBy("source").orderBy("block_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    place = F.row_number().over(Window.partitionBy("source", "block_").orderBy("id_")) - 1
+    lines = text.withColumn("k_", place).join(sizes.select("source", "block_", base.alias("base_")), ["source", "block_"])
+    return lines.where("value <> ''").select((F.col("at") if batch is None else batch).alias("batch"), "source", (F.col("base_") + F.col("k_")).cast("int").alias("pos"), "value")
+
+
+# Files of the system tree that hold one value, as (kind, pattern of the path, whose first group is the device)
+SYSTEM_FILES = [
+    ("cur_khz", r"/cpu/(cpu\d+)/cpufreq/scaling_cur_freq$"),
+    ("min_khz", r"/cpu/(cpu\d+)/cpufreq/cpuinfo_min_freq$"),
+    ("max_khz", r"/cpu/(cpu\d+)/cpufreq/cpuinfo_max_freq$"),
+    ("cache_kb", r"/cpu/(cpu\d+/cache/index\d+)/size$"),
+    ("node_cpus", r"/node/(node\d+)/cpulist$"),
+    ("ce_count", r"/edac/mc/(mc\d+)/ce_count$"),
+    ("ue_count", r"/edac/mc/(mc\d+)/ue_count$"),
+    ("operstate", r"/net/([^/]+)/operstate$"),
+    ("speed", r"/net/([^/]+)/speed$"),
+    ("mtu", r"/net/([^/]+)/mtu$"),
+    ("mac", r"/net/([^/]+)/address$"),
+    ("bytes", r"/block/([^/]+)/size$"),
+    ("celsius", r"/thermal/(thermal_zone\d+)/temp$"),
+]
+# Beginnings of block devices' names that aren't disks
+NO_DISKS = ["loop", "ram", "sr", "zram", "md"]
+
+
+def system_values(lines: DataFrame) -> DataFrame:
+    """(batch, source, kind, device, text, number) of the system tree's one-value files; the file's path says what a value is.
+
+    Sizes of block devices are in sectors of 512 bytes, of caches in K, temperatures in thousandths. Loops, memory disks and
+    arrays give no row.
+    """
+    found = [F.when(F.col("source").rlike(p), F.struct(F.lit(k).alias("kind"), F.regexp_extract("source", p, 1).alias("device"))) for k, p in SYSTEM_FILES]
+    rows = lines.where("pos = 0").select(*KEYS, F.coalesce(*found).alias("of"), _strip("value").alias("text")).where("of is not null").select(*KEYS, "of.*", "text")
+    rows = rows.where((F.col("kind") != "bytes") | ~F.col("device").rlike("^(" + "|".join(NO_DISKS) + ")"))
+    n = F.regexp_replace("text", "K$", "").try_cast("double")
+    return rows.withColumn("number", F.when(F.col("kind") == "bytes", n * 512).when(F.col("kind") == "celsius", n / 1000).otherwise(n))
+
+
+def release(lines: DataFrame) -> DataFrame:
+    """(batch, source, key, text) of NAME="value" lines; quotes at both ends go."""
+    parts = F.split("value", "=", 2)
+    rows = lines.where(F.col("value").contains("=") & ~F.col("value").startswith("#"))
+    return rows.select(*KEYS, _strip(parts[0]).alias("key"), F.regexp_replace(_strip(F.get(parts, F.lit(1))), r"^[\"']|[\"']$", "").alias("text"))
 
 
 def _strip(text: Column | str) -> Column:

@@ -11,6 +11,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from auklet.session import settled
+
 # The databases' tables and how they become the profiler operators' relations
 FILE = re.compile(r"ascend_pytorch_profiler_(\d+)\.db$")
 RELATIONS = {
@@ -43,13 +45,25 @@ def read_profiles(spark: SparkSession, folder: str, relation: str) -> DataFrame:
     Spark ships each file's bytes to the task that reads it, which needs a local copy for SQLite and deletes it at once; files
     are spread over tasks one by one, and a lost task only repeats its file.
     """
-    table, query, columns = RELATIONS[relation]
+    return _read(spark, folder, [relation])[relation]
+
+
+def read_all(spark: SparkSession, folder: str, relations: list[str] | None = None) -> dict[str, DataFrame]:
+    """Several relations (all by default) in one pass over the files: each is copied once, and its rows are kept for all readers."""
+    return _read(spark, folder, relations or list(RELATIONS))
+
+
+def _read(spark: SparkSession, folder: str, relations: list[str]) -> dict[str, DataFrame]:
+    kinds = {c.split()[0]: c.split()[1] for r in relations for c in RELATIONS[r][2].split(", ")}
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "ascend_pytorch_profiler_*.db").load(folder).select("path", "content")
 
     def read(batches):
         import pandas as pd
 
-        names = [c.split()[0] for c in columns.split(", ")]
+        def frame(rank: str, relation: str, run: list[tuple]) -> pd.DataFrame:
+            own = pd.DataFrame(run, columns=[c.split()[0] for c in RELATIONS[relation][2].split(", ")], dtype=object)
+            return own.reindex(columns=list(kinds)).astype(object).where(lambda x: x.notna(), None).assign(rank=int(rank), relation=relation)[["rank", "relation", *kinds]]
+
         for f in batches:
             for path, content in zip(f["path"], f["content"], strict=True):
                 found = FILE.search(path)
@@ -59,13 +73,16 @@ def read_profiles(spark: SparkSession, folder: str, relation: str) -> DataFrame:
                     at = os.path.join(own, "rank.db")
                     with open(at, "wb") as out:
                         out.write(content)
-                    run = []
-                    for row in rows_of(at, table, query):
-                        run.append(row)
-                        if len(run) == 50_000:
-                            yield pd.DataFrame(run, columns=names).assign(rank=int(found[1]))
-                            run = []
-                    if run:
-                        yield pd.DataFrame(run, columns=names).assign(rank=int(found[1]))
-
-    return files.mapInPandas(read, f"rank int, {columns}").select("rank", *[F.col(c.split()[0]) for c in columns.split(", ")])
+                    for relation in relations:
+                        run = []
+                        for row in rows_of(at, *RELATIONS[relation][:2]):
+                            run.append(row)
+                            if len(run) == 50_000:
+                                yield frame(found[1], relation, run)
+                                run = []
+                        if run:
+                            yield frame(found[1], relation, run)
+
+    wide = files.mapInPandas(read, "rank int, relation string, " + ", ".join(f"{c} {kind}" for c, kind in kinds.items()))
+    wide = settled(wide) if len(relations) > 1 else wide
+    return {r: wide.where(F.col("relation") == r).select("rank", *[c.split()[0] for c in RELATIONS[r][2].split(", ")]) for r in relations}

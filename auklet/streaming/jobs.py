@@ -9,6 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from auklet.operators.catalog import kpi_points
+from auklet.sinks.files import samples_of, write_kpi_days
+from auklet.sinks.push import delivered
+
 
 def minute_means(points: DataFrame, ts: str = "ts", width: str = "1 minute", late: str = "2 minutes") -> DataFrame:
     """(bucket, card, metric, n, mean, lowest, highest): each window once, after the watermark has passed it."""
@@ -25,16 +29,24 @@ def counter_increments(points: DataFrame, keys: list[str], ts: str = "ts", width
     return got.select(F.col("w.start").alias("bucket"), *keys, F.when(d < 0, d + F.lit(18446744073709551616.0)).otherwise(d).alias("value"))
 
 
+#: A key's state goes after so long without rows.
+IDLE_MS = 7 * 86_400_000
+
+
 def _by_key(step: Callable[[tuple, pd.DataFrame, tuple], tuple[pd.DataFrame, tuple]], start: tuple):
-    """A stateful function that folds a key's rows of a batch into its state, in the order of `seq`."""
+    """A stateful function that folds a key's rows of a batch into its state, in the order of `seq`; idle keys are forgotten."""
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         now = state.get if state.exists else start
         for f in sorted_frames(frames):
             out, now = step(key, f, now)
             if len(out):
                 yield out
         state.update(now)
+        state.setTimeoutDuration(IDLE_MS)
 
     return run
 
@@ -59,7 +71,7 @@ def transitions(states: DataFrame, key: str, key_type: str = "long") -> DataFram
             last, at = bool(flags[-1]), int(f["seq"].iloc[-1])
         return pd.DataFrame({key: [k[0]] * len(out), "seq": out["seq"], "active": out["active"]}), (last, at)
 
-    return states.select(key, "seq", "active").groupBy(key).applyInPandasWithState(_by_key(step, (False, -(1 << 62))), f"{key} {key_type}, seq long, active boolean", "active boolean, seq long", "append", GroupStateTimeout.NoTimeout)
+    return states.select(key, "seq", "active").groupBy(key).applyInPandasWithState(_by_key(step, (False, -(1 << 62))), f"{key} {key_type}, seq long, active boolean", "active boolean, seq long", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def debounced(pairs: DataFrame, key: str, key_type: str = "string") -> DataFrame:
@@ -73,7 +85,7 @@ def debounced(pairs: DataFrame, key: str, key_type: str = "string") -> DataFrame
                 out.append(seq)
         return pd.DataFrame({key: [k[0]] * len(out), "seq": out}), (kept,)
 
-    return pairs.select(key, "seq", "gap").groupBy(key).applyInPandasWithState(_by_key(step, (None,)), f"{key} {key_type}, seq long", "kept long", "append", GroupStateTimeout.NoTimeout)
+    return pairs.select(key, "seq", "gap").groupBy(key).applyInPandasWithState(_by_key(step, (None,)), f"{key} {key_type}, seq long", "kept long", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def rings(points: DataFrame, key: str, last: int = 60, key_type: str = "string") -> DataFrame:
@@ -83,7 +95,7 @@ def rings(points: DataFrame, key: str, last: int = 60, key_type: str = "string")
         values = (list(now[0]) + f.loc[f["value"] >= 0, "value"].tolist())[-last:]
         return pd.DataFrame({key: [k[0]], "seq": [int(f["seq"].max())], "history": [values]}), (values,)
 
-    return points.select(key, "seq", "value").groupBy(key).applyInPandasWithState(_by_key(step, ([],)), f"{key} {key_type}, seq long, history array<double>", "history array<double>", "update", GroupStateTimeout.NoTimeout)
+    return points.select(key, "seq", "value").groupBy(key).applyInPandasWithState(_by_key(step, ([],)), f"{key} {key_type}, seq long, history array<double>", "history array<double>", "update", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def latest_batch(points: DataFrame, key: str, order: str, write: Callable[[DataFrame, int], None], checkpoint: str):
@@ -94,3 +106,43 @@ def latest_batch(points: DataFrame, key: str, order: str, write: Callable[[DataF
         write(df.join(newest, key).where(F.col(order) == F.col("newest_")).drop("newest_"), number)
 
     return points.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+
+
+def increments(points: DataFrame, key: str, key_type: str = "string") -> DataFrame:
+    """(key, seq, delta): a counter's increase since the row before, across batches; 0 on the first and on a reset; points are (key, seq, value)."""
+
+    def step(k, f, now):
+        values = f["value"].to_numpy(float)
+        before = [values[0] if now[0] is None else now[0], *values[:-1]]
+        delta = [max(0.0, b - a) for a, b in zip(before, values, strict=True)]
+        return pd.DataFrame({key: [k[0]] * len(f), "seq": f["seq"], "delta": delta}), (float(values[-1]),)
+
+    return points.select(key, "seq", "value").groupBy(key).applyInPandasWithState(_by_key(step, (None,)), f"{key} {key_type}, seq long, delta double", "last double", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def first_values(points: DataFrame, key: str, key_type: str = "string") -> DataFrame:
+    """(key, seq, value): values that are sent once, at the first sight of their key; points are (key, seq, value)."""
+
+    def step(k, f, now):
+        out = f.head(0 if now[0] else 1)
+        return pd.DataFrame({key: [k[0]] * len(out), "seq": out["seq"], "value": out["value"]}), (True,)
+
+    return points.select(key, "seq", "value").groupBy(key).applyInPandasWithState(_by_key(step, (False,)), f"{key} {key_type}, seq long, value double", "sent boolean", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def deliveries(pairs: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, **how):
+    """Starts a query that sends each micro-batch's pairs once and hands `write` what became of them."""
+
+    def each(df: DataFrame, number: int) -> None:
+        write(delivered(df, **how), number)
+
+    return pairs.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+
+
+def kpi_tap(points: DataFrame, folder: str, checkpoint: str, every: str = "60 seconds"):
+    """Starts a query that turns each interval's device points into KPI samples and flushes them to the files of their day."""
+
+    def each(df: DataFrame, number: int) -> None:
+        write_kpi_days(samples_of(kpi_points(df)), folder)
+
+    return points.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(processingTime=every)

@@ -70,3 +70,33 @@ def test_reports(spark):
     figures = spark.createDataFrame([(r, "m", r * 1000) for r in range(50)], "rank int, metric string, value long")
     got = reports.metric_report(figures, "m").orderBy("place").collect()
     assert len(got) == 35 and got[0].rank == 49 and len(got[0].bar) == 40 and got[-1].rank == 0
+
+
+def test_delivered_sends_once(spark, tmp_path):
+    log = str(tmp_path / "log")
+
+    def send(endpoint, body, timeout_s):
+        with open(log, "a") as f:
+            f.write(endpoint + "\n")
+        return True
+
+    pairs = spark.createDataFrame([(f"e{k}", "http://x", k) for k in range(20)], "event_id string, endpoint string, k int")
+    out = push.delivered(pairs, send=send)
+    assert out.count() == 20 and out.where("delivered").count() == 20 and len(open(log).readlines()) == 20
+
+
+def test_snapshots_are_replaced_with_specs(spark, points, tmp_path):
+    folder = f"file://{tmp_path}/snap"
+    files.write_snapshots(points, folder)
+    files.write_snapshots(points.where("component = 'cpu'"), folder, None, points.where("name = 'usage'"))
+    got = [json.loads(x) for p in (tmp_path / "snap").glob("part-*") for x in p.read_text().splitlines()]
+    assert [(d["component"], len(d["metrics"]), [m["name"] for m in d["specs"]]) for d in got] == [("cpu", 2, ["usage"])]
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["snap"]
+
+
+def test_kpi_samples_come_back(spark, tmp_path):
+    from auklet.sources.kpi_files import read_kpi_json
+
+    rows = [(60, 0, "temp", 1.5), (60, 0, "power", 2.0), (60, 3, "temp", 4.0), (86460, 0, "temp", 5.0)]
+    files.write_kpi_days(files.samples_of(spark.createDataFrame(rows, "ts_s long, card int, metric string, value double")), f"file://{tmp_path}/kpi")
+    assert sorted(tuple(r)[:4] for r in read_kpi_json(spark, f"file://{tmp_path}/kpi/day=*").collect()) == sorted(rows)

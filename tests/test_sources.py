@@ -91,3 +91,32 @@ def test_kpi_csv(spark, tmp_path):
     got = kpi_files.read_kpi_csv(spark, f"file://{tmp_path}/a.csv")
     assert one(got, "ts_s", "card", "metric", "value") == [(120, 0, "temp", 50.0), (120, 1, "temp", 61.5)]
     assert one(kpi_files.known_cards(got), "card") == [(0,), (1,)]
+
+
+def test_lines_are_numbered_over_blocks(spark, tmp_path):
+    """A log of many blocks: places are those in the file, whatever the blocks' order."""
+    lines = [f"line {k} {'x' * (k % 90)}" if k % 11 else "" for k in range(20_000)]
+    (tmp_path / "log").write_text("\n".join(lines))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        got = {r.pos: r.value for r in probes.read_lines(spark, f"file://{tmp_path}/log").collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == {k: x for k, x in enumerate(lines) if x}
+
+
+def test_rank_files(spark, tmp_path):
+    """Groups of more than one rank, hosts, and the step before the last of each metric, from the files of a job."""
+    from auklet.sources import rank_files
+
+    for r in (0, 1, 7):
+        (tmp_path / f"group_info_{r}.json").write_text('{"a": {"group_name": "tp", "global_ranks": [1, 0, 9]},\n "b": {"group_name": "dp", "global_ranks": [7]}, "c": {"group_name": ""}}')
+        (tmp_path / f"host_info_{r}.json").write_text('{"rank": "%d", "hostUid": "%s"}' % (r, "h" * (r < 7)))
+    (tmp_path / "global_rank_0.csv").write_text("stepindex,took,wait\n1,5,x\n2,6.5,7\n3,9,8\n")
+    (tmp_path / "global_rank_1.csv").write_text("stepindex,took\n1,4\n")
+    (tmp_path / "global_rank_7.csv").write_text("stepindex,took\n1,-\n2,4\n")
+    folder = f"file://{tmp_path}"
+    assert [(r.domain, r.name, r.ranks) for r in rank_files.read_groups(spark, folder).collect()] == [("tp", "a", [0, 1])]
+    assert {r.rank: r.host for r in rank_files.read_hosts(spark, folder).collect()} == {0: "h", 1: "h"}
+    got = rank_files.settled_steps(rank_files.read_figures(spark, folder)).collect()
+    assert sorted(map(tuple, got)) == [(0, "took", 6.5), (0, "wait", 7.0), (1, "took", 4.0)]

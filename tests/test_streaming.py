@@ -54,3 +54,26 @@ def test_rings_keep_the_last_values(stream):
     rows = [("a", k, float(k - 2)) for k in range(9)]
     got = stream([rows[:4], rows[4:]], "key string, seq long, value double", lambda s: jobs.rings(s, "key", last=3), "update")
     assert sorted((r.seq, r.history) for r in got) == [(3, [0.0, 1.0]), (8, [4.0, 5.0, 6.0])]
+
+
+def test_increments_and_first_values_go_over_batches(spark, stream):
+    rows = [("a", 1, 5.0), ("b", 1, 7.0), ("a", 2, 9.0), ("a", 3, 4.0), ("b", 2, 7.5), ("a", 4, 4.5)]
+    got = stream([rows[:3], rows[3:]], "key string, seq long, value double", lambda s: jobs.increments(s, "key"))
+    assert sorted(map(tuple, got)) == [("a", 1, 0.0), ("a", 2, 4.0), ("a", 3, 0.0), ("a", 4, 0.5), ("b", 1, 0.0), ("b", 2, 0.5)]
+
+
+def test_first_values_are_sent_once(spark, stream):
+    rows = [("a", 1, 5.0), ("b", 1, 7.0), ("a", 2, 9.0), ("c", 3, 4.0)]
+    got = stream([rows[:2], rows[2:]], "key string, seq long, value double", lambda s: jobs.first_values(s, "key"))
+    assert sorted(map(tuple, got)) == [("a", 1, 5.0), ("b", 1, 7.0), ("c", 3, 4.0)]
+
+
+def test_kpi_tap_flushes_to_days(spark, tmp_path):
+    from auklet.sources.kpi_files import read_kpi_json
+
+    schema = "ts_s long, component string, name string, value double, unit string, labels map<string,string>, ord long"
+    spark.createDataFrame([(60, "npu", "temperature", 40.0, "C", {"npu_id": "1"}, 1), (60, "cpu", "usage", 4.0, "%", {}, 2)], schema).write.json(f"file://{tmp_path}/in")
+    query = jobs.kpi_tap(spark.readStream.schema(schema).json(f"file://{tmp_path}/in"), f"file://{tmp_path}/kpi", f"file://{tmp_path}/check", "1 second").start()
+    query.processAllAvailable()
+    query.stop()
+    assert [(r.ts_s, r.card, r.metric, r.value) for r in read_kpi_json(spark, f"file://{tmp_path}/kpi/day=*").collect()] == [(60, 1, "temp", 40.0)]
