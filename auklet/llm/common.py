@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import sys
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import xxhash
@@ -66,6 +69,18 @@ def text_key(text) -> F.Column:
     return F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b"))
 
 
+def released(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, after which the worker gives memory that it no longer needs back: workers outlive tasks, and a stage's next to the one before."""
+
+    def whole(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        gc.collect()
+        if sys.platform == "linux":
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return whole
+
+
 class WordHashes(dict):
     """64-bit hash of each word, remembered; forgotten when there are too many, so memory stays bounded."""
 

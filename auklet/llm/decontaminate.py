@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auklet.llm.common import stored
+from auklet.llm.common import released, stored
 
 #: Benchmark words in one automaton.
 MAX_WORDS = 150_000
@@ -169,7 +169,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = 13,
         held = documents.sparkSession.sparkContext.broadcast([(r.item, r.text) for r in own.toLocalIterator()])  # max_words words or so
         scan = _scan(held, window, k == 0, fields)
         last = k == batches - 1  # the last scan reports in the same worker
-        rows = rows.mapInArrow((lambda found, scan=scan: report(scan(found))) if last else scan, out if last else state)
+        rows = rows.mapInArrow(released((lambda found, scan=scan: report(scan(found))) if last else scan), out if last else state)
         if not last:
             rows = stored(rows, "scanned")
             held.unpersist()

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auklet.llm.common import BROADCAST_ROWS, WordHashes, lower_words, shingles, small, stored, text_key
+from auklet.llm.common import BROADCAST_ROWS, WordHashes, lower_words, released, shingles, small, stored, text_key
 from auklet.llm.components import components, regrouped
 
 #: Minima of a signature.
@@ -307,7 +307,7 @@ def _looked(floor: float, percent: int, what: str, trees: int):
 def _sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in batches:
+        for batch in (b.slice(at, PIECE) for b in batches for at in range(0, b.num_rows, PIECE)):
             yield pa.RecordBatch.from_arrays([batch["id"], pa.array([shingle_set(t, size, hashes).tobytes() for t in batch["text"].to_pylist()], pa.binary())], names=["id", "members"])
 
     return run
@@ -320,7 +320,7 @@ def _is_link(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 
 def _linked(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, PIECE) for b in batches for at in range(0, b.num_rows, PIECE)):
             sets = ((np.frombuffer(v, np.uint64) for v in batch[c].to_pylist()) for c in ("set_a", "set_b"))
             keep = pa.array([_is_link(x, y, percent) for x, y in zip(*sets, strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch["a"].filter(keep), batch["b"].filter(keep)], names=["a", "b"])
@@ -349,7 +349,7 @@ class _Forest:
         """(id, members): the full sets of these classes, `most` at most, from one text of each; texts don't move where ids are few."""
         rows = ids.distinct().join(self.classes.select("id", "rep.*"), "id")
         texts = self.docs.join(F.broadcast(rows) if most <= BROADCAST_ROWS else rows, ["doc_id", "key_"]).groupBy("id").agg(F.first("text").alias("text"))
-        return stored(texts.mapInArrow(_sets(self.size), "id long, members binary"), "sets")
+        return stored(texts.mapInArrow(released(_sets(self.size)), "id long, members binary"), "sets")
 
     def confirm(self, pairs: DataFrame) -> None:
         """Takes those of the pairs (a, b) that are linked by their full sets."""
@@ -359,7 +359,7 @@ class _Forest:
         sets = self.members_of(pairs.select(F.col("a").alias("id")).union(pairs.select("b")), 2 * n)
         a, b = (sets.select(F.col("id").alias(c), F.col("members").alias(f"set_{c}")) for c in "ab")
         met = pairs.join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b")
-        self.link(stored(met.mapInArrow(_linked(self.percent), "a long, b long"), "links"))
+        self.link(stored(met.mapInArrow(released(_linked(self.percent)), "a long, b long"), "links"))
 
     def level(self, active: DataFrame, depth: int, trees: int, last: bool) -> DataFrame | None:
         """One level over the classes active; returns the ids to look at one level deeper, if there are any."""
@@ -393,7 +393,7 @@ class _Forest:
             return
         row = "key long, pair long, side int, id long, n long, sketch binary, heads binary, comp long"
         in_blocks = lambda df: df.repartition("key", "pair").sortWithinPartitions("key", "pair")
-        look = lambda df, what, kind: in_blocks(df).mapInArrow(_looked(self.floor, self.percent, what, trees), kind)
+        look = lambda df, what, kind: in_blocks(df).mapInArrow(released(_looked(self.floor, self.percent, what, trees)), kind)
         likest = look(self.grouped(rows), "likest", "comp long, a long, b long, like double")
         a, b = F.least("a", "b"), F.greatest("a", "b")
         likest = likest.groupBy("comp").agg(F.max_by(F.struct(a.alias("a"), b.alias("b")), F.struct("like", -a, -b)).alias("p"))
@@ -431,7 +431,7 @@ class _Forest:
 def _judged(documents: DataFrame, shingle: int, percent: int) -> DataFrame:
     """(doc_id, key_, n_shingles, group, component_id, kept) for every row; group is the component's own id, null without words."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("key_", text_key("text"))
-    signed = stored(docs.mapInArrow(_signed(shingle), "doc_id long, key_ struct<a:bigint,b:bigint>, n_shingles long, digest binary, signature binary"), "signed")
+    signed = stored(docs.mapInArrow(released(_signed(shingle)), "doc_id long, key_ struct<a:bigint,b:bigint>, n_shingles long, digest binary, signature binary"), "signed")
     full = signed.where("doc_id is not null and digest is not null")
     classes = full.groupBy("digest").agg(F.min(F.struct("doc_id", "key_")).alias("rep"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature"))
     classes = stored(classes.withColumn("id", F.monotonically_increasing_id()), "classes")  # written, so the ids stay

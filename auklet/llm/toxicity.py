@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auklet.llm.common import stored
+from auklet.llm.common import released, stored
 from auklet.llm.decontaminate import bench_words
 from auklet.llm.sample import fold, labelled_sample
 
@@ -344,7 +344,7 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "toxic", parts:
     if len(classes) < 2:
         return plain_model(classes)
     dealt = sample.select("text", "y", "h_", F.explode(F.array(*map(F.lit, range(FOLDS + 1)))).alias("leave")).repartitionByRange(FOLDS + 1, "leave")
-    rows = stored(dealt.mapInPandas(_fitted(**bounds), "model binary, y int, x array<double>"), "toxicity-model").collect()
+    rows = stored(dealt.mapInPandas(released(_fitted(**bounds)), "model binary, y int, x array<double>"), "toxicity-model").collect()
     judged = sorted((r.y, *r.x) for r in rows if r.model is None)
     return with_documents(next(bytes(r.model) for r in rows if r.model is not None), np.array([r[1:] for r in judged]), np.array([r[0] for r in judged]))
 
@@ -378,7 +378,7 @@ def tagged(documents: DataFrame, model: bytes, at_least: float = 0.3) -> DataFra
     rows = documents.select((F.struct(*others) if others else F.struct(F.lit(None).cast("int").alias("none"))).alias("row_"), F.col("text").cast("string").alias("text_"))
     shared = documents.sparkSession.sparkContext.broadcast(model)
     out = f"row_ {rows.schema['row_'].dataType.simpleString()}, text_ string, score double, spans array<struct<start:int,stop:int,marginal:double>>"
-    return rows.mapInArrow(_tagged(shared), out).withColumn("predicted", (F.col("score") >= at_least).cast("int"))
+    return rows.mapInArrow(released(_tagged(shared)), out).withColumn("predicted", (F.col("score") >= at_least).cast("int"))
 
 
 def toxicity(documents: DataFrame, labels: DataFrame, parts: int = 4, held: int = 2, per_class: int = PER_CLASS, **bounds: int) -> DataFrame:
