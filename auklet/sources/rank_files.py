@@ -15,7 +15,7 @@ _GROUP = "map<string,struct<group_name:string,global_ranks:array<int>>>"
 
 def _ranked(spark: SparkSession, folder: str, pattern: str, glob: str) -> DataFrame:
     """(rank, value) of small JSON files, each as one text."""
-    rows = spark.read.option("pathGlobFilter", glob).option("wholetext", True).text(folder)
+    rows = spark.read.option("pathGlobFilter", glob).text(folder, wholetext=True)
     return rows.select(F.regexp_extract("_metadata.file_path", pattern, 1).try_cast("int").alias("rank"), "value").where("rank is not null")
 
 

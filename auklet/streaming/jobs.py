@@ -29,12 +29,8 @@ def counter_increments(points: DataFrame, keys: list[str], ts: str = "ts", width
     return got.select(F.col("w.start").alias("bucket"), *keys, F.when(d < 0, d + F.lit(18446744073709551616.0)).otherwise(d).alias("value"))
 
 
-#: A key's state goes after so long without rows.
-IDLE_MS = 7 * 86_400_000
-
-
-def _by_key(step: Callable[[tuple, pd.DataFrame, tuple], tuple[pd.DataFrame, tuple]], start: tuple):
-    """A stateful function that folds a key's rows of a batch into its state, in the order of `seq`; idle keys are forgotten."""
+def _by_key(step: Callable[[tuple, pd.DataFrame, tuple], tuple[pd.DataFrame, tuple]], start: tuple, idle_ms: int | None):
+    """A stateful function that folds a key's rows of a batch into its state, in the order of `seq`; keys without rows for idle_ms are forgotten, if it is given."""
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -46,11 +42,17 @@ def _by_key(step: Callable[[tuple, pd.DataFrame, tuple], tuple[pd.DataFrame, tup
             if len(out):
                 yield out
         state.update(now)
-        state.setTimeoutDuration(IDLE_MS)
+        if idle_ms:
+            state.setTimeoutDuration(idle_ms)
 
     return run
 
 
+def _timeout(idle_ms: int | None) -> str:
+    """A stream that runs until its input is used up must not have timeouts: it would wait for them for ever."""
+    return GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
+
+
 def sorted_frames(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """A key's rows of one micro-batch in order; they are as many as its source's rate gives, not the whole stream."""
     rows = pd.concat(list(frames))
@@ -58,7 +60,7 @@ def sorted_frames(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield rows.sort_values("seq", kind="stable")
 
 
-def transitions(states: DataFrame, key: str, key_type: str = "long") -> DataFrame:
+def transitions(states: DataFrame, key: str, key_type: str = "long", idle_ms: int | None = None) -> DataFrame:
     """(key, seq, active): rows at which a flag changes, across batches; states are (key, seq, active). Rows not after the last one seen are late and dropped."""
 
     def step(k, f, now):
@@ -71,10 +73,10 @@ def transitions(states: DataFrame, key: str, key_type: str = "long") -> DataFram
             last, at = bool(flags[-1]), int(f["seq"].iloc[-1])
         return pd.DataFrame({key: [k[0]] * len(out), "seq": out["seq"], "active": out["active"]}), (last, at)
 
-    return states.select(key, "seq", "active").groupBy(key).applyInPandasWithState(_by_key(step, (False, -(1 << 62))), f"{key} {key_type}, seq long, active boolean", "active boolean, seq long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return states.select(key, "seq", "active").groupBy(key).applyInPandasWithState(_by_key(step, (False, -(1 << 62)), idle_ms), f"{key} {key_type}, seq long, active boolean", "active boolean, seq long", "append", _timeout(idle_ms))
 
 
-def debounced(pairs: DataFrame, key: str, key_type: str = "string") -> DataFrame:
+def debounced(pairs: DataFrame, key: str, key_type: str = "string", idle_ms: int | None = None) -> DataFrame:
     """(key, seq): rows at least `gap` after the last one let through; pairs are (key, seq, gap)."""
 
     def step(k, f, now):
@@ -85,17 +87,17 @@ def debounced(pairs: DataFrame, key: str, key_type: str = "string") -> DataFrame
                 out.append(seq)
         return pd.DataFrame({key: [k[0]] * len(out), "seq": out}), (kept,)
 
-    return pairs.select(key, "seq", "gap").groupBy(key).applyInPandasWithState(_by_key(step, (None,)), f"{key} {key_type}, seq long", "kept long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return pairs.select(key, "seq", "gap").groupBy(key).applyInPandasWithState(_by_key(step, (None,), idle_ms), f"{key} {key_type}, seq long", "kept long", "append", _timeout(idle_ms))
 
 
-def rings(points: DataFrame, key: str, last: int = 60, key_type: str = "string") -> DataFrame:
+def rings(points: DataFrame, key: str, last: int = 60, key_type: str = "string", idle_ms: int | None = None) -> DataFrame:
     """(key, seq, history): after each batch the last values of each series it touched, without negative ones; points are (key, seq, value)."""
 
     def step(k, f, now):
         values = (list(now[0]) + f.loc[f["value"] >= 0, "value"].tolist())[-last:]
         return pd.DataFrame({key: [k[0]], "seq": [int(f["seq"].max())], "history": [values]}), (values,)
 
-    return points.select(key, "seq", "value").groupBy(key).applyInPandasWithState(_by_key(step, ([],)), f"{key} {key_type}, seq long, history array<double>", "history array<double>", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    return points.select(key, "seq", "value").groupBy(key).applyInPandasWithState(_by_key(step, ([],), idle_ms), f"{key} {key_type}, seq long, history array<double>", "history array<double>", "update", _timeout(idle_ms))
 
 
 def latest_batch(points: DataFrame, key: str, order: str, write: Callable[[DataFrame, int], None], checkpoint: str):
@@ -108,7 +110,7 @@ def latest_batch(points: DataFrame, key: str, order: str, write: Callable[[DataF
     return points.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
 
 
-def increments(points: DataFrame, key: str, key_type: str = "string") -> DataFrame:
+def increments(points: DataFrame, key: str, key_type: str = "string", idle_ms: int | None = None) -> DataFrame:
     """(key, seq, delta): a counter's increase since the row before, across batches; 0 on the first and on a reset; points are (key, seq, value)."""
 
     def step(k, f, now):
@@ -117,17 +119,17 @@ def increments(points: DataFrame, key: str, key_type: str = "string") -> DataFra
         delta = [max(0.0, b - a) for a, b in zip(before, values, strict=True)]
         return pd.DataFrame({key: [k[0]] * len(f), "seq": f["seq"], "delta": delta}), (float(values[-1]),)
 
-    return points.select(key, "seq", "value").groupBy(key).applyInPandasWithState(_by_key(step, (None,)), f"{key} {key_type}, seq long, delta double", "last double", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return points.select(key, "seq", "value").groupBy(key).applyInPandasWithState(_by_key(step, (None,), idle_ms), f"{key} {key_type}, seq long, delta double", "last double", "append", _timeout(idle_ms))
 
 
-def first_values(points: DataFrame, key: str, key_type: str = "string") -> DataFrame:
+def first_values(points: DataFrame, key: str, key_type: str = "string", idle_ms: int | None = None) -> DataFrame:
     """(key, seq, value): values that are sent once, at the first sight of their key; points are (key, seq, value)."""
 
     def step(k, f, now):
         out = f.head(0 if now[0] else 1)
         return pd.DataFrame({key: [k[0]] * len(out), "seq": out["seq"], "value": out["value"]}), (True,)
 
-    return points.select(key, "seq", "value").groupBy(key).applyInPandasWithState(_by_key(step, (False,)), f"{key} {key_type}, seq long, value double", "sent boolean", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return points.select(key, "seq", "value").groupBy(key).applyInPandasWithState(_by_key(step, (False,), idle_ms), f"{key} {key_type}, seq long, value double", "sent boolean", "append", _timeout(idle_ms))
 
 
 def deliveries(pairs: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, **how):
