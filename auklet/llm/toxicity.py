@@ -318,16 +318,16 @@ def _fitted(**bounds: int):
     """A field for each left-out part, with the features of that part's documents; part FOLDS leaves out nothing and gives its model."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = pd.concat([pd.DataFrame({"leave": [], "text": [], "y": [], "h_": []}), *frames])
-        for leave, own in rows.groupby("leave"):
-            own = own.sort_values(["h_", "text"])
-            split, y = [lines_of(t) for t in own["text"]], own["y"].to_numpy(int)
-            of = _folds(y)
+        rows = pd.concat([pd.DataFrame({"text": [], "y": [], "h_": []}), *frames]).sort_values(["h_", "text"])
+        same: dict[bytes, bytes] = {}  # one object for each word
+        split = [[[same.setdefault(w, w) for w in line] for line in lines_of(t)] for t in rows["text"]]
+        y = rows["y"].to_numpy(int)
+        of = _folds(y)
+        for leave in range(FOLDS + 1 if len(y) else 0):
             model = field([split[i] for i in np.flatnonzero(of != leave)], y[of != leave].tolist(), **bounds)
             if leave == FOLDS:
                 yield pd.DataFrame({"model": [model], "y": [None], "x": [None]})
-            else:
-                out = np.flatnonzero(of == leave)
+            elif len(out := np.flatnonzero(of == leave)):
                 yield pd.DataFrame({"model": None, "y": y[out], "x": judged_features(model, [split[i] for i in out])})
 
     return run
@@ -336,15 +336,14 @@ def _fitted(**bounds: int):
 def train(documents: DataFrame, labels: DataFrame, label: str = "toxic", parts: int = 4, held: int = 2, per_class: int = PER_CLASS, **bounds: int) -> bytes:
     """The model's bytes, fitted to a bounded sample of labelled rows whose fold isn't held out.
 
-    bounds are field()'s toxic_lines, plain_lines and line_words. The fields are fitted in a task each; four numbers for each
-    document of the sample come back for the fit of the document score.
+    bounds are field()'s toxic_lines, plain_lines and line_words. The fields are fitted one after another in one task, which holds
+    the sample once; four numbers for each of its documents come back for the fit of the document score.
     """
     sample = stored(labelled_sample(documents, labels, label, parts, held, per_class), "toxicity-sample")
     classes = [r.y for r in sample.select("y").distinct().collect()]
     if len(classes) < 2:
         return plain_model(classes)
-    dealt = sample.select("text", "y", "h_", F.explode(F.array(*map(F.lit, range(FOLDS + 1)))).alias("leave")).repartitionByRange(FOLDS + 1, "leave")
-    rows = stored(dealt.mapInPandas(released(_fitted(**bounds)), "model binary, y int, x array<double>"), "toxicity-model").collect()
+    rows = stored(sample.repartition(1).mapInPandas(released(_fitted(**bounds)), "model binary, y int, x array<double>"), "toxicity-model").collect()
     judged = sorted((r.y, *r.x) for r in rows if r.model is None)
     return with_documents(next(bytes(r.model) for r in rows if r.model is not None), np.array([r[1:] for r in judged]), np.array([r[0] for r in judged]))
 
