@@ -10,7 +10,9 @@ import corpus_pipeline
 from auklet.llm.chat_format import END, START, formatted, read_back
 from auklet.llm.common import table
 from auklet.llm.decontaminate import contamination
+from auklet.llm.divergence import divergence
 from auklet.llm.fingerprint import fingerprints
+from auklet.llm.lexical_search import search
 from auklet.llm.line_dedup import line_report
 from auklet.llm.mixing import mixture
 from auklet.llm.near_dedup import near_duplicates
@@ -71,6 +73,14 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_verdicts(table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence(table(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash_near_dedup": op1_minhash_near_dedup,
@@ -83,6 +93,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_benchmark_decontamination": op8_benchmark_decontamination,
         "op9_line_dedup": op9_line_dedup,
         "op10_url_rules": op10_url_rules,
+        "op11_source_divergence": op11_source_divergence,
+        "op13_lexical_search": op13_lexical_search,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -151,6 +163,42 @@ fit as (
 select urls.page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from urls left join fit using (page_id)"""
 )
 
+_TERMS = _LOWER.replace("text", "coalesce(text, '')")
+_OP11 = rf"""
+with docs as (
+    select row_number() over () as id, coalesce(lang, '') as lang, coalesce(source, '') as source,
+        regexp_extract_all({_TERMS}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as w from documents),
+words as (select id, lang, source, unnest(w) as term from docs),
+kept as (select lang, term from words group by lang, term having count(distinct id) >= 30),
+counts as (select lang, source, term, count(*) as n from words join kept using (lang, term) group by lang, source, term),
+v as (select lang, count(*) as v from kept group by lang),
+groups as (select distinct lang, source from docs),
+cells as (select lang, source, term, coalesce(n, 0)::hugeint as n, v from groups join kept using (lang) join v using (lang) left join counts using (lang, source, term)),
+shares as (select *, 1 + 1000000000::hugeint * (n + 5) // (sum(n) over (partition by lang, source) + 5 * v) as p from cells),
+sums as (select lang, term, sum(n) as n, any_value(v) as v from cells group by lang, term),
+whole as (select lang, term, 1 + 1000000000::hugeint * (n + 5)::hugeint // (sum(n) over (partition by lang) + 5 * v)::hugeint as q from sums),
+apart as (select a.lang, a.source, b.source as item, sum(abs(a.p - b.p)) as value from shares a join shares b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+pairs as (select a.lang, a.source, b.source as item, coalesce(value, 0)::bigint as value
+    from groups a join groups b on a.lang = b.lang and a.source <> b.source left join apart on apart.lang = a.lang and apart.source = a.source and apart.item = b.source),
+mine as (select lang, source, term as item, (p - q)::bigint as value, row_number() over (partition by lang, source order by p - q desc, term) as rank
+    from shares join whole using (lang, term) where n > 0 and p > q)
+select lang, source, 'pair' as part, item, value, row_number() over (partition by lang, source order by value desc, item)::int as rank from pairs
+union all select lang, source, 'term', item, value, rank::int from mine where rank <= 50"""
+
+_OP13 = rf"""
+with docs as (select row_number() over () as id, doc_id, regexp_extract_all({_TERMS}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as w from documents),
+asked as (select distinct item_id, unnest(regexp_extract_all({_TERMS}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from benchmark),
+whole as (select count(*) filter (len(w) > 0) as nn, sum(len(w))::bigint as ll from docs),
+words as (select id, unnest(w) as term from docs),
+held as (select id, term, count(*) as tf from words where term in (select term from asked) group by id, term),
+weights as (select term, floor(1000 * ln((2 * any_value(nn) + 2)::double / (2 * count(*) + 1)::double))::bigint as w from held, whole group by term),
+impacts as (
+    select held.id, doc_id, held.term, weights.w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * len(docs.w) * nn) // ll))) as x
+    from held join docs using (id) join weights using (term), whole),
+scores as (select item_id, id, any_value(doc_id) as doc_id, sum(x)::bigint as score from asked join impacts using (term) group by item_id, id having sum(x) > 0)
+select item_id, rank::int as rank, doc_id, score
+from (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from scores) where rank <= 10"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_chat_format": _OP7, "op6_extendible_hash_shards": _OP6, "op8_benchmark_decontamination": _OP8, "op10_url_rules": _OP10} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+    return {"op7_chat_format": _OP7, "op6_extendible_hash_shards": _OP6, "op8_benchmark_decontamination": _OP8, "op10_url_rules": _OP10, "op11_source_divergence": _OP11, "op13_lexical_search": _OP13} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
