@@ -16,6 +16,7 @@ from auklet.llm.lexical_search import search
 from auklet.llm.line_dedup import line_report
 from auklet.llm.mixing import mixture
 from auklet.llm.near_dedup import near_duplicates
+from auklet.llm.ngram_join import ngram_join
 from auklet.llm.quality import quality
 from auklet.llm.sharding import shards
 from auklet.llm.toxicity import toxicity
@@ -77,6 +78,10 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence(table(spark, sf_dir, "documents").select("text", "lang", "source"))
 
 
+def op12_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(table(spark, sf_dir, "documents"), size=3, percent=90)
+
+
 def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
 
@@ -94,6 +99,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_line_dedup": op9_line_dedup,
         "op10_url_rules": op10_url_rules,
         "op11_source_divergence": op11_source_divergence,
+        "op12_ngram_join": op12_ngram_join,
         "op13_lexical_search": op13_lexical_search,
         "pipeline": corpus_pipeline.run,
     }
