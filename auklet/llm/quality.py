@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auklet.llm.common import WordHashes, mixed, stored
-from auklet.llm.sample import fold, labelled_sample
+from auklet.llm.sample import MAX_CHARS, fold, labelled_sample
 
 #: log2 of the number of weights.
 BITS = 18
@@ -81,9 +81,9 @@ def _fitted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame({"model": [fit(rows["text"].tolist(), [int(y) for y in rows["y"]]).tobytes()]})
 
 
-def train(documents: DataFrame, labels: DataFrame, label: str = "quality", parts: int = 5, held: int = 0, per_class: int = PER_CLASS) -> bytes:
-    """The model's bytes, fitted to a bounded sample of labelled rows whose fold isn't held out."""
-    sample = labelled_sample(documents, labels, label, parts, held, per_class).repartition(1)
+def train(documents: DataFrame, labels: DataFrame, label: str = "quality", parts: int = 5, held: int = 0, per_class: int = PER_CLASS, max_chars: int = MAX_CHARS) -> bytes:
+    """The model's bytes, fitted to a bounded sample of labelled rows whose fold isn't held out, of texts of max_chars characters at most."""
+    sample = labelled_sample(documents, labels, label, parts, held, per_class, max_chars).repartition(1)
     rows = stored(sample.mapInPandas(_fitted, "model binary"), "quality-model").collect()
     return bytes(rows[0].model) if rows else fit([], []).tobytes()
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Texts longer than this many characters don't enter a fit; they are scored whole all the same.
+#: Texts longer than this many characters don't enter a fit, unless a caller asks for more; they are scored whole all the same.
 MAX_CHARS = 100_000
 
 

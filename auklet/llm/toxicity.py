@@ -7,14 +7,14 @@ is fitted to lines of the sample by gradient steps on the exact likelihood. Forw
 probability. A document's score is a logistic function of its largest marginal, the expected number of toxic tokens and its
 length; tokens with a marginal of one half or more are its offending spans. That function is cross-fitted: for each third of
 the sample a field is fitted to the other two thirds, so every label counts and none is judged by a field that saw it. The field
-that is used is fitted to the whole sample.
+that is used is fitted to the whole sample. Each of these fits is a task of its own; it holds words and features as numbers.
 """
 
 from __future__ import annotations
 
 import io
 import re
-from collections import Counter
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from auklet.llm.common import released, stored
 from auklet.llm.decontaminate import bench_words
-from auklet.llm.sample import fold, labelled_sample
+from auklet.llm.sample import MAX_CHARS, fold, labelled_sample
 
 #: log2 of the number of emission weights.
 BITS = 18
@@ -52,9 +52,13 @@ def _index(feature: bytes) -> int:
     return xxhash.xxh3_64_intdigest(feature) >> (64 - BITS)
 
 
+#: The feature that every token has.
+BIAS = _index(b"bias")
+
+
 def word_features(word: bytes) -> tuple[list[int], int, int]:
     """Indexes of a word's own features, and of what it says about the word after and the word before it."""
-    own = [_index(f) for f in forms(word)] + [_index(b"bias")]
+    own = [_index(f) for f in forms(word)] + [BIAS]
     return own, _index(b"<" + word[:4]), _index(b">" + word[:4])
 
 
@@ -171,29 +175,71 @@ def document_features(p: np.ndarray) -> tuple[float, float, float, float]:
     return 1.0, 4 * top, float(np.log1p(p.sum())), float(np.log1p(len(p))) / 10
 
 
-def seeds(docs: list[list[list[bytes]]], ys: list[int], odds: float = 20.0) -> set[bytes]:
-    """Word forms that stand in `odds` times as many contexts of toxic documents as of clean ones, and in one for each
-    hundred toxic documents, 3 to 12, at least.
+class Sample:
+    """Texts as numbers: words in text order, where lines begin and whose they are, and the features of each distinct word."""
+
+    def __init__(self, texts: list[str]):
+        number: dict[bytes, int] = {}
+        ids, lengths, docs = array("i"), array("q"), array("q")
+        for d, text in enumerate(texts):
+            for line in lines_of(text):
+                ids.extend([number.setdefault(w, len(number)) for w in line])
+                lengths.append(len(line))
+                docs.append(d)
+        self.ids, self.lengths, self.docs = np.frombuffer(ids or b"", np.int32), np.frombuffer(lengths or b"", np.int64), np.frombuffer(docs or b"", np.int64)
+        self.start = np.cumsum(self.lengths) - self.lengths
+        self.words, self.n_docs = len(number), len(texts)
+        form: dict[bytes, int] = {}
+        own = [[form.setdefault(f, len(form)) for f in forms(w)] for w in number]
+        self.first = np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int64)  # forms of word k are form[first[k]:first[k + 1]]
+        self.form = np.fromiter(chain.from_iterable(own), np.int32, int(self.first[-1]))
+        self.index = np.fromiter(map(_index, form), np.int32, len(form))[self.form] if len(form) else np.empty(0, np.int32)
+        self.forms = len(form)
+        self.after, self.before = (np.fromiter((_index(mark + w[:4]) for w in number), np.int32, len(number)) for mark in (b"<", b">"))
+
+    def owners(self) -> np.ndarray:
+        """The word of each place of form."""
+        return np.repeat(np.arange(self.words, dtype=np.int32), np.diff(self.first))
+
+    def sums(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What each word adds to its own emission, the next word's and the one before."""
+        return np.bincount(self.owners(), w[self.index], self.words) + w[BIAS], w[self.after], w[self.before]
+
+
+def places(start: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """All places of runs that begin at `start`, one run after another."""
+    return np.repeat(start - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
+
+
+def _inner(lengths: np.ndarray) -> np.ndarray:
+    """The tokens of lines of these lengths (none empty) that aren't a line's first."""
+    first = np.zeros(int(lengths.sum()), bool)
+    first[np.cumsum(lengths) - lengths] = True
+    return np.flatnonzero(~first)
+
+
+def seeds(sample: Sample, ys: np.ndarray, chosen: np.ndarray, odds: float = 20.0) -> np.ndarray:
+    """Whether each word of the sample has a form that stands in `odds` times as many contexts of toxic documents as of clean ones, and in one
+    for each hundred toxic documents, 3 to 12, at least; over the chosen documents.
 
     A context is a word between its neighbours, counted once however many documents have it: so the words of a toxic text
     that was copied often don't count as often.
     """
-    known: dict[bytes, int] = {}
-    have = []
+    have, n, size = [], [], sample.words + 1
     for y in (0, 1):
-        ids = np.fromiter((known.setdefault(w, len(known) + 1) for doc, own in zip(docs, ys, strict=True) if own == y for line in doc for w in (*line, b"\n")), np.int64)
-        ids = np.concatenate([[0], ids, [0]])
-        _, first = np.unique((ids[:-2] * 1_000_003 + ids[1:-1]) * 1_000_003 + ids[2:], return_index=True)
-        have.append(ids[1:-1][first])
-    n = [max(1, len(x)) for x in have]
-    least = min(12, max(3, sum(ys) // 100))
-    contexts = [np.bincount(x, minlength=len(known) + 1).tolist() for x in have]
-    counts = (Counter(), Counter())
-    for w, k in known.items():
-        for f in forms(w):
-            for y in (0, 1):
-                counts[y][f] += contexts[y][k]
-    return {f for f, k in counts[1].items() if k >= least and k / n[1] >= odds * (counts[0][f] + 0.5) / n[0]}
+        lines = np.flatnonzero((chosen & (ys == y))[sample.docs])
+        lengths = sample.lengths[lines]
+        ids = sample.ids[places(sample.start[lines], lengths)].astype(np.int64)
+        inner = _inner(lengths)
+        left, right = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
+        left[inner], right[inner - 1] = ids[inner - 1] + 1, ids[inner] + 1
+        _, first = np.unique((left * size + ids) * size + right, return_index=True)
+        contexts = np.bincount(ids[first], minlength=sample.words)
+        have.append(np.bincount(sample.form, contexts[sample.owners()], sample.forms))
+        n.append(max(1, len(first)))
+    least = min(12, max(3, int(ys[chosen].sum()) // 100))
+    toxic = (have[1] >= least) & (have[1] / n[1] >= odds * (have[0] + 0.5) / n[0])
+    return np.bincount(sample.owners(), toxic[sample.form], sample.words) > 0
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, l2: float = 0.05) -> np.ndarray:
@@ -205,68 +251,103 @@ def _logistic(x: np.ndarray, y: np.ndarray, l2: float = 0.05) -> np.ndarray:
     return w
 
 
-def _part(lines: list[list[bytes]], tags: list[list[bool]], cache: dict) -> tuple:
-    """Lines as sparse features (token, index), their inner tokens, tags, first tokens and layout."""
-    lengths = np.array([len(x) for x in lines])
-    y = np.array([t for tag in tags for t in tag], float)
-    info = [cache.get(w) or cache.setdefault(w, word_features(w)) for line in lines for w in line]
-    begin = np.concatenate([[0], np.cumsum(lengths)])[:-1]
-    first = np.zeros(len(y), bool)
-    first[begin] = True
-    inner = np.flatnonzero(~first)
-    token = np.concatenate([np.repeat(np.arange(len(info)), [len(x[0]) for x in info]), inner, inner - 1])
-    own = np.fromiter((k for x in info for k in x[0]), np.int64)
-    index = np.concatenate([own, np.array([x[1] for x in info])[inner - 1], np.array([x[2] for x in info])[inner]])
-    return token, index, inner, y, begin, Chains(lengths)
-
-
-def pieces(line: list, size: int) -> list[list]:
-    """The line, cut into even pieces of `size` tokens at most."""
-    each = -(-len(line) // -(-len(line) // size))
-    return [line[k : k + each] for k in range(0, len(line), each)]
+class _Part:
+    """Lines that take a gradient step together: their words' features as sparse numbers, tags and layout."""
+
+    def __init__(self, sample: Sample, start: np.ndarray, lengths: np.ndarray, tags: np.ndarray):
+        where = places(start, lengths)
+        words, ids = np.unique(sample.ids[where], return_inverse=True)
+        self.ids, self.y, self.inner, self.begin = ids.astype(np.int32), tags[where].astype(float), _inner(lengths), np.cumsum(lengths) - lengths
+        many = sample.first[words + 1] - sample.first[words]
+        self.index = sample.index[places(sample.first[words], many)]
+        self.owner = np.repeat(np.arange(len(words), dtype=np.int32), many)
+        self.after, self.before, self.words = sample.after[words], sample.before[words], len(words)
+        self.chains = Chains(lengths)
+
+    def emission(self, w: np.ndarray) -> np.ndarray:
+        out = (np.bincount(self.owner, w[self.index], self.words) + w[BIAS])[self.ids]
+        out[self.inner] += w[self.after][self.ids[self.inner - 1]]
+        out[self.inner - 1] += w[self.before][self.ids[self.inner]]
+        return out
+
+    def gradient(self, rest: np.ndarray) -> np.ndarray:
+        """Of the weights, from what each token's marginal is above its tag."""
+        out = np.bincount(self.index, np.bincount(self.ids, rest, self.words)[self.owner], 1 << BITS)
+        out += np.bincount(self.after, np.bincount(self.ids[self.inner - 1], rest[self.inner], self.words), 1 << BITS)
+        out += np.bincount(self.before, np.bincount(self.ids[self.inner], rest[self.inner - 1], self.words), 1 << BITS)
+        out[BIAS] += rest.sum()
+        return out
+
+
+def pieces(start: np.ndarray, lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(line, start, length) of lines cut into even pieces of `size` tokens at most."""
+    many = -(-lengths // size)
+    each = -(-lengths // many)
+    line = np.repeat(np.arange(len(lengths)), many)
+    at = places(np.zeros(len(many), np.int64), many) * each[line]
+    return line, start[line] + at, np.minimum(each[line], lengths[line] - at)
+
+
+def line_marginals(sample: Sample, model: tuple, start: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Marginals of the tokens of lines, one line after another, under (what words add, trans, start)."""
+    (own, after, before), trans, begin = model
+    ids, inner = sample.ids[places(start, lengths)], _inner(lengths)
+    emission = own[ids]
+    emission[inner] += after[ids[inner - 1]]
+    emission[inner - 1] += before[ids[inner]]
+    return Chains(lengths).marginals(emission, trans, begin, counts=False)[0]
 
 
 def plain_model(ys: list[int]) -> bytes:
     """A field that marks nothing, and one score for all documents: high only if all labels are 1."""
-    return packed(np.zeros(1 << BITS), np.zeros((2, 2)), 0.0, np.array([-4.0 + 8.0 * min(ys, default=0), 0, 0, 0]))
+    w = np.zeros(1 << BITS)
+    w[BIAS] = -30.0
+    return packed(w, np.zeros((2, 2)), 0.0, np.array([-4.0 + 8.0 * min(ys, default=0), 0, 0, 0]))
 
 
-def field(split: list[list[list[bytes]]], ys: list[int], rounds: int = 5, seed: int = 3, toxic_lines: int = TOXIC_LINES, plain_lines: int = PLAIN_LINES, line_words: int = LINE_WORDS) -> bytes:
-    """A field fitted to documents (lists of lines) and their labels."""
+def field(sample: Sample, ys: np.ndarray, chosen: np.ndarray, rounds: int = 5, seed: int = 3, toxic_lines: int = TOXIC_LINES, plain_lines: int = PLAIN_LINES, line_words: int = LINE_WORDS) -> bytes:
+    """A field fitted to the chosen documents of the sample and their labels; one that marks nothing, if none has a toxic form."""
     rng = np.random.default_rng(seed)
-    toxic_forms = seeds(split, ys)
-    marked: dict[bytes, bool] = {}
-    for w in {w for doc, y in zip(split, ys, strict=True) if y for line in doc for w in line}:
-        marked[w] = not toxic_forms.isdisjoint(forms(w))
-    toxic, plain = [], []
-    for doc, y in zip(split, ys, strict=True):
-        own = [[bool(y and marked[w]) for w in line] for line in doc]
-        if y and not any(map(any, own)):
-            continue  # toxic, but by no form that is known: no token of it is labelled
-        for line, tag in zip(doc, own, strict=True):
-            for x, t in zip(pieces(line, line_words), pieces(tag, line_words), strict=True):
-                (toxic if any(t) else plain).append((x, t))
-    chosen = [toxic[k] for k in rng.permutation(len(toxic))[:toxic_lines]] + [plain[k] for k in rng.permutation(len(plain))[:plain_lines]]
-    if not toxic:
+    doc = np.repeat(sample.docs, sample.lengths)  # of each token
+    tags = seeds(sample, ys, chosen)[sample.ids] & ((ys > 0) & chosen)[doc]
+    named = np.bincount(doc, tags, sample.n_docs) > 0
+    lines = np.flatnonzero((chosen & ((ys == 0) | named))[sample.docs])  # a toxic document without a known form has no labelled token
+    _, start, lengths = pieces(sample.start[lines], sample.lengths[lines], line_words)
+    tagged_before = np.concatenate([[0], np.cumsum(tags)])
+    any_ = tagged_before[start + lengths] > tagged_before[start]
+    toxic, plain = np.flatnonzero(any_), np.flatnonzero(~any_)
+    if not len(toxic):
         return plain_model([0])
-    lines, tags = [x[0] for x in chosen], [x[1] for x in chosen]
+    shown = np.concatenate([rng.permutation(toxic)[:toxic_lines], rng.permutation(plain)[:plain_lines]])
 
-    w, trans, start = np.zeros(1 << BITS), np.zeros((2, 2)), 0.0
-    w[_index(b"bias")] = -3.0
+    w, trans, begin = np.zeros(1 << BITS), np.zeros((2, 2)), 0.0
+    w[BIAS] = -3.0
     for again in range(3):
-        w, trans, start = _steps(lines, tags, w, trans, start, rounds)
-        model = packed(w, trans, start, np.zeros(4))
+        parts = [_Part(sample, start[x], lengths[x], tags) for x in (shown[k::BATCHES] for k in range(min(BATCHES, len(shown))))]
+        w, trans, begin = _steps(parts, w, trans, begin, rounds)
+        del parts
         if again < 2:
-            tagger = Tagger(model)
-            tops = np.array([p.max() for k in range(0, len(plain), 2000) for p in tagger.each([[line] for line, _ in plain[k : k + 2000]])])
-            hard = [plain[k] for k in np.argsort(-tops, kind="stable")[:plain_lines] if tops[k] > 0.05]
-            lines, tags = lines + [x[0] for x in hard], tags + [x[1] for x in hard]  # lines that look toxic and aren't are shown again
-    return model
+            model = sample.sums(w), trans, begin
+            tops = [np.maximum.reduceat(line_marginals(sample, model, start[x], lengths[x]), np.cumsum(lengths[x]) - lengths[x]) for x in (plain[k : k + 2000] for k in range(0, len(plain), 2000))]
+            tops = np.concatenate(tops) if tops else np.empty(0)
+            hard = np.argsort(-tops, kind="stable")[:plain_lines]
+            shown = np.concatenate([shown, plain[hard[tops[hard] > 0.05]]])  # lines that look toxic and aren't are shown again
+    return packed(w, trans, begin, np.zeros(4))
 
 
-def judged_features(model: bytes, split: list[list[list[bytes]]]) -> list[tuple[float, float, float, float]]:
-    tagger = Tagger(model)
-    return [document_features(p) for k in range(0, len(split), 256) for p in tagger.each(split[k : k + 256])]
+def judged_features(model: bytes, sample: Sample, docs: np.ndarray) -> np.ndarray:
+    """The features of documents by which the document score is fitted."""
+    m = np.load(io.BytesIO(model), allow_pickle=False)
+    known = sample.sums(m["w"].astype(float)), m["trans"], float(m["start"])
+    out = np.empty((len(docs), 4))
+    first = np.searchsorted(sample.docs, np.arange(sample.n_docs + 1))  # lines of document d are first[d] to first[d + 1]
+    for k in range(0, len(docs), 256):
+        some = docs[k : k + 256]
+        lines = places(first[some], first[some + 1] - first[some])
+        sizes = np.bincount(np.repeat(np.arange(len(some)), first[some + 1] - first[some]), sample.lengths[lines], len(some)).astype(np.int64)
+        p = line_marginals(sample, known, sample.start[lines], sample.lengths[lines])
+        out[k : k + 256] = [document_features(x) for x in np.split(p, np.cumsum(sizes)[:-1])]
+    return out
 
 
 def with_documents(model: bytes, x: np.ndarray, ys: np.ndarray) -> bytes:
@@ -275,17 +356,21 @@ def with_documents(model: bytes, x: np.ndarray, ys: np.ndarray) -> bytes:
     return packed(m["w"], m["trans"], float(m["start"]), _logistic(x, ys.astype(float)))
 
 
+def left_out(sample: Sample, y: np.ndarray, leave: int, **bounds: int) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """(model, documents, features): a field fitted without one part of the sample, and that part's documents judged by it; part FOLDS leaves out nothing."""
+    of = _folds(y)
+    model, out = field(sample, y, of != leave, **bounds), np.flatnonzero(of == leave)
+    return model, out, judged_features(model, sample, out)
+
+
 def fit(texts: list[str], ys: list[int], **bounds: int) -> bytes:
     """A whole model from texts and labels at one place."""
     if len(set(ys)) < 2:
         return plain_model(ys)
-    split, y = [lines_of(t) for t in texts], np.array(ys)
-    x, of = np.zeros((len(ys), 4)), _folds(y)
-    for k in range(FOLDS):
-        rest, out = np.flatnonzero(of != k), np.flatnonzero(of == k)
-        if len(out):
-            x[out] = judged_features(field([split[i] for i in rest], y[rest].tolist(), **bounds), [split[i] for i in out])
-    return with_documents(field(split, ys, **bounds), x, y)
+    sample, y = Sample(texts), np.array(ys)
+    judged = [left_out(sample, y, k, **bounds) for k in range(FOLDS + 1)]
+    out = np.concatenate([x[1] for x in judged])
+    return with_documents(judged[FOLDS][0], np.concatenate([x[2] for x in judged]), y[out])
 
 
 def _folds(y: np.ndarray) -> np.ndarray:
@@ -297,53 +382,51 @@ def _folds(y: np.ndarray) -> np.ndarray:
     return of
 
 
-def _steps(lines: list, tags: list, w: np.ndarray, trans: np.ndarray, start: float, rounds: int) -> tuple:
+def _steps(parts: list[_Part], w: np.ndarray, trans: np.ndarray, start: float, rounds: int) -> tuple:
     """Weights after `rounds` passes of gradient steps on the likelihood."""
-    cache: dict[bytes, tuple] = {}
-    parts = [_part(lines[k::BATCHES], tags[k::BATCHES], cache) for k in range(min(BATCHES, len(lines)))]
     w_sq, t_sq, s_sq = np.full(1 << BITS, 0.1), np.full((2, 2), 1.0), 1.0
     for _ in range(rounds):  # steps along the likelihood's gradient over a part of the lines, with per-weight rates
-        for token, index, inner, y, begin, chains in parts:
-            p, pairs = chains.marginals(np.bincount(token, w[index], len(y)), trans, start)
-            y0, y1 = y[inner - 1].astype(int), y[inner].astype(int)
-            seen = np.bincount(2 * y0 + y1, minlength=4).reshape(2, 2)
-            g = np.bincount(index, (p - y)[token], 1 << BITS) + 0.002 * w
-            gt, gs = (pairs - seen) + 0.01 * trans, float((p - y)[begin].sum()) + 0.01 * start
+        for part in parts:
+            p, pairs = part.chains.marginals(part.emission(w), trans, start)
+            y = part.y.astype(int)
+            seen = np.bincount(2 * y[part.inner - 1] + y[part.inner], minlength=4).reshape(2, 2)
+            g = part.gradient(p - part.y) + 0.002 * w
+            gt, gs = (pairs - seen) + 0.01 * trans, float((p - part.y)[part.begin].sum()) + 0.01 * start
             w_sq, t_sq, s_sq = w_sq + g * g, t_sq + gt * gt, s_sq + gs * gs
             w, trans, start = w - 0.3 * g / np.sqrt(w_sq), trans - 0.1 * gt / np.sqrt(t_sq), start - 0.1 * gs / np.sqrt(s_sq)
     return w, trans, start
 
 
 def _fitted(**bounds: int):
-    """A field for each left-out part, with the features of that part's documents; part FOLDS leaves out nothing and gives its model."""
+    """For each left-out part: its documents' labels and features; for part FOLDS, the whole field's model."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = pd.concat([pd.DataFrame({"text": [], "y": [], "h_": []}), *frames]).sort_values(["h_", "text"])
-        same: dict[bytes, bytes] = {}  # one object for each word
-        split = [[[same.setdefault(w, w) for w in line] for line in lines_of(t)] for t in rows["text"]]
-        y = rows["y"].to_numpy(int)
-        of = _folds(y)
-        for leave in range(FOLDS + 1 if len(y) else 0):
-            model = field([split[i] for i in np.flatnonzero(of != leave)], y[of != leave].tolist(), **bounds)
+        rows = pd.concat([pd.DataFrame({"leave": [], "text": [], "y": [], "h_": []}), *frames]).sort_values(["h_", "text"])
+        for leave in sorted(rows["leave"].unique()):
+            own = rows[rows["leave"] == leave]
+            y = own["y"].to_numpy(int)
+            model, out, x = left_out(Sample(own["text"].tolist()), y, int(leave), **bounds)
             if leave == FOLDS:
                 yield pd.DataFrame({"model": [model], "y": [None], "x": [None]})
-            elif len(out := np.flatnonzero(of == leave)):
-                yield pd.DataFrame({"model": None, "y": y[out], "x": judged_features(model, [split[i] for i in out])})
+            elif len(out):
+                yield pd.DataFrame({"model": None, "y": y[out], "x": list(x)})
 
     return run
 
 
-def train(documents: DataFrame, labels: DataFrame, label: str = "toxic", parts: int = 4, held: int = 2, per_class: int = PER_CLASS, **bounds: int) -> bytes:
+def train(documents: DataFrame, labels: DataFrame, label: str = "toxic", parts: int = 4, held: int = 2, per_class: int = PER_CLASS, max_chars: int = MAX_CHARS, **bounds: int) -> bytes:
     """The model's bytes, fitted to a bounded sample of labelled rows whose fold isn't held out.
 
-    bounds are field()'s toxic_lines, plain_lines and line_words. The fields are fitted one after another in one task, which holds
-    the sample once; four numbers for each of its documents come back for the fit of the document score.
+    Labelled texts of more than max_chars characters don't enter the fit; bounds are field()'s toxic_lines, plain_lines and line_words.
+    Each left-out part has a task of its own, which holds the sample as numbers; four features of each of its
+    documents come back for the fit of the document score.
     """
-    sample = stored(labelled_sample(documents, labels, label, parts, held, per_class), "toxicity-sample")
+    sample = stored(labelled_sample(documents, labels, label, parts, held, per_class, max_chars), "toxicity-sample")
     classes = [r.y for r in sample.select("y").distinct().collect()]
     if len(classes) < 2:
         return plain_model(classes)
-    rows = stored(sample.repartition(1).mapInPandas(released(_fitted(**bounds)), "model binary, y int, x array<double>"), "toxicity-model").collect()
+    dealt = sample.withColumn("leave", F.explode(F.sequence(F.lit(0), F.lit(FOLDS)))).repartitionByRange(FOLDS + 1, "leave")
+    rows = stored(dealt.select("leave", "text", "y", "h_").mapInPandas(released(_fitted(**bounds)), "model binary, y int, x array<double>"), "toxicity-model").collect()
     judged = sorted((r.y, *r.x) for r in rows if r.model is None)
     return with_documents(next(bytes(r.model) for r in rows if r.model is not None), np.array([r[1:] for r in judged]), np.array([r[0] for r in judged]))
 
@@ -380,12 +463,12 @@ def tagged(documents: DataFrame, model: bytes, at_least: float = 0.3) -> DataFra
     return rows.mapInArrow(released(_tagged(shared)), out).withColumn("predicted", (F.col("score") >= at_least).cast("int"))
 
 
-def toxicity(documents: DataFrame, labels: DataFrame, parts: int = 4, held: int = 2, per_class: int = PER_CLASS, **bounds: int) -> DataFrame:
-    """(doc_id, held_out, score, predicted, spans) of every row, by a model fitted on labels outside the held-out fold.
+def toxicity(documents: DataFrame, labels: DataFrame, parts: int = 4, held: int = 2, **how: int) -> DataFrame:
+    """(doc_id, held_out, score, predicted, spans) of every row, by a model fitted on labels outside the held-out fold; how: train()'s bounds.
 
-    Without usable labels of both classes the score is the same for all rows. An empty table gives an empty result.
+    Without usable labels of both classes the score is the same for all rows, and there are no spans. An empty table gives an empty result.
     """
-    rows = tagged(documents.select("doc_id", "text"), train(documents, labels, parts=parts, held=held, per_class=per_class, **bounds))
+    rows = tagged(documents.select("doc_id", "text"), train(documents, labels, parts=parts, held=held, **how))
     return rows.select("row_.doc_id", (fold(F.col("row_.doc_id"), parts) == held).alias("held_out"), "score", "predicted", "spans")
 
 

@@ -114,4 +114,96 @@ def test_texts_of_one_long_line():
     texts = [" ".join(text) for text in texts]
     scores, _ = t.Tagger(t.fit(texts[:300], ys[:300])).score(texts[300:])
     assert np.mean((scores >= 0.3) == np.array(ys[300:])) > 0.95
-    assert t.pieces(list(range(301)), 300) == [list(range(151)), list(range(151, 301))] and t.pieces([1, 2], 2) == [[1, 2]]
+    line, start, size = t.pieces(np.array([0, 301, 303]), np.array([301, 2, 5]), 300)
+    assert line.tolist() == [0, 0, 1, 2] and start.tolist() == [0, 151, 301, 303] and size.tolist() == [151, 150, 2, 5]
+    assert t.pieces(np.array([0]), np.array([5]), 2)[2].tolist() == [2, 2, 1]
+
+
+def test_gradient_equals_differences():
+    """The fit's gradient against the likelihood's differences, over every weight that the lines have."""
+    rng = np.random.default_rng(2)
+    sample = t.Sample(["ab cde ab fghij\nab", "cde cde xyzzyx ab\n\nfghij ab"])
+    tags = rng.random(len(sample.ids)) < 0.4
+    part = t._Part(sample, sample.start, sample.lengths, tags)
+    w, trans, start = rng.normal(size=1 << t.BITS) * 0.3, rng.normal(size=(2, 2)) * 0.3, 0.2
+
+    def loss(v):
+        e, total, at = part.emission(v), 0.0, 0
+        for n in sample.lengths:
+            score = lambda y: start * y[0] + sum(e[at + k] * y[k] for k in range(n)) + sum(trans[y[k], y[k + 1]] for k in range(n - 1))  # noqa: B023, E731
+            total += np.log(sum(np.exp(score(y)) for y in itertools.product((0, 1), repeat=int(n)))) - score(tags[at : at + n].astype(int))
+            at += n
+        return total
+
+    p, _ = part.chains.marginals(part.emission(w), trans, start)
+    got = part.gradient(p - part.y)
+    some = sorted({t.BIAS, *sample.index, *sample.after, *sample.before})
+    for k in some:
+        step = np.zeros_like(w)
+        step[k] = 1e-5
+        assert got[k] == pytest.approx((loss(w + step) - loss(w - step)) / 2e-5, abs=1e-5)
+    assert not got[np.setdiff1d(np.arange(1 << t.BITS), some)].any()
+    tagger = t.Tagger(t.packed(w, trans, start, np.zeros(4)))
+    lines = [line for text in ("ab cde ab fghij\nab", "cde cde xyzzyx ab\n\nfghij ab") for line in t.lines_of(text)]
+    assert tagger.marginals(lines) == pytest.approx(p, abs=1e-5)  # scoring uses 32-bit weights
+
+
+def test_seeds_of_a_few_documents():
+    sample = t.Sample([f"the zork{k} is {w}" for k in range(6) for w in ("bad", "worse")] + [f"the good{k} is {w}" for k in range(40) for w in ("bad", "worse")])
+    ys = np.array([1] * 12 + [0] * 80)
+    marked = t.seeds(sample, ys, np.ones(92, bool))
+    names = list(dict.fromkeys(w for d in ([f"the zork{k} is {w}" for k in range(6) for w in ("bad", "worse")] + [f"the good{k} is {w}" for k in range(40) for w in ("bad", "worse")]) for w in d.split()))
+    assert {w for w, m in zip(names, marked, strict=True) if m} == {f"zork{k}" for k in range(6)}
+    assert not t.seeds(sample, ys, ys == 0).any()
+
+
+def test_without_usable_labels_nothing_is_marked(spark):
+    docs = spark.createDataFrame([(1, "hello big world"), (2, None), (3, ""), (4, "?!")], DOCS)
+    for labels in ([], [(1, 0, 1)], [(1, 0, 0)], [(1, None, None)], [(1, 0, 1), (4, 0, 0)]):
+        rows = t.toxicity(docs, spark.createDataFrame(labels, LABELS)).orderBy("doc_id").collect()
+        assert [r.spans for r in rows] == [[], [], [], []] and len({r.score for r in rows[1:]}) == 1
+    known = spark.createDataFrame([(1, 0, 1), (4, 0, 0)], LABELS)
+    for op, label in ((t.toxicity, "toxic"), (q.quality, "quality")):
+        assert len({r.score for r in op(docs, known, max_chars=10).collect()}) == 1
+    d, lab = spark.createDataFrame([(k, "x" * k) for k in range(60)], DOCS), spark.createDataFrame([(k, 1, k % 2) for k in range(60)], LABELS)
+    assert {len(r.text) for r in labelled_sample(d, lab, "toxic", 4, 2, 500, 20).collect()} <= set(range(21))
+
+
+def test_ftrl_against_plain_python():
+    """The same passes over a handful of features, one coordinate at a time, from the update rule; and one score by hand."""
+    rng = random.Random(3)
+    texts = [" ".join(rng.choices("abc", k=rng.randrange(1, 4))) for _ in range(30)]
+    ys = [int("a" in x) for x in texts]
+    w = q.fit(texts, ys, passes=2, seed=5)
+
+    hashes, order = q.WordHashes(), np.random.default_rng(5)
+    rows = [q.features(x, hashes) for x in texts]
+    z, n = {}, {}
+    a, b, l1, l2 = 1.0, 1.0, 0.02, 0.02
+
+    def weight(i):
+        zi = z.get(i, 0.0)
+        return 0.0 if abs(zi) <= l1 else -(zi - np.sign(zi) * l1) / ((b + n.get(i, 0.0) ** 0.5) / a + l2)
+
+    for _ in range(2):
+        for k in order.permutation(30):
+            x = [*zip(rows[k][0].tolist(), rows[k][1].tolist(), strict=True), (1 << q.BITS, 1.0)]
+            ws = [weight(i) for i, _ in x]
+            p = 1 / (1 + np.exp(-sum(v * u for (_, v), u in zip(x, ws, strict=True))))
+            for (i, v), u in zip(x, ws, strict=True):
+                g = (p - ys[k]) * v
+                sigma = ((n.get(i, 0.0) + g * g) ** 0.5 - n.get(i, 0.0) ** 0.5) / a
+                z[i] = z.get(i, 0.0) + g - sigma * u
+                n[i] = n.get(i, 0.0) + g * g
+    assert {i for i in range(len(w)) if w[i]} == {i for i in z if weight(i)}
+    assert [w[i] for i in z] == pytest.approx([weight(i) for i in z], rel=1e-5, abs=1e-7)
+
+
+def test_quality_score_by_hand(spark):
+    """Null, empty and wordless texts have the intercept's score, others their dot product's."""
+    w = np.zeros((1 << q.BITS) + 1, np.float32)
+    at, value = q.features("good word", q.WordHashes())
+    w[at], w[-1] = 0.5, -1.0
+    rows = q.scored(spark.createDataFrame([(1, None), (2, ""), (3, " \t"), (4, "good word"), (5, "GOOD  word")], DOCS), w.tobytes()).orderBy("doc_id").collect()
+    plain, own = 1 / (1 + np.exp(1.0)), 1 / (1 + np.exp(1.0 - 0.5 * value.sum()))
+    assert [r.score for r in rows] == pytest.approx([plain, plain, plain, own, own]) and value.sum() == pytest.approx(3**0.5)
