@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auklet.functions.scalars import severity_rank
@@ -15,27 +15,29 @@ CARD_DROP_CODE = "0x40f84e00"
 ALL_RULES = ("card_drop", "npu_health", "error_code", "hbm_uce", "ddr_uce", "roce_link_down", "driver_health")
 
 
-def active_faults(points: DataFrame, keys: list[str], ord_: str = "ord", rules: tuple[str, ...] = ALL_RULES) -> DataFrame:
-    """keys, type and severity of every rule that holds; points are (keys, name, value, labels), the last of a name counts."""
-    last = lambda name, of: F.max_by(of, F.when(F.col("name") == name, F.col(ord_)))
-    value = {n: last(n, F.col("value")).alias(f"v_{n}") for n in ("card_drop", "error_code", "hbm_double_ecc", "ddr_double_ecc", "roce_link_status", "driver_health")}
-    text = {"codes": ("error_code", "error_codes"), "health": ("health_status", "status"), "link": ("roce_link_status", "status"), "roce": ("roce_link_health", "roce_link")}
-    label = {k: last(n, F.col("labels")[lab]).alias(f"l_{k}") for k, (n, lab) in text.items()}
-    state = points.groupBy(*keys).agg(*value.values(), *label.values())
-    v = lambda n: F.col(f"v_{n}")
-    dropped = (v("card_drop") >= 1) | F.exists(F.split(F.coalesce("l_codes", F.lit("")), ","), lambda c: F.lower(F.trim(c)) == CARD_DROP_CODE)
-    down = (v("roce_link_status") == 0) | (F.col("l_link") == "down") | F.col("l_roce").isin("down", "Down")
+def point_faults(rules: tuple[str, ...] = ALL_RULES) -> Column:
+    """(type, severity) of the rules that hold for a point (name, value, labels); the last point of a name counts for its device and batch."""
+    name, value = F.col("name"), F.col("value")
+    text = lambda key: F.col("labels")[key]
+    of = lambda n, cond: (name == n) & F.coalesce(cond, F.lit(False))
+    dropped = of("card_drop", value >= 1) | of("error_code", F.exists(F.split(F.coalesce(text("error_codes"), F.lit("")), ","), lambda c: F.lower(F.trim(c)) == CARD_DROP_CODE))
+    down = of("roce_link_status", value == 0) | of("roce_link_status", text("status") == "down") | of("roce_link_health", text("roce_link").isin("down", "Down"))
     rule = {
         "card_drop": (dropped, F.lit("critical")),
-        "npu_health": (F.col("l_health").isin("Alarm", "Critical"), F.when(F.col("l_health") == "Critical", "critical").otherwise("warning")),
-        "error_code": (v("error_code") > 0, F.lit("warning")),
-        "hbm_uce": (v("hbm_double_ecc") > 0, F.lit("critical")),
-        "ddr_uce": (v("ddr_double_ecc") > 0, F.lit("critical")),
+        "npu_health": (of("health_status", text("status").isin("Alarm", "Critical")), F.when(text("status") == "Critical", "critical").otherwise("warning")),
+        "error_code": (of("error_code", value > 0), F.lit("warning")),
+        "hbm_uce": (of("hbm_double_ecc", value > 0), F.lit("critical")),
+        "ddr_uce": (of("ddr_double_ecc", value > 0), F.lit("critical")),
         "roce_link_down": (down, F.lit("warning")),
-        "driver_health": (v("driver_health") != 0, F.lit("warning")),
+        "driver_health": (of("driver_health", value != 0), F.lit("warning")),
     }
-    fired = F.array(*[F.when(F.coalesce(c, F.lit(False)), F.struct(F.lit(t).alias("type"), s.alias("severity"))) for t, (c, s) in rule.items() if t in rules])
-    return state.select(*keys, F.explode(F.array_compact(fired)).alias("f")).select(*keys, "f.*")
+    return F.array_compact(F.array(*[F.when(c, F.struct(F.lit(t).alias("type"), s.alias("severity"))) for t, (c, s) in rule.items() if t in rules]))
+
+
+def active_faults(points: DataFrame, keys: list[str], ord_: str = "ord", rules: tuple[str, ...] = ALL_RULES) -> DataFrame:
+    """keys, type and severity of every rule that holds; points are (keys, name, value, labels), the last of a name counts."""
+    last = points.groupBy(*keys, "name").agg(F.max_by(point_faults(rules), ord_).alias("f_"))
+    return last.select(*keys, F.explode("f_").alias("f")).select(*keys, "f.type", "f.severity").distinct()
 
 
 def transitions(active: DataFrame, batches: DataFrame, scope: list[str], device: str = "npu", batch: str = "batch") -> DataFrame:

@@ -64,6 +64,21 @@ def history(df: DataFrame, keys: list[str], order: list[str], value: str = "valu
     return got.select(*keys, F.transform("h_", lambda x: x["v"]).alias("history"))
 
 
+def unbroken(points: DataFrame, scope: str, series: str, poll: str, value: str = "value", last: int = 60) -> DataFrame:
+    """(scope, series, history) of the series in a scope's newest poll: their last values, back to the first poll that lacks them.
+
+    Of several values of a poll the largest counts, negative ones aren't kept. Polls are numbered within a scope; they are far fewer than points.
+    """
+    polls = points.groupBy(scope, poll).agg(F.first(F.lit(1)).alias("one_"))
+    polls = polls.select(scope, poll, F.row_number().over(Window.partitionBy(scope).orderBy(F.desc(poll))).alias("back_"))
+    rows = points.groupBy(scope, series, poll).agg(F.max(value).alias(value)).join(polls, [scope, poll])
+    rows = rows.withColumn("k_", F.row_number().over(Window.partitionBy(scope, series).orderBy("back_"))).where("k_ = back_")
+    kept = rows.where(F.col(value) >= 0).withColumn("place_", F.row_number().over(Window.partitionBy(scope, series).orderBy("back_"))).where(F.col("place_") <= last)
+    held = kept.groupBy(scope, series).agg(F.sort_array(F.collect_list(F.struct((-F.col("back_")).alias("k"), F.col(value).alias("v")))).alias("h_"))
+    newest = rows.where("back_ = 1").select(scope, series).join(held, [scope, series], "left")
+    return newest.select(scope, series, F.coalesce(F.transform("h_", lambda x: x["v"]), F.array().cast("array<double>")).alias("history"))
+
+
 def latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """All rows of each key's newest batch."""
     newest = df.groupBy(*keys).agg(F.max(F.struct(*order)).alias("o_"))
