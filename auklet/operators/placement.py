@@ -62,30 +62,22 @@ def redundant_experts(cards: DataFrame, experts: int, n_cards: int, redundant: i
     return cards.where(F.lit(each > 0)).select("card", F.explode(F.sequence(start, start + max(each - 1, 0))).alias("expert"))
 
 
-def placed_replicas(experts: int, n_cards: int, redundant: int) -> list[tuple[int, int, int]]:
-    """(expert, physical place, card) of one layer: a card's own share first, then the next further replicas that it doesn't hold yet."""
-    if (experts + redundant) % n_cards or redundant % n_cards:
-        raise ValueError(f"{experts} experts and {redundant} replicas don't divide over {n_cards} cards")
-    slots, (base, more), each = (experts + redundant) // n_cards, divmod(experts, n_cards), redundant // n_cards
-    waiting = [card * base + k for card in range(n_cards) for k in range(each)]
-    out, first = [], 0
-    for card in range(n_cards):
-        held = list(range(first, first + base + (card < more)))
-        first += len(held)
-        while len(held) < slots:
-            if (taken := next((e for e in waiting if e not in held), None)) is None:
-                raise ValueError(f"card {card} has no replica left that it doesn't hold")
-            waiting.remove(taken)
-            held.append(taken)
-        out += [(e, card * slots + k, card) for k, e in enumerate(held)]
-    return out
-
-
-def physical_places(layers: DataFrame, experts: int, n_cards: int, redundant: int) -> DataFrame:
-    """(layer, expert, phys, card): where the replicas of each expert stand in every layer; the table of a layer is as large as the machine."""
-    table = placed_replicas(experts, n_cards, redundant)
-    spots = F.array(*[F.struct(F.lit(e).alias("expert"), F.lit(p).alias("phys"), F.lit(c).alias("card")) for e, p, c in table])
-    return layers.select("layer", F.explode(spots).alias("at")).select("layer", "at.*")
+def physical_places(cards: DataFrame, experts: int, redundant: int) -> DataFrame:
+    """(layer, expert, phys, card): where the replicas of each expert stand in every layer, from its cards (layer, card from 0 to n - 1).
+
+    Cards hold even shares of the experts in order, and after them replicas: of the first redundant / n experts of each share there is one
+    more. Each card takes the next ones that it doesn't hold, so cards 0 and 1 take each other's, 2 and 3, and so on. Shares that don't
+    divide over the cards, an odd number of cards with replicas and more replicas than experts are errors.
+    """
+    n = F.count("*").over(Window.partitionBy("layer"))
+    rows = cards.select("layer", F.col("card").cast("long").alias("card")).distinct().withColumn("n_", n)
+    wrong = (F.lit(experts) % F.col("n_") != 0) | (F.lit(redundant) % F.col("n_") != 0) | (F.lit(redundant > 0) & (F.col("n_") % 2 != 0)) | F.lit(redundant > experts)
+    said = F.concat(F.lit(f"{experts} experts and {redundant} replicas don't divide over "), F.col("n_").cast("string"), F.lit(" cards that take each other's"))
+    rows = rows.withColumn("n_", F.when(wrong, F.raise_error(said).cast("long")).otherwise(F.col("n_")))
+    base, each = F.floor(F.lit(experts) / F.col("n_")), F.floor(F.lit(redundant) / F.col("n_"))
+    spot = lambda holder, k, place: F.struct((holder * base + k).cast("int").alias("expert"), (F.col("card") * (base + each) + place).cast("int").alias("phys"))
+    places = F.transform(F.sequence(F.lit(0).cast("long"), base + each - 1), lambda k: F.when(k < base, spot(F.col("card"), k, k)).otherwise(spot(F.col("card").bitwiseXOR(F.lit(1).cast("long")), k - base, k)))
+    return rows.withColumn("at_", F.explode(places)).select("layer", "at_.expert", "at_.phys", F.col("card").cast("int").alias("card"))
 
 
 def replicas(placed: DataFrame) -> DataFrame:
@@ -132,11 +124,67 @@ def _repaired(rows: pd.DataFrame, lost: frozenset[int], per_node: int, replicate
     return out[["layer", "card", "slot", "old", "expert"]]
 
 
-def repaired(placed: DataFrame, lost: list[int], per_node: int = 8, replicate: bool = False) -> DataFrame:
+def _swapped(table: dict[tuple[int, int], int], weight: dict[int, float], rounds: int, per_pair: int) -> dict[tuple[int, int], int]:
+    """The placement (card, slot) -> expert after up to `rounds` swaps, each between the fullest card and the emptiest one with which a swap lowers the higher of their two loads.
+
+    Of a pair's swaps the one with the lowest such load is taken. A card doesn't give away what it got in an earlier round or take what it
+    holds, two cards swap per_pair times at most, and all other experts keep their slots.
+    """
+    table = dict(table)
+    cards: dict[int, dict[int, tuple[int, int]]] = {}
+    for place, e in table.items():
+        cards.setdefault(place[0], {})[e] = place
+    load = {c: sum(weight.get(e, 0.0) for e in own) for c, own in cards.items()}
+    got: dict[int, set[int]] = {c: set() for c in cards}
+    between: Counter = Counter()
+    for _ in range(rounds):
+        full = max(load, key=lambda c: (load[c], -c))
+        for other in sorted((c for c in load if c != full and between[frozenset((c, full))] < per_pair), key=lambda c: (load[c], c)):
+            gives, takes = ([e for e in own if e not in theirs and e not in got[c]] for c, own, theirs in ((full, cards[full], cards[other]), (other, cards[other], cards[full])))
+            ends = [(max(load[full] - weight.get(x, 0.0) + weight.get(y, 0.0), load[other] - weight.get(y, 0.0) + weight.get(x, 0.0)), x, y) for x in gives for y in takes]
+            if ends and min(ends)[0] < load[full]:
+                _, x, y = min(ends)
+                here, there = cards[full].pop(x), cards[other].pop(y)
+                cards[full][y], cards[other][x] = here, there
+                table[here], table[there] = y, x
+                load[full], load[other] = load[full] - weight.get(x, 0.0) + weight.get(y, 0.0), load[other] - weight.get(y, 0.0) + weight.get(x, 0.0)
+                got[full].add(y)
+                got[other].add(x)
+                between[frozenset((full, other))] += 1
+                break
+        else:
+            break
+    return table
+
+
+def _evened(rows: pd.DataFrame, load: dict[int, float], rounds: int, per_pair: int) -> pd.DataFrame:
+    """A layer's placement after swaps; an expert's load is shared evenly by its replicas."""
+    table = {(c, s): e for c, s, e in rows[["card", "slot", "expert"]].itertuples(index=False)}
+    copies = Counter(table.values())
+    weight = {e: load.get(e, 0.0) / n for e, n in copies.items()}
+    if max(Counter((c, e) for (c, _), e in table.items()).values(), default=0) < 2:  # a card that holds an expert twice has no single slot for it
+        table = _swapped(table, weight, rounds, per_pair)
+    return rows.assign(expert=[table[k] for k in zip(rows["card"], rows["slot"], strict=True)])
+
+
+def repaired(placed: DataFrame, lost: list[int], per_node: int = 8, replicate: bool = False, swaps: int = 0, per_pair: int = 1) -> DataFrame:
     """(layer, card, slot, old, expert) after cards are lost: every expert has a place again and slots that needn't change don't.
 
     placed is (layer, card, slot, expert, workload). Layers are independent groups of bounded size (cards x slots). Too few
-    free slots for the experts without a replica are an error.
+    free slots for the experts without a replica are an error. With swaps, up to so many pairs of experts change cards afterwards, so that
+    the fullest card has less to do: the highest load never rises, and no expert is lost or comes to a card that holds it.
     """
     gone = frozenset(lost)
-    return placed.groupBy("layer").applyInPandas(lambda rows: _repaired(rows, gone, per_node, replicate), "layer long, card long, slot long, old long, expert long")
+
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
+        out = _repaired(rows, gone, per_node, replicate)
+        return _evened(out, rows.groupby("expert")["workload"].sum().to_dict(), swaps, per_pair) if swaps else out
+
+    return placed.groupBy("layer").applyInPandas(one, "layer long, card long, slot long, old long, expert long")
+
+
+def card_loads(placement: DataFrame, placed: DataFrame) -> DataFrame:
+    """(layer, card, load): what the experts of each card have to do, an expert's whole workload shared evenly by its replicas."""
+    whole = placed.groupBy("layer", "expert").agg(F.sum("workload").alias("whole_"))
+    copies = placement.groupBy("layer", "expert").agg(F.count("*").alias("n_"))
+    return placement.join(copies, ["layer", "expert"]).join(whole, ["layer", "expert"]).groupBy("layer", "card").agg(F.sum(F.col("whole_") / F.col("n_")).alias("load"))

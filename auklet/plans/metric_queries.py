@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from auklet.functions import scalars as X
@@ -46,8 +47,19 @@ def placed(s, d):
     return rows.select("layer", F.floor(F.col("k") / 8).alias("card"), (F.col("k") % 8).alias("slot"), (F.col("k") * 5 % 128).alias("expert"), "workload")
 
 
-#: Experts, cards and further replicas of the placement queries.
-EXPERTS, CARDS, REDUNDANT = 128, 16, 32
+#: Experts and further replicas of the placement queries, and the cards that are lost.
+EXPERTS, REDUNDANT, LOST = 128, 32, [0, 9]
+
+
+def evened(s, d):
+    """Every row of a placement after swaps, and whether what must hold does: the expert is on its card once, the layer has all its
+    experts, the highest load isn't above the one before the swaps, and the slot's old expert is still in the layer."""
+    before, rows = E.repaired(placed(s, d), LOST), E.repaired(placed(s, d), LOST, swaps=100, per_pair=2)
+    peak = lambda df: E.card_loads(df, placed(s, d)).groupBy("layer").agg(F.max("load").alias("load"))
+    peaks = peak(before).withColumnRenamed("load", "was").join(peak(rows), "layer").select("layer", (F.col("load") <= F.col("was") + 1e-6).alias("not_higher"))
+    experts = rows.groupBy("layer").agg((F.countDistinct("expert") == EXPERTS).alias("complete"))
+    once = rows.withColumn("once", F.count("*").over(Window.partitionBy("layer", "card", "expert")) == 1)
+    return once.join(peaks, "layer").join(experts, "layer").select("layer", "card", "slot", "old", "once", "complete", "not_higher")
 
 
 QUERIES = {
@@ -72,11 +84,12 @@ QUERIES = {
     "e5_e6_w20_renumbered": lambda s, d: E.renumbered(V.table(s, d, "customer").select(F.col("c_custkey").alias("rank")), V.table(s, d, "customer").where("c_nationkey % 5 = 0").select(F.col("c_custkey").alias("rank"))),
     "e7_even_experts": lambda s, d: E.even_experts(V.table(s, d, "nation").select(F.col("n_nationkey").alias("card")), 130, 25),
     "e7_redundant_experts": lambda s, d: E.redundant_experts(V.table(s, d, "nation").select(F.col("n_nationkey").alias("card")), 130, 25, 50),
-    "e7_log_to_phys": lambda s, d: E.physical_places(placed(s, d).select("layer").distinct(), EXPERTS, CARDS, REDUNDANT).select("layer", "expert", "phys", "card"),
+    "e7_log_to_phys": lambda s, d: E.physical_places(placed(s, d), EXPERTS, REDUNDANT),
     "e6_elastic_tables": lambda s, d: E.elastic_tables(V.table(s, d, "customer").select(F.col("c_custkey").alias("rank"), F.when(F.col("c_nationkey") % 5 == 0, -1).otherwise(F.col("c_nationkey")).alias("dp"))),
     "e6_domains": lambda s, d: E.domains(V.table(s, d, "customer").select(F.col("c_custkey").alias("rank"), F.col("c_nationkey").alias("dp")), V.table(s, d, "nation").where("n_regionkey = 2").select(F.col("n_nationkey").alias("dp"))),
     "e7_replicas": lambda s, d: E.replicas(placed(s, d)).select("layer", "expert", F.array_join(F.col("places").cast("array<string>"), ",").alias("places")),
-    "e8_repaired": lambda s, d: E.repaired(placed(s, d), [0, 9]).groupBy("layer").agg(F.countDistinct("expert").alias("experts"), F.count("*").alias("slots")),
+    "e8_repaired": lambda s, d: E.repaired(placed(s, d), LOST).groupBy("layer").agg(F.countDistinct("expert").alias("experts"), F.count("*").alias("slots")),
+    "e8_swapped": evened,
 }
 
 
@@ -151,9 +164,9 @@ union all select series, first, 2, ord, series || labels || ' ' || regexp_replac
     "e5_e6_w20_renumbered": "select c_custkey as rank, case when c_nationkey % 5 = 0 then -1 else cast(sum(case when c_nationkey % 5 = 0 then 0 else 1 end) over (order by c_custkey rows unbounded preceding) as bigint) - 1 end as new_rank from customer",
     "e7_even_experts": "select n_nationkey as card, cast(n_nationkey * 5 + least(n_nationkey, 5) + k as int) as expert from nation, range(6) as t(k) where k < 5 + case when n_nationkey < 5 then 1 else 0 end",
     "e7_redundant_experts": "select n_nationkey as card, cast(n_nationkey * 5 + k as int) as expert from nation, range(2) as t(k)",
-    # with two further replicas of each card's first experts and an even number of cards, neighbours take each other's
-    "e7_log_to_phys": _with(_PLACED, tail="""select layer, cast(expert as int) as expert, cast(phys as int) as phys, cast(card as int) as card from (select distinct layer from placed),
-    (select 8 * c + k as expert, 10 * c + k as phys, c as card from range(16) as t(c), range(8) as u(k) union all select 8 * xor(c, 1) + k, 10 * c + 8 + k, c from range(16) as t(c), range(2) as u(k))"""),
+    # one further replica of each card's first expert, and an even number of cards: neighbours take each other's
+    "e7_log_to_phys": _with(_PLACED, "cards as (select distinct layer, card from placed)", tail="""select layer, cast(4 * card + k as int) as expert, cast(5 * card + k as int) as phys, cast(card as int) as card from cards, range(4) as u(k)
+    union all select layer, cast(4 * xor(card, 1) as int), cast(5 * card + 4 as int), cast(card as int) from cards"""),
     "e6_elastic_tables": """with ranks as (select c_custkey as rank, c_nationkey % 5 = 0 as gone from customer),
 numbered as (select rank, row_number() over (order by rank) - 1 as place, case when gone then -1 else row_number() over (partition by gone order by rank) - 1 end as local from ranks)
 select a.place, a.rank, a.local, coalesce(b.rank, -1) as back from numbered as a left join numbered as b on b.local = a.place""",
@@ -161,4 +174,5 @@ select a.place, a.rank, a.local, coalesce(b.rank, -1) as back from numbered as a
 select c_custkey as rank, c_nationkey as old_dp, coalesce(k, -1) as dp from customer left join stay on dp = c_nationkey""",
     "e7_replicas": _with(_PLACED, tail="select layer, expert, string_agg((card * 8 + slot)::varchar, ',' order by card * 8 + slot) as places from placed group by 1, 2"),
     "e8_repaired": _with(_PLACED, tail="select layer, count(distinct expert) as experts, count(*) filter (card not in (0, 9)) as slots from placed group by 1"),
+    "e8_swapped": _with(_PLACED, tail="select layer, card, slot, expert as old, true as once, true as complete, true as not_higher from placed where card not in (0, 9)"),
 }
