@@ -128,6 +128,23 @@ def engine_table(status: DataFrame, key: str, seq: str) -> DataFrame:
     return status.groupBy(key).agg(F.max_by("status", seq).alias("status"))
 
 
+def pauses(status: DataFrame, key: str, seq: str, width: int) -> DataFrame:
+    """(seq, key, unhealthy): the status reports at which a pause is ordered: an engine fails while all others are healthy.
+
+    Further engines that fail before all are healthy again order none. status is (key, seq, status), every engine healthy before its first report. How many engines
+    are unhealthy is a sum over all reports before; it is counted within ranges of `width` numbers and the ranges' sums are added, so no
+    task orders all reports. Of several reports of one number the smallest key comes first.
+    """
+    bad = (F.col("status") != "healthy").cast("int")
+    own = Window.partitionBy(key).orderBy(seq)
+    steps = status.withColumn("step_", bad - F.coalesce(F.lag(bad).over(own), F.lit(0))).where("step_ <> 0").select(key, seq, "step_", F.floor(F.col(seq) / width).alias("range_"))
+    sums = steps.groupBy("range_").agg(F.sum("step_").alias("sum_"))
+    before = sums.select("range_", F.coalesce(F.sum("sum_").over(Window.orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before_"))  # a row for each range
+    within = F.sum("step_").over(Window.partitionBy("range_").orderBy(seq, key).rowsBetween(Window.unboundedPreceding, 0))
+    rows = steps.withColumn("within_", within).join(before, "range_").withColumn("unhealthy", F.col("before_") + F.col("within_"))
+    return rows.where("step_ = 1 and unhealthy = 1").select(seq, key, "unhealthy")
+
+
 def verdicts(engines: DataFrame, excluded: DataFrame, key: str) -> DataFrame:
     """Whether all engines rest, and which commands are allowed: pause always, retry and scale-down if no (retained) engine is healthy."""
     e = engines.join(excluded.select(key, F.lit(True).alias("x_")), key, "left").withColumn("x_", F.coalesce("x_", F.lit(False)))

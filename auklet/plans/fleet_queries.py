@@ -36,9 +36,25 @@ def state_events(spark, sf):
     return rows.select("npu", "batch", kind.alias("type"), (~F.col("active")).alias("recovered"))
 
 
+def reports(spark, sf):
+    """Status reports of engines, which change from event to event."""
+    s = F.element_at(F.array(F.lit("healthy"), F.lit("paused"), F.lit("dead"), F.lit("paused"), F.lit("paused")), ((F.col("user_id") + F.floor("value")) % 5 + 1).cast("int"))
+    return V.table(spark, sf, "events").select(F.col("user_id").alias("engine"), s.alias("status"), "event_id")
+
+
 def engines(spark, sf):
-    s = F.element_at(F.array(F.lit("healthy"), F.lit("paused"), F.lit("dead"), F.lit("paused"), F.lit("paused")), (F.col("user_id") % 5 + 1).cast("int"))
-    return X.engine_table(V.table(spark, sf, "events").select(F.col("user_id").alias("engine"), s.alias("status"), "event_id"), "engine", "event_id")
+    return X.engine_table(reports(spark, sf), "engine", "event_id")
+
+
+def rare_failures(spark, sf):
+    """Reports that are unhealthy for large values only, so that all engines are healthy now and then."""
+    status = F.when(F.col("value") > 280, F.element_at(F.array(F.lit("dead"), F.lit("paused")), (F.col("event_id") % 2 + 1).cast("int"))).otherwise("healthy")
+    return V.table(spark, sf, "events").select(F.col("user_id").alias("engine"), status.alias("status"), "event_id")
+
+
+def polls(spark, sf):
+    """A poll a day of every host, of the users that have an event then."""
+    return V.table(spark, sf, "events").select((F.col("user_id") % 2).cast("int").alias("host"), F.col("user_id").alias("series"), F.floor(V.seconds(F.col("ts")) / 86400).alias("poll"), (F.col("value") - 20).alias("value"))
 
 
 def excluded(spark, sf):
@@ -68,6 +84,8 @@ QUERIES = {
     "fevt_event_query": lambda s, d: fault_events(s, d).where((F.col("batch") > 19730) & (F.col("type") == "npu_health") & F.col("npu").isin("1", "2")).select("npu", "severity", "batch", "recovered"),
     "e1_j10_actions": lambda s, d: X.actions(state_events(s, d), V.table(s, d, "supplier").select(F.col("s_suppkey").alias("npu"), F.col("s_nationkey").alias("dp_rank"))).select("npu", "batch", "dp_rank", "action"),
     "e9_engine_table": engines,
+    "e9_pauses": lambda s, d: X.pauses(rare_failures(s, d), "engine", "event_id", 1000),
+    "w21_unbroken_histories": lambda s, d: W.unbroken(polls(s, d), "host", "series", "poll", last=5).select("host", "series", F.array_join(F.transform("history", lambda v: F.round(v, 2).cast("decimal(12,2)")).cast("array<string>"), ",").alias("history")),
     "e2_e10_verdicts": lambda s, d: X.verdicts(engines(s, d), excluded(s, d), "engine"),
     "e3_not_yet_scaled": lambda s, d: engines(s, d).where("status = 'dead'").join(V.table(s, d, "supplier").where("s_nationkey < 12").select(F.col("s_suppkey").alias("engine")), "engine", "left_anti").select("engine"),
     "e11_result_fold": lambda s, d: engines(s, d).agg(F.bool_and(F.col("status") != "dead").alias("success"), F.array_join(F.sort_array(F.collect_list(F.when(F.col("status") == "dead", F.concat_ws(":", F.col("engine").cast("string"), "status")))), ";").alias("reason")),
@@ -106,7 +124,17 @@ fault_events as (
     select host, npu::varchar as npu, type, severity, batch, false as recovered, batch * 86400 as ts from seen where prv is null or before is distinct from prv
     union all select host, npu::varchar, type, severity, nxt, true, nxt * 86400 from seen where nxt is not null and after is distinct from nxt)"""
 _FAULTS = (V.PROBES_SQL, _ACTIVE, _EVENTS)
-_ENGINES = "engines as (select user_id as engine, ['healthy', 'paused', 'dead', 'paused', 'paused'][user_id % 5 + 1] as status from events group by user_id)"
+_ENGINES = "engines as (select user_id as engine, arg_max(['healthy', 'paused', 'dead', 'paused', 'paused'][(user_id + cast(floor(value) as bigint)) % 5 + 1], event_id) as status from events group by user_id)"
+_PAUSES = """
+reports as (select user_id as engine, event_id, case when value > 280 then 1 else 0 end as bad from events),
+steps as (select engine, event_id, bad - coalesce(lag(bad) over (partition by engine order by event_id), 0) as step from reports),
+counted as (select *, sum(step) over (order by event_id, engine rows unbounded preceding) as unhealthy from steps where step <> 0)"""
+_POLLS = """
+polls as (select cast(user_id % 2 as int) as host, user_id as series, cast(floor(epoch(ts)) as bigint) // 86400 as poll, max(value - 20) as value from events group by all),
+numbered as (select host, poll, row_number() over (partition by host order by poll desc) as back from (select distinct host, poll from polls)),
+runs as (select host, series, value, back, row_number() over (partition by host, series order by back) as k from polls join numbered using (host, poll)),
+unbroken as (select *, row_number() over (partition by host, series order by back) as place from runs where k = back and value >= 0),
+held as (select host, series, string_agg(round(value, 2)::decimal(12, 2)::varchar, ',' order by back desc) as history from unbroken where place <= 5 group by all)"""
 _RANK = "case {} when 'critical' then 2 when 'warning' then 1 else 0 end"
 _SUBS = (
     "subs as (select * from (values " + ", ".join(f"('{i}', {t!r}::varchar[], {c!r}::varchar[], {n!r}::varchar[], '{m}')" for i, t, c, n, m, _ in SUBSCRIPTIONS) + ") as t(id, types, components, npu_ids, min_severity))"
@@ -211,6 +239,8 @@ select l_suppkey, l_orderkey, l_linenumber, cast(place as int) as place from r w
     "e1_j10_actions": _with(
         V.STATES_SQL, _EDGES, tail="select npu, batch, s_nationkey as dp_rank, case when recovered then 'retry' when type in ('card_drop', 'npu_health', 'hbm_uce', 'ddr_uce') then 'scale_down' else 'pause' end as action from state_events join supplier on s_suppkey = npu"
     ),
+    "e9_pauses": _with(_PAUSES, tail="select event_id, engine, unhealthy::bigint as unhealthy from counted where step = 1 and unhealthy = 1"),
+    "w21_unbroken_histories": _with(_POLLS, tail="select host, series, coalesce(history, '') as history from (select host, series from runs where back = 1 and k = 1) left join held using (host, series)"),
     "e9_engine_table": _with(_ENGINES, tail="select engine, status from engines"),
     "e2_e10_verdicts": _with(
         _ENGINES,

@@ -5,8 +5,9 @@ from __future__ import annotations
 import uuid
 from datetime import date
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from auklet.operators.series import exposition
 
@@ -84,8 +85,45 @@ def global_snapshot(scores: DataFrame, health: DataFrame, key: str, intervals: d
     return docs.join(_listed(specs, [key], "system_specs"), key, "left")
 
 
+def _listed_folders(spark: SparkSession, folder: str) -> list:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [(fs, f.getPath()) for f in fs.listStatus(path)] if fs.exists(path) else []
+
+
+def versions(spark: SparkSession, folder: str, name: str = "version") -> list[int]:
+    """Numbers of the folders name=N that were written whole, ascending: Spark's writer marks a folder when all its files are there."""
+    whole = [at.getName() for fs, at in _listed_folders(spark, folder) if at.getName().startswith(f"{name}=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(at, "_SUCCESS"))]
+    return sorted(int(x.partition("=")[2]) for x in whole)
+
+
+def publish(df: DataFrame, folder: str, keep: int = 3) -> int:
+    """Writes JSON lines as the folder's next version, which readers (`published`) see at once when it is whole; the number of the version.
+
+    The newest `keep` versions stay for readers that have begun; older ones and parts that failed writers left go. One writer at a time.
+    """
+    spark = df.sparkSession
+    taken = [int(at.getName().partition("=")[2]) for _, at in _listed_folders(spark, folder) if at.getName().startswith("version=")]
+    number = max(taken, default=0) + 1
+    df.write.json(f"{folder}/version={number}")
+    whole = versions(spark, folder)
+    for fs, at in _listed_folders(spark, folder):
+        if at.getName().startswith("version=") and int(at.getName().partition("=")[2]) not in whole[-keep:]:
+            fs.delete(at, True)
+    return number
+
+
+def published(spark: SparkSession, folder: str, schema: StructType | str) -> DataFrame:
+    """The newest whole version; no rows before the first."""
+    known = versions(spark, folder)
+    return spark.read.schema(schema).json(f"{folder}/version={known[-1]}") if known else spark.createDataFrame([], schema)
+
+
 def replace(df: DataFrame, folder: str) -> None:
-    """Writes JSON lines beside the folder and then puts them in its place by two renames, so readers never see a part."""
+    """Writes JSON lines beside the folder and then puts them in its place by two renames, so readers never see a part.
+
+    Between the renames there is no folder; readers that mustn't meet that take `publish` and `published`.
+    """
     spark = df.sparkSession
     new, old = (f"{folder.rstrip('/')}.{x}-{uuid.uuid4().hex}" for x in ("new", "old"))
     df.write.json(new)
@@ -102,6 +140,24 @@ def write_snapshots(points: DataFrame, folder: str, history: DataFrame | None =
     replace(snapshots(points, history, specs), folder)
 
 
+def publish_snapshots(points: DataFrame, folder: str, history: DataFrame | None = None, specs: DataFrame | None = None) -> int:
+    """Publishes the documents as the folder's next version, for readers that go on meanwhile (`snapshots.published_snapshots`)."""
+    return publish(snapshots(points, history, specs), folder)
+
+
+def whole_nodes(scores: DataFrame, key: str, components: list[str]) -> DataFrame:
+    """(key): nodes of which every component has reported, whose global document can be made."""
+    wanted = F.array(*[F.lit(c) for c in sorted(set(components))])
+    return scores.where(F.col("component").isin(components)).groupBy(key).agg(F.array_sort(F.collect_set("component")).alias("c_")).where(F.col("c_") == wanted).select(key)
+
+
+def publish_global_snapshot(scores: DataFrame, health: DataFrame, key: str, folder: str, components: list[str], intervals: dict[str, float] | None = None, specs: DataFrame | None = None) -> int | None:
+    """Publishes the global documents of nodes of which all components have reported; nothing is published, and None given, while there is none."""
+    ready = whole_nodes(scores, key, components)
+    docs = global_snapshot(scores, health, key, intervals, specs).join(ready, key, "left_semi")
+    return None if docs.isEmpty() else publish(docs, folder)
+
+
 def write_exposition(points: DataFrame, folder: str, prefix: str = "node") -> None:
     """A scrape's lines in order, over as many files as the range needs; read in name order they are one text."""
     rows = exposition(points, prefix).repartitionByRange("first", "rank", "ord").sortWithinPartitions("first", "rank", "ord")

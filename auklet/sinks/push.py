@@ -27,6 +27,15 @@ def post(endpoint: str, body: str, timeout_s: float) -> bool:
         return False
 
 
+def attempts(endpoint: str, body: str, retries: int, backoff_s: float, timeout_s: float, send: Callable[[str, str, float], bool]) -> tuple[int, bool]:
+    """How often a body was sent, and whether it was taken; the k-th retry waits k * backoff_s."""
+    tries, ok = 0, False
+    while not ok and tries <= retries:
+        time.sleep(backoff_s * tries)
+        tries, ok = tries + 1, send(endpoint, body, timeout_s)
+    return tries, ok
+
+
 def pushed(pairs: DataFrame, retries: int = 3, backoff_s: float = 0.5, timeout_s: float = 30.0, send: Callable[[str, str, float], bool] = post) -> DataFrame:
     """(event_id, endpoint, attempts, delivered) of event rows with an endpoint; all other columns but it are the body.
 
@@ -37,11 +46,7 @@ def pushed(pairs: DataFrame, retries: int = 3, backoff_s: float = 0.5, timeout_s
         for f in frames:
             done = []
             for event, endpoint, body in f.itertuples(index=False, name=None):
-                tries, ok = 0, False
-                while not ok and tries <= retries:
-                    time.sleep(backoff_s * tries)
-                    tries, ok = tries + 1, send(endpoint, body, timeout_s)
-                done.append((event, endpoint, tries, ok))
+                done.append((event, endpoint, *attempts(endpoint, body, retries, backoff_s, timeout_s, send)))
             yield pd.DataFrame(done, columns=["event_id", "endpoint", "attempts", "delivered"])
 
     body = F.to_json(F.struct(*[F.col(c) for c in pairs.columns if c != "endpoint"]))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from datetime import date, timedelta
+from datetime import date, datetime, timedelta
+from zoneinfo import ZoneInfo
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +26,48 @@ def kpi_samples(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     return spark.read.schema(SCHEMA).option("mode", "DROPMALFORMED").option("ignoreMissingFiles", True).json(paths)
 
 
+def local_days(since: datetime, until: datetime, zone: str) -> tuple[date, date]:
+    """The first and the last day of a range of times, in a time zone; a range that runs backwards is turned round."""
+    first, last = sorted(t.astimezone(ZoneInfo(zone)).date() for t in (since, until))
+    return first, last
+
+
+def parsed_lines(lines: DataFrame) -> DataFrame:
+    """(file, ts, vals, cpu_avg, bad) of text lines (file, value): `bad` is the line if it isn't a sample, and then the rest is null.
+
+    A line is malformed if it is no JSON object or a field has another type; unknown and missing fields are fine, and so are blank lines, which give no row.
+    """
+    parsed = F.from_json("value", f"{SCHEMA}, bad_ string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "bad_"}).alias("s")
+    rows = lines.where(F.length(F.trim("value")) > 0).select("file", "value", parsed)
+    bad = F.col("s").isNull() | F.col("s.bad_").isNotNull()
+    good = lambda c: F.when(~bad, F.col(f"s.{c}")).alias(c)
+    return rows.select("file", good("ts"), good("vals"), good("cpu_avg"), F.when(bad, F.col("value")).alias("bad"))
+
+
+def kpi_lines(spark: SparkSession, folder: str, since: datetime, until: datetime, zone: str = "UTC", name: str = "straggler_kpi_{}.jsonl") -> DataFrame:
+    """parsed_lines of the files of the days from since to until, by the days of a time zone; days without a file are fine."""
+    paths = day_files(folder, *local_days(since, until, zone), name)
+    there = spark.read.option("ignoreMissingFiles", True)
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    known = [p for p in paths if hadoop(p).getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop(p))]
+    if not known:
+        return parsed_lines(spark.createDataFrame([], "file string, value string"))
+    return parsed_lines(there.text(known).select(F.col("_metadata.file_name").alias("file"), "value"))
+
+
+def scan_kpi_days(spark: SparkSession, folder: str, since: datetime, until: datetime, zone: str = "UTC", name: str = "straggler_kpi_{}.jsonl") -> tuple[DataFrame, DataFrame]:
+    """(samples, malformed): the samples (ts, vals, cpu_avg) of a range of days, and how many lines of each file (file, n) were left out.
+
+    A range without any sample is an error that names the folder and the days.
+    """
+    rows = kpi_lines(spark, folder, since, until, zone, name)
+    samples = rows.where("bad is null").select("ts", "vals", "cpu_avg")
+    if samples.isEmpty():
+        first, last = local_days(since, until, zone)
+        raise ValueError(f"no KPI samples in {folder} from {first} to {last}")
+    return samples, rows.where("bad is not null").groupBy("file").agg(F.count("*").alias("n"))
+
+
 def long_kpi(samples: DataFrame) -> DataFrame:
     """(ts_s, card, metric, value, ord): cards that are no whole numbers are dropped."""
     rows = samples.select(F.col("ts").alias("ts_s"), F.explode("vals").alias("card", "fields")).select("ts_s", F.col("card").try_cast("int").alias("card"), F.explode("fields").alias("metric", "value"))
