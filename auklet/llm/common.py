@@ -8,8 +8,10 @@ import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +20,17 @@ from pyspark.sql import functions as F
 SPACE_WORDS = r"[^\x20\x09-\x0D]+"
 
 
+#: Bytes of rows that a batch to or from Python holds: whole texts are long, and the JVM keeps several batches for each task.
+BATCH_BYTES = "8m"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Sets the session's bound of a batch to BATCH_BYTES; results don't depend on it."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -31,30 +43,44 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-#: Tables that stored() wrote and cleared() hasn't deleted yet.
-_WRITTEN: list[str] = []
+#: Tables that stored() wrote, by the scope that was open then; those of no scope come first, and cleared() deletes them.
+_WRITTEN: list[list[str]] = [[]]
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df, written to the shared folder and read back: lineage ends there, and a lost executor costs nothing.
 
-    The table outlives the call, because the returned frame is lazy; cleared() deletes it once results are written.
+    The table outlives the call, because the returned frame is lazy; `tables` deletes it when its scope ends, else cleared().
     """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _WRITTEN.append(path)
+    _WRITTEN[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def cleared(spark: SparkSession) -> int:
-    """Deletes all tables that this driver's operators have stored; returns how many. Frames that weren't written yet can't be computed any more."""
+def _deleted(spark: SparkSession, paths: list[str]) -> int:
     n = 0
-    while _WRITTEN:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+    while paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(paths.pop())
         n += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
     return n
 
 
+def cleared(spark: SparkSession) -> int:
+    """Deletes the tables that this driver's operators have stored outside any scope; returns how many. Frames that weren't written yet can't be computed any more."""
+    return _deleted(spark, _WRITTEN[0])
+
+
+@contextmanager
+def tables(spark: SparkSession) -> Iterator[None]:
+    """A scope whose end deletes the tables that operators have stored in it: write results before. Scopes may be nested, in one thread."""
+    _WRITTEN.append([])
+    try:
+        yield
+    finally:
+        _deleted(spark, _WRITTEN.pop())
+
+
 #: Rows of a few numbers that are broadcast at most (about 50 bytes each); more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -75,6 +101,7 @@ def released(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterat
     def whole(batches: Iterator) -> Iterator:
         yield from run(batches)
         gc.collect()
+        pa.default_memory_pool().release_unused()
         if sys.platform == "linux":
             ctypes.CDLL(None).malloc_trim(0)
 

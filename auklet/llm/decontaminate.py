@@ -3,7 +3,8 @@
 Each distinct word of the benchmark becomes one character, each window of words one pattern; a document becomes one
 string, with a character of its own for words that no item has, and is scanned once. An automaton of MAX_WORDS benchmark words
 takes about 100 MB in a task. A larger benchmark is cut into overlapping pieces of items, which are dealt to several
-automata; each scans all rows in a pass of its own, and only one batch of pieces is held by the driver and the workers at a time.
+automata; each scans all texts in a pass of its own and gives only its hits, by a key of the text; these are united and joined
+to the rows once, so texts are never written. Only one batch of pieces is held by the driver and the workers at a time.
 """
 
 from __future__ import annotations
@@ -11,13 +12,14 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auklet.llm.common import released, stored
+from auklet.llm.common import released, small, stored, text_key
 
 #: Benchmark words in one automaton.
 MAX_WORDS = 150_000
@@ -94,25 +96,51 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(at, PIECE)
 
 
-def _scan(items, size: int, first: bool, fields: pa.Schema):
+def _scan(items, size: int, fields: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(items.value, size)
         for batch in _pieces(batches):
-            texts = batch["text_"].to_pylist()
-            before = [(0, [], [])] * len(texts) if first else list(zip(batch["n_words"].to_pylist(), batch["ranges"].to_pylist(), batch["items"].to_pylist(), strict=True))
             counts, ranges, found = [], [], []
-            for text, (_, old_ranges, old_items) in zip(texts, before, strict=True):
+            for text in batch["text_"].to_pylist():
                 words = bench_words(text)
                 r, i = matcher.find(words)
                 counts.append(len(words))
-                ranges.append([{"start": a, "stop": b} for a, b in (merged([*r, *((x["start"], x["stop"]) for x in old_ranges)]) if old_ranges else r)])
-                found.append(sorted(i | set(old_items)))
+                ranges.append([{"start": a, "stop": b} for a, b in r])
+                found.append(sorted(i))
             arrays = [batch["row_"], batch["text_"], pa.array(counts, pa.int64()), pa.array(ranges, fields.field("ranges").type), pa.array(found, fields.field("items").type)]
             yield pa.RecordBatch.from_arrays(arrays, names=["row_", "text_", "n_words", "ranges", "items"])
 
     return run
 
 
+def _hits(items, size: int, fields: pa.Schema):
+    """(key_, ranges, items) of the texts (key_, text_) in which one automaton finds something."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = Matcher(items.value, size)
+        for batch in _pieces(batches):
+            got = [matcher.find(bench_words(text)) for text in batch["text_"].to_pylist()]
+            hit = pa.array([k for k, (r, _) in enumerate(got) if r], pa.int64())
+            ranges = [[{"start": a, "stop": b} for a, b in got[k][0]] for k in hit.to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch["key_"].take(hit), pa.array(ranges, fields.field("ranges").type), pa.array([sorted(got[k][1]) for k in hit.to_pylist()], fields.field("items").type)], names=["key_", "ranges", "items"])
+
+    return run
+
+
+def _united(fields: pa.Schema):
+    """Rows with what all automata found in their texts, as _scan gives it for one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _pieces(batches):
+            counts = [len(bench_words(text)) for text in batch["text_"].to_pylist()]
+            ranges = [merged([(x["start"], x["stop"]) for part in parts or () for x in part]) for parts in batch["ranges"].to_pylist()]
+            found = [sorted({x for part in parts or () for x in part}) for parts in batch["items"].to_pylist()]
+            arrays = [pa.array(counts, pa.int64()), pa.array([[{"start": a, "stop": b} for a, b in r] for r in ranges], fields.field("ranges").type), pa.array(found, fields.field("items").type)]
+            yield pa.RecordBatch.from_arrays([batch["row_"], batch["text_"], *arrays], names=["row_", "text_", "n_words", "ranges", "items"])
+
+    return run
+
+
 def _reported(with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,19 +188,30 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = 13,
     others = [F.col(f"`{c}`") for c in documents.columns if c != "text"]
     rows = documents.select((F.struct(*others) if others else F.struct(F.lit(None).cast("int").alias("none"))).alias("row_"), F.col("text").cast("string").alias("text_"))
     kind = rows.schema["row_"].dataType.simpleString()
-    state = f"row_ {kind}, text_ string, n_words long, ranges {_STATE}, items array<string>"
     fields = pa.schema([("ranges", pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))), ("items", pa.list_(pa.string()))])
     out = f"row_ {kind}, n_words long, n_hit long, n_items long, items_sha256 string, items array<string>, spans {_STATE}" + ", text_ string" * keep_text
     report = _reported(keep_text)
-    for k in range(batches):
+
+    def held(k: int):
         own = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(batches)) == k)
-        held = documents.sparkSession.sparkContext.broadcast([(r.item, r.text) for r in own.toLocalIterator()])  # max_words words or so
-        scan = _scan(held, window, k == 0, fields)
-        last = k == batches - 1  # the last scan reports in the same worker
-        rows = rows.mapInArrow(released((lambda found, scan=scan: report(scan(found))) if last else scan), out if last else state)
-        if not last:
-            rows = stored(rows, "scanned")
-            held.unpersist()
+        return documents.sparkSession.sparkContext.broadcast([(r.item, r.text) for r in own.toLocalIterator()])  # max_words words or so
+
+    if batches == 1:  # one automaton scans and reports in the same worker
+        scan = _scan(held(0), window, fields)
+        rows = rows.mapInArrow(released(lambda found: report(scan(found))), out)
+    else:
+        rows = rows.withColumn("key_", text_key("text_"))
+        hits = []
+        for k in range(batches):
+            shared = held(k)
+            found = rows.select("key_", "text_").mapInArrow(released(_hits(shared, window, fields)), f"key_ struct<a:bigint,b:bigint>, ranges {_STATE}, items array<string>")
+            hits.append(stored(found.groupBy("key_").agg(F.first("ranges").alias("ranges"), F.first("items").alias("items")), "hits"))  # equal texts have equal hits
+            shared.unpersist()
+        hits = reduce(DataFrame.union, hits).groupBy("key_").agg(F.collect_list("ranges").alias("ranges"), F.collect_list("items").alias("items"))  # an entry for each automaton
+        hits = stored(hits, "hits")
+        unite = _united(fields)
+        met = rows.join(small(hits)(hits), "key_", "left").select("row_", "text_", "ranges", "items")
+        rows = met.mapInArrow(released(lambda found: report(unite(found))), out)
     return rows.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words")))
 
 

@@ -111,11 +111,11 @@ def repeats(documents: DataFrame, min_words: int = MIN_WORDS, few: int = FEW_WOR
     """(ka, kb, spans): what to remove of each row that repeats something; spans are (start, stop, first_doc), in order."""
     kind = "doc long, ka long, kb long, place long, start int, size int, words int, again boolean, whole boolean, digest binary"
     found = _keyed(documents).mapInArrow(_units(few, lines), kind)
-    firsts = found.groupBy("digest").agg(F.min("doc").alias("first_doc"), F.max("doc").alias("last_doc"), F.max(F.col("doc").isNull()).alias("loose"))
-    firsts = firsts.where("first_doc < last_doc or (loose and first_doc is not null)")  # of null ids alone, or of one id, nothing goes
-    firsts = stored(firsts.select("digest", "first_doc"), "firsts").withColumn("met", F.lit(True))
-    later = F.col("again") | (F.col("met") & ~F.col("doc").eqNullSafe(F.col("first_doc")))
-    first = F.when(F.col("met"), F.col("first_doc")).otherwise(F.col("doc")).alias("first_doc")
+    own = F.struct(F.col("doc").isNull().alias("loose"), "doc", "ka", "kb")  # rows rank by doc_id, null last, and then by their keys
+    firsts = found.groupBy("digest").agg(F.min(own).alias("first"), F.max(own).alias("last")).where("first < last")
+    firsts = stored(firsts.select("digest", "first"), "firsts")
+    later = F.col("again") | (F.col("first").isNotNull() & (F.col("first") != own))
+    first = F.when(F.col("first").isNotNull(), F.col("first.doc")).otherwise(F.col("doc")).alias("first_doc")
     repeated = found.join(firsts, "digest", "left").where(later).select("ka", "kb", "place", "start", "size", "words", "whole", first).distinct()
     w = Window.partitionBy("ka", "kb").orderBy("place")
     repeated = repeated.withColumn("run", F.col("place") - F.row_number().over(w))
@@ -136,8 +136,9 @@ def line_report(documents: DataFrame, min_words: int = MIN_WORDS, few: int = FEW
 
     spans are what goes, as offsets (code points) in the original, each with the document that keeps it; repeats_of are
     those documents, sorted. The earliest doc_id keeps a passage, null ids come last; within a document the first
-    occurrence stays. Rows of one doc_id, or without one, keep what they share, each with spans by its own text. Null, empty
-    and wordless texts have nothing to remove. Other columns are ignored. An empty table gives an empty result.
+    occurrence stays. Of rows of one doc_id, or without one, that of the smallest hash of its text keeps what they share; rows
+    that agree in doc_id and text can't be told apart and keep it each. Spans are by a row's own text; first_doc is null where a row without doc_id
+    keeps the passage. Null, empty and wordless texts have nothing to remove. Other columns are ignored. An empty table gives an empty result.
 
     By default every repeated unit goes: min_words asks for runs of so many words, which whole lines needn't make while
     `lines` holds, and few leaves out units of fewer words.

@@ -27,7 +27,7 @@ RANKED = 64
 
 
 def targets(sizes: list[tuple[str | None, int]], weights: tuple[int, ...], share: float, most: float) -> dict[str | None, float]:
-    """Target of each source: its weight's part of share x all sizes, at most `most` times its size; the excess reshared by weight."""
+    """Target of each of a few sources: its weight's part of share x all sizes, at most `most` times its size; the excess reshared by weight."""
     names = sorted((s for s, _ in sizes if s is not None)) + [None] * any(s is None for s, _ in sizes)
     weight = {s: weights[k % len(weights)] for k, s in enumerate(names)}
     size = dict(sizes)
@@ -44,6 +44,39 @@ def targets(sizes: list[tuple[str | None, int]], weights: tuple[int, ...], share
     return out
 
 
+def numbered(rows: DataFrame, by: str) -> DataFrame:
+    """rows with `number`: their places from 0 in the order of `by`, null last. Ranges are sorted apart and their offsets added, so no task orders all."""
+    order = F.asc_nulls_last(by)
+    sorted_ = rows.repartitionByRange(order).sortWithinPartitions(order).withColumns({"range_": F.spark_partition_id(), "id_": F.monotonically_increasing_id()})
+    sorted_ = stored(sorted_, "ordered")
+    sizes = sorted_.groupBy("range_").agg(F.count("*").alias("n_"), F.min("id_").alias("first_"))  # a row for each range
+    offsets = sizes.select("range_", "first_", F.coalesce(F.sum("n_").over(Window.orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before_"))
+    return sorted_.join(F.broadcast(offsets), "range_").withColumn("number", F.col("id_") - F.col("first_") + F.col("before_")).drop("range_", "id_", "first_", "before_")
+
+
+def source_targets(words: DataFrame, weights: tuple[int, ...], share: float, most: float) -> DataFrame:
+    """(source_, target) of sources (source, source_, words) as `targets` gives them, for any number of sources.
+
+    A source is full once the words for a unit of weight pass most * words / weight. Each round sums what full ones take and what the others
+    weigh, which gives the next, larger unit; it ends when no more source fills up. Only these sums come to the driver.
+    """
+    rows = numbered(words, "source").withColumn("weight", F.element_at(F.array(*[F.lit(w) for w in weights]), (F.col("number") % len(weights) + 1).cast("int")))
+    rows = stored(rows.select("source_", "words", "weight"), "weighted")
+    whole = rows.agg(F.sum("words").alias("words"), F.sum("weight").alias("weight")).first()
+    if not whole.weight:
+        return rows.select("source_", F.lit(0.0).alias("target"))
+    left, full = share * whole.words, -1
+    unit = left / whole.weight
+    while True:
+        over = F.col("weight") * F.lit(unit) > most * F.col("words")
+        now = rows.agg(F.count_if(over).alias("full"), F.sum(F.when(over, F.col("words")).otherwise(0)).alias("taken"), F.sum(F.when(~over, F.col("weight")).otherwise(0)).alias("open")).first()
+        if now.full == full or not now.open:
+            break
+        full, unit = now.full, (left - most * now.taken) / now.open
+    target = F.least(F.col("weight") * F.lit(unit), most * F.col("words")) if now.open else most * F.col("words")
+    return rows.select("source_", target.cast("double").alias("target"))
+
+
 def reachable(lengths: list[int], counts: list[int], budget: int) -> list[int]:
     """How many of each length to take so that the sum is as near to budget as can be without passing it: bounded knapsack.
 
@@ -95,30 +128,26 @@ def fill(lengths: np.ndarray, counts: np.ndarray, budget: int, reach: int = REAC
     return take
 
 
-def _named(source: str | None) -> str:
-    """A key that is never null and apart for null and the empty source."""
-    return "" if source is None else f"={source}"
-
-
-def _planned(pdf: pd.DataFrame) -> pd.DataFrame:
+def _planned(pdf: pd.DataFrame, reach: int) -> pd.DataFrame:
     pdf = pdf.sort_values("size")
     lengths, counts = pdf["size"].to_numpy(np.int64), pdf["n"].to_numpy(np.int64)
     total, target = int((lengths * counts).sum()), float(pdf["target"].iloc[0])
     passes = int(target // total) if total else 0
-    extra = fill(lengths, counts, int(round(target - passes * total))) if total else np.zeros_like(counts)
+    extra = fill(lengths, counts, int(round(target - passes * total)), reach) if total else np.zeros_like(counts)
     if total and passes and (extra == counts).all():
         passes, extra = passes + 1, np.zeros_like(counts)
     return pd.DataFrame({"source_": pdf["source_"], "size": lengths, "n": counts, "source_size": total, "target": target, "passes": passes, "extra": extra})
 
 
-def mixture(documents: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 17) -> DataFrame:
+def mixture(documents: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 17, reach: int = REACH) -> DataFrame:
     """documents' columns and size, source_size, target, taken (words) and copies (times the document is taken).
 
     Sources weigh `weights` in turn by code point, null last, and share `share` times all words; no source's target passes
     `most` times its words, and no document is taken more than ceil(most) times. A null text has size 0 and takes no words;
     such documents have the copies of their source's whole passes. Repeated rows count each. Reruns agree, however rows are
     dealt: the seeded hash is of the whole row, so rows of one doc_id, or without one, differ by their other columns, and
-    where all columns are equal any row is the same choice. New columns replace documents' columns of the same name. An
+    where all columns are equal any row is the same choice. Of a source's budget the last `reach` words or so are fitted exactly, what is before them is
+    shared by all lengths; more takes longer and changes what is chosen, not how near a target is where lengths are mixed. New columns replace documents' columns of the same name. An
     empty table gives an empty result.
     """
     new = ("size", "source_size", "target", "taken", "copies")
@@ -132,11 +161,10 @@ def mixture(documents: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: f
     counted = stored(documents.select("source", *keys), "counted")
 
     hist = stored(counted.groupBy("source_", "size").agg(F.first("source").alias("source"), F.count("*").alias("n")), "lengths")
-    words = hist.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("words"))
-    wanted = targets([(r.source, r.words) for r in words.toLocalIterator()], weights, share, most)
-    goal = rows.sparkSession.createDataFrame([(_named(s), float(t)) for s, t in wanted.items()], "source_ string, target double")
+    words = hist.groupBy("source_").agg(F.first("source").alias("source"), F.sum(F.col("size") * F.col("n")).alias("words"))
+    goal = source_targets(words, weights, share, most)
     plan_schema = "source_ string, size long, n long, source_size long, target double, passes long, extra long"
-    plan = stored(hist.join(goal, "source_").select("source_", "size", "n", "target").groupBy("source_").applyInPandas(_planned, plan_schema), "plan")
+    plan = stored(hist.join(goal, "source_").select("source_", "size", "n", "target").groupBy("source_").applyInPandas(lambda pdf: _planned(pdf, reach), plan_schema), "plan")
 
     # documents of a length, in the order of their slots, are counted in parts of about RANKED rows; each part knows how many of its rows are still to take
     part = F.floor(F.col("slot_") * F.ceil(F.col("n") / RANKED)).alias("part_")

@@ -24,8 +24,8 @@ from auklet.llm.url_filter import url_verdicts
 
 #: Bytes of text in a shard of op6's query.
 SHARD_BYTES = 1 << 20
-#: op9's query: whole repeated lines from 3 words on, and runs of repeated sentences of 25 words; shorter common sentences are in most clean documents.
-LINES = {"min_words": 25, "few": 3}
+#: op9's query: every repeated line goes; inside lines that don't repeat, runs of repeated sentences of 25 words, as shorter ones are in most clean documents.
+LINES = {"min_words": 25}
 URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
 
 

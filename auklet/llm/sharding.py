@@ -73,10 +73,16 @@ def shards(documents: DataFrame, limit: int = 128 << 20, key: str = "doc_id") ->
 def _paged(rows: DataFrame, names: list[str], limit: int) -> DataFrame:
     """Rows of buckets that no hash bit can split, on pages: each takes rows of one chunk up to the limit.
 
-    Rows are dealt to chunks by their content and a random number that is fixed by seed, so that no chunk is unbounded;
-    within a chunk, a page ends where half the limit is passed, and rows of over half the limit have a page of their own.
+    Rows are dealt to chunks by a hash of their content and of their number among rows that are equal, so that no chunk is
+    unbounded and reruns give the same pages however rows are dealt to tasks; within a chunk, a page ends where half the limit is passed, and rows of over half the limit have a page of their own.
     """
-    rows = stored(rows.withColumn("deal_", F.rand(11)), "paged")
+    hashed = [F.col(f"`{c}`") for c, kind in rows.dtypes if not any(x in kind for x in ("map<", "variant"))]  # kinds that have no hash
+    rows = stored(rows.withColumns({"same_": F.xxhash64(*hashed), "task_": F.spark_partition_id()}), "paged")
+    counts = rows.groupBy("bucket", "same_", "task_").agg(F.count("*").alias("n_"))  # equal rows are numbered within tasks, after those of the tasks before
+    before = Window.partitionBy("bucket", "same_").orderBy("task_").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.join(counts.select("bucket", "same_", "task_", F.coalesce(F.sum("n_").over(before), F.lit(0)).alias("before_")), ["bucket", "same_", "task_"])
+    number = F.col("before_") + F.row_number().over(Window.partitionBy("bucket", "same_", "task_").orderBy("row_bytes"))
+    rows = rows.withColumn("deal_", F.xxhash64(F.lit(11), "same_", number).bitwiseAND((1 << 52) - 1) / float(1 << 52)).drop("same_", "task_", "before_")
     sizes = rows.groupBy("bucket").agg((F.ceil(F.sum("row_bytes") / limit) + F.floor(F.count("*") / 10_000)).alias("chunks_"))
     rows = rows.join(sizes, "bucket").withColumn("chunk_", F.floor(F.col("deal_") * F.greatest("chunks_", F.lit(1))))
     big = F.col("row_bytes") * 2 > limit

@@ -131,3 +131,17 @@ def test_scripts_without_spaces(spark):
     docs = [(1, "\u65b0\u7684\u5f00\u5934\u3002" + passage), (2, "\u53e6\u4e00\u4e2a\u5f00\u5934\u3002" + passage + "\u7ed3\u5c3e\u4e0d\u540c\u3002")]
     got = {r.doc_id: [tuple(s) for s in r.spans] for r in line_report(spark.createDataFrame(docs, SCHEMA)).collect()}
     assert got == {1: [], 2: [(6, 6 + len(passage), 1)]}
+
+
+def test_rows_without_or_of_one_doc_id_rank_by_their_text(spark):
+    """Of rows that share a passage one keeps it, also if none has a doc_id or all have the same; short lines go as long ones do."""
+    passage = "A line that four rows without an id share with each other"
+    for ids in ([None] * 4, [7] * 4):
+        rows = [(d, f"own words {k}\n{passage}\nmore {k}") for k, d in enumerate(ids)]
+        got = line_report(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()
+        assert sorted(r.n_spans for r in got) == [0, 1, 1, 1] and all(r.repeats_of == ([] if ids[0] is None else [7]) for r in got if r.n_spans)
+        left = [r.text for r in without_repeats(spark.createDataFrame(rows, SCHEMA)).collect()]
+        assert sum(passage in t for t in left) == 1
+    rows = [(k, f"fresh {k} text{k}\n{line}") for k, line in enumerate(["yes."] * 4 + ["one two."] * 4)]
+    got = {r.doc_id: r.n_spans for r in line_report(spark.createDataFrame(rows, SCHEMA), min_words=25).collect()}
+    assert got == {0: 0, 1: 1, 2: 1, 3: 1, 4: 0, 5: 1, 6: 1, 7: 1}

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from auklet.llm.mixing import fill, mixed_rows, mixture, reachable, targets
+from auklet.llm.mixing import fill, mixed_rows, mixture, numbered, reachable, source_targets, targets
 
 SCHEMA = "doc_id long, text string, source string"
 
@@ -76,3 +76,22 @@ def test_reruns_agree_for_one_doc_id_and_for_none(spark):
     df = spark.createDataFrame(rows, SCHEMA + ", extra int")
     runs = [sorted(map(repr, mixed_rows(x).collect())) for x in (df, df.repartition(7), df.orderBy(F.desc("extra")).repartition(3, "text"))]
     assert runs[0] == runs[1] == runs[2] and len(runs[0]) > 900
+
+
+def test_targets_of_many_sources_equal_those_at_one_place(spark):
+    rng = random.Random(9)
+    for n in (1, 2, 7, 400):
+        sizes = [(f"s{rng.randrange(10**6)}" if k else None, rng.choice((0, 1, 5, 100, 10_000))) for k in range(n)]
+        sizes = list(dict(sizes).items())
+        rows = spark.createDataFrame([(s, "" if s is None else f"={s}", w) for s, w in sizes], "source string, source_ string, words long").repartition(5)
+        for weights, share, most in (((5, 2, 1), 1.5, 2.0), ((1,), 2.0, 2.0), ((3, 1), 0.2, 1.0)):
+            got = {r.source_: r.target for r in source_targets(rows, weights, share, most).collect()}
+            want = targets(sizes, weights, share, most)
+            assert got == pytest.approx({"" if s is None else f"={s}": float(t) for s, t in want.items()})
+    assert source_targets(rows.limit(0), (1,), 1.5, 2.0).count() == 0
+
+
+def test_numbers_follow_code_points_with_null_last(spark):
+    names = ["b", "a", "É", "Z", "", None, "ab", "日"]
+    got = numbered(spark.createDataFrame([(x,) for x in names], "source string").repartition(6), "source").collect()
+    assert [r.source for r in sorted(got, key=lambda r: r.number)] == [*sorted(x for x in names if x is not None), None]

@@ -1,7 +1,8 @@
+import os
 from collections import Counter, defaultdict
 
 import corpus_pipeline
-from auklet.llm.common import cleared, stored, table
+from auklet.llm.common import cleared, stored, table, tables
 from auklet.llm.mixing import mixture
 from auklet.llm.near_dedup import one_of_each_group
 from tests.llm.test_decontaminate import brute as contaminated
@@ -63,3 +64,15 @@ def test_stored_tables_go(spark):
     before = cleared(spark)
     kept = stored(spark.range(5), "five")
     assert kept.count() == 5 and before >= 0 and cleared(spark) == 1 and cleared(spark) == 0
+
+
+def test_scopes_delete_their_own_tables(spark):
+    outer = stored(spark.range(3), "outer")
+    with tables(spark):
+        inner = stored(spark.range(4), "inner")
+        with tables(spark):
+            assert stored(spark.range(5), "deep").count() == 5
+        assert inner.count() == 4
+        files = [f.removeprefix("file://") for f in inner.inputFiles()]
+        assert files and all(map(os.path.exists, files))
+    assert not any(map(os.path.exists, files)) and outer.count() == 3 and cleared(spark) >= 1

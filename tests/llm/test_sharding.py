@@ -34,3 +34,10 @@ def test_hot_key_large_rows_nulls_and_clashing_names(spark):
 
 def test_empty(spark):
     assert shards(spark.createDataFrame([], SCHEMA), limit=10).count() == 0
+
+
+def test_pages_dont_depend_on_how_rows_are_dealt(spark):
+    docs = [(7, f"text {k % 90}") for k in range(2000)] + [(8, "short")]
+    df = spark.createDataFrame(docs, SCHEMA)
+    runs = [Counter((r.doc_id, r.text, r.shard) for r in shards(df.repartition(n), limit=600).collect()) for n in (3, 11)]
+    assert runs[0] == runs[1] and len({s for d, _, s in runs[0] if d == 7}) > 20
