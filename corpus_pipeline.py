@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from auklet.llm.common import stored, table
+from auklet.llm.common import bounded_batches, stored, table
 from auklet.llm.decontaminate import decontaminate
 from auklet.llm.mixing import mixed_rows
 from auklet.llm.near_dedup import one_of_each_group
@@ -21,6 +21,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: five words, similarity of 0.8 or more."""
+    bounded_batches(spark)
     return one_of_each_group(docs)
 
 
@@ -31,11 +32,13 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows of documents as often as the mixture of sources takes them."""
+    bounded_batches(spark)
     return mixed_rows(docs)
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with the shard that each is written to."""
+    bounded_batches(spark)
     return shards(docs, limit=SHARD_BYTES)
 
 
@@ -46,6 +49,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows; each stage before it is written once. A scope of common.tables around it deletes these tables when results are written."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name)
