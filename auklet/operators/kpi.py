@@ -24,22 +24,22 @@ METRICS = [
     ("roce_out_of_order", "communication", "absolute", True),
     ("roce_new_pkt_rty", "communication", "absolute", True),
 ]
-# Fixed values: (rule, cause, confidence, suggestion); {n} is the number of abnormal metrics
+# Rules, causes and confidences. Suggestions are this library's own; {n} is the number of abnormal metrics
 CAUSES = [
-    ("hot and slow", "thermal_throttle", "high", "热降频。检查风扇转速/风道堵塞/机房环境温度"),
-    ("hot and drawing", "cooling_insufficient", "high", "散热能力不足。检查散热器接触/硅脂老化/风扇故障"),
-    ("slow", "forced_downclock", "medium", "强制降频（非热）。检查驱动/固件的频率策略配置"),
-    ("idle", "straggler", "high", "Straggler（卡空闲等待）。该卡可能在等通信/等数据，建议触发Profiling精查"),
-    ("less used", "load_imbalance", "medium", "计算负载不均。检查数据分发策略/模型并行切分是否均衡"),
-    ("memory", "mem_bottleneck", "low", "内存带宽瓶颈。检查HBM访问模式/是否有大量cache miss"),
-    ("hot alone", "temp_sensor_fault", "medium", "温度传感器漂移。交叉验证功率数据（真发热必伴随功率↑）"),
-    ("power alone", "unknown", "low", "单项功耗偏高。交叉验证：功率↑应伴随温度↑，否则可能是计量误差"),
-    ("compute", "unknown", "medium", "计算类异常（{n}个指标），但无法精确定界，建议人工分析"),
-    ("errors", "network_link_issue", "high", "网络物理链路故障。检查光模块/光纤/交换机端口CRC错误"),
-    ("pauses", "network_congestion", "high", "网络拥塞（PFC风暴）。检查交换机PFC配置/队列buffer/ECN标记"),
-    ("disorder", "network_packet_loss", "high", "RoCE网络丢包乱序。检查RoCE路径ECN配置/DCQCN参数"),
-    ("bandwidth", "bandwidth_limited", "medium", "通信带宽受限。检查网卡协商速率/PCIe带宽/光模块型号"),
-    ("communication", "unknown", "low", "通信类异常，但无法精确定界，建议人工分析"),
+    ("hot and slow", "thermal_throttle", "high", "The card slows down because it is hot: see to its fans, the air path and the room."),
+    ("hot and drawing", "cooling_insufficient", "high", "Heat isn't carried off: look at the heat sink, its paste and the fans."),
+    ("slow", "forced_downclock", "medium", "The clock is held down though the card is cool: compare driver and firmware settings with other cards."),
+    ("idle", "straggler", "high", "The card waits for data or for its peers: profile the job to see which."),
+    ("less used", "load_imbalance", "medium", "The card gets a share of work unlike the others': look at how data and model are split."),
+    ("memory", "mem_bottleneck", "low", "Only its memory is used unlike the others': look at access patterns and cache misses."),
+    ("hot alone", "temp_sensor_fault", "medium", "Hot without drawing more power: the sensor may be off, so compare it with another one."),
+    ("power alone", "unknown", "low", "More power without heat or work: the meter may be off."),
+    ("compute", "unknown", "medium", "{n} metrics of the card's work are abnormal, but no rule fits them: look at them together."),
+    ("errors", "network_link_issue", "high", "Packets are damaged on the way: check module, fibre and the switch port's error counts."),
+    ("pauses", "network_congestion", "high", "The network holds the card's traffic up: check flow control, queues and marking on the switch."),
+    ("disorder", "network_packet_loss", "high", "Packets are lost and come out of order: check congestion settings along the path."),
+    ("bandwidth", "bandwidth_limited", "medium", "The card sends at another rate than its peers: check link speed, the bus and the module."),
+    ("communication", "unknown", "low", "Its traffic is abnormal, but no rule fits: look at the counters together."),
 ]
 COUNTERS = [m for m, _, _, counter in METRICS if counter]
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from auklet.operators import aggregates as A
 from auklet.operators import kpi as K
-from auklet.plans.views import KPI_SQL, RANKS_SQL, SPANS_SQL, kpi, rank_metric, spans, table
+from auklet.plans.views import KPI_ALL_SQL, KPI_SQL, RANKS_SQL, SPANS_SQL, kpi, kpi_all, rank_metric, spans, table
 
 DAY = 86_400
 SETTINGS = K.Settings(bucket_s=DAY, detect_s=7 * DAY, trend_r2=0.05)
@@ -37,6 +37,10 @@ def flagship(spark, sf):
     return rounded(K.ranked(summary(spark, sf)))
 
 
+def split_all(spark, sf):
+    return K.windows(K.minute_table(kpi_all(spark, sf), SETTINGS), SETTINGS)
+
+
 QUERIES = {
     "a1_daily_trimmed_mean": lambda s, d: rounded(minute(s, d)),
     "a2_midmean": lambda s, d: rounded(A.midmean(kpi(s, d), ["card", "metric"])),
@@ -58,29 +62,33 @@ QUERIES = {
     "dk3_trend_findings": lambda s, d: rounded(K.trends(split(s, d), SETTINGS).withColumn("slope", F.col("slope") * DAY), 4),
     "dk1_card_summaries": flagship,
     "a19_summary_counts": lambda s, d: K.counts(summary(s, d)),
+    "w10_all_space_points": lambda s, d: rounded(K.space_points(split_all(s, d).where("detect"), s, SETTINGS)),
+    "dk4_dk5_all_causes": lambda s, d: rounded(K.summaries(K.details(split_all(s, d), s, SETTINGS))),
     "dk7_correlation": lambda s, d: K.correlation(summary(s, d)),
     "dk8_gate": lambda s, d: K.gate(summary(s, d)),
     "k12_straggler_events": lambda s, d: K.events(summary(s, d)),
 }
 
-_MINUTE = """
+_COUNTERS = "('" + "', '".join(K.COUNTERS) + "')"
+_MINUTE = f"""
 mm as (select ts_s // 86400 * 86400 as bucket, card, metric, value, ts_s, ord, row_number() over (partition by ts_s // 86400, card, metric order by value) as k,
     count(*) over (partition by ts_s // 86400, card, metric) as n from kpi),
 minute as (
     select bucket, card, metric, avg(value) filter (n < 4 or k between greatest(1, floor(n * 0.25)) + 1 and n - greatest(1, floor(n * 0.25))) as value
-    from mm where metric <> 'roce_tx_err_pkt' group by 1, 2, 3
+    from mm where not metric in {_COUNTERS} group by 1, 2, 3
     union all
     select bucket, card, metric, case when count(*) < 2 then 0.0 else arg_max(value, (ts_s, ord)) - arg_min(value, (ts_s, ord)) end
-    from mm where metric = 'roce_tx_err_pkt' group by 1, 2, 3),
+    from mm where metric in {_COUNTERS} group by 1, 2, 3),
 split as (select *, bucket >= (select max(bucket) from minute) - 7 * 86400 as detect from minute)"""
-_SPACE = """
-points0 as (select bucket, card, metric, value, metric = 'roce_tx_err_pkt' as absolute, count(*) over w as n, avg(value) over w as m, stddev_samp(value) over w as sd
+_SPACE = f"""
+points0 as (select bucket, card, metric, value, case when metric in {_COUNTERS} then 'absolute' when metric = 'aicore_freq' then 'direct' else 'zscore' end as method,
+    count(*) over w as n, avg(value) over w as m, stddev_samp(value) over w as sd, min(value) over (w rows between unbounded preceding and unbounded following exclude current row) as others
     from split where detect window w as (partition by bucket, metric)),
-points as (select bucket, card, metric, value, case when absolute then case when value > 0 then 999.0 else 0.0 end
-    when n >= 2 and sd > 0 then abs(value - m) / sd else 0.0 end as score from points0),
-space as (select card, metric, case when metric = 'roce_tx_err_pkt' then avg(case when score >= 999 then 1.0 else 0.0 end) else avg(score) end as space_score,
-    case when metric = 'roce_tx_err_pkt' then avg(case when score >= 999 then 1.0 else 0.0 end) > 0.5 else avg(score) > 1.3 end as space_abnormal
-    from points group by card, metric)"""
+points as (select bucket, card, metric, method, value, case method when 'absolute' then case when value > 0 then 999.0 else 0.0 end when 'direct' then case when value < others then 999.0 else 0.0 end
+    else case when n >= 2 and sd > 0 then abs(value - m) / sd else 0.0 end end as score from points0),
+space as (select card, metric, case when method = 'zscore' then avg(score) else avg(case when score >= 999 then 1.0 else 0.0 end) end as space_score,
+    case when method = 'zscore' then avg(score) > 1.3 else avg(case when score >= 999 then 1.0 else 0.0 end) > 0.5 end as space_abnormal
+    from points group by card, metric, method)"""
 _TIME = """
 base as (select card, metric, count(value) as n, avg(value) as mean, coalesce(stddev_samp(value), 0) as std from split where not detect group by 1, 2),
 now as (select card, metric, avg(value) as current from split where detect group by 1, 2),
@@ -98,7 +106,7 @@ detail0 as (select card, metric, category, o, coalesce(space_score, 0.0) as spac
 detail as (select *, 0.6 * time_score + 0.4 * space_score as fusion_score,
     case when space_abnormal and time_abnormal then 'confirmed_anomaly' when space_abnormal then 'individual_variance' when time_abnormal then 'early_degradation' else 'normal' end as quadrant from detail0)"""
 )
-_CAUSES = "causes as (select * from (values " + ", ".join(f"('{r}', '{c}', '{k}', '{t}')" for r, c, k, t in K.CAUSES) + ") as t(rule, cause, confidence, suggestion))"
+_CAUSES = "causes as (select * from (values " + ", ".join("('" + "', '".join(x.replace("'", "''") for x in row) + "')" for row in K.CAUSES) + ") as t(rule, cause, confidence, suggestion))"
 _SUMMARY = (
     _CAUSES
     + """,
@@ -112,13 +120,14 @@ summed as (
         coalesce(min(case quadrant when 'confirmed_anomaly' then 0 when 'early_degradation' then 1 when 'individual_variance' then 2 else 3 end) filter (bad and (category = 'compute' or not comp)), 3) as qo,
         coalesce(avg(fusion_score) filter (bad and (category = 'compute' or not comp)), 0.0) as composite,
         bool_or(bad and metric = 'temp') as t, bool_or(bad and metric = 'power') as p, bool_or(bad and metric = 'aicore_freq') as f,
-        bool_or(bad and metric = 'aicore_util') as u, bool_or(bad and metric = 'hbm_util') as h, bool_or(bad and metric = 'roce_tx_err_pkt') as e
+        bool_or(bad and metric = 'aicore_util') as u, bool_or(bad and metric = 'hbm_util') as h, bool_or(bad and metric = 'roce_tx_err_pkt') as e,
+        bool_or(bad and metric = 'rx_pfc_pkt') as pfc, bool_or(bad and metric = 'roce_out_of_order') as ooo, bool_or(bad and metric = 'roce_new_pkt_rty') as rty, bool_or(bad and metric = 'tx_bandwidth') as tx
     from flagged group by card),
 ruled as (
     select *, case when qo = 3 then null when comp then case when t and f then 'hot and slow' when t and p then 'hot and drawing' when f then 'slow'
             when p and u and h then 'idle' when u and not h then 'less used' when h and not u then 'memory' when t and not p then 'hot alone'
             when p and not t and not f and not u and not h then 'power alone' else 'compute' end
-        else case when e then 'errors' else 'communication' end end as rule from summed),
+        else case when e then 'errors' when pfc then 'pauses' when ooo and rty then 'disorder' when tx and not u then 'bandwidth' else 'communication' end end as rule from summed),
 summary as (
     select card, case when comp then 'compute' when anybad then 'communication' else 'none' end as category,
         case qo when 0 then 'confirmed_anomaly' when 1 then 'early_degradation' when 2 then 'individual_variance' else 'normal' end as quadrant, composite,
@@ -182,6 +191,8 @@ select l_suppkey, cast(round(avg(duration)) as bigint) as duration, cast(round(a
     "dk3_trend_findings": _with(*_BASE, tail=f"select * from ({_TREND}) where n >= 10 and r2 >= 0.05 and slope <> 0"),
     "dk1_card_summaries": _with(*_ALL, tail="select card, category, quadrant, round(composite, 6) as composite, severity, abnormal, secondary, cause, confidence, suggestion, evidence from summary"),
     "a19_summary_counts": _with(*_ALL, tail="select count(*) as cards, " + ", ".join(f"count(*) filter (quadrant = '{q}') as {q}" for q in ("confirmed_anomaly", "early_degradation", "individual_variance", "normal")) + " from summary"),
+    "w10_all_space_points": _with(KPI_ALL_SQL, _MINUTE, _SPACE, tail="select bucket, card, metric, method, round(value, 6) as value, round(score, 6) as score from points"),
+    "dk4_dk5_all_causes": _with(KPI_ALL_SQL, *_ALL[1:], tail="select card, category, quadrant, round(composite, 6) as composite, severity, abnormal, secondary, cause, confidence, suggestion, evidence from summary"),
     "dk7_correlation": _with(
         *_ALL,
         "c as (select count(*) filter (quadrant = 'confirmed_anomaly') as n, count(*) as total, coalesce(string_agg(card::varchar, ',' order by card) filter (quadrant = 'confirmed_anomaly'), '') as cards from summary)",

@@ -37,6 +37,37 @@ kpi as (select ts_s, card, metric, ord, case when metric = 'roce_tx_err_pkt' the
     over (partition by card, metric order by ts_s, ord rows unbounded preceding) as double) else value end as value from kpi0)"""
 
 
+#: What goes wrong with a card in the last days, by its number modulo the length: from nothing to what each rule of root causes looks for.
+PROFILES = [
+    (), ("temp", "aicore_freq"), ("temp", "power"), ("aicore_freq",), ("power", "aicore_util", "hbm_util"), ("aicore_util",), ("hbm_util",), ("temp",), ("power",), ("aicore_util", "hbm_util"),
+    ("roce_tx_err_pkt",), ("rx_pfc_pkt",), ("roce_out_of_order", "roce_new_pkt_rty"), ("tx_bandwidth",), ("roce_out_of_order",), ("temp", "rx_pfc_pkt"),
+]
+ALL_METRICS = ["temp", "power", "aicore_freq", "aicore_util", "hbm_util", "tx_bandwidth", "rx_pfc_pkt", "roce_tx_err_pkt", "roce_out_of_order", "roce_new_pkt_rty"]
+_AILING = [(p, m) for p, metrics in enumerate(PROFILES) for m in metrics]
+
+
+def kpi_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(ts_s, card, metric, value, ord): samples of all ten metrics of 48 cards over 30 days, each line item one; in the last eight days cards ail as PROFILES says."""
+    metrics = F.array(*[F.lit(m) for m in ALL_METRICS])
+    e = table(spark, sf_dir, "lineitem").withColumn("ord", F.col("l_orderkey") * 7 + F.col("l_linenumber")).withColumn("cell", F.col("ord") * 7919 % 14_400)
+    e = e.withColumns({"metric": F.element_at(metrics, (F.col("cell") % 10 + 1).cast("int")), "card": (F.floor(F.col("cell") / 10) % 48).cast("int"), "day": F.floor(F.col("cell") / 480), "second": F.col("ord") * 37 % 86_400})
+    ailing = spark.createDataFrame(_AILING, "profile int, metric string").withColumn("ails_", F.lit(True))  # a fixed list
+    e = e.withColumn("profile", F.col("card") % len(PROFILES)).join(F.broadcast(ailing), ["profile", "metric"], "left").withColumn("ails", F.coalesce("ails_", F.lit(False)) & (F.col("day") >= 22))
+    gauge = 50 + F.col("l_quantity") / 25 + F.when(F.col("ails"), F.when(F.col("metric") == "aicore_freq", -30.0).otherwise(40.0)).otherwise(0.0)
+    count = F.lit(1000.0) + F.when(F.col("ails"), F.col("second").cast("double")).otherwise(0.0)
+    value = F.when(F.col("cell") % 10 >= 6, count).otherwise(gauge)
+    return e.select((F.col("day") * 86_400 + F.col("second")).alias("ts_s"), "card", "metric", value.alias("value"), "ord")
+
+
+KPI_ALL_SQL = f"""
+cells as (select l_orderkey * 7 + l_linenumber as ord, (l_orderkey * 7 + l_linenumber) * 7919 % 14400 as cell, l_quantity from lineitem),
+samples as (select ord, l_quantity, cell % 10 as k, {ALL_METRICS!r}[cell % 10 + 1] as metric, cast(cell // 10 % 48 as int) as card, cell // 480 as day, ord * 37 % 86400 as second from cells),
+ailing as (select * from (values {", ".join(f"({p}, '{m}')" for p, m in _AILING)}) as t(profile, metric)),
+judged as (select samples.*, ailing.metric is not null and day >= 22 as ails from samples left join ailing on ailing.profile = card % {len(PROFILES)} and ailing.metric = samples.metric),
+kpi as (select day * 86400 + second as ts_s, card, metric, ord, case when k >= 6 then 1000.0 + case when ails then second else 0 end
+    else 50 + l_quantity / 25 + case when not ails then 0.0 when metric = 'aicore_freq' then -30.0 else 40.0 end end::double as value from judged)"""
+
+
 def states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(npu, batch, active): each user's events in order; an error is an active fault."""
     e = table(spark, sf_dir, "events")
