@@ -62,6 +62,20 @@ def duration_text(ns: Column) -> Column:
     )
 
 
+def seconds_of_jiffies(jiffies: Column, per_second: int = 100) -> Column:
+    return jiffies / per_second
+
+
+def mb_of_sectors(sectors: Column) -> Column:
+    """Sectors of 512 bytes in MB."""
+    return sectors * 512 / (1 << 20)
+
+
+def in_unit(ns: Column, unit: str) -> Column:
+    """Nanoseconds in ns, us, ms or s."""
+    return ns / {"ns": 1, "us": 1_000, "ms": 1_000_000, "s": 1_000_000_000}[unit]
+
+
 def bar(value: Column, most: Column, width: int = 40) -> Column:
     return F.when(most > 0, F.expr("repeat('#', 0)")).otherwise("") if width < 1 else F.when(most > 0, F.repeat(F.lit("#"), F.round(value / most * width).cast("int"))).otherwise("")
 

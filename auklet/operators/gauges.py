@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from auklet.functions.scalars import percent, trunc_round
+from auklet.functions.scalars import mb_of_sectors, percent, trunc_round
 
 _NONE = "map<string,string>"
 
@@ -50,6 +50,55 @@ def disk_space(mounts: DataFrame, keys: list[str]) -> DataFrame:
     return points(mounts, keys, "disk", ("space_usage", usage, "%", _labels(**lab)), *sizes)
 
 
+def disk_rates(counters: DataFrame, keys: list[str], order: str, seconds: float | None = None) -> DataFrame:
+    """(keys, order and a point's columns): operations and MB a second by direction, and ms of waiting a second, of devices since their sample before.
+
+    counters are (keys, device, order, reads, sectors_read, ms_read, writes, sectors_written, ms_written); order is in seconds, unless a fixed
+    interval is given. A device's first sample and one at the same time as the sample before give no points; a counter that fell counts as no increase.
+    """
+    w = Window.partitionBy(*keys, "device").orderBy(order)
+    fields = ("reads", "sectors_read", "ms_read", "writes", "sectors_written", "ms_written")
+    gap = F.lit(float(seconds)) if seconds else (F.col(order) - F.lag(order).over(w)).cast("double")
+    rows = counters.withColumns({"gap_": F.when(F.lag(order).over(w).isNotNull(), gap), **{f"d_{f}": F.greatest(F.lit(0), F.col(f) - F.lag(f).over(w)) for f in fields}}).where("gap_ > 0")
+    each = lambda f, places, of=lambda c: c: trunc_round(of(F.col(f"d_{f}")) / F.col("gap_"), places)
+    lab = lambda **more: _labels(device=F.col("device"), **more)
+    return points(
+        rows, [*keys, order], "disk",
+        ("iops", each("reads", 0), "1/s", lab(direction="read")),
+        ("iops", each("writes", 0), "1/s", lab(direction="write")),
+        ("throughput", each("sectors_read", 2, mb_of_sectors), "MB/s", lab(direction="read")),
+        ("throughput", each("sectors_written", 2, mb_of_sectors), "MB/s", lab(direction="write")),
+        ("read_latency", each("ms_read", 2), "ms/s", lab()),
+        ("write_latency", each("ms_written", 2), "ms/s", lab()),
+    )
+
+
+def core_states(lists: DataFrame, keys: list[str]) -> DataFrame:
+    """How many cores are online, offline and isolated, from the lists (keys, kind, n) of each; a list that wasn't read counts as empty."""
+    wide = lists.groupBy(*keys).agg(*[F.coalesce(F.max(F.when(F.col("kind") == k, F.col("n"))), F.lit(0)).alias(k) for k in ("online", "offline", "isolated")])
+    return points(wide, keys, "cpu", *[(f"{k}_core_num", F.col(k), "", _labels()) for k in ("online", "offline", "isolated")])
+
+
+def frequency_range(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The least and the greatest MHz of the hardware, from (keys, min_khz, max_khz); both are needed."""
+    both = rows.where("min_khz is not null and max_khz is not null")
+    return points(both, keys, "cpu", *[(f"{k}_freq", trunc_round(F.col(f"{k}_khz") / 1000.0, 0), "MHz", _labels()) for k in ("min", "max")])
+
+
+def caches(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Sizes in KB of the first core's caches (keys, level, type, kb): the two of level 1, levels 2 and 3; others give no point."""
+    level, kind = F.col("level"), F.col("type")
+    name = F.when((level == 1) & (kind == "Data"), "l1d").when((level == 1) & (kind == "Instruction"), "l1i").when(level.isin(2, 3), F.concat(F.lit("l"), level.cast("string")))
+    made = rows.withColumn("name_", name).where("name_ is not null")
+    return points(made, [*keys, "name_"], "cpu", ("", F.col("kb"), "KB", _labels(core="0"))).withColumn("name", F.concat("name_", F.lit("_cache_size"))).drop("name_")
+
+
+def model(info: DataFrame, keys: list[str]) -> DataFrame:
+    """The processor's model and cache as labels of its core count, from (keys, model, cores, cache)."""
+    empty = lambda c: F.coalesce(F.col(c), F.lit(""))
+    return points(info, keys, "cpu", ("model_info", F.coalesce("cores", F.lit(0)), "cores", _labels(model_name=empty("model"), cache_size=empty("cache"))))
+
+
 def gpus(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Nine points of each device (keys, gpu and the fields that the probe parser gives)."""
     two, gpu = lambda c: trunc_round(F.col(c), 2), F.col("gpu")
@@ -97,6 +146,41 @@ def device_values(wide: DataFrame, keys: list[str], component: str, id_: str, la
     return points(wide, keys, component, *each)
 
 
+#: The probes of an accelerator that give one number each, and their units; counters of its network are whatever its tool lists.
+DEVICE_PROBES = {
+    "utilization": "%", "memory_usage": "%", "hbm_total_memory": "MB", "hbm_used_memory": "MB", "hbm_temp": "C", "temperature": "C", "power_draw": "W", "driver_health": "", "voltage": "V",
+    "cluster_temp": "C", "peri_temp": "C", "aicore0_temp": "C", "aicore1_temp": "C", "ntc1_temp": "C", "ntc2_temp": "C", "ntc3_temp": "C", "ntc4_temp": "C", "soc_max_temp": "C", "fp_max_temp": "C",
+    "ndie_temp": "C", "hbm_max_temp": "C", "aicore_voltage": "V", "hybrid_voltage": "V", "cpu_voltage": "V", "ddr_voltage": "V", "acg_count": "", "fan_speed": "%", "aicpu_freq": "MHz",
+    "aicore_rated_freq": "MHz", "ctrlcpu_freq": "MHz", "vector_core_freq": "MHz", "hbm_freq": "MHz", "ddr_freq": "MHz", "aicore_freq": "MHz", "aicpu_util": "%", "ctrlcpu_util": "%",
+    "vector_core_util": "%", "hbm_bandwidth_util": "%", "ddr_util": "%", "ddr_bandwidth_util": "%", "vdec_util": "%", "vpc_util": "%", "venc_util": "%", "jpege_util": "%", "jpegd_util": "%",
+    "npu_util": "%", "process_total": "", "llc_write_hit_rate": "%", "llc_read_hit_rate": "%", "llc_throughput": "MB/s", "net_tx_bandwidth": "MB/s", "net_rx_bandwidth": "MB/s",
+    "pcie_tx_bandwidth": "MB/s", "pcie_rx_bandwidth": "MB/s", "hccs_tx_bandwidth": "MB/s", "hccs_rx_bandwidth": "MB/s",
+}
+
+
+def device_points(wide: DataFrame, keys: list[str], id_: str) -> DataFrame:
+    """A point for every probe of DEVICE_PROBES that a captured device row (keys, id, a column for each probe) has; memory_usage comes from its two sizes where it wasn't read."""
+    used = F.when(F.col("hbm_total_memory") > 0, trunc_round(percent(F.col("hbm_used_memory"), F.col("hbm_total_memory")), 2)) if {"hbm_total_memory", "hbm_used_memory"} <= set(wide.columns) else F.lit(None)
+    wide = wide.withColumn("memory_usage", F.coalesce("memory_usage", used) if "memory_usage" in wide.columns else used)
+    return device_values(wide, keys, "npu", id_, "npu_id", DEVICE_PROBES)
+
+
+def device_counters(rows: DataFrame, keys: list[str], id_: str) -> DataFrame:
+    """A point for each counter (keys, id, key, n) of a device's network; those of octets are bytes."""
+    made = points(rows.withColumn("key_", F.col("key")), [*keys, "key_"], "npu", ("", F.col("n"), "", _labels(npu_id=F.col(id_))))
+    return made.withColumns({"name": F.col("key_"), "unit": F.when(F.col("key_").contains("_oct_"), "bytes").otherwise("")}).drop("key_")
+
+
+def device_count(devices: DataFrame, keys: list[str], id_: str) -> DataFrame:
+    """How many devices there are."""
+    return points(devices.groupBy(*keys).agg(F.countDistinct(id_).alias("n_")), keys, "npu", ("npu_num", F.col("n_"), "", _labels()))
+
+
+def device_texts(rows: DataFrame, keys: list[str], name: str, label: str, id_: str | None = None) -> DataFrame:
+    """A point of value 0 that carries a text (keys, id, text) as its label: topology, driver version, chip type, link and speed; none for empty texts."""
+    return points(rows.where("text <> ''"), keys, "npu", (name, F.lit(0), "", _labels(**({"npu_id": F.col(id_)} if id_ else {}), **{label: F.col("text")})))
+
+
 def trend_text(metric: Column, slope: Column) -> Column:
     """A trend by day, hour or minute, the first of which it moves a tenth in; slope is by second."""
     day, hour = slope * 86400, slope * 3600

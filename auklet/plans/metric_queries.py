@@ -14,7 +14,6 @@ from auklet.plans.kpi_queries import rounded
 
 #: A catalog of the view's points: priority and static flag by position.
 CATALOG = [(c, n, ("High", "Medium", "Low")[k % 3], k % 5 == 0, ("%", "C", "")[k % 3], "3s") for k, (c, n) in enumerate(sorted({(c, n) for c, n, *_ in V.POINTS})) if k % 7]
-OVERRIDE = [(c, n, "" if k % 2 else "High", k % 3 == 0, "", "") for k, (c, n, *_) in enumerate(CATALOG) if k % 4 == 0] + [("extra", "new", "Low", False, "x", "5s")]
 SCOPE = [(c, n) for k, (c, n, *_) in enumerate(CATALOG) if k % 2]
 FEATURES = [("cpu", 1.0), ("cpu", 3.0), ("npu", 2.0), ("disk", 5.0)]
 DIRECTIONS = [("disk", "throughput", "direction", ["read"]), ("disk", "iops", "device", []), ("npu", "utilization", "", []), ("memory", "usage_detail", "field", ["total", "free"])]
@@ -25,6 +24,25 @@ def catalog(s, rows=None):
     return s.createDataFrame(rows or CATALOG, _COLUMNS)
 
 
+def part_catalog(s, d):
+    """A catalog with an entry for each part."""
+    pick = lambda names, by: F.element_at(F.array(*map(F.lit, names)), (F.col("p_partkey") % by + 1).cast("int"))
+    return V.table(s, d, "part").select(F.col("p_brand").alias("component"), F.concat(F.lit("m"), F.col("p_partkey").cast("string")).alias("name"), pick(["High", "Medium", "Low"], 3).alias("priority"), (F.col("p_partkey") % 5 == 0).alias("static"), pick(["%", "C", "", "W"], 4).alias("unit"), F.lit("3s").alias("interval"))
+
+
+def part_override(s, d):
+    """What a site says otherwise about the parts of one kind of size, and entries of its own; empty fields say nothing."""
+    own = F.col("p_partkey") % 16 == 0
+    name = F.concat(F.when(own, "own").otherwise("m"), F.col("p_partkey").cast("string"))
+    rows = V.table(s, d, "part").where("p_size > 20").select(F.col("p_brand").alias("component"), name.alias("name"), F.when(F.col("p_partkey") % 8 == 0, " ").otherwise("High").alias("priority"), F.when(F.col("p_partkey") % 7 != 0, F.col("p_partkey") % 3 == 0).alias("static"), F.lit("").alias("unit"), F.when(F.col("p_partkey") % 12 == 0, "5s").otherwise("").alias("interval"))
+    return rows
+
+
+def part_scope(s, d):
+    """What a feature wants: metrics of suppliers' parts."""
+    return V.table(s, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_suppkey").cast("string").alias("component"), F.concat(F.lit("m"), F.col("l_partkey").cast("string")).alias("name"))
+
+
 def chart_points(s, d):
     """Points of charted metrics by day, with labels that vary."""
     kinds = [(k, c, n) for k, (c, n) in enumerate((c, n) for _, c, ns, *_ in S.CHARTS for n in ns)]
@@ -66,8 +84,8 @@ QUERIES = {
     "fsel_selected": lambda s, d: C.selected(V.points(s, d), catalog(s)).groupBy("component", "name").agg(F.count("*").alias("n")),
     "fsel_scoped": lambda s, d: C.selected(V.points(s, d), catalog(s), s.createDataFrame(SCOPE, "component string, name string"), "high").groupBy("component", "name").agg(F.count("*").alias("n")),
     "fwant_groups": lambda s, d: C.wanted(catalog(s), V.points(s, d).select((F.col("node") % 4).alias("group"), "component", "name"), "high"),
-    "fscope_u2_union": lambda s, d: C.scope_of(s.createDataFrame(SCOPE, "component string, name string"), catalog(s)),
-    "fmerge_override": lambda s, d: C.merged(catalog(s), catalog(s, OVERRIDE)),
+    "fscope_u2_union": lambda s, d: C.scope_of(part_scope(s, d), part_catalog(s, d)),
+    "fmerge_override": lambda s, d: C.merged(part_catalog(s, d), part_override(s, d)),
     "fint_intervals": lambda s, d: C.intervals(V.points(s, d), s.createDataFrame(FEATURES, "component string, seconds double"), 3.0),
     "m8_once_static": lambda s, d: C.once_static(V.points(s, d), catalog(s), ["node"], "ord").select("node", "component", "name", "ord"),
     "fstatic_latest": lambda s, d: C.latest_static(V.points(s, d), ["core_num", "smart_status"], "ord").select("node", "component", "name", "ord"),
@@ -98,7 +116,6 @@ def _values(rows: list[tuple]) -> str:
 
 
 _CATALOG = f"catalog as (select * from (values {_values(CATALOG)}) as t(component, name, priority, static, unit, interval))"
-_OVERRIDE = f"override as (select * from (values {_values(OVERRIDE)}) as t(component, name, priority, static, unit, interval))"
 _SCOPE = f"scope as (select * from (values {_values(SCOPE)}) as t(component, name))"
 _KINDS = [(k, c, n) for k, (c, n) in enumerate((c, n) for _, c, ns, *_ in S.CHARTS for n in ns)]
 _POINTS = f"""
@@ -119,6 +136,7 @@ _CHARTS = (
     union all select batch, chart, chart || '_avg', 'average', avg(value), arg_max(unit, ord) from drawn where mode = 'avg' group by batch, chart)""",
 )
 _PRIO = "case lower({}) when 'high' then 2 when 'medium' then 1 else 0 end"
+_PARTS = "catalog as (select p_brand as component, 'm' || p_partkey as name, ['High', 'Medium', 'Low'][p_partkey % 3 + 1] as priority, p_partkey % 5 = 0 as static, ['%', 'C', '', 'W'][p_partkey % 4 + 1] as unit, '3s' as interval from part)"
 _PLACED = """placed as (select event_id // 256 % 4 as layer, (event_id % 256) // 8 as card, event_id % 8 as slot, (event_id % 256) * 5 % 128 as expert, sum(value) as workload from events group by all)"""
 
 
@@ -130,10 +148,11 @@ SQL = {
     "fsel_selected": _with(V.POINTS_SQL, _CATALOG, tail=f"select p.component, p.name, count(*) as n from points as p left join catalog as c using (component, name) where c.priority is null or {_PRIO.format('c.priority')} >= 1 or c.static group by 1, 2"),
     "fsel_scoped": _with(V.POINTS_SQL, _CATALOG, _SCOPE, tail=f"select p.component, p.name, count(*) as n from points as p semi join scope using (component, name) left join catalog as c using (component, name) where c.priority is null or {_PRIO.format('c.priority')} >= 2 or c.static group by 1, 2"),
     "fwant_groups": _with(V.POINTS_SQL, _CATALOG, tail=f"select node % 4 as \"group\", bool_or(priority is null or {_PRIO.format('priority')} >= 2) as wanted from points left join catalog using (component, name) group by 1"),
-    "fscope_u2_union": _with(_CATALOG, _SCOPE, tail="select component, name from scope union select component, name from catalog"),
+    "fscope_u2_union": _with(_PARTS, tail="select l_suppkey::varchar as component, 'm' || l_partkey as name from lineitem where l_returnflag = 'R' union select component, name from catalog"),
     "fmerge_override": _with(
-        _CATALOG,
-        _OVERRIDE,
+        _PARTS,
+        """override as (select p_brand as component, case when p_partkey % 16 = 0 then 'own' else 'm' end || p_partkey as name, case when p_partkey % 8 = 0 then '' else 'High' end as priority,
+    case when p_partkey % 7 <> 0 then p_partkey % 3 = 0 end as static, '' as unit, case when p_partkey % 12 = 0 then '5s' else '' end as interval from part where p_size > 20)""",
         tail="select component, name, " + ", ".join(f"coalesce(nullif(o.{c}, ''), c.{c}) as {c}" for c in ("priority", "unit", "interval")) + ", coalesce(c.static, false) or coalesce(o.static, false) as static from catalog as c full join override as o using (component, name)",
     ),
     "fint_intervals": _with(V.POINTS_SQL, tail=f"select component, coalesce(min(seconds), 3.0)::double as seconds from (select distinct component from points) as p left join (values {_values(FEATURES)}) as f(component, seconds) using (component) group by 1"),

@@ -23,6 +23,16 @@ def meta(spark):
     return spark.createDataFrame([(r, "parallel_group_info", json.dumps(groups)) for r in range(RANKS)], "rank int, name string, value string")
 
 
+def meta_of(s, d):
+    """Every rank of the line items with the JSON of all groups, as each rank's database has it."""
+    ranks = V.table(s, d, "lineitem").select((F.col("l_orderkey") % RANKS).cast("int").alias("rank")).distinct()
+    name = {"tp": F.concat(F.lit("g_tp_"), F.floor(F.col("rank") / 4)), "dp": F.concat(F.lit("g_dp_"), F.col("rank") % 4), "pp": F.concat(F.lit("g_pp_"), F.col("rank") % 8)}
+    rows = ranks.select("rank", F.explode(F.array(*[F.struct(F.lit(k).alias("domain"), v.cast("string").alias("name")) for k, v in name.items()])).alias("g"))
+    each = rows.groupBy("g").agg(F.collect_list("rank").alias("ranks")).select("g.name", F.struct(F.col("g.domain").alias("group_name"), F.col("ranks").alias("global_ranks")).alias("group"))
+    whole = each.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("name", "group")))).alias("value"))  # one row, as large as the job's groups
+    return ranks.join(F.broadcast(whole)).select("rank", F.lit("parallel_group_info").alias("name"), "value")
+
+
 def strings(spark):
     rows = [(r, k, v) for r in range(RANKS) for k, v in [(1, P.KERNEL), (2, P.DATALOADER), (3, "Step 7"), (9, "OTHER"), *((10 + k, name(r)) for k, name in enumerate(NAMES.values()))]]
     return spark.createDataFrame(rows, "rank int, id int, value string")
@@ -47,13 +57,14 @@ def host(s, d):
 
 
 def marks(s, d):
-    rows = V.table(s, d, "orders").where("o_orderpriority = '1-URGENT'").withColumns({"start": _secs("o_orderdate") + 10, "rank": (F.col("o_orderkey") % RANKS).cast("int")})
-    message = F.when((F.col("o_custkey") % 2 == 0) | (F.col("rank") >= 14), 2).otherwise(3)
-    return rows.select("rank", message.alias("message"), F.col("o_orderkey").alias("conn"), "start", (F.col("start") + _whole(F.col("o_totalprice") / 2)).alias("stop"), F.col("o_orderkey").alias("rowid"))
+    rows = V.table(s, d, "orders").withColumns({"start": _secs("o_orderdate") + 10, "rank": (F.col("o_orderkey") % RANKS).cast("int")})
+    urgent = F.col("o_orderpriority") == "1-URGENT"  # other marks have a name that nothing looks for, and no connection
+    message = F.when(~urgent, 9).when((F.col("o_custkey") % 2 == 0) | (F.col("rank") >= 14), 2).otherwise(3)
+    return rows.select("rank", message.alias("message"), F.when(urgent, F.col("o_orderkey")).otherwise(0).alias("conn"), "start", (F.col("start") + _whole(F.col("o_totalprice") / 2)).alias("stop"), F.col("o_orderkey").alias("rowid"))
 
 
 def tasks(s, d):
-    rows = V.table(s, d, "lineitem").where("l_linenumber <= 2").withColumns({"start": _secs("l_shipdate") + 5, "rank": (F.col("l_orderkey") % RANKS).cast("int")})
+    rows = V.table(s, d, "lineitem").withColumns({"start": _secs("l_shipdate") + 5, "rank": (F.col("l_orderkey") % RANKS).cast("int")})
     kind = F.when((F.col("l_returnflag") == "N") & (F.col("rank") != 5), 1).otherwise(9)
     return rows.select("rank", kind.alias("type_id"), F.col("l_orderkey").alias("conn"), "start", (F.col("start") + _whole(F.col("l_extendedprice") / 3)).alias("stop"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("rowid"))
 
@@ -88,7 +99,7 @@ def spread(s, d, high):
 
 
 QUERIES = {
-    "q1_u4_parallel_groups": lambda s, d: groups(s).select("domain", "name", F.array_join(F.col("ranks").cast("array<string>"), ",").alias("ranks")),
+    "q1_u4_parallel_groups": lambda s, d: P.parallel_groups(meta_of(s, d)).select("domain", "name", F.array_join(F.col("ranks").cast("array<string>"), ",").alias("ranks")),
     "j5_groups_present": lambda s, d: P.groups_present(groups(s), comm(s, d).where("rank % 3 <> 0")).select("domain", "name", F.array_join(F.col("ranks").cast("array<string>"), ",").alias("ranks")),
     "q2_first_hosts": lambda s, d: P.first_hosts(hosts(s, d)),
     "q3_q4_dp2_step_ranges": ranges,
@@ -111,8 +122,8 @@ _TABLES = (
     f"membership as (select cast(r as int) as rank, unnest(['tp', 'dp', 'pp']) as domain, unnest(['g_tp_' || (r // 4), 'g_dp_' || (r % 4), 'g_pp_' || (r % 8)]) as name from range({RANKS}) as t(r))",
     f"comm as (select cast(l_orderkey % {RANKS} as int) as rank, l_orderkey as conn, 10 + l_linenumber % 4 as group_id, {_EPOCH.format('l_shipdate')} as start, {_EPOCH.format('l_shipdate')} + cast(floor(l_extendedprice) as bigint) as stop, cast(floor(l_quantity) as bigint) as cnt, l_orderkey * 10 + l_linenumber as rowid from lineitem)",
     f"host as (select {_RANK} as rank, o_orderkey as conn, {_EPOCH.format('o_orderdate')} as start, {_EPOCH.format('o_orderdate')} + cast(floor(o_totalprice) as bigint) as stop, o_orderkey as rowid from orders)",
-    f"marks as (select {_RANK} as rank, case when o_custkey % 2 = 0 or {_RANK} >= 14 then 2 else 3 end as message, o_orderkey as conn, {_EPOCH.format('o_orderdate')} + 10 as start, {_EPOCH.format('o_orderdate')} + 10 + cast(floor(o_totalprice / 2) as bigint) as stop, o_orderkey as rowid from orders where o_orderpriority = '1-URGENT')",
-    f"tasks as (select cast(l_orderkey % {RANKS} as int) as rank, case when l_returnflag = 'N' and l_orderkey % {RANKS} <> 5 then 1 else 9 end as type_id, l_orderkey as conn, {_EPOCH.format('l_shipdate')} + 5 as start, {_EPOCH.format('l_shipdate')} + 5 + cast(floor(l_extendedprice / 3) as bigint) as stop, l_orderkey * 10 + l_linenumber as rowid from lineitem where l_linenumber <= 2)",
+    f"marks as (select {_RANK} as rank, case when o_orderpriority <> '1-URGENT' then 9 when o_custkey % 2 = 0 or {_RANK} >= 14 then 2 else 3 end as message, case when o_orderpriority = '1-URGENT' then o_orderkey else 0 end as conn, {_EPOCH.format('o_orderdate')} + 10 as start, {_EPOCH.format('o_orderdate')} + 10 + cast(floor(o_totalprice / 2) as bigint) as stop, o_orderkey as rowid from orders)",
+    f"tasks as (select cast(l_orderkey % {RANKS} as int) as rank, case when l_returnflag = 'N' and l_orderkey % {RANKS} <> 5 then 1 else 9 end as type_id, l_orderkey as conn, {_EPOCH.format('l_shipdate')} + 5 as start, {_EPOCH.format('l_shipdate')} + 5 + cast(floor(l_extendedprice / 3) as bigint) as stop, l_orderkey * 10 + l_linenumber as rowid from lineitem)",
     f"steps as (select {_RANK} as rank, min({_EPOCH.format('o_orderdate')}) as start, max({_EPOCH.format('o_orderdate')}) + 100000 as stop from orders where o_orderstatus = 'F' and o_orderkey % {RANKS} < 10 group by {_RANK})",
     f"hosts as (select {_RANK} as rank, arg_min('h' || (o_custkey % 4), o_orderkey) as host from orders where o_orderkey % {RANKS} <> 3 group by 1)",
     r"""marker as (select n.rank, min(t.start) as start, max(t.stop) as stop from strings as n

@@ -5,6 +5,8 @@ Lines are parsed where they lie; only block formats (handles, inventories) are g
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -210,6 +212,47 @@ def labelled_numbers(lines: DataFrame) -> DataFrame:
     return lines.select(*KEYS, key.alias("key"), number.alias("value")).where("value is not null")
 
 
+def _first_number(text: Column) -> Column:
+    """The first of a text's words that is a number; 0 if none is."""
+    words = F.filter(F.split(_strip(text), r"\s+"), lambda x: x.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"))
+    return F.coalesce(F.get(words, F.lit(0)).try_cast("double"), F.lit(0.0))
+
+
+def bandwidths(lines: DataFrame, of: dict[str, tuple[str, ...]]) -> DataFrame:
+    """A column for each name of `of`: the first number of the last line that has all its words, in any case; 0 without such a line.
+
+    A line counts for the first name whose words it has. NET_BANDWIDTHS and LINK_BANDWIDTHS are the tools' names.
+    """
+    low, name = F.lower("value"), F.lit(None).cast("string")
+    for n, words in reversed(of.items()):
+        name = F.when(reduce(lambda a, b: a & b, [low.contains(x) for x in words]), n).otherwise(name)
+    rows = lines.select(*KEYS, "pos", name.alias("name_"), _first_number(F.col("value")).alias("n_"))
+    return rows.groupBy(*KEYS).agg(*[F.coalesce(F.max_by("n_", F.when(F.col("name_") == n, F.col("pos"))), F.lit(0.0)).alias(n) for n in of])
+
+
+# The lines in which the network's and the links' rates stand
+NET_BANDWIDTHS = {"net_tx_bandwidth": ("net", "tx"), "net_rx_bandwidth": ("net", "rx"), "pcie_tx_bandwidth": ("pcie", "tx"), "pcie_rx_bandwidth": ("pcie", "rx")}
+LINK_BANDWIDTHS = {"hccs_tx_bandwidth": ("tx",), "hccs_rx_bandwidth": ("rx",)}
+
+
+def labelled_text(lines: DataFrame, prefix: str) -> DataFrame:
+    """(text): what stands after the first colon of the first line that has the prefix, in any case; '' without one."""
+    own = F.when(F.lower("value").contains(prefix.lower()) & F.col("value").contains(":"), F.col("pos"))
+    return lines.groupBy(*KEYS).agg(F.coalesce(F.min_by(_strip(F.get(F.split("value", ":", 2), F.lit(1))), own), F.lit("")).alias("text"))
+
+
+def whole_text(lines: DataFrame) -> DataFrame:
+    """(text): a probe's lines as one text without outer white space; a topology is as large as the machine."""
+    listed = F.array_sort(F.collect_list(F.struct("pos", "value")))
+    return lines.groupBy(*KEYS).agg(_strip(F.array_join(F.transform(listed, lambda x: x["value"]), "\n")).alias("text"))
+
+
+def statistics(lines: DataFrame) -> DataFrame:
+    """(key, n) of `name:count` lines; the header and counts that are no whole numbers give no row."""
+    rows = key_values(lines.where(~F.col("value").contains("statistics:") & F.col("value").contains(":")), ":")
+    return rows.where("n >= 0")
+
+
 def machine_checks(lines: DataFrame) -> DataFrame:
     """Machine check lines by socket and kind; `uncorrected` is tested first, because it contains `corrected`."""
     low = F.lower("value")

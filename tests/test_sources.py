@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from auklet.sources import kpi_files, probes
 
@@ -120,3 +121,23 @@ def test_rank_files(spark, tmp_path):
     assert {r.rank: r.host for r in rank_files.read_hosts(spark, folder).collect()} == {0: "h", 1: "h"}
     got = rank_files.settled_steps(rank_files.read_figures(spark, folder)).collect()
     assert sorted(map(tuple, got)) == [(0, "took", 6.5), (0, "wait", 7.0), (1, "took", 4.0)]
+
+
+def test_rates_and_texts_of_tools(spark):
+    """First numbers, last lines and missing ones, as the tools' own parsers take them."""
+    from auklet.operators import gauges as G
+    from auklet.sources import probes as P
+
+    def lines(*values):
+        return spark.createDataFrame([(1, "p", k, v) for k, v in enumerate(values)], "batch long, source string, pos int, value string")
+
+    rates = P.bandwidths(lines("Bandwidth TX:", "Net TX 12.5 MB/s", "net rx: 3 4", "PCIe TX: fast", "pcie rx +1e3x 7"), P.NET_BANDWIDTHS).first()
+    assert (rates.net_tx_bandwidth, rates.net_rx_bandwidth, rates.pcie_tx_bandwidth, rates.pcie_rx_bandwidth) == (12.5, 3.0, 0.0, 7.0)
+    assert [r.text for r in P.labelled_text(lines("no colon link", "Link: UP now", "link: DOWN"), "Link").collect()] == ["UP now"]
+    assert [r.text for r in P.labelled_text(lines("nothing"), "Link:").collect()] == [""]
+    assert {(r.key, r.n) for r in P.statistics(lines("packet statistics:", "a_oct_b:5", "x: -1", "y:1.5", "plain 7", "z:8")).collect()} == {("a_oct_b", 5), ("z", 8)}
+    units = {r.name: r.unit for r in G.device_counters(P.statistics(lines("a_oct_b:5", "z:8")).withColumn("id", F.lit(3)), ["batch"], "id").collect()}
+    assert units == {"a_oct_b": "bytes", "z": ""}
+    samples = spark.createDataFrame([("h", "sda", t, r, r * 2048, r, r, r, r) for t, r in ((0, 10), (5, 35), (5, 36), (10, 4), (20, 104))], "host string, device string, s long, reads long, sectors_read long, ms_read long, writes long, sectors_written long, ms_written long")
+    got = {(r.s, r.name): r.value for r in G.disk_rates(samples, ["host"], "s").where("labels['direction'] is null or labels['direction'] = 'read'").collect()}
+    assert got[20, "iops"] == 10.0 and got[20, "throughput"] == 10.0 and got[10, "iops"] == 0.0 and got[20, "read_latency"] == 10.0 and (0, "iops") not in got
