@@ -12,6 +12,8 @@ from auklet.functions.scalars import severity_rank
 
 #: Fixed value: the error code of a card that dropped out.
 CARD_DROP_CODE = "0x40f84e00"
+#: Subscriptions that are broadcast at most.
+FEW = 1000
 ALL_RULES = ("card_drop", "npu_health", "error_code", "hbm_uce", "ddr_uce", "roce_link_down", "driver_health")
 
 
@@ -87,15 +89,19 @@ def not_repeated(events: DataFrame, key: str, seq: str) -> DataFrame:
 def matched(events: DataFrame, subscriptions: DataFrame) -> DataFrame:
     """Event and subscription pairs: empty lists take any, the severity is at least the subscription's.
 
-    An event meets the subscriptions of its type and those of any type by an equi-join, so neither side need be small.
+    Up to FEW subscriptions are broadcast, and events don't move. Of more, an event meets those of its type and those of any type by an
+    equi-join, so neither side need be small.
     """
+    takes = lambda names, v: (F.size(f"s.{names}") == 0) | F.array_contains(f"s.{names}", F.col(f"e.{v}"))
+    enough = (F.coalesce("s.min_severity", F.lit("")) == "") | (severity_rank(F.col("e.severity")) >= severity_rank(F.col("s.min_severity")))
+    rest = takes("components", "component") & takes("npu_ids", "npu") & enough
+    out = [*[F.col(f"e.{c}") for c in events.columns], F.col("s.id").alias("subscription"), "s.debounce_s"]
+    if subscriptions.count() <= FEW:
+        return events.alias("e").join(F.broadcast(subscriptions.alias("s")), takes("types", "type") & rest).select(*out)
     kinds = F.when(F.size("types") > 0, F.array_distinct(F.array_compact("types"))).otherwise(F.array(F.lit(None).cast("string")))
     s = subscriptions.withColumn("kind_", F.explode(kinds)).alias("s")
     e = events.withColumn("kind_", F.explode(F.array_distinct(F.array(F.col("type"), F.lit(None).cast("string"))))).alias("e")
-    takes = lambda names, v: (F.size(f"s.{names}") == 0) | F.array_contains(f"s.{names}", F.col(f"e.{v}"))
-    enough = (F.coalesce("s.min_severity", F.lit("")) == "") | (severity_rank(F.col("e.severity")) >= severity_rank(F.col("s.min_severity")))
-    met = e.join(s, F.col("e.kind_").eqNullSafe(F.col("s.kind_")) & takes("components", "component") & takes("npu_ids", "npu") & enough)
-    return met.select(*[F.col(f"e.{c}") for c in events.columns], F.col("s.id").alias("subscription"), "s.debounce_s")
+    return e.join(s, F.col("e.kind_").eqNullSafe(F.col("s.kind_")) & rest).select(*out)
 
 
 def debounced(pairs: DataFrame, keys: list[str], ts: str, gap: str, tie: str) -> DataFrame:

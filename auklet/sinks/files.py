@@ -18,9 +18,16 @@ def write_points(points: DataFrame, folder: str, ts: str = "ts_s") -> None:
     rows.repartition("component", "day").write.mode("append").partitionBy("component", "day").json(folder)
 
 
-def write_kpi_days(samples: DataFrame, folder: str) -> None:
-    """KPI samples (ts, vals, cpu_avg) as JSON lines below day=..., by the sample's own day."""
-    samples.withColumn("day", F.to_date(F.timestamp_seconds("ts"))).write.mode("append").partitionBy("day").json(folder)
+def write_kpi_days(samples: DataFrame, folder: str, batch: int | None = None) -> None:
+    """KPI samples (ts, vals, cpu_avg) as JSON lines below day=..., by the sample's own day.
+
+    With the number of a micro-batch they stand below batch=... of their day, and replace what a first try of it wrote there.
+    """
+    rows = samples.withColumn("day", F.to_date(F.timestamp_seconds("ts")))
+    if batch is None:
+        rows.write.mode("append").partitionBy("day").json(folder)
+    else:
+        rows.withColumn("batch", F.lit(batch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch").json(folder)
 
 
 def samples_of(kpi: DataFrame) -> DataFrame:

@@ -142,9 +142,9 @@ def deliveries(pairs: DataFrame, write: Callable[[DataFrame, int], None], checkp
 
 
 def kpi_tap(points: DataFrame, folder: str, checkpoint: str, every: str = "60 seconds"):
-    """Starts a query that turns each interval's device points into KPI samples and flushes them to the files of their day."""
+    """Starts a query that turns each interval's device points into KPI samples and flushes them to the files of their day; a repeated micro-batch replaces its own."""
 
     def each(df: DataFrame, number: int) -> None:
-        write_kpi_days(samples_of(kpi_points(df)), folder)
+        write_kpi_days(samples_of(kpi_points(df)), folder, number)
 
     return points.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(processingTime=every)

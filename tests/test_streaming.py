@@ -77,3 +77,56 @@ def test_kpi_tap_flushes_to_days(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert [(r.ts_s, r.card, r.metric, r.value) for r in read_kpi_json(spark, f"file://{tmp_path}/kpi/day=*").collect()] == [(60, 1, "temp", 40.0)]
+
+
+def test_a_repeated_micro_batch_replaces_its_samples(spark, tmp_path):
+    from auklet.sinks.files import write_kpi_days
+    from auklet.sources.kpi_files import read_kpi_json
+
+    folder = f"file://{tmp_path}/kpi"
+    samples = lambda v: spark.createDataFrame([(60, {"1": {"temp": v}}, {}), (90_000, {"1": {"temp": v}}, {})], "ts long, vals map<string,map<string,double>>, cpu_avg map<string,string>")
+    for number, value in ((0, 1.0), (1, 2.0), (1, 3.0)):
+        write_kpi_days(samples(value), folder, number)
+    assert sorted((r.ts_s, r.value) for r in read_kpi_json(spark, f"{folder}/day=*").collect()) == [(60, 1.0), (60, 3.0), (90_000, 1.0), (90_000, 3.0)]
+
+
+def test_counter_increments_equal_batch(spark, stream):
+    rows = [("a", s, float(s % 50)) for s in range(0, 300, 7)] + [("b", s, 2.0 * s) for s in range(0, 300, 11)]
+    schema = "key string, s long, value double"
+    typed = lambda df: df.withColumn("ts", F.timestamp_seconds("s"))
+    job = lambda df: jobs.counter_increments(typed(df), ["key"])
+    got = stream([[r for r in rows if r[1] < 150], [r for r in rows if r[1] >= 150]], schema, job)
+    whole = job(spark.createDataFrame(rows, schema)).collect()
+    assert got and set(got) <= set(whole)
+    from auklet.operators.aggregates import bucket, counter_delta
+
+    want = counter_delta(spark.createDataFrame(rows, schema).withColumn("b", bucket(F.col("s"), 60)), ["b", "key"], ["s"]).collect()
+    assert sorted((int(r.bucket.timestamp()), r.key, r.value) for r in whole) == sorted((r.b, r.key, r.value) for r in want)
+
+
+def test_latest_batch_and_deliveries(spark, tmp_path):
+    from auklet.operators import windows
+
+    rows = [("cpu", 1, 1.0), ("cpu", 2, 2.0), ("cpu", 2, 3.0), ("disk", 1, 4.0)]
+    schema = "component string, batch long, value double"
+    spark.createDataFrame(rows, schema).write.json(f"file://{tmp_path}/in")
+    source = spark.readStream.schema(schema).json(f"file://{tmp_path}/in")
+    query = jobs.latest_batch(source, "component", "batch", lambda df, n: df.write.parquet(f"file://{tmp_path}/out/n={n}"), f"file://{tmp_path}/c1").trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    got = spark.read.parquet(f"file://{tmp_path}/out").select("component", "batch", "value").collect()
+    want = windows.latest(spark.createDataFrame(rows, schema), ["component"], ["batch"]).select("component", "batch", "value").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) == 3
+
+    log = str(tmp_path / "sent")
+
+    def send(endpoint, body, timeout_s):
+        with open(log, "a") as f:
+            f.write(body + "\n")
+        return '"e1"' not in body
+
+    spark.createDataFrame([("e0", "http://x", 1), ("e1", "http://x", 2)], "event_id string, endpoint string, k int").write.json(f"file://{tmp_path}/pairs")
+    pairs = spark.readStream.schema("event_id string, endpoint string, k int").json(f"file://{tmp_path}/pairs")
+    query = jobs.deliveries(pairs, lambda df, n: df.write.parquet(f"file://{tmp_path}/told/n={n}"), f"file://{tmp_path}/c2", retries=1, backoff_s=0.0, send=send).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    told = {r.event_id: (r.attempts, r.delivered) for r in spark.read.parquet(f"file://{tmp_path}/told").collect()}
+    assert told == {"e0": (1, True), "e1": (2, False)} and len(open(log).readlines()) == 3
