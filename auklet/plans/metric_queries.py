@@ -82,6 +82,7 @@ def evened(s, d):
 
 QUERIES = {
     "fsel_selected": lambda s, d: C.selected(V.points(s, d), catalog(s)).groupBy("component", "name").agg(F.count("*").alias("n")),
+    "fsel_rows": lambda s, d: C.selected(V.points(s, d), catalog(s), s.createDataFrame(SCOPE, "component string, name string"), "medium").select("node", "component", "name", "value", "ord"),
     "fsel_scoped": lambda s, d: C.selected(V.points(s, d), catalog(s), s.createDataFrame(SCOPE, "component string, name string"), "high").groupBy("component", "name").agg(F.count("*").alias("n")),
     "fwant_groups": lambda s, d: C.wanted(catalog(s), V.points(s, d).select((F.col("node") % 4).alias("group"), "component", "name"), "high"),
     "fscope_u2_union": lambda s, d: C.scope_of(part_scope(s, d), part_catalog(s, d)),
@@ -146,6 +147,7 @@ def _with(*parts: str, tail: str) -> str:
 
 SQL = {
     "fsel_selected": _with(V.POINTS_SQL, _CATALOG, tail=f"select p.component, p.name, count(*) as n from points as p left join catalog as c using (component, name) where c.priority is null or {_PRIO.format('c.priority')} >= 1 or c.static group by 1, 2"),
+    "fsel_rows": _with(V.POINTS_SQL, _CATALOG, _SCOPE, tail=f"select p.node, p.component, p.name, p.value, p.ord from points as p semi join scope using (component, name) left join catalog as c using (component, name) where c.priority is null or {_PRIO.format('c.priority')} >= 1 or c.static"),
     "fsel_scoped": _with(V.POINTS_SQL, _CATALOG, _SCOPE, tail=f"select p.component, p.name, count(*) as n from points as p semi join scope using (component, name) left join catalog as c using (component, name) where c.priority is null or {_PRIO.format('c.priority')} >= 2 or c.static group by 1, 2"),
     "fwant_groups": _with(V.POINTS_SQL, _CATALOG, tail=f"select node % 4 as \"group\", bool_or(priority is null or {_PRIO.format('priority')} >= 2) as wanted from points left join catalog using (component, name) group by 1"),
     "fscope_u2_union": _with(_PARTS, tail="select l_suppkey::varchar as component, 'm' || l_partkey as name from lineitem where l_returnflag = 'R' union select component, name from catalog"),

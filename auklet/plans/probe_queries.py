@@ -153,6 +153,8 @@ QUERIES = {
     "s28_release": lambda s, d: P.release(inventory(s, d, "NAME=\"Linux {q}\"", "# comment=1", "ID=x{u}", "no pair")).drop("source"),
     "k6_global_snapshots": lambda s, d: files.global_snapshot(H.component_scores(V.points(s, d)), H.health(V.points(s, d)), "node", {"cpu": 3.0}).select("node", "health.score", "health.grade", F.array_join(F.transform("collectors", lambda c: F.concat(c["component"], F.lit(":"), c["max"].cast("int").cast("string"))), ",").alias("parts"), F.col("intervals_ms")["cpu"].alias("cpu_ms")),
     "k5_component_snapshots": lambda s, d: files.snapshots(metric_queries.chart_points(s, d), None, metric_queries.chart_points(s, d).where("name = 'power'")).select("component", "batch", F.size("metrics").alias("n"), F.round(F.aggregate("metrics", F.lit(0.0), lambda a, m: a + m["value"]), 3).alias("total"), F.size(F.coalesce("specs", F.array())).alias("specs")),
+    "k5_snapshot_points": lambda s, d: files.snapshots(metric_queries.chart_points(s, d)).select("component", F.posexplode("metrics").alias("place", "m")).select("component", "place", F.col("m.name").alias("name"), F.round("m.value", 3).alias("value"), F.col("m.unit").alias("unit")),
+    "m11_sample_fields": lambda s, d: files.samples_of(V.kpi(s, d).groupBy("ts_s", "card", "metric").agg(F.max("value").alias("value"))).select("ts", F.explode("vals").alias("card", "fields")).select("ts", "card", F.explode("fields").alias("metric", "v")).select("ts", "card", "metric", F.round("v", 6).alias("value")),
     "m11_kpi_samples": lambda s, d: files.samples_of(V.kpi(s, d).groupBy("ts_s", "card", "metric").agg(F.max("value").alias("value"))).select("ts", F.size("vals").alias("cards"), F.aggregate(F.map_values("vals"), F.lit(0), lambda a, m: a + F.size(m)).alias("fields")),
     "s16_pressure": lambda s, d: pressure(s, d).drop("source"),
     "s18_fsensor_sensors": sensors,
@@ -275,6 +277,8 @@ SQL = {
     "s28_release": _O + " select batch, 'NAME' as key, 'Linux ' || q as text from o union all select batch, 'ID', 'x' || u from o",
     "k6_global_snapshots": fleet_queries._with(*fleet_queries._health_sql(), tail="select node, cast(sum(score) as int) as score, case when sum(score) >= 90 then 'Excellent' when sum(score) >= 75 then 'Good' when sum(score) >= 60 then 'Warning' else 'Critical' end as grade, string_agg(component || ':' || max::int, ',' order by component) as parts, 3000 as cpu_ms from scores group by node"),
     "k5_component_snapshots": "with " + metric_queries._POINTS + " select component, max(batch) as batch, cast(count(*) as int) as n, round(sum(value), 3) as total, cast(count(*) filter (name = 'power') as int) as specs from cpoints group by component",
+    "k5_snapshot_points": "with " + metric_queries._POINTS + " select component, cast(row_number() over (partition by component order by ord) - 1 as int) as place, name, round(value, 3) as value, unit from cpoints",
+    "m11_sample_fields": f"with {V.KPI_SQL} select ts_s as ts, card::varchar as card, metric, round(max(value), 6) as value from kpi group by 1, 2, 3",
     "m11_kpi_samples": f"with {V.KPI_SQL} select ts_s as ts, cast(count(distinct card) as int) as cards, cast(count(distinct (card, metric)) as int) as fields from kpi group by 1",
     "s16_pressure": _with("select batch, 'some' as kind, unnest(['avg10', 'avg60', 'avg300', 'total']) as field, unnest([q + 0.5, 0.25, u + 0.123456, p]::double[]) as value from l where pos = 1 union all select batch, 'full', unnest(['avg10', 'avg60', 'avg300', 'total']), unnest([0, q, 1, 0]::double[]) from l where pos = 2"),
     "s18_fsensor_sensors": _with("select batch, name, value, unit, status, kind from sensed", _SENSORS),

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from auklet.functions import scalars as X
+from auklet.operators import catalog as C
 from auklet.operators import gauges as G
 from auklet.operators import windows as W
 from auklet.plans import views as V
 from auklet.plans.kpi_queries import rounded
 from auklet.sinks import push, reports
+from auklet.sources import kpi_files as K
 from auklet.sources import probes
 
+HOST = Window.partitionBy("s_nationkey")
 WORDS = {"errors": "error|fail", "warnings": "warn"}
 
 
@@ -55,7 +59,31 @@ def commands(s, d):
     return e.select(F.col("event_id").alias("id"), F.when(F.col("event_id") % 2 == 0, "scale_down").otherwise(F.when(F.col("event_id") % 5 == 0, "jump").otherwise("retry")).alias("instruction"), params.alias("params"))
 
 
+def kpi_text(s, d):
+    """A line of a KPI file for each event, with its props as a card's fields; every 11th is cut off, every 13th has another type, every 17th is blank."""
+    e, k = V.table(s, d, "events"), F.col("event_id")
+    whole = F.concat(F.lit('{"ts": '), V.seconds(F.col("ts")).cast("string"), F.lit(', "vals": {"'), (F.col("user_id") % 8).cast("string"), F.lit('": '), F.col("props"), F.lit(', "x": {"k": 1}}, "more": [1]}'))
+    value = F.when(k % 17 == 0, "  ").when(k % 11 == 0, F.substring(whole, 1, 30)).when(k % 13 == 0, F.lit('{"ts": "late", "vals": 7}')).otherwise(whole)
+    return K.parsed_lines(e.select(F.concat(F.lit("day"), (k % 5).cast("string")).alias("file"), value.alias("value")))
+
+
+def watchers(s, d):
+    """A subscription of each customer, and later changes of some."""
+    c = V.table(s, d, "customer")
+    text = F.col("c_custkey").cast("string")
+    part = F.when(F.col("c_nationkey") % 3 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("gpu"), F.lit("cpu")))
+    base = c.select(text.alias("id"), part.alias("components"), F.when(F.col("c_nationkey") % 4 == 0, "").when(F.col("c_nationkey") % 4 == 1, F.lit(None)).otherwise("critical").alias("min_severity"), F.when(F.col("c_nationkey") % 5 != 0, F.col("c_nationkey").cast("long")).alias("debounce_s"))
+    o = V.table(s, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"))
+    changes = o.where("n > 11").select(F.col("o_custkey").cast("string").alias("id"), F.array(F.lit("npu"), F.lit("disk")).alias("components"), F.lit("info").alias("min_severity"), F.col("n").alias("debounce_s"), (F.col("n") % 2 == 0).alias("removed"))
+    return C.subscription_defaults(C.upserted(base, changes, "id"), debounce_s=30, min_severity="warning")
+
+
 QUERIES = {
+    "s1_parsed_samples": lambda s, d: K.long_kpi(kpi_text(s, d).where("bad is null").withColumn("ts", F.col("ts"))).groupBy("ts_s", "card", "metric", "value").agg(F.count("*").alias("n")),
+    "s1_malformed_lines": lambda s, d: kpi_text(s, d).groupBy("file").agg(F.count_if(F.col("bad").isNotNull()).alias("malformed"), F.count_if(F.col("bad").isNull()).alias("samples")),
+    "m10_subscription_table": lambda s, d: watchers(s, d).select("id", F.array_join("components", ",").alias("components"), "min_severity", "debounce_s"),
+    "x18_ids_of_events": lambda s, d: push.with_event_ids(V.table(s, d, "events").select("user_id", "event_type", F.col("event_id").alias("seq")), ["user_id", "event_type"]).select("seq", "event_id"),
+    "w19_stages_of_hosts": lambda s, d: V.table(s, d, "supplier").select(F.col("s_suppkey").alias("rank"), "s_nationkey", F.row_number().over(HOST.orderBy("s_suppkey")).alias("k"), F.count("*").over(HOST).alias("n")).select("rank", W.chunks(F.col("k"), F.col("n"), 4).alias("stage")),
     "x15_memory_points": lambda s, d: labelled(G.memory(memory_info(s, d), ["batch"]), "batch"),
     "m4_disk_space": lambda s, d: labelled(G.disk_space(V.table(s, d, "orders").select(F.col("o_orderkey").alias("batch"), F.lit("sda").alias("device"), F.lit("/").alias("mount"), F.lit("ext4").alias("fstype"), F.floor("o_totalprice").cast("bigint").alias("total"), (F.floor("o_totalprice") * (F.col("o_custkey") % 10) / 10).cast("bigint").alias("used"), F.col("o_custkey").alias("avail")), ["batch"]), "batch"),
     "m6_gpu_points": lambda s, d: labelled(G.gpus(V.table(s, d, "part").select(F.col("p_partkey").alias("batch"), (F.col("p_partkey") % 8).cast("string").alias("gpu"), (F.col("p_retailprice") / 7).alias("mem_used"), F.col("p_retailprice").alias("mem_total"), *[F.col("p_size").cast("double").alias(c) for c in ("utilization", "temperature", "power", "fan_speed", "ecc_errors", "clock")]), ["batch"]), "batch"),
@@ -94,7 +122,18 @@ def _union(base: str, rows: list[tuple[str, str, str]], where: str = "true") ->
 
 _GPU = [("memory_usage", _PCT.format("(p_retailprice / 7)", "p_retailprice"), "g"), ("memory_detail", "cast(trunc(p_retailprice / 7 * 100 + 0.5) as bigint) / 100.0", "g || ',used'"), ("memory_detail", "cast(trunc(p_retailprice * 100 + 0.5) as bigint) / 100.0", "g || ',total'")]
 _GPU += [(n, "p_size", "g") for n in ("utilization", "temperature", "power_draw", "fan_speed", "ecc_errors", "clock_frequency")]
+_KPI_TEXT = """e as (select *, event_id % 17 = 0 as blank, event_id % 11 = 0 or event_id % 13 = 0 as bad from events),
+good as (select cast(floor(epoch(ts)) as bigint) as ts_s, cast(user_id % 8 as int) as card, cast(json_extract(props, '$.k') as double) as value from e where not blank and not bad)"""
 SQL = {
+    "s1_parsed_samples": f"with {_KPI_TEXT} select ts_s, card, 'k' as metric, value, count(*) as n from good group by all",
+    "s1_malformed_lines": f"with {_KPI_TEXT} select 'day' || (event_id % 5) as file, count(*) filter (bad) as malformed, count(*) filter (not bad) as samples from e where not blank group by 1",
+    "m10_subscription_table": """with o as (select o_custkey, count(*) as n from orders group by 1 having count(*) > 11)
+select c_custkey::varchar as id, case when c_nationkey % 3 = 0 then 'npu' else 'gpu,cpu' end as components, case when c_nationkey % 4 < 2 then 'warning' else 'critical' end as min_severity, case when c_nationkey % 5 <> 0 then c_nationkey else 30 end::bigint as debounce_s
+    from customer where c_custkey not in (select o_custkey from o)
+union all select o_custkey::varchar, 'npu,disk', 'info', n from o where n % 2 <> 0""",
+    "x18_ids_of_events": "select event_id as seq, substr(sha256(user_id || '|' || event_type), 1, 32) as event_id from events",
+    "w19_stages_of_hosts": """with s as (select s_suppkey as rank, row_number() over (partition by s_nationkey order by s_suppkey) as k, count(*) over (partition by s_nationkey) as n from supplier)
+select rank, cast((k - 1) // greatest(1, n // 4) as int) as stage from s""",
     "x15_memory_points": _MEM
     + _union("u", [("usage", _PCT.format("used", "total"), "''"), *[("usage_detail", f"{c} / 1024", f"'{c}'") for c in ("total", "used", "available", "free", "buffers", "cached")]], "total is not null and available is not null")
     + " union all "
