@@ -15,7 +15,6 @@ from auklet.sinks import push, reports
 from auklet.sources import kpi_files as K
 from auklet.sources import probes
 
-HOST = Window.partitionBy("s_nationkey")
 WORDS = {"errors": "error|fail", "warnings": "warn"}
 
 
@@ -83,7 +82,7 @@ QUERIES = {
     "s1_malformed_lines": lambda s, d: kpi_text(s, d).groupBy("file").agg(F.count_if(F.col("bad").isNotNull()).alias("malformed"), F.count_if(F.col("bad").isNull()).alias("samples")),
     "m10_subscription_table": lambda s, d: watchers(s, d).select("id", F.array_join("components", ",").alias("components"), "min_severity", "debounce_s"),
     "x18_ids_of_events": lambda s, d: push.with_event_ids(V.table(s, d, "events").select("user_id", "event_type", F.col("event_id").alias("seq")), ["user_id", "event_type"]).select("seq", "event_id"),
-    "w19_stages_of_hosts": lambda s, d: V.table(s, d, "supplier").select(F.col("s_suppkey").alias("rank"), "s_nationkey", F.row_number().over(HOST.orderBy("s_suppkey")).alias("k"), F.count("*").over(HOST).alias("n")).select("rank", W.chunks(F.col("k"), F.col("n"), 4).alias("stage")),
+    "w19_stages_of_hosts": lambda s, d: V.table(s, d, "supplier").select(F.col("s_suppkey").alias("rank"), "s_nationkey", F.row_number().over(Window.partitionBy("s_nationkey").orderBy("s_suppkey")).alias("k"), F.count("*").over(Window.partitionBy("s_nationkey")).alias("n")).select("rank", W.chunks(F.col("k"), F.col("n"), 4).alias("stage")),
     "x15_memory_points": lambda s, d: labelled(G.memory(memory_info(s, d), ["batch"]), "batch"),
     "m4_disk_space": lambda s, d: labelled(G.disk_space(V.table(s, d, "orders").select(F.col("o_orderkey").alias("batch"), F.lit("sda").alias("device"), F.lit("/").alias("mount"), F.lit("ext4").alias("fstype"), F.floor("o_totalprice").cast("bigint").alias("total"), (F.floor("o_totalprice") * (F.col("o_custkey") % 10) / 10).cast("bigint").alias("used"), F.col("o_custkey").alias("avail")), ["batch"]), "batch"),
     "m6_gpu_points": lambda s, d: labelled(G.gpus(V.table(s, d, "part").select(F.col("p_partkey").alias("batch"), (F.col("p_partkey") % 8).cast("string").alias("gpu"), (F.col("p_retailprice") / 7).alias("mem_used"), F.col("p_retailprice").alias("mem_total"), *[F.col("p_size").cast("double").alias(c) for c in ("utilization", "temperature", "power", "fan_speed", "ecc_errors", "clock")]), ["batch"]), "batch"),
