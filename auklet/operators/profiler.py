@@ -51,7 +51,7 @@ def marker_steps(strings: DataFrame, marks: DataFrame, tasks: DataFrame) -> Data
     """(rank, start, stop) of the tasks behind markers named `step N`; each lookup takes its first row."""
     names = strings.where(F.lower("value").rlike(r"^step\s+\d+$")).select("rank", F.col("id").alias("message"))
     first = marks.groupBy("rank", "message").agg(F.min_by("conn", "rowid").alias("conn"))
-    at = tasks.groupBy("rank", "conn").agg(F.min_by(F.struct("start", "stop"), "rowid").alias("t"))
+    at = tasks.groupBy("rank", "conn").agg(F.min_by(F.struct("start", "stop"), F.struct("rowid", "start", "stop")).alias("t"))
     return names.join(first, ["rank", "message"]).join(at, ["rank", "conn"]).select("rank", "t.start", "t.stop")
 
 

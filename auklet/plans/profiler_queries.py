@@ -128,7 +128,7 @@ _TABLES = (
     f"hosts as (select {_RANK} as rank, arg_min('h' || (o_custkey % 4), o_orderkey) as host from orders where o_orderkey % {RANKS} <> 3 group by 1)",
     r"""marker as (select n.rank, min(t.start) as start, max(t.stop) as stop from strings as n
     join (select rank, message, arg_min(conn, rowid) as conn from marks group by 1, 2) as f on f.rank = n.rank and f.message = n.id
-    join (select rank, conn, arg_min(start, rowid) as start, arg_min(stop, rowid) as stop from tasks group by 1, 2) as t on t.rank = n.rank and t.conn = f.conn
+    join (select rank, conn, arg_min(start, (rowid, start, stop)) as start, arg_min(stop, (rowid, start, stop)) as stop from tasks group by 1, 2) as t on t.rank = n.rank and t.conn = f.conn
     where regexp_full_match(lower(value), 'step\s+\d+') group by 1)""",
     "ranges as (select ranks.rank, coalesce(steps.start, marker.start) as step_start, coalesce(steps.stop, marker.stop) as step_stop from ranks left join steps using (rank) left join marker using (rank))",
     "ops as (select rank, conn, 0 as source, start as h_start, stop as h_stop from host where conn > 0 union all select rank, conn, 1, start, stop from marks where conn > 0)",
