@@ -65,6 +65,13 @@ def placed(s, d):
     return rows.select("layer", F.floor(F.col("k") / 8).alias("card"), (F.col("k") % 8).alias("slot"), (F.col("k") * 5 % 128).alias("expert"), "workload")
 
 
+def layer_cards(s, d):
+    """(layer, card): every layer has all cards of the machine, also those without a load in it."""
+    rows = placed(s, d)
+    cards = rows.agg(F.collect_set("card").alias("cards"))  # one row, as large as the machine
+    return rows.select("layer").distinct().join(F.broadcast(cards)).select("layer", F.explode("cards").alias("card"))
+
+
 #: Experts and further replicas of the placement queries, and the cards that are lost.
 EXPERTS, REDUNDANT, LOST = 128, 32, [0, 9]
 
@@ -103,7 +110,7 @@ QUERIES = {
     "e5_e6_w20_renumbered": lambda s, d: E.renumbered(V.table(s, d, "customer").select(F.col("c_custkey").alias("rank")), V.table(s, d, "customer").where("c_nationkey % 5 = 0").select(F.col("c_custkey").alias("rank"))),
     "e7_even_experts": lambda s, d: E.even_experts(V.table(s, d, "nation").select(F.col("n_nationkey").alias("card")), 130, 25),
     "e7_redundant_experts": lambda s, d: E.redundant_experts(V.table(s, d, "nation").select(F.col("n_nationkey").alias("card")), 130, 25, 50),
-    "e7_log_to_phys": lambda s, d: E.physical_places(placed(s, d), EXPERTS, REDUNDANT),
+    "e7_log_to_phys": lambda s, d: E.physical_places(layer_cards(s, d), EXPERTS, REDUNDANT),
     "e6_elastic_tables": lambda s, d: E.elastic_tables(V.table(s, d, "customer").select(F.col("c_custkey").alias("rank"), F.when(F.col("c_nationkey") % 5 == 0, -1).otherwise(F.col("c_nationkey")).alias("dp"))),
     "e6_domains": lambda s, d: E.domains(V.table(s, d, "customer").select(F.col("c_custkey").alias("rank"), F.col("c_nationkey").alias("dp")), V.table(s, d, "nation").where("n_regionkey = 2").select(F.col("n_nationkey").alias("dp"))),
     "e7_replicas": lambda s, d: E.replicas(placed(s, d)).select("layer", "expert", F.array_join(F.col("places").cast("array<string>"), ",").alias("places")),
@@ -186,7 +193,7 @@ union all select series, first, 2, ord, series || labels || ' ' || regexp_replac
     "e7_even_experts": "select n_nationkey as card, cast(n_nationkey * 5 + least(n_nationkey, 5) + k as int) as expert from nation, range(6) as t(k) where k < 5 + case when n_nationkey < 5 then 1 else 0 end",
     "e7_redundant_experts": "select n_nationkey as card, cast(n_nationkey * 5 + k as int) as expert from nation, range(2) as t(k)",
     # one further replica of each card's first expert, and an even number of cards: neighbours take each other's
-    "e7_log_to_phys": _with(_PLACED, "cards as (select distinct layer, card from placed)", tail="""select layer, cast(4 * card + k as int) as expert, cast(5 * card + k as int) as phys, cast(card as int) as card from cards, range(4) as u(k)
+    "e7_log_to_phys": _with(_PLACED, "cards as (select layer, card from (select distinct layer from placed), (select distinct card from placed))", tail="""select layer, cast(4 * card + k as int) as expert, cast(5 * card + k as int) as phys, cast(card as int) as card from cards, range(4) as u(k)
     union all select layer, cast(4 * xor(card, 1) as int), cast(5 * card + 4 as int), cast(card as int) from cards"""),
     "e6_elastic_tables": """with ranks as (select c_custkey as rank, c_nationkey % 5 = 0 as gone from customer),
 numbered as (select rank, row_number() over (order by rank) - 1 as place, case when gone then -1 else row_number() over (partition by gone order by rank) - 1 end as local from ranks)
