@@ -22,8 +22,8 @@ def day_files(folder: str, since: date, until: date, name: str = "straggler_kpi_
 
 
 def kpi_samples(spark: SparkSession, paths: list[str] | str) -> DataFrame:
-    """(ts, vals, cpu_avg): malformed lines are dropped, unknown fields ignored, missing files skipped."""
-    return spark.read.schema(SCHEMA).option("mode", "DROPMALFORMED").option("ignoreMissingFiles", True).json(paths)
+    """(ts, vals, cpu_avg): malformed lines are dropped, unknown fields ignored, missing files skipped; files below the paths count, as micro-batches write them."""
+    return spark.read.schema(SCHEMA).option("mode", "DROPMALFORMED").option("ignoreMissingFiles", True).option("recursiveFileLookup", True).json(paths)
 
 
 def local_days(since: datetime, until: datetime, zone: str) -> tuple[date, date]:
