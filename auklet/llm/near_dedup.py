@@ -16,7 +16,7 @@ At each level
    visits these blocks. If there are more outsiders than a block holds, even after that, they go one level deeper; at the
    last level they are compared in pairs of blocks, so nothing is left out because a region is large.
 3. In these blocks each component's likest partner is looked up and confirmed first, which joins nearly all that belong
-   together; then, over what is still apart, every pair of different components with like sketches is confirmed on full
+   together, where there are many rows; then, over what is still apart, every pair of different components with like sketches is confirmed on full
    sets inside its block. Only links leave a block.
 
 A link at similarity s shares no region of a level of D minima in T orders with probability (1 - s^D)^T: at 0.8 this is 3e-6
@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auklet.llm.common import BROADCAST_ROWS, WordHashes, lower_words, released, shingles, small, stored, text_key
+from auklet.llm.common import BROADCAST_ROWS, RELEASE_BYTES, WordHashes, lower_words, released, shingles, small, stored, text_key
 from auklet.llm.components import components, regrouped
 
 #: Minima of a signature.
@@ -46,6 +46,8 @@ FURTHER = 8
 SLACK = 0.2
 #: Members of a region that one block holds.
 BLOCK = 512
+#: Rows in blocks whose pairs are compared at once; the likest partners come first where there are more.
+FEW_ROWS = 10_000
 #: Rows whose sets are held at a time while they are signed.
 PIECE = 1024
 
@@ -343,13 +345,14 @@ class _Forest:
     def grouped(self, rows: DataFrame) -> DataFrame:
         """rows with the component of their id; ids without a link are their own."""
         known = self.groups.select(F.col("node").alias("id"), F.col("component").alias("comp"))
-        return rows.join(known, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+        return rows.join(small(self.groups)(known), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
 
     def members_of(self, ids: DataFrame, most: int) -> DataFrame:
         """(id, members): the full sets of these classes, `most` at most, from one text of each; texts don't move where ids are few."""
-        rows = ids.distinct().join(self.classes.select("id", "rep.*"), "id")
-        texts = self.docs.join(F.broadcast(rows) if most <= BROADCAST_ROWS else rows, ["doc_id", "key_"]).groupBy("id").agg(F.first("text").alias("text"))
-        return stored(texts.mapInArrow(released(_sets(self.size)), "id long, members binary"), "sets")
+        few = F.broadcast if most <= BROADCAST_ROWS else lambda side: side
+        rows = self.classes.select("id", "rep.*").join(few(ids), "id", "left_semi")
+        texts = self.docs.join(few(rows), ["doc_id", "key_"]).groupBy("id").agg(F.first("text").alias("text"))
+        return stored(texts.mapInArrow(released(_sets(self.size), RELEASE_BYTES), "id long, members binary"), "sets")
 
     def confirm(self, pairs: DataFrame) -> None:
         """Takes those of the pairs (a, b) that are linked by their full sets."""
@@ -358,8 +361,8 @@ class _Forest:
             return
         sets = self.members_of(pairs.select(F.col("a").alias("id")).union(pairs.select("b")), 2 * n)
         a, b = (sets.select(F.col("id").alias(c), F.col("members").alias(f"set_{c}")) for c in "ab")
-        met = pairs.join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b")
-        self.link(stored(met.mapInArrow(released(_linked(self.percent)), "a long, b long"), "links"))
+        met = a.join(F.broadcast(pairs) if n <= BROADCAST_ROWS else pairs, "a").join(b, "b").select("a", "b", "set_a", "set_b")
+        self.link(stored(met.mapInArrow(released(_linked(self.percent), RELEASE_BYTES), "a long, b long"), "links"))
 
     def level(self, active: DataFrame, depth: int, trees: int, last: bool) -> DataFrame | None:
         """One level over the classes active; returns the ids to look at one level deeper, if there are any."""
@@ -388,19 +391,21 @@ class _Forest:
         return stored(mixed.join(crowds, "key", "left_semi").where("comp <> main").select("id").distinct(), "deeper")
 
     def compare(self, rows: DataFrame, trees: int) -> None:
-        """Finds the links between components in stored blocks: the likest of each component first, then all."""
-        if rows.isEmpty():
+        """Finds the links between components in stored blocks: the likest of each component first where there are many rows, then all."""
+        if not (n := rows.count()):
             return
         row = "key long, pair long, side int, id long, n long, sketch binary, heads binary, comp long"
         in_blocks = lambda df: df.repartition("key", "pair").sortWithinPartitions("key", "pair")
-        look = lambda df, what, kind: in_blocks(df).mapInArrow(released(_looked(self.floor, self.percent, what, trees)), kind)
-        likest = look(self.grouped(rows), "likest", "comp long, a long, b long, like double")
-        a, b = F.least("a", "b"), F.greatest("a", "b")
-        likest = likest.groupBy("comp").agg(F.max_by(F.struct(a.alias("a"), b.alias("b")), F.struct("like", -a, -b)).alias("p"))
-        self.confirm(likest.select("p.a", "p.b").distinct())
+        look = lambda df, what, kind: in_blocks(df).mapInArrow(released(_looked(self.floor, self.percent, what, trees), RELEASE_BYTES), kind)
+        if n > FEW_ROWS:
+            likest = look(self.grouped(rows), "likest", "comp long, a long, b long, like double")
+            a, b = F.least("a", "b"), F.greatest("a", "b")
+            likest = likest.groupBy("comp").agg(F.max_by(F.struct(a.alias("a"), b.alias("b")), F.struct("like", -a, -b)).alias("p"))
+            self.confirm(likest.select("p.a", "p.b").distinct())
         wanted = stored(look(self.grouped(rows), "wanted", row), "wanted")
         if n := wanted.count():
-            self.link(stored(look(wanted.join(self.members_of(wanted.select("id"), n), "id"), "linked", "a long, b long"), "links"))
+            few = F.broadcast if n <= FEW_ROWS else lambda side: side
+            self.link(stored(look(few(wanted).join(self.members_of(wanted.select("id"), n), "id"), "linked", "a long, b long"), "links"))
 
     def _several(self, placed: DataFrame) -> DataFrame:
         """(key, size, main, outside) of regions in several components: the most common one, and how many members are outside it."""
@@ -431,7 +436,7 @@ class _Forest:
 def _judged(documents: DataFrame, shingle: int, percent: int) -> DataFrame:
     """(doc_id, key_, n_shingles, group, component_id, kept) for every row; group is the component's own id, null without words."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("key_", text_key("text"))
-    signed = stored(docs.mapInArrow(released(_signed(shingle)), "doc_id long, key_ struct<a:bigint,b:bigint>, n_shingles long, digest binary, signature binary"), "signed")
+    signed = stored(docs.mapInArrow(released(_signed(shingle), RELEASE_BYTES), "doc_id long, key_ struct<a:bigint,b:bigint>, n_shingles long, digest binary, signature binary"), "signed")
     full = signed.where("doc_id is not null and digest is not null")
     classes = full.groupBy("digest").agg(F.min(F.struct("doc_id", "key_")).alias("rep"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature"))
     classes = stored(classes.withColumn("id", F.monotonically_increasing_id()), "classes")  # written, so the ids stay
