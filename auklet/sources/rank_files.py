@@ -21,8 +21,9 @@ def _ranked(spark: SparkSession, folder: str, pattern: str, glob: str) -> DataFr
 
 def groups_of(texts: DataFrame) -> DataFrame:
     """(domain, name, ranks): distinct groups of more than one rank in (rank, value) JSON texts; ranks sorted, only those that have a file."""
-    parsed = texts.select(F.explode(F.from_json("value", _GROUP)).alias("name", "g")).where("coalesce(g.group_name, '') <> ''")
-    each = parsed.select(F.col("g.group_name").alias("domain"), "name", F.explode("g.global_ranks").alias("rank")).distinct()
+    parsed = texts.select("value").distinct().select(F.explode(F.from_json("value", _GROUP)).alias("name", "g")).where("coalesce(g.group_name, '') <> ''")
+    lists = parsed.select(F.col("g.group_name").alias("domain"), "name", F.col("g.global_ranks").alias("ranks")).distinct()  # each of a group's ranks lists all
+    each = lists.select("domain", "name", F.explode("ranks").alias("rank")).distinct()
     there = each.join(texts.select("rank").distinct(), "rank", "left_semi")
     return there.groupBy("domain", "name").agg(F.array_sort(F.collect_list("rank")).alias("ranks")).where(F.size("ranks") > 1)
 
