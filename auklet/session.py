@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Partitions at least over which rows are dealt that a task then sorts, so that one holds a small part of them; up to 200 the writing side sorts nothing.
+SORT_PARTITIONS = 200
+
 
 def session(app: str = "auklet", master: str | None = None, **conf: str) -> SparkSession:
     """UTC, adaptive execution and Arrow; partition counts are left to adaptive coalescing unless given."""
@@ -30,3 +33,8 @@ def settled(df: DataFrame) -> DataFrame:
     Either survives lost executors: a checkpoint is in the shared folder, kept partitions are computed again.
     """
     return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df.persist()
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt by keys over SORT_PARTITIONS at least, whatever few the session shuffles to."""
+    return df.repartition(max(SORT_PARTITIONS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *keys)

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from auklet.functions.scalars import expand_ranges, size_mb
+from auklet.session import spread
 
 KEYS = ["batch", "source"]
 # Fields of a processor line, columns of a network device line, codes of socket states
@@ -270,18 +271,26 @@ def log_counts(lines: DataFrame, patterns: dict[str, str], keys: list[str]) -> D
 LOG_PATTERNS = {"oom": "out of memory|killed process", "io_errors": "i/o error|blk_update_request"}
 
 
-def blocks(lines: DataFrame, opens: str = "Handle") -> DataFrame:
-    """(block, key, text) of inventories in blocks that open with a word; the lines before the first block are left out."""
+def blocks(lines: DataFrame, opens: str = "Handle", keys: list[str] | None = None) -> DataFrame:
+    """(block, key, text) of inventories in blocks that open with a word, of some keys or all; the lines before the first block are left out.
+
+    Lines are parsed before they are sorted, so only those that open a block or have a key move.
+    """
     w = Window.partitionBy(*KEYS).orderBy("pos")
-    rows = lines.withColumn("block", F.sum(F.col("value").startswith(opens).cast("int")).over(w)).where("block > 0")
     parts = F.split(_strip("value"), ":", 2)
-    return rows.where(F.size(parts) == 2).select(*KEYS, "block", _strip(parts[0]).alias("key"), _strip(parts[1]).alias("text"))
+    pair = F.size(parts) == 2
+    rows = lines.select(*KEYS, "pos", F.col("value").startswith(opens).alias("opens"), F.when(pair, _strip(parts[0])).alias("key"), F.when(pair, _strip(F.get(parts, F.lit(1)))).alias("text"))
+    if keys is not None:
+        wanted = F.col("key").isin(keys)
+        rows = rows.withColumns({c: F.when(wanted, F.col(c)) for c in ("text", "key")})
+    rows = spread(rows.where("opens or key is not null"), *KEYS).withColumn("block", F.sum(F.col("opens").cast("int")).over(w))
+    return rows.where("block > 0 and key is not null").select(*KEYS, "block", "key", "text")
 
 
 def memory_modules(lines: DataFrame) -> DataFrame:
     """Populated slots: locator, size in MB, type, speed, manufacturer, serial and part number."""
     names = {"Locator": "locator", "Size": "size", "Type": "type", "Speed": "speed", "Manufacturer": "manufacturer", "Serial Number": "serial", "Part Number": "part"}
-    got = blocks(lines).where(F.col("key").isin(list(names))).groupBy(*KEYS, "block").agg(*[F.max(F.when(F.col("key") == k, F.col("text"))).alias(c) for k, c in names.items()])
+    got = blocks(lines, keys=list(names)).groupBy(*KEYS, "block").agg(*[F.max(F.when(F.col("key") == k, F.col("text"))).alias(c) for k, c in names.items()])
     return got.withColumn("size_mb", size_mb(F.col("size"))).where("size_mb > 0").drop("block", "size")
 
 
