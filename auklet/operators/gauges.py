@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auklet.functions.scalars import mb_of_sectors, percent, trunc_round
+from auklet.session import spread
 
 _NONE = "map<string,string>"
 
@@ -238,14 +239,29 @@ def memory_modules(rows: DataFrame, keys: list[str]) -> DataFrame:
     return each.unionByName(points(rows.groupBy(*keys).agg(F.count_if(F.col("size_mb") > 0).alias("n")), keys, "memory", ("module_num", F.col("n"), "", _labels())))
 
 
+def with_before(rows: DataFrame, series: list[str], order: str, columns: list[str], width: float = 3600.0) -> DataFrame:
+    """rows with before_*: the columns' values in the row before of the same series, null in its first; order is a number or a time, and no two rows of a series share it.
+
+    A series is cut into slices of `width` of its order (seconds of a time), and each slice's last row is carried into the next one that has
+    rows: so no series is one task, however long it gets.
+    """
+    cut = rows.withColumn("slice_", F.floor(F.col(order).cast("double") / width))
+    ends = cut.groupBy(*series, "slice_").agg(F.max(order).alias(order), *[F.max_by(c, order).alias(c) for c in columns])
+    carried = ends.withColumn("slice_", F.lead("slice_").over(Window.partitionBy(*series).orderBy("slice_"))).where("slice_ is not null")
+    both = cut.withColumn("carried_", F.lit(False)).unionByName(carried.withColumn("carried_", F.lit(True)), allowMissingColumns=True)
+    w = Window.partitionBy(*series, "slice_").orderBy(order)
+    found = spread(both, *series, "slice_").withColumns({f"before_{c}": F.lag(c).over(w) for c in columns})
+    return found.where("not carried_").drop("slice_", "carried_")
+
+
 def network(counters: DataFrame, keys: list[str], series: list[str], order: str, seconds: float = 3.0) -> DataFrame:
     """Errors, drops and byte totals of each interface at each sample, and from its second sample on rates over the interval.
 
     A counter that falls gives no negative rate.
     """
-    w = Window.partitionBy(*series, "interface").orderBy(order)
-    rate = lambda c: F.when(F.lag(c).over(w).isNotNull(), trunc_round(F.greatest(F.lit(0), F.col(c) - F.lag(c).over(w)) / seconds, 0))
-    rows = counters.withColumns({f"{c}_rate": rate(c) for c in ("rx_bytes", "tx_bytes", "rx_packets", "tx_packets")})
+    fields = ["rx_bytes", "tx_bytes", "rx_packets", "tx_packets"]
+    rate = lambda c: F.when(F.col(f"before_{c}").isNotNull(), trunc_round(F.greatest(F.lit(0), F.col(c) - F.col(f"before_{c}")) / seconds, 0))
+    rows = with_before(counters, [*series, "interface"], order, fields).withColumns({f"{c}_rate": rate(c) for c in fields})
     of, each = F.col("interface"), []
     for name, unit, column in (("throughput", "bytes/s", "bytes"), ("packet_count", "/s", "packets")):
         each += [(name, F.col(f"{d}_{column}_rate"), unit, _labels(interface=of, direction=d)) for d in ("rx", "tx")]
